@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from brineflow.llm import quality, sharding
+from brineflow.llm import bpe, idstore, quality, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_byte_bpe": bpe.op1_query,
+        "op6_id_shards": idstore.op6_query,
         "op8_line_frequency_rules": quality.op8_query,
         "op9_hilbert_shards": sharding.op9_query,
     }
