@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from brineflow.llm import bpe, idstore, quality, sharding
+from brineflow.llm import bpe, decontaminate, idstore, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op1_byte_bpe": bpe.op1_query,
         "op6_id_shards": idstore.op6_query,
+        "op7_decontaminate": decontaminate.op7_query,
         "op8_line_frequency_rules": quality.op8_query,
         "op9_hilbert_shards": sharding.op9_query,
     }
@@ -41,5 +42,19 @@ FROM f
 """
 
 
+OP7_SQL = r"""
+WITH b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item, size, array_to_string(ws[p:p + size - 1], ' ') AS win FROM (SELECT item, ws, least(10, len(ws)) AS size, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS p FROM b WHERE len(ws) > 0)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+dw AS (SELECT rid, p, size, array_to_string(ws[p:p + size - 1], ' ') AS win FROM (SELECT rid, ws, size, unnest(range(1, len(ws) - size + 2)) AS p FROM d, (SELECT DISTINCT size FROM bw) WHERE len(ws) >= size)),
+h AS (SELECT rid, p, size, item FROM dw JOIN bw USING (size, win)),
+n AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + size)) AS q FROM h) GROUP BY rid),
+i AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN i USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_frequency_rules": OP8_SQL}
+    return {"op7_decontaminate": OP7_SQL, "op8_line_frequency_rules": OP8_SQL}
