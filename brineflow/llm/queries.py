@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from brineflow.llm import bpe, decontaminate, idstore, quality, sharding
+from brineflow.llm import bpe, decontaminate, idstore, quality, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op1_byte_bpe": bpe.op1_query,
+        "op5_warc_chain": warc.op5_query,
         "op6_id_shards": idstore.op6_query,
         "op7_decontaminate": decontaminate.op7_query,
         "op8_line_frequency_rules": quality.op8_query,
@@ -56,5 +57,15 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN i USING (rid)
 """
 
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": OP7_SQL, "op8_line_frequency_rules": OP8_SQL}
+    return {"op5_warc_chain": OP5_SQL, "op7_decontaminate": OP7_SQL, "op8_line_frequency_rules": OP8_SQL}
