@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brineflow import runtime
-from brineflow.llm.chunks import Memo, cut
+from brineflow.llm.chunks import cut
 from brineflow.llm.mph import PerfectHash, mix
 
 END_ID = 2
@@ -41,26 +41,54 @@ NULL_KEY = np.iinfo(np.int64).min
 
 
 class LibraryEncoder:
-    """Whole texts by the tokenizers library, which sees each distinct piece once while it is remembered."""
+    """Whole texts by the tokenizers library, which sees each distinct piece once while it is remembered.
 
-    def __init__(self, blob: str):
+    New pieces are encoded as one text, since a match starts at each; where a
+    piece's ids end follows from the bytes that each id stands for.
+    """
+
+    def __init__(self, blob: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(blob)
-        self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.first, self.later = Memo(self._one, 50_000), Memo(lambda p: self._one(" " + p))
-
-    def _one(self, piece: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.width).tobytes()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.width = np.dtype("<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4")
+        self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(added[i].encode()) if i in added else len(token)  # a token has one sign for each byte
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.most = most
+
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for made in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.asarray(made.ids, self.width)
+
+    def learn(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at : at + 4096]
+            ids = next(self._ids([" " + " ".join(some)]))
+            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in some])) + 1
+            raw, size, last = ids.tobytes(), self.width.itemsize, 0
+            for p, end in zip(some, (ends * size).tolist(), strict=True):
+                self.known[p] = raw[last:end]
+                last = end
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        cuts = [cut(t) if t else [""] for t in texts]
-        new = [p for p in set().union(*(c[1:] for c in cuts)) if p not in self.later and p not in self.later.older] if cuts else []
-        made = self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
-        fresh = {p: np.asarray(e.ids, self.width).tobytes() for p, e in zip(new, made, strict=True)}
-        self.later.find = lambda p: fresh[p] if p in fresh else self._one(" " + p)
-        for c in cuts:
-            yield self.first[c[0]] + b"".join(map(self.later.__getitem__, c[1:]))
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
+        cuts = [cut(t or "") for t in texts]
+        known, older = self.known, self.older
+        new = []
+        for p in dict.fromkeys(p for c in cuts for p in c[1:] if p not in known):
+            if p in older:
+                known[p] = older[p]
+            else:
+                new.append(p)
+        self.learn(new)
+        for first, c in zip(self._ids([c[0] for c in cuts]), cuts, strict=True):
+            yield first.tobytes() + b"".join(map(known.__getitem__, c[1:]))
 
 
 _ENCODERS: dict[int, LibraryEncoder] = {}
@@ -185,7 +213,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     own = keys[some]
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64(), mask=own == NULL_KEY), pa.array(starts[some] + row["first_id"], pa.int64()), pa.array(counts[some], pa.int64()), pa.array(sums, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.repartition("shard").mapInArrow(run, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # An explicit number: Spark would put so few rows into one task.
+    return manifest.repartition(max(1, manifest.count()), "shard").mapInArrow(run, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from brineflow.llm import bpe, decontaminate, idstore, quality, sharding, warc
+from brineflow.llm import bpe, chat, decontaminate, idstore, quality, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op1_byte_bpe": bpe.op1_query,
+        "op4_chat_masks": chat.op4_query,
         "op5_warc_chain": warc.op5_query,
         "op6_id_shards": idstore.op6_query,
         "op7_decontaminate": decontaminate.op7_query,
@@ -67,5 +68,17 @@ FROM f
 """
 
 
+OP4_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_chain": OP5_SQL, "op7_decontaminate": OP7_SQL, "op8_line_frequency_rules": OP8_SQL}
+    return {"op4_chat_masks": OP4_SQL, "op5_warc_chain": OP5_SQL, "op7_decontaminate": OP7_SQL, "op8_line_frequency_rules": OP8_SQL}
