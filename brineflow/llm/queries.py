@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brineflow.llm import bpe, chat, decontaminate, idstore, quality, sharding, warc
+from brineflow.llm import bpe, chat, decontaminate, idstore, jaccard, quality, sharding, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_decontaminate": decontaminate.op7_query,
         "op8_line_frequency_rules": quality.op8_query,
         "op9_hilbert_shards": sharding.op9_query,
+        "op10_jaccard_components": jaccard.op10_query,
     }
 
 
