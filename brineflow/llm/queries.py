@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from brineflow.llm import bpe, chat, decontaminate, idstore, jaccard, pii, quality, sharding, warc
+from brineflow.llm import bpe, chat, decontaminate, idstore, jaccard, pii, quality, sharding, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_byte_bpe": bpe.op1_query,
+        "op2_toxicity_cnn": toxicity.op2_query,
         "op3_pii_contexts": pii.op3_query,
         "op4_chat_masks": chat.op4_query,
         "op5_warc_chain": warc.op5_query,

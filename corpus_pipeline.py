@@ -1,12 +1,67 @@
-"""The corpus pipeline: each stage reads what its predecessor kept, written as Parquet."""
+"""The corpus pipeline: each stage reads all that its predecessor kept, written as Parquet.
+
+All stages but the last return the columns of ``documents``; the last returns
+the ids of the texts that are left, encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brineflow import runtime
+from brineflow.llm import bpe, decontaminate, jaccard, pii, toxicity
+
+#: Near duplicates: shingles of five words, Jaccard similarity of 0.8 or more.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, predicts to be toxic go."""
+    model = toxicity.train(docs, runtime.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays, that with the smallest id."""
+    return jaccard.distinct_documents(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages go, and documents that are mostly such passages."""
+    return decontaminate.remove(docs, runtime.table(spark, sf_dir, "benchmark")).withColumn("n_chars", _chars()).select(*docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts give way to the names of their kinds."""
+    return pii.redact(docs).withColumn("n_chars", _chars()).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, checked by decoding them: id, source, language, count, ids and digest of the decoded bytes."""
+    shared = bpe.default_vocabulary(spark)
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), shared).drop("text")
+    return bpe.decode(ids, shared).select(
+        "doc_id",
+        "lang",
+        "source",
+        F.expr("cast(octet_length(token_ids) div 4 as bigint)").alias("n_tokens"),
+        "token_ids",
+        F.sha2("decoded", 256).alias("text_sha256"),
+    )
+
+
+def _chars():
+    return F.length("text").cast("bigint")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("benchmark", drop_benchmark),
+    ("personal_data", mask_personal_data),
+    ("byte_bpe", encode),
+]
 #: Training a classifier and merging bytes have no SQL form; the stages are tested one by one.
 ORACLE_SQL = None
 
