@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brineflow import runtime
-from brineflow.llm.chunks import Memo, cut
+from brineflow.llm.chunks import Memo, encode_column
 from brineflow.llm.mph import PerfectHash
 
 #: Rows that one returned batch holds at most.
@@ -99,15 +99,13 @@ class Codec:
             i = end[i]
         return ids
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        pieces = cut(text)
-        return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return encode_column(column, lambda ps: list(map(self.first.__getitem__, ps)), lambda ps: list(map(self.later.__getitem__, ps)))
 
-    def decode(self, ids: bytes | None) -> bytes:
-        return b"".join(map(self.v.by_id.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+    def decode(self, column: pa.Array) -> list[bytes]:
+        find = self.v.by_id.__getitem__
+        return [b"".join(map(find, np.frombuffer(ids or b"", "<u4").tolist())) for ids in column.to_pylist()]
 
 
 _CODECS: dict[str, Codec] = {}
@@ -131,7 +129,7 @@ def _with_column(df: DataFrame, source: str, out: str, shared, method: str) -> D
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(start, BATCH_ROWS)
-                made = pa.array([call(x) for x in part.column(at).to_pylist()], pa.binary())
+                made = pa.array(call(part.column(at)), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, out])
 
     return df.mapInArrow(run, schema)

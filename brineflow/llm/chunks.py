@@ -8,14 +8,48 @@ every space before a non-blank, and the pieces between can be looked up whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-_RUN = re.compile(r" (?:\s|$)")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: A space before a blank of any kind, or at the end.
+_RUN = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
 _CUT = re.compile(r" (?=\S)")
 
 
-def cut(text: str) -> list[str]:
-    """The pieces; all but the first have lost the space that they start with."""
-    return text.split(" ") if _RUN.search(text) is None else _CUT.split(text)
+Find = Callable[[list[str]], list[bytes]]
+
+
+def encode_column(column: pa.Array, first: Find, later: Find) -> list[bytes]:
+    """The bytes of each text's pieces in a row. ``later`` gets each distinct piece of the column once.
+
+    The pieces are cut, made distinct and put back in place by Arrow; texts
+    with runs of blanks are cut one by one.
+    """
+    texts = column.fill_null("")
+    has_run = np.asarray(pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False), bool)
+    runs, plain = np.flatnonzero(has_run).tolist(), np.flatnonzero(~has_run)
+    out: list[bytes] = [b""] * len(texts)
+    if len(plain):
+        lists = pc.split_pattern(texts.filter(pa.array(~has_run)) if runs else texts, " ")
+        bounds = lists.offsets.to_numpy()
+        flat = lists.values
+        begin = np.zeros(len(flat), bool)
+        begin[bounds[:-1]] = True
+        heads = first(flat.take(pa.array(bounds[:-1])).to_pylist())
+        coded = flat.filter(pa.array(~begin)).dictionary_encode()
+        values = pa.array(later(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(values.buffers()[1], np.int64) if len(values) else np.zeros(1, np.int64)
+        data = memoryview(values.buffers()[2] or b"") if len(values) else memoryview(b"")
+        cuts = ends[bounds - np.arange(len(bounds))].tolist()
+        for i, head, a, b in zip(plain.tolist(), heads, cuts[:-1], cuts[1:], strict=True):
+            out[i] = head + data[a:b]
+    for i in runs:
+        pieces = _CUT.split(texts[i].as_py())
+        out[i] = first(pieces[:1])[0] + b"".join(later(pieces[1:]))
+    return out
 
 
 class Memo(dict):

@@ -19,6 +19,7 @@ shards and no rows. Other columns are not stored.
 from __future__ import annotations
 
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,12 +31,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brineflow import runtime
-from brineflow.llm.chunks import cut
+from brineflow.llm.chunks import encode_column
 from brineflow.llm.mph import PerfectHash, mix
 
 END_ID = 2
 #: Documents that are encoded together.
-BATCH_ROWS = 512
+BATCH_ROWS = 8192
+#: Words of plain letters with simple signs or single line ends between them: a match ends wherever one gives way to the other.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_WORDS = re.compile(rf"[{_LETTERS}]+(?:(?:[.,!?;:]+\n?|\n)[{_LETTERS}]*)*")
+_PART = re.compile(rf"[{_LETTERS}]+|[.,!?;:]+\n?|\n")
 MANIFEST = "shard int, path string, n_docs bigint, n_ids bigint"
 NULL_KEY = np.iinfo(np.int64).min
 
@@ -47,7 +52,7 @@ class LibraryEncoder:
     piece's ids end follows from the bytes that each id stands for.
     """
 
-    def __init__(self, blob: str, most: int = 500_000):
+    def __init__(self, blob: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(blob)
@@ -59,36 +64,63 @@ class LibraryEncoder:
             self.n_bytes[i] = len(added[i].encode()) if i in added else len(token)  # a token has one sign for each byte
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.most = most
 
     def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         for made in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.asarray(made.ids, self.width)
 
-    def learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
+    def _joined(self, words: list[str]) -> None:
+        """Encode pieces as one text, since a match starts at the space before each."""
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
             ids = next(self._ids([" " + " ".join(some)]))
-            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in some])) + 1
+            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in some])) + 1
             raw, size, last = ids.tobytes(), self.width.itemsize, 0
-            for p, end in zip(some, (ends * size).tolist(), strict=True):
-                self.known[p] = raw[last:end]
+            for w, end in zip(some, (ends * size).tolist(), strict=True):
+                self.known[w] = raw[last:end]
                 last = end
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        if len(self.known) > self.most:
-            self.older, self.known = self.known, {}
-        cuts = [cut(t or "") for t in texts]
-        known, older = self.known, self.older
+    def learn(self, pieces: list[str]) -> None:
+        """Encode new pieces; a word with signs or lines after it by its parts, which occur in many pieces."""
+        plain, split = [], {}
+        for p in pieces:
+            if not p.isalpha() and _WORDS.fullmatch(p) and "\n\n" not in p:
+                split[p] = _PART.findall(p)
+                plain.append(split[p][0])
+            else:
+                plain.append(p)
+        self._joined([w for w in dict.fromkeys(plain) if w not in self.known])
+        rest = list({w for ws in split.values() for w in ws[1:] if w not in self.parts})
+        self.parts |= zip(rest, self._first(rest), strict=True)
+        for p, ws in split.items():
+            self.known[p] = self.known[ws[0]] + b"".join(map(self.parts.__getitem__, ws[1:]))
+        if len(self.parts) > self.most:
+            self.parts.clear()
+
+    def _first(self, pieces: list[str]) -> list[bytes]:
+        return [ids.tobytes() for ids in self._ids(pieces)]
+
+    def _later(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, pieces))
+        lost = [i for i, v in enumerate(found) if v is None]
         new = []
-        for p in dict.fromkeys(p for c in cuts for p in c[1:] if p not in known):
-            if p in older:
-                known[p] = older[p]
+        for i in lost:
+            if (v := self.older.get(pieces[i])) is None:
+                new.append(pieces[i])
             else:
-                new.append(p)
+                self.known[pieces[i]] = v
         self.learn(new)
-        for first, c in zip(self._ids([c[0] for c in cuts]), cuts, strict=True):
-            yield first.tobytes() + b"".join(map(known.__getitem__, c[1:]))
+        for i in lost:
+            found[i] = self.known[pieces[i]]
+        return found
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        # Two generations: what is asked for again comes back from the older.
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
+        return encode_column(column, self._first, self._later)
 
 
 _ENCODERS: dict[int, LibraryEncoder] = {}
@@ -176,7 +208,7 @@ def write(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
                     out = fs.open_output_stream(name + ".ids")
                 keys.append(part.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
                 sizes = []
-                for ids in encoder.encode(part.column(1).to_pylist()):
+                for ids in encoder.encode(part.column(1)):
                     out.write(ids + end)
                     sizes.append(len(ids) // encoder.width.itemsize + 1)
                 counts.append(np.asarray(sizes, np.int64))
@@ -207,8 +239,8 @@ def read(manifest: DataFrame) -> DataFrame:
                 once[1:] = keys[1:] != keys[:-1]
                 once &= keys != NULL_KEY
                 rows[once] = shard.rows_of(keys[once])
-                for at in range(0, len(rows), BATCH_ROWS * 8):
-                    some = rows[at : at + BATCH_ROWS * 8]
+                for at in range(0, len(rows), BATCH_ROWS):
+                    some = rows[at : at + BATCH_ROWS]
                     sums = [zlib.crc32(shard.read(r).astype("<u4").tobytes()) for r in some.tolist()]
                     own = keys[some]
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64(), mask=own == NULL_KEY), pa.array(starts[some] + row["first_id"], pa.int64()), pa.array(counts[some], pa.int64()), pa.array(sums, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
