@@ -5,8 +5,8 @@ of one host (the ``source`` column) carry is boilerplate and is removed.
 A document that loses more than half of its characters that way is rejected.
 
 Defined results: a null text has no words and fails the length rule; a null
-host is a host of its own; every row is a document, so repeated rows
-count repeatedly and each get the same verdict; a blank line is never
+host is a host of its own; copies of a text count as one document
+for the lines, and repeated rows each get the same verdict; a blank line is never
 boilerplate; extra columns are carried along by :func:`clean` and the columns
 added replace those of the same name; an empty table gives no rows.
 """
@@ -72,16 +72,16 @@ def _key() -> list[Column]:
 
 
 def boilerplate(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """Hashes of each document's lines that more than ``max_docs`` documents of its host carry.
+    """Hashes of each document's lines that more than ``max_docs`` different documents of its host carry.
 
-    A document names each of its lines once, so that counting rows counts
-    documents, and counts merge within each task before they are shuffled. The
-    lines above the limit are then joined back, where Spark splits what a
-    common line makes too large.
+    Copies of a text are one document. A document names each of its lines once,
+    and what is counted merges within each task before it is shuffled. The lines
+    above the limit are then joined back, where Spark splits what a common line
+    makes too large.
     """
     own = F.array_distinct(F.array_compact(normal_lines(F.col("text"))))
     lines = docs.select(*_key(), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.explode(own).alias("h"))
-    above = lines.groupBy("host", "h").count().where(F.col("count") > max_docs).select("host", "h")
+    above = lines.groupBy("host", "h").agg(F.count_distinct("k_hash").alias("n_docs")).where(F.col("n_docs") > max_docs).select("host", "h")
     return lines.join(above, ["host", "h"], "left_semi").groupBy("k_id", "k_hash").agg(F.collect_set("h").alias("bad_lines"))
 
 

@@ -31,7 +31,7 @@ l AS (SELECT rid, host, unnest(string_split(t, chr(10))) AS line FROM d),
 lw AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY rid),
 nl AS (SELECT rid, host, trim(lower(line), ' ') AS line, length(line) AS n FROM lw),
-above AS (SELECT host, line FROM (SELECT DISTINCT rid, host, line FROM nl) GROUP BY ALL HAVING count(*) > 20),
+above AS (SELECT host, line FROM (SELECT DISTINCT d.t, nl.host, nl.line FROM nl JOIN d USING (rid)) GROUP BY ALL HAVING count(*) > 20),
 lost AS (SELECT rid, sum(n) AS n FROM nl SEMI JOIN above USING (host, line) GROUP BY rid),
 total AS (SELECT rid, sum(length(line)) AS n FROM l GROUP BY rid),
 f AS (SELECT d.rid, doc_id, len(ws)::BIGINT AS n_words,
