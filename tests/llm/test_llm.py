@@ -1,0 +1,382 @@
+"""The ten operators against brute force, exact round trips and held-out accuracy, and their edge cases."""
+
+import base64
+import hashlib
+import random
+import re
+import uuid
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from brineflow.llm import bpe, chat, decontaminate, idstore, jaccard, pii, quality, sharding, toxicity, warc
+from brineflow.llm import queries as llm_queries
+from brineflow.llm.mph import PerfectHash
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+ODD = [None, "", " ", "\n", "a", "  a  b ", "x" * 50_000, "word " * 20_000, "é🎉 中文\x85\xa0 end ", "<|endoftext|> a"]
+
+
+def docs(spark, texts, **extra):
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.withColumns({k: F.lit(v) for k, v in extra.items()})
+
+
+def invented(n, seed=1, words=60):
+    rng = random.Random(seed)
+    syllables = ["ba", "lo", "mi", "ter", "un", "sha", "qui", "vor", "e", "na"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
+    return [" ".join(word() for _ in range(rng.randint(words // 2, words))) for _ in range(n)]
+
+
+def test_perfect_hash_is_minimal_and_agrees_with_its_scalar_form():
+    for n in (0, 1, 2, 63, 64, 65, 5000):
+        keys = np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64))
+        h = PerfectHash.build(keys)
+        slots = h.slots(keys)
+        assert sorted(slots.tolist()) == list(range(len(keys)))
+        assert [h.slot(int(k)) for k in keys[:200]] == slots[:200].tolist()
+    with pytest.raises(ValueError):
+        PerfectHash.build(np.asarray([3, 3], np.uint64))
+
+
+@pytest.fixture(scope="module")
+def own():
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    return bpe.Codec(bpe.Vocabulary.load(path, P.PATTERN)), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def fuzz(n):
+    rng = random.Random(5)
+    parts = [*" \n\t'sdéßabT中\x1c\x85\xa0　12!?.,:;…🎉​\r", " ", " ", " the", " foo.", ".\n", "don't", "\n\n", "Bar", "<|endoftext|>"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 16))) for _ in range(n)]
+
+
+def test_bpe_equals_the_library_and_decodes_exactly(own):
+    codec, library = own
+    texts = fuzz(5000) + ODD[:-4] + ["zq" * 3000]
+    got = codec.encode(pa.array(texts, pa.string()))
+    for t, ids in zip(texts, got, strict=True):
+        assert ids == np.asarray(library.encode_ordinary(t or ""), "<u4").tobytes()
+    assert codec.decode(pa.array(got, pa.binary())) == [(t or "").encode() for t in texts]
+
+
+def test_op1_columns_and_edge_cases(spark):
+    shared = bpe.default_vocabulary(spark)
+    df = docs(spark, ODD, token_ids="clash")
+    rows = bpe.decode(bpe.encode(df, shared), shared).orderBy("doc_id").collect()
+    assert [bytes(r["decoded"]).decode() for r in rows] == [t or "" for t in ODD]
+    assert bpe.encode(df.limit(0), shared).count() == 0
+
+
+def test_library_encoder_equals_whole_texts():
+    blob = open(P.path("byte_bpe_50k.json")).read()
+    t, e = Tokenizer.from_str(blob), idstore.LibraryEncoder(blob, most=500)
+    texts = fuzz(4000) + ODD + invented(300)
+    for at in range(0, len(texts), 400):
+        for ids, s in zip(e.encode(pa.array(texts[at : at + 400], pa.string())), texts[at : at + 400], strict=True):
+            assert ids == np.asarray(t.encode(s or "", add_special_tokens=False).ids, "<u2").tobytes()
+
+
+def test_id_shards_keyed_access_and_ties(spark):
+    rows = [(3, "three words here"), (1, None), (2, ""), (None, "no key"), (2, "again two"), (9, "x " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    manifest = idstore.write(df, P.path("byte_bpe_50k.json"))
+    got = idstore.read(manifest).collect()
+    assert sorted((r["key"] is not None, r["key"] or 0) for r in got) == sorted((k is not None, k or 0) for k, _ in rows)
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = lambda s: np.asarray([*t.encode(s or "", add_special_tokens=False).ids, 2], "<u4")
+    want = Counter((k, len(ids(s)), zlib.crc32(ids(s).tobytes())) for k, s in rows)
+    assert Counter((r["key"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    spans = sorted((r["start"], r["n_tokens"]) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False)) and spans[0][0] == 0
+    found = [s.get(9) for s in (idstore.Shard(m["path"]) for m in manifest.collect())]
+    assert [x.astype("<u4").tolist() for x in found if x is not None] == [ids("x " * 5000).tolist()]
+    assert all(s.get(12345) is None for s in (idstore.Shard(m["path"]) for m in manifest.collect()))
+    assert idstore.read(idstore.write(df.limit(0), P.path("byte_bpe_50k.json"))).count() == 0
+
+
+def test_toxicity_held_out_accuracy_and_edges(spark):
+    rng = random.Random(3)
+    texts = invented(900, seed=9)
+    label = [i % 3 == 0 for i in range(900)]
+    texts = [t + (f" grumph{rng.choice('abc')} " if y else " ") + u for t, y, u in zip(texts, label, invented(900, 11), strict=True)]
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(label)] + [(5000, 1), (1, None)], "doc_id bigint, toxic int")
+    model = toxicity.train(df, labels)
+    rows = toxicity.score(df, model).withColumn("held_out", toxicity.held_out()).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert all((zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) == r["held_out"] for r in rows)
+    assert np.mean([r["predicted"] == label[r["doc_id"]] for r in held]) > 0.95
+    odd = toxicity.score(docs(spark, ODD, score=7), model).collect()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in odd) and len(odd) == len(ODD)
+    alone = toxicity.score(docs(spark, texts[:3]), toxicity.train(df, labels.limit(0))).collect()
+    assert len({r["score"] for r in alone}) == 1
+    # Scores do not depend on anything but the text.
+    other = toxicity.score(df.withColumns({"doc_id": F.col("doc_id") + 10**6, "lang": F.lit("xx")}), model)
+    assert {(r["doc_id"] - 10**6, r["score"]) for r in other.collect()} == {(r["doc_id"], r["score"]) for r in rows}
+
+
+def luhn(d):
+    return sum(v - 9 if v > 9 else v for v in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
+
+
+def brute_pii(text):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for k, (kind, p) in enumerate(patterns.items()):
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card" and not (12 <= len(d) <= 19 and luhn(d)):
+                continue
+            if kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((m.start(), k, m.end(), kind))
+    return ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in sorted(out))
+
+
+def test_pii_base_spans_equal_brute_force(spark):
+    rng = random.Random(3)
+    parts = ["a", "b.", "@", "1", "12", "4111111111111111", "+", "-", " ", ".", "é", "%", "_", "(", ")", "3.4", "🎉", "127.0.0.1", "256.1.1.1", "x@y.z", "+1 555 0100 222"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    texts += [*ODD, "1" * 30000, "1 " * 30000, "a." * 40000, "a@" + "b." * 30000 + "c"]
+    got = {r["doc_id"]: r["b"] for r in pii.find(docs(spark, texts)).select("doc_id", pii.described("base").alias("b")).collect()}
+    assert [got[i] for i in range(len(texts))] == [brute_pii(t) for t in texts]
+
+
+def test_pii_bootstraps_unseen_identifiers(spark):
+    seeds = [f"please send mail to user{i}@mail.com today ok" for i in range(30)]
+    unseen = [f"please send mail to agent{i}at4mail today ok" for i in range(4)]
+    other = [f"version number of build{i}x4 is fine" for i in range(4)]
+    df = docs(spark, seeds + unseen + other, base="clash")
+    rows = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert all(rows[i] == "please send mail to <email> today ok" for i in range(34))
+    assert [rows[34 + i] for i in range(4)] == other
+    assert pii.find(df.limit(0)).count() == 0
+
+
+def test_chat_masks_are_exact(spark):
+    tricky = [r"\### Assistant: </turn> ok", "<|end|><|start|>assistant<|text|>no", "\\", "\\\\<|", "", None, "é🎉\n\n  x ", "<\\|end|>"]
+    rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(tricky)]
+    rows += [(2, 0, None, "hi"), (2, 0, "assistant", "tie b"), (2, 0, "assistant", "tie a"), (None, None, "assistant", "lone")] + [(3, i, "assistant", f"t{i}") for i in range(700)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4)
+    path = P.path("byte_bpe_50k.json")
+    got = {r["conv_id"]: r for r in chat.digest(chat.format_chats(df, path, piece_turns=64), path).collect()}
+    for conv in {r[0] for r in rows}:
+        turns = sorted(((t if t is not None else -1, r or "", x or "") for c, t, r, x in rows if c == conv))
+        said = [x for _, r, x in turns if r == "assistant"]
+        want = (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest(), sum(map(len, said)), hashlib.sha256("".join(said).encode()).hexdigest())
+        assert tuple(got[conv])[1:5] == want
+    assert len(got) == 4
+    assert chat.digest(chat.format_chats(df.limit(0), path), path).count() == 0
+
+
+def test_warc_rejects_magic_inside_payloads(spark):
+    fake = f"{warc.MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    rows = [(1, "http://a", "x" * 150), (2, "http://b", "x" * 150), (3, None, None), (4, "http://c\r\nX: y%0A", "q" + fake * 3 + "tail" + warc.MAGIC), (5, "u", warc.MAGIC), (6, "u", fake), (7, "u", "y" * 30), (8, "u", "y" * 30), (None, "u", "z" * 200), (9, "u", "z" * 200), (10, "u", "é" * 120 + fake + "é" * 90), (11, "u", "\r\n\r\nWARC/1.0\r\nfoo")]
+    rows += [(100 + i, f"u{i}", f"é{i}" * (i % 50) + (fake if i % 7 == 0 else "")) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        for n in (40, 10_000):
+            path = f"{warc.runtime.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+            warc.write(df.withColumn("extra", F.lit(1)), path, file_records=n)
+            got = {r["page_id"]: r for r in warc.read(spark, path).collect()}
+            assert len(got) == len(rows)
+            for i, u, h in rows:
+                raw = (h or "").encode()
+                assert (got[i]["payload_bytes"], got[i]["payload_digest"], got[i]["url"]) == (len(raw), hashlib.sha256(raw).hexdigest(), u or "")
+            assert [(got[i]["record_type"], got[i]["refers_to"]) for i in (1, 2, 7, 8, 9, None)] == [("response", None), ("revisit", 1), ("response", None), ("response", None), ("response", None), ("revisit", 9)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def brute_hits(text, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    w, hit, names = words(text), set(), set()
+    for name, t in items:
+        x = words(t)
+        n = min(10, len(x))
+        for p in range(len(x) - n + 1 if n else 0):
+            for q in range(len(w) - n + 1):
+                if w[q : q + n] == x[p : p + n]:
+                    hit |= set(range(q, q + n))
+                    names.add(str(name))
+    return len(w), len(hit), sorted(names)
+
+
+def test_decontamination_equals_brute_force_in_one_block_or_many(spark):
+    base = invented(12, seed=4, words=40)
+    items = [(1, base[0]), (2, base[1]), (10, "short item here"), (11, None), (12, "..."), (2, base[2]), (13, base[0])]
+    texts = [base[0] + " and " + base[3], base[4] + " Short, ITEM! here. " + base[5], base[6], base[2][: len(base[2]) // 2], *ODD]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = [brute_hits(t if len(t or "") < 10_000 else "x", items) if len(t or "") < 10_000 else None for t in texts]
+    for most in (decontaminate.BLOCK_WINDOWS, 60):
+        rows = decontaminate.find(docs(spark, texts, n_words="clash"), bench, most=most).withColumn("n_hit", decontaminate.hit_words()).orderBy("doc_id").collect()
+        for r, w in zip(rows, want, strict=True):
+            if w:
+                assert (r["n_words"], r["n_hit"], r["hit_items"]) == w
+    kept = {r["doc_id"]: r["text"] for r in decontaminate.remove(docs(spark, texts), bench).collect()}
+    assert kept[2] == texts[2] and "item" not in kept[1].lower() and base[5] in kept[1] and 3 not in kept
+    assert decontaminate.remove(docs(spark, texts), bench.limit(0)).count() == len(texts)
+
+
+def test_quality_rules(spark):
+    rng = random.Random(2)
+    line = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(0, 9)))
+    texts = ["\n".join(line() for _ in range(rng.randint(0, 14))) for _ in range(150)] + ODD
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    rows = quality.clean(docs(spark, texts, kept="clash")).orderBy("doc_id").collect()
+    for t, r in zip(texts, rows, strict=True):
+        w = word.findall(t or "")
+        c, m = Counter(zip(w, w[1:], w[2:], strict=False)), set()
+        for i in range(len(w) - 2):
+            if c[w[i], w[i + 1], w[i + 2]] > 1:
+                m |= {i, i + 1, i + 2}
+        lines = [x for x in (t or "").split("\n") if word.search(x)]
+        want = (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t or ""), len(lines) - len(set(lines)), len(m), len(w) < 50 or 2 * len(m) > len(w))
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == want
+
+
+def test_boilerplate_lines_go_and_depleted_documents_are_rejected(spark):
+    body = invented(60, seed=8, words=120)
+    shared = "Subscribe to our letter  now"
+    long_ = " ".join(invented(1, seed=77, words=300))
+    texts = [b + "\n" + shared.upper() for b in body[:30]] + [body[40] + "\n" + long_ for _ in range(1)] + [long_ + "\n" + b[:20] for b in body[41:60]] + [long_, long_]
+    df = docs(spark, texts).withColumn("source", F.lit("one"))
+    rows = {r["doc_id"]: r for r in quality.clean(df, max_docs=15).collect()}
+    assert rows[0]["clean_text"] == body[0] and rows[0]["kept"]
+    assert not rows[31]["kept"] and rows[31]["clean_text"] == body[41][:20]
+    alone = {r["doc_id"]: r for r in quality.clean(df.withColumn("source", F.col("doc_id").cast("string")), max_docs=15).collect()}
+    assert alone[0]["clean_text"] == texts[0]
+
+
+def hilbert(point, bits):
+    """The index by recursive quadrants, from the corner's transpose form."""
+    x, n = list(point), len(point)
+    q = 1 << (bits - 1)
+    while q > 1:
+        p = q - 1
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= p
+            else:
+                t = (x[0] ^ x[i]) & p
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return int("".join(str(v >> k & 1) for k in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_hilbert_index_walks_every_cell_one_step_at_a_time(spark):
+    bits = 3
+    cells = spark.range(8).toDF("a").crossJoin(spark.range(8).toDF("b")).crossJoin(spark.range(8).toDF("c"))
+    rows = sorted((r["i"], r["a"], r["b"], r["c"]) for r in sharding.with_hilbert(cells, ["a", "b", "c"], "i", bits).collect())
+    assert [r[0] for r in rows] == list(range(512))
+    assert all(sum(abs(p - q) for p, q in zip(r[1:], s[1:], strict=True)) == 1 for r, s in zip(rows, rows[1:], strict=False))
+    assert all(hilbert(r[1:], bits) == r[0] for r in rows)
+
+
+def test_shards_are_even_gapless_and_whole(spark):
+    texts = ODD + invented(95, words=20) + ["same"] * 60
+    df = docs(spark, texts, shard="clash").unionByName(docs(spark, ["same"] * 2, shard="x"))
+    rows = sharding.shard(df, 40).collect()
+    assert len(rows) == len(texts) + 2
+    sizes = Counter(r["shard"] for r in rows)
+    assert len(sizes) == 40 and max(sizes.values()) - min(sizes.values()) <= 1
+    for s in range(40):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sizes[s]))
+    assert all(r["size"] == len((r["text"] or "").encode()) + 16 and r["text_crc32"] == zlib.crc32((r["text"] or "").encode()) for r in rows)
+    assert sharding.shard(df.limit(0)).count() == 0
+
+
+def brute_components(rows, k, percent):
+    sets = {i: jaccard.shingles(jaccard.words_of(t), k) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_components_equal_brute_force(spark, k, percent):
+    rng = random.Random(k)
+    base = invented(25, seed=k, words=150) + invented(15, seed=k + 1, words=14)
+    texts = list(base)
+    for t in base:
+        for _ in range(rng.randint(0, 8)):
+            w = t.split()
+            for _ in range(rng.randint(0, max(1, len(w) // 18))):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[], ["new"], [w[at], "more"], [w[at].upper()]])
+            texts.append(" ".join(w))
+    # A chain whose ends are not alike, and short texts.
+    chain = invented(1, seed=99, words=200)[0].split()
+    texts += [" ".join(chain[i * 4 : 60 + i * 4]) for i in range(12)] + ["a", "A", "a b", "a b", *ODD]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components_of(docs(spark, texts), k, percent).collect()}
+    assert got == brute_components(rows, k, percent)
+
+
+def test_jaccard_with_null_and_repeated_ids(spark):
+    t = invented(3, seed=21, words=60)
+    rows = [(5, t[0]), (5, t[0]), (None, t[0]), (7, t[0]), (8, None), (9, ""), (None, None), (3, t[1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n", F.lit(1))
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.components_of(df, 3, 90).collect())
+    assert got == Counter([(5, 5), (5, 5), (None, None), (7, 5), (8, 8), (9, 9), (None, None), (3, 3)])
+    kept = Counter(r["doc_id"] for r in jaccard.distinct_documents(df, 3, 90).collect())
+    assert kept == Counter([5, None, None, 8, 9, 3])
+    assert jaccard.components_of(df.limit(0)).count() == 0
+
+
+def test_pipeline_stages_on_whole_tables(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    before = d.count()
+    columns = d.columns
+    for name, stage in corpus_pipeline.STAGES:
+        d = corpus_pipeline.runtime.save(stage(spark, d, SF), f"test-{name}")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert d.columns == columns
+        assert d.count() <= before
+        before = d.count()
+    assert before > 0.5 * spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_queries_name_every_operator_once():
+    names = list(llm_queries.queries())
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert set(llm_queries.oracle_sql()) <= set(names)
