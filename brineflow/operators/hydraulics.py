@@ -81,3 +81,14 @@ def routing_step(zones: DataFrame, edges: DataFrame, source_ft: float, substeps:
             "storage": F.when(F.col("is_source"), (source_ft - F.col("floor_ft")) * F.col("area")).otherwise(F.col("storage") + change),
         }).drop("d")
     return cur.withColumn("surface_ft", surface(F.col("storage")))
+
+
+def surface_from_storage(hist: DataFrame, stored: DataFrame) -> DataFrame:
+    """The surface (tenths) at which a zone holds ``storage_d``: storage is linear between the bins of a zone, so it is read off exactly.
+
+    ``stored``: zone_id, storage_d and any other columns; nothing stored gives the lowest occupied bin.
+    """
+    at = prefix(hist).withColumn("elev", F.col("bin") + C.HIST_MIN_D).withColumn("held", F.col("cum_n") * F.col("elev") - F.col("cum_elev"))
+    below = stored.join(at, "zone_id").where(F.col("held") <= F.greatest(F.lit(0), F.col("storage_d")))
+    top = below.groupBy(*stored.columns).agg(F.max(F.struct("elev", "held", "cum_n")).alias("m"))
+    return top.select(*stored.columns, (F.col("m.elev") + (F.greatest(F.lit(0), F.col("storage_d")) - F.col("m.held")) / F.col("m.cum_n")).alias("surface_d"))

@@ -300,3 +300,47 @@ def test_streams_replace_days_and_end_sessions(spark, tmp_path):
 def test_constants_are_the_models():
     assert (C.STAGES - 1) * C.STAGE_STEP_C == 1400 and C.HIST_MAX_D - C.HIST_MIN_D + 1 == 241
     assert Path(__file__).exists()
+
+
+def test_archive_plans(spark):
+    from brineflow.plans import archives
+
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    days = spark.createDataFrame([(date(2024, 3, 10),), (date(2024, 7, 1),)], "d date")
+    start = 1719806400  # 2024-07-01 04:00 UTC, local midnight
+    samples = spark.createDataFrame([("a", start + 360 * k, 3.0 + 0.01 * k) for k in range(100)], "series string, t long, v double")
+    rows = archives.compact_days(samples, days).collect()
+    assert [(r["d"], len(r["v"]), r["u"]) for r in rows] == [(date(2024, 7, 1), 96, start)]
+    assert rows[0]["v"][:3] == [300, 302, 305] and rows[0]["v"][-1] is None and rows[0]["p"] == 397 and rows[0]["c"] == "minor"
+    hourly = archives.hourly_rows(samples, archives.civil_slots(days, "America/New_York", 3600)).orderBy("hour").collect()
+    assert hourly[0]["navd_c"] == 309 and hourly[0]["mllw_c"] == 584 and hourly[0]["phase"] == "filling" and len(hourly) == 10
+    f = spark.createDataFrame([("mean", 0, 6.0), ("mean", 1, 7.0), ("mean", 2, 20.0)], "name string, pos int, mllw double")
+    got = [(r["navd"], r["stage_key"], r["clamped"], r["phase"], r["rise"]) for r in archives.forecast_rows(f).orderBy("pos").collect()]
+    assert got == [(3.25, "3.25", False, "filling", 0.0), (4.25, "4.25", False, "filling", 0.25), (17.25, "14.00", True, "filling", 3.25)]
+    raw = spark.createDataFrame([("2020-01-02", "", "5.0", "", "936", ""), ("", "2020-01-01", "", "3.3", "", "2460"), ("2020-01-03", "", "1.0", "", "", ""), ("bad", "", "6.0", "", "", "")], "ag_dt string, peak_dt string, ag_gage_ht string, gage_ht string, ag_tm string, peak_tm string")
+    parsed = archives.crest_rows(raw)
+    assert sorted((r["height_ft"], r["time_est"]) for r in parsed.collect()) == [(3.3, None), (5.0, "09:36")]
+    manual = spark.createDataFrame([(date(2020, 1, 2), 6.69, "calibrated", 1)], "date date, height_ft double, source_area string, station_priority int")
+    assert [r["height_ft"] for r in archives.crest_table(parsed, manual, date(2020, 1, 2)).collect()] == [6.69, 3.3]
+
+
+def test_parcels_and_checks(spark):
+    from brineflow.plans import checks, parcels
+
+    wave = [("a", 360 * k, 3.0 * math.sin(k / 60 * math.pi)) for k in range(700)]
+    events = parcels.tide_events(spark.createDataFrame(wave, "series string, t long, v double"), 0.0)
+    assert [r["level_m"] for r in events.orderBy("t").collect()] == [3000] * 6
+    assert parcels.record(events).first()["n_events"] == 6
+    ground = grid_frame(spark, np.full((10, 10), 25))
+    lots = spark.createDataFrame([(1, [(1.0, 9.0), (3.0, 9.0), (3.0, 7.0), (1.0, 7.0), (1.0, 9.0)]), (2, None), (3, [(0.0, 0.0)])], "id int, ring array<struct<x:double,y:double>>")
+    done = parcels.enriched(lots, ground, events, 0.0, 10.0, 1.0)
+    r = done.first()
+    assert (r["id"], r["radius"], r["elev_d"], r["n_at_or_above"], r["annual_c"]) == (1, 0, 25, 6, 70500)
+    assert parcels.skipped(lots, done).first()["n_skipped"] == 2
+    z = spark.createDataFrame([(0, 3, 0, [1, 2]), (1, 3, 1, [1, 1])], "zone_id int, cell_count long, hard_cells long, hist array<bigint>")
+    assert checks.summary(a=checks.histogram_totals(z), b=checks.mixed_hard_zones(z)).first().asDict() == {"a": 1, "b": 1}
+    e = spark.createDataFrame([(0, 1, 10), (0, 2, 10), (0, 1, 80)], "zone_a int, zone_b int, crest int")
+    assert checks.low_hard_edges(e, z).count() == 1
+    hist = spark.createDataFrame([(7, 100, 2), (7, 110, 1)], "zone_id int, bin int, n long")
+    asked = spark.createDataFrame([(7, 0.0), (7, 10.0), (7, 20.0), (7, 50.0)], "zone_id int, storage_d double")
+    assert sorted(r["surface_d"] for r in hydraulics.surface_from_storage(hist, asked).collect()) == [0.0, 5.0, 10.0, 20.0]
