@@ -26,7 +26,7 @@ extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,8 @@ from brineflow.operators.graph import connected_components
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: Nodes up to this many (16 bytes each) are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
-#: Longs of a parity sketch.
-SKETCH = 8
+#: Longs of a parity sketch, and of the same folded, for the rows of signatures.
+SKETCH, FOLDED = 32, 8
 #: A shingle of one set is in another unrelated set of the band with this weight, for the allocation.
 CHANCE = 0.25
 #: What probing deletions costs besides chance matches.
@@ -215,9 +215,27 @@ def stars(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, STARS)
 
 
+def _apart(a: str, b: str, longs: int) -> str:
+    """Bits in which two sketches differ: a lower bound on the shingles in which the sets do."""
+    return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(longs))
+
+
+def _alike(a: str, b: str, percent: int) -> str:
+    """Whether two sets' sizes let them be linked."""
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+
+
+def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) that sizes and sketches let be linked, with ``apart``: before any text is fetched."""
+    facts = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    both = pairs.select("a", "b").distinct().join(facts("a"), "a").join(facts("b"), "b").where(_alike("n_a", "n_b", percent))
+    both = both.withColumn("apart", F.expr(_apart("s_a", "s_b", SKETCH)))
+    return both.where(f"apart <= ((n_a + n_b) * {100 - percent}) div {100 + percent}").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The distinct pairs (a, b) whose sets are as similar as ``percent`` asks, on the words themselves."""
-    pairs = runtime.save(pairs.distinct(), "pairs")
+    pairs = runtime.save(pairs.select("a", "b").distinct(), "pairs")
     nodes = runtime.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
     small = nodes.count() <= BROADCAST_NODES
     texts = runtime.save(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(nodes) if small else nodes, "doc_id", "left_semi"), "texts")
@@ -262,26 +280,35 @@ def left_over(star: DataFrame, reps: DataFrame, components: DataFrame, percent:
     rows = runtime.save(named.join(open_, "sig", "left_semi"), "open-signatures")
     sizes = rows.groupBy("sig", "c").count()
     largest = sizes.groupBy("sig").agg(F.max_by("c", F.struct("count", "c")).alias("big"))
-    facts = reps.select(F.col("rep").alias("node"), "n", "sketch")
+    folded = F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda i: reduce(lambda a, b: a.bitwiseXOR(b), [F.get("sketch", i + k) for k in range(0, SKETCH, FOLDED)]))
+    facts = reps.select(F.col("rep").alias("node"), "n", folded.alias("sketch"))
     full = runtime.save(rows.join(facts, "node").join(largest, "sig"), "open-sets")
     x = full.where("c <> big").select("sig", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("sketch").alias("sx"), F.col("probes").alias("px"))
     y = full.select("sig", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("sketch").alias("sy"), F.col("probes").alias("py"))
-    differ = " + ".join(f"bit_count(sx[{i}] ^ sy[{i}])" for i in range(SKETCH))
-    within = f"({differ}) <= ((nx + ny) * {100 - percent}) div {100 + percent}"
-    near = f"cx <> cy and (px or py) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {within}"
+    within = f"({_apart('sx', 'sy', FOLDED)}) <= ((nx + ny) * {100 - percent}) div {100 + percent}"
+    near = f"cx <> cy and (px or py) and {_alike('nx', 'ny', percent)} and {within}"
     joined = x.alias("l").join(y.alias("r"), (F.col("l.sig") == F.col("r.sig")) & F.expr(near))
-    return runtime.save(joined.select("x", "y", F.expr(differ).alias("apart")).distinct(), "left-over")
+    pairs = possible(joined.select(F.col("x").alias("a"), F.col("y").alias("b")), reps, percent)
+    return runtime.save(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "apart"), "left-over")
 
 
 def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row; equal rows give equal rows."""
     sets = runtime.save(shingle_sets(docs, k, percent), "sets")
     key = ["n", "h1", "h2"]
-    reps = sets.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), *(F.min_by(c, "doc_id").alias(c) for c in ("sketch", "probe", "found")))
-    reps = runtime.save(reps, "distinct-sets")
-    rows = reps.select(F.explode("probe").alias("sig"), F.col("rep").alias("node"), F.lit(True).alias("probes")).unionByName(reps.select(F.explode("found").alias("sig"), F.col("rep").alias("node"), F.lit(False).alias("probes")))
+    facts = runtime.save(sets.select("doc_id", *key, "sketch"), "facts")
+    whole = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    reps = runtime.save(facts.where(whole).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch")), "distinct-sets")
+    copies = facts.where(whole).join(reps.select(*key, "rep"), key).where("doc_id <> rep").select("doc_id", *key).distinct()
+    copies = runtime.save(copies, "copies")
+    # Only one set of equal ones goes on; its signatures stay where they are if the copies' names are few.
+    few = copies.count() <= BROADCAST_NODES
+    own = sets.where(whole).join(F.broadcast(copies) if few else copies, ["doc_id", *key], "left_anti")
+    rows = own.select(F.explode("probe").alias("sig"), F.col("doc_id").alias("node"), F.lit(True).alias("probes")).unionByName(own.select(F.explode("found").alias("sig"), F.col("doc_id").alias("node"), F.lit(False).alias("probes")))
     star = runtime.save(stars(rows), "stars")
-    links = verify(star.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")), docs, k, percent)
+    runtime.drop(sets)
+    hubs = star.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    links = verify(possible(hubs, reps, percent), docs, k, percent)
     links = runtime.save(links, "links")
     components = runtime.save(connected_components(links), "components")
     todo, nth = left_over(star, reps, components, percent), 0
@@ -297,7 +324,7 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         todo = runtime.save(rest.transform(_labelled, "x", components, "cx").transform(_labelled, "y", components, "cy").where("cx <> cy").select("x", "y", "apart"), "left-over")
         nth += 1
     of_set = _labelled(reps.select(*key, "rep"), "rep", components, "component").select(*key, "component")
-    joined = sets.select("doc_id", *key).join(of_set, key, "left")
+    joined = facts.select("doc_id", *key).join(of_set, key, "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
