@@ -44,6 +44,8 @@ _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 BROADCAST_NODES = 500_000
 #: Longs of a parity sketch, and of the same folded, for the rows of signatures.
 SKETCH, FOLDED = 32, 8
+#: Sets of more shingles have a second sketch of as many bits as shingles: that of fixed size tells nothing of long texts.
+WIDE_FROM = 64 * SKETCH // 2
 #: A shingle of one set is in another unrelated set of the band with this weight, for the allocation.
 CHANCE = 0.25
 #: What probing deletions costs besides chance matches.
@@ -136,13 +138,25 @@ def parity_sketch(u: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<i8")
 
 
-SETS = "doc_id bigint, n int, h1 bigint, h2 bigint, sketch array<bigint>, probe array<bigint>, found array<bigint>"
+def wide_sketch(u: np.ndarray) -> np.ndarray:
+    """A parity sketch of a large set, of the next power of two of bits; empty for other sets.
+
+    The sketch of fewer bits is the exclusive or of a longer one's parts.
+    """
+    if len(u) <= WIDE_FROM:
+        return np.zeros(0, np.int64)
+    bits = 1 << (len(u) - 1).bit_length()
+    odd = (np.bincount((mix(u, 13) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
+SETS = "doc_id bigint, n int, h1 bigint, h2 bigint, sketch array<bigint>, wide array<bigint>, probe array<bigint>, found array<bigint>"
 
 
 def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        names = ["doc_id", "n", "h1", "h2", "sketch", "probe", "found"]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+        names = ["doc_id", "n", "h1", "h2", "sketch", "wide", "probe", "found"]
 
         def lists(parts: list[np.ndarray]) -> pa.Array:
             ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
@@ -152,13 +166,14 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                n, h1, h2, sketch, probe, found = [], [], [], [], [], []
+                n, h1, h2, sketch, wide, probe, found = [], [], [], [], [], [], []
                 for text in batch.column(1).to_pylist():
                     u = shingle_hashes(words_of(text), k)
                     n.append(len(u))
                     sums = [int(mix(u, s).sum(dtype=np.uint64)) if len(u) else 0 for s in (17, 19)]
                     h1.append(np.uint64(sums[0]).view(np.int64))
                     h2.append(np.uint64(sums[1]).view(np.int64))
+                    wide.append(wide_sketch(u))
                     if len(u):
                         b = band_of(len(u), percent)
                         own, other = signatures(u, b, percent, True)
@@ -170,7 +185,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                         sketch.append(np.zeros(SKETCH, np.int64))
                         probe.append(u)
                         found.append(u)
-                arrays = [batch.column(0), pa.array(n, types[1]), pa.array(np.asarray(h1, np.int64)), pa.array(np.asarray(h2, np.int64)), lists(sketch), lists(probe), lists(found)]
+                arrays = [batch.column(0), pa.array(n, types[1]), pa.array(np.asarray(h1, np.int64)), pa.array(np.asarray(h2, np.int64)), lists(sketch), lists(wide), lists(probe), lists(found)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SETS)
@@ -220,6 +235,13 @@ def _apart(a: str, b: str, longs: int) -> str:
     return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(longs))
 
 
+def _wide_apart(a: str, b: str) -> str:
+    """As :func:`_apart` for sketches whose lengths, powers of two, may differ: the longer is folded to the shorter."""
+    least = f"least(size({a}), size({b}))"
+    fold = lambda c: f"aggregate(sequence(0, size({c}) div {least} - 1), 0L, (x, j) -> x ^ get({c}, i + j * {least}))"
+    return f"aggregate(sequence(0, {least} - 1), 0, (s, i) -> s + bit_count({fold(a)} ^ {fold(b)}))"
+
+
 def _alike(a: str, b: str, percent: int) -> str:
     """Whether two sets' sizes let them be linked."""
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
@@ -230,7 +252,12 @@ def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     facts = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     both = pairs.select("a", "b").distinct().join(facts("a"), "a").join(facts("b"), "b").where(_alike("n_a", "n_b", percent))
     both = both.withColumn("apart", F.expr(_apart("s_a", "s_b", SKETCH)))
-    return both.where(f"apart <= ((n_a + n_b) * {100 - percent}) div {100 + percent}").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    most = f"((n_a + n_b) * {100 - percent}) div {100 + percent}"
+    near = both.where(f"apart <= {most}").select("a", "b", "n_a", "n_b", "apart")
+    # Large sets show what is left of them in their own sketches, which only these pairs fetch.
+    wide = lambda c: reps.where("size(wide) > 0").select(F.col("rep").alias(c), F.col("wide").alias(f"w_{c}"))
+    near = near.join(wide("a"), "a", "left").join(wide("b"), "b", "left")
+    return near.where(f"w_a is null or w_b is null or {_wide_apart('w_a', 'w_b')} <= {most}").groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -296,9 +323,9 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row; equal rows give equal rows."""
     sets = runtime.save(shingle_sets(docs, k, percent), "sets")
     key = ["n", "h1", "h2"]
-    facts = runtime.save(sets.select("doc_id", *key, "sketch"), "facts")
+    facts = runtime.save(sets.select("doc_id", *key, "sketch", "wide"), "facts")
     whole = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    reps = runtime.save(facts.where(whole).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch")), "distinct-sets")
+    reps = runtime.save(facts.where(whole).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sketch", "wide"), "doc_id").alias("s")).select(*key, "rep", "s.*"), "distinct-sets")
     copies = facts.where(whole).join(reps.select(*key, "rep"), key).where("doc_id <> rep").select("doc_id", *key).distinct()
     copies = runtime.save(copies, "copies")
     # Only one set of equal ones goes on; its signatures stay where they are if the copies' names are few.

@@ -352,6 +352,34 @@ def test_jaccard_components_equal_brute_force(spark, k, percent):
     assert got == brute_components(rows, k, percent)
 
 
+def test_wide_sketches_bound_the_difference_of_large_sets(spark):
+    rng = np.random.default_rng(4)
+    u = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))
+    others = [u[: 4000 - cut] for cut in (0, 1, 300, 1200, 2500)] + [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (2000, 4500, 9000)]
+    rows = [(i, jaccard.wide_sketch(u).tolist(), jaccard.wide_sketch(v).tolist()) for i, v in enumerate(others)]
+    df = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>")
+    got = {r["i"]: (r["x"], r["y"]) for r in df.select("i", F.expr(jaccard._wide_apart("a", "b")).alias("x"), F.expr(jaccard._wide_apart("b", "a")).alias("y")).collect()}
+    for i, v in enumerate(others):
+        assert got[i][0] == got[i][1] <= len(np.setxor1d(u, v))
+    assert got[0][0] == 0 and got[1][0] == 1 and got[6][0] > 1500
+    assert len(jaccard.wide_sketch(u[: jaccard.WIDE_FROM])) == 0
+
+
+def test_jaccard_of_long_texts_equals_brute_force(spark):
+    base = [t.split() for t in invented(8, seed=31, words=12_000)]
+    rng, texts = random.Random(6), []
+    for w in base:
+        texts.append(" ".join(w))
+        for share in (2, 25, 60):
+            v = list(w)
+            for at in rng.sample(range(len(v)), len(v) * share // 1000):
+                v[at] = "other"
+            texts.append(" ".join(v))
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components_of(docs(spark, texts), 5, 80).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
 def test_jaccard_with_null_and_repeated_ids(spark):
     t = invented(3, seed=21, words=60)
     rows = [(5, t[0]), (5, t[0]), (None, t[0]), (7, t[0]), (8, None), (9, ""), (None, None), (3, t[1])]
