@@ -87,4 +87,7 @@ SQL = {
     "smoothed_depth": _w(GRID, ", k AS (SELECT y, x, elev::DOUBLE AS n, 1.0::DOUBLE AS d FROM g WHERE elev <= 10), o AS (SELECT d AS o, exp(-0.5::DOUBLE * (d / 2.0::DOUBLE) * (d / 2.0::DOUBLE)) AS w FROM (SELECT unnest(range(-8, 9)) AS d)), a AS (SELECT y + o AS y, x, sum(n * w) AS n, sum(d * w) AS d FROM k, o GROUP BY ALL), b AS (SELECT y, x + o AS x, sum(n * w) AS n, sum(d * w) AS d FROM a, o GROUP BY ALL) SELECT k.y, k.x, round_even(b.n / b.d * 100, 0)::INT AS smooth_c FROM k JOIN b ON k.y = b.y AND k.x = b.x"),
     "scalar_formats": "WITH o AS (SELECT o_orderkey, o_orderdate, o_orderstatus, (o_orderkey % 2700)::VARCHAR AS s FROM orders), f AS (SELECT *, CASE WHEN length(s) = 3 THEN '0' || s WHEN length(s) >= 4 THEN s[1:4] END AS h FROM o) SELECT o_orderkey, CASE WHEN regexp_full_match(h, '([01][0-9]|2[0-3])[0-5][0-9]') THEN h[1:2] || ':' || h[3:4] END AS time, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, nullif(o_orderstatus, '') AS status FROM f",
     "tumbling_hours": _w(E, "SELECT t // 3600 AS hour, count(*) AS n, max(round_even(v * 100, 0)::INT) AS peak_c FROM e GROUP BY 1"),
+    # The whole tables; the queries of the same names without ``_all`` read fixed subsets.
+    "hour_anchor_nearest_fill_all": _w("f AS (SELECT event_id, user_id, event_type, floor(epoch(ts))::BIGINT AS t, value AS v FROM events)", ", k AS (SELECT event_id, user_id, t, v, round_even(t / 3600, 0)::BIGINT * 3600 AS anchor, event_type IS NOT DISTINCT FROM 'signup' AS known FROM f) SELECT user_id, anchor, event_id, abs(t - anchor) AS dist, v FROM k WHERE NOT known AND NOT EXISTS (SELECT 1 FROM k x WHERE x.known AND x.user_id = k.user_id AND x.anchor = k.anchor) QUALIFY row_number() OVER (PARTITION BY user_id, anchor ORDER BY abs(t - anchor), t, event_id) = 1"),
+    "missing_anchors_all": _w(E, ", x AS (SELECT unnest(generate_series(min(t) // 3600, max(t) // 3600)) AS hour FROM e) SELECT hour, date_trunc('month', DATE '1970-01-01' + (hour // 24)::INT)::DATE AS month FROM x WHERE hour NOT IN (SELECT t // 3600 FROM e)"),
 }

@@ -77,6 +77,24 @@ def missing_anchors(spark, d):
     return series.missing(expected, have, ["hour"]).select("hour", F.trunc(_day("(hour * 3600)"), "month").alias("month"))
 
 
+def _feeds(spark, d):
+    """Every event in one of two feeds of its gauge: ``signup`` rows are hours already on record, all others are samples."""
+    e = _events(spark, d).select(F.col("user_id").alias("series"), "t", "v", F.col("event_id").alias("ord"), F.col("event_type").eqNullSafe("signup").alias("on_record"))
+    anchor = (F.rint(F.col("t") / 3600) * 3600).cast("long")
+    return e.where("not on_record"), e.where("on_record").select("series", anchor.alias("anchor")).distinct()
+
+
+def hour_anchor_nearest_fill_all(spark, d):
+    samples, existing = _feeds(spark, d)
+    return series.nearest_fill(samples, existing).select(F.col("series").alias("user_id"), "anchor", F.col("ord").alias("event_id"), "dist", "v")
+
+
+def missing_anchors_all(spark, d):
+    hour = _events(spark, d).select(F.expr("t div 3600").alias("hour"))
+    expected = hour.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("hour"))
+    return series.missing(expected, hour.distinct(), ["hour"]).select("hour", F.trunc(_day("(hour * 3600)"), "month").alias("month"))
+
+
 def phase_per_user(spark, d):
     e = _events(spark, d).withColumns({"day": F.expr("t div 86400"), "c": L.centi(F.col("v"))})
     return e.select("event_id", series.phase("c", ["user_id", "day"], ["ts", "event_id"], 2.5).alias("phase"))

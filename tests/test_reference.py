@@ -344,3 +344,12 @@ def test_parcels_and_checks(spark):
     hist = spark.createDataFrame([(7, 100, 2), (7, 110, 1)], "zone_id int, bin int, n long")
     asked = spark.createDataFrame([(7, 0.0), (7, 10.0), (7, 20.0), (7, 50.0)], "zone_id int, storage_d double")
     assert sorted(r["surface_d"] for r in hydraulics.surface_from_storage(hist, asked).collect()) == [0.0, 5.0, 10.0, 20.0]
+
+
+def test_whole_table_anchors_read_every_event(spark, duck):
+    e = duck.sql("SELECT floor(epoch(ts))::BIGINT // 3600 AS hour FROM events").fetchall()
+    hours = {r[0] for r in e}
+    assert {r["hour"] for r in workloads.missing_anchors_all(spark, SF).collect()} == set(range(min(hours), max(hours) + 1)) - hours
+    samples, existing = workloads._feeds(spark, SF)
+    n, known = duck.sql("SELECT count(*), count(*) FILTER (event_type IS NOT DISTINCT FROM 'signup') FROM events").fetchall()[0]
+    assert samples.count() == n - known and existing.count() > 0
