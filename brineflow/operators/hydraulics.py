@@ -34,7 +34,7 @@ def storage_at(hist: DataFrame, surfaces: DataFrame) -> DataFrame:
 def equilibrium(zones: DataFrame, hist: DataFrame, stages: DataFrame) -> DataFrame:
     """Zones that a stage reaches take it as their surface; the stages are a small table."""
     reached = zones.select("zone_id", "connection").crossJoin(F.broadcast(stages)).where(F.col("connection") * 10 <= F.col("stage_c"))
-    return storage_at(hist, reached.select("zone_id", "stage_c", F.expr("cast(stage_c div 10 as int)").alias("surface_d")))
+    return storage_at(hist, reached.select("zone_id", "stage_c", (F.col("stage_c") / 10).alias("surface_d")))
 
 
 def phases(states: DataFrame, spark) -> DataFrame:

@@ -292,9 +292,33 @@ def masked_gaussian(cells: DataFrame, value: str, sigma: float = 2.0, truncate:
     return cells.join(cur, ["y", "x"]).withColumn("smooth", F.col("num") / F.col("den")).drop("num", "den")
 
 
-def ring_nearest(points: DataFrame, cells: DataFrame, key: str, max_radius: int = 10) -> DataFrame:
-    """For each point (py, px) the valid cell of the first square ring that has one, nearest within it, first by row."""
-    offsets = F.explode(F.flatten(F.transform(F.sequence(F.lit(-max_radius), F.lit(max_radius)), lambda dy: F.transform(F.sequence(F.lit(-max_radius), F.lit(max_radius)), lambda dx: F.struct(dy.alias("dy"), dx.alias("dx"))))))
-    probe = points.select(key, "py", "px", offsets.alias("o")).select(key, (F.col("py") + F.col("o.dy")).alias("y"), (F.col("px") + F.col("o.dx")).alias("x"), F.greatest(F.abs("o.dy"), F.abs("o.dx")).alias("radius"), (F.col("o.dy") * F.col("o.dy") + F.col("o.dx") * F.col("o.dx")).alias("d2"))
-    first = F.min(F.struct("radius", "d2", "y", "x"))
-    return probe.join(cells.select("y", "x"), ["y", "x"]).groupBy(key).agg(first.alias("m")).select(key, "m.*")
+def _ring_offsets(lo: int, hi: int):
+    """The offsets of the square rings ``lo`` to ``hi``, as rows."""
+    span = [(dy, dx) for dy in range(-hi, hi + 1) for dx in range(-hi, hi + 1) if max(abs(dy), abs(dx)) >= lo]
+    return F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in span)))
+
+
+def ring_nearest(points: DataFrame, cells: DataFrame, key: str, max_radius: int = 10, bands: tuple[int, ...] = (2, 4)) -> DataFrame:
+    """For each point (py, px) the valid cell of the first square ring that has one, nearest within it, first by row.
+
+    The rings are searched in bands outwards, and a point that has its cell asks no further. In each band the smaller
+    side is spread over the offsets: the points still open, or the valid cells.
+    """
+    left = runtime.save(points.select(key, "py", "px"), "ring-points")
+    valid = runtime.save(cells.select("y", "x"), "ring-cells")
+    n_valid = valid.count()
+    found, lo = None, 0
+    for hi in [*(b for b in bands if b < max_radius), max_radius]:
+        o = _ring_offsets(lo, hi).alias("o")
+        if left.count() <= n_valid:
+            pairs = left.select(key, "py", "px", o).select(key, "py", "px", (F.col("py") + F.col("o.dy")).alias("y"), (F.col("px") + F.col("o.dx")).alias("x")).join(valid, ["y", "x"])
+        else:
+            pairs = valid.select("y", "x", o).select("y", "x", (F.col("y") - F.col("o.dy")).alias("py"), (F.col("x") - F.col("o.dx")).alias("px")).join(left, ["py", "px"])
+        dy, dx = F.col("y") - F.col("py"), F.col("x") - F.col("px")
+        rank = F.struct(F.greatest(F.abs(dy), F.abs(dx)).cast("int").alias("radius"), (dy * dy + dx * dx).cast("int").alias("d2"), "y", "x")
+        got = runtime.save(pairs.groupBy(key).agg(F.min(rank).alias("m")).select(key, "m.*"), "ring-found")
+        found = got if found is None else found.unionByName(got)
+        if hi < max_radius:
+            left = runtime.save(left.join(got.select(key), key, "left_anti"), "ring-points")
+        lo = hi + 1
+    return found

@@ -90,4 +90,7 @@ SQL = {
     # The whole tables; the queries of the same names without ``_all`` read fixed subsets.
     "hour_anchor_nearest_fill_all": _w("f AS (SELECT event_id, user_id, event_type, floor(epoch(ts))::BIGINT AS t, value AS v FROM events)", ", k AS (SELECT event_id, user_id, t, v, round_even(t / 3600, 0)::BIGINT * 3600 AS anchor, event_type IS NOT DISTINCT FROM 'signup' AS known FROM f) SELECT user_id, anchor, event_id, abs(t - anchor) AS dist, v FROM k WHERE NOT known AND NOT EXISTS (SELECT 1 FROM k x WHERE x.known AND x.user_id = k.user_id AND x.anchor = k.anchor) QUALIFY row_number() OVER (PARTITION BY user_id, anchor ORDER BY abs(t - anchor), t, event_id) = 1"),
     "missing_anchors_all": _w(E, ", x AS (SELECT unnest(generate_series(min(t) // 3600, max(t) // 3600)) AS hour FROM e) SELECT hour, date_trunc('month', DATE '1970-01-01' + (hour // 24)::INT)::DATE AS month FROM x WHERE hour NOT IN (SELECT t // 3600 FROM e)"),
+    "upsert_days_all": _w("d AS (SELECT user_id, floor(epoch(ts))::BIGINT // 86400 AS day, round_even(value * 100, 0)::INT AS c, event_type IS NOT DISTINCT FROM 'purchase' AS anew FROM events)", ", o AS (SELECT user_id, day, max(c) AS peak_c, count(*) AS n FROM d WHERE NOT anew GROUP BY ALL), w AS (SELECT user_id, day, max(c) AS peak_c, count(*) AS n FROM d WHERE anew GROUP BY ALL) SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.user_id = o.user_id AND w.day = o.day) UNION ALL SELECT * FROM w"),
+    "equilibrium_storage_all": _r(ZONED, ", zc AS (SELECT label, max(connection) AS c FROM w GROUP BY label), hb AS (SELECT label, elev, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT st, zc.label, sum(CASE WHEN elev * 10 <= st THEN n ELSE 0 END) AS wet, sum(CASE WHEN elev * 10 <= st THEN n * (st - elev * 10) ELSE 0 END) AS vol FROM zc, (SELECT unnest(range(0, 1405, 5)) AS st) JOIN hb ON hb.label = zc.label WHERE zc.c * 10 <= st GROUP BY ALL) SELECT st::INT AS stage_c, count(*) AS n_zones, sum(wet)::BIGINT AS wet_cells, sum(vol)::BIGINT AS storage_c FROM s GROUP BY st"),
+    "ring_nearest_valid_all": _w(GRID, ", o AS (SELECT dy, dx FROM (SELECT unnest(range(-10, 11))::INT AS dy), (SELECT unnest(range(-10, 11))::INT AS dx)), near AS (SELECT g.y - dy AS py, g.x - dx AS px, g.y, g.x, greatest(abs(dy), abs(dx))::INT AS radius, (dy * dy + dx * dx)::INT AS d2 FROM g, o WHERE g.elev >= 20) SELECT p.y * 64 + p.x AS pid, radius, d2, near.y, near.x FROM near JOIN g p ON p.y = near.py AND p.x = near.px QUALIFY row_number() OVER (PARTITION BY p.y, p.x ORDER BY radius, d2, near.y, near.x) = 1"),
 }

@@ -171,6 +171,13 @@ def upsert_days(spark, d):
     return series.upsert(_daily(spark, d, 2), _daily(spark, d, 97), ["day"])
 
 
+def upsert_days_all(spark, d):
+    """Each gauge's days by all events but purchases, replaced where purchases give the day anew."""
+    e = _events(spark, d).select("user_id", F.expr("t div 86400").alias("day"), L.centi(F.col("v")).alias("c"), F.col("event_type").eqNullSafe("purchase").alias("anew"))
+    days = lambda rows: rows.groupBy("user_id", "day").agg(F.max("c").alias("peak_c"), F.count("*").alias("n"))
+    return series.upsert(days(e.where("not anew")), days(e.where("anew")), ["user_id", "day"])
+
+
 def calibrate_day(spark, d):
     e = _events(spark, d).select("event_id", F.expr("t div 86400").alias("day"), "v")
     return series.calibrate(e, ["day"], "v", 250.0, "stretched").select("event_id", L.centi(F.col("stretched")).alias("level_c"))
@@ -264,20 +271,35 @@ def stage_wet_cells(spark, d):
     return rows.groupBy("stage_c").agg(F.count_if(wet).alias("n_wet"), F.count_if((F.col("elev_c") <= F.col("stage_c")) & ~wet).alias("n_low"))
 
 
-def equilibrium_storage(spark, d):
+def _equilibrium(spark, d, stages: DataFrame) -> DataFrame:
     z = _zoned(spark, d)
     hist = z.groupBy(F.col("zone_label").alias("zone_id"), (F.col("elev") + 100).alias("bin")).agg(F.count("*").alias("n"))
     zones = z.groupBy(F.col("zone_label").alias("zone_id")).agg(F.max("connection").alias("connection"))
-    e = hydraulics.equilibrium(zones, hist, hydraulics.stage_catalogue(spark, 4, 100))
+    e = hydraulics.equilibrium(zones, hist, stages)
     return e.groupBy("stage_c").agg(F.count("*").alias("n_zones"), F.sum("wet_cells").alias("wet_cells"), F.sum("storage_d").alias("storage_d"))
 
 
+def equilibrium_storage(spark, d):
+    return _equilibrium(spark, d, hydraulics.stage_catalogue(spark, 4, 100)).withColumn("storage_d", F.col("storage_d").cast("bigint"))
+
+
+def equilibrium_storage_all(spark, d):
+    e = _equilibrium(spark, d, hydraulics.stage_catalogue(spark))
+    return e.select("stage_c", "n_zones", "wet_cells", (F.col("storage_d") * 10).cast("bigint").alias("storage_c"))
+
+
 def ring_nearest_valid(spark, d):
     g = _grid(spark, d)
     points = g.where("(y * 64 + x) % 101 = 0").select(F.expr("y * 64 + x").alias("pid"), F.col("y").alias("py"), F.col("x").alias("px"))
     return raster.ring_nearest(points, g.where("elev >= 20"), "pid", 5)
 
 
+def ring_nearest_valid_all(spark, d):
+    g = _grid(spark, d)
+    points = g.select(F.expr("y * 64 + x").alias("pid"), F.col("y").alias("py"), F.col("x").alias("px"))
+    return raster.ring_nearest(points, g.where("elev >= 20"), "pid")
+
+
 #: Rings (fixed values), closed.
 RINGS = [("square", [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]), ("triangle", [(0.0, 0.0), (3.0, 0.0), (0.0, 6.0), (0.0, 0.0)])]
 

@@ -353,3 +353,18 @@ def test_whole_table_anchors_read_every_event(spark, duck):
     samples, existing = workloads._feeds(spark, SF)
     n, known = duck.sql("SELECT count(*), count(*) FILTER (event_type IS NOT DISTINCT FROM 'signup') FROM events").fetchall()[0]
     assert samples.count() == n - known and existing.count() > 0
+
+
+def test_whole_upsert_rings_and_stages(spark, duck):
+    days = workloads.upsert_days_all(spark, SF)
+    users, events = duck.sql("SELECT count(DISTINCT user_id), count(*) FROM events").fetchall()[0]
+    kept = days.agg(F.count_distinct("user_id").alias("u"), F.sum("n").alias("n")).first()
+    replaced = duck.sql("SELECT count(*) FROM events e WHERE event_type <> 'purchase' AND EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND epoch(p.ts)::BIGINT // 86400 = epoch(e.ts)::BIGINT // 86400)").fetchall()[0][0]
+    assert kept["u"] == users and kept["n"] == events - replaced
+    cells = spark.createDataFrame([(0, 0)], "y long, x int")
+    points = spark.createDataFrame([(r, 0, r) for r in range(12)], "pid int, py long, px int")
+    assert sorted((r["pid"], r["radius"]) for r in raster.ring_nearest(points, cells, "pid").collect()) == [(r, r) for r in range(11)]
+    zones = spark.createDataFrame([(1, 0)], "zone_id int, connection int")
+    hist = spark.createDataFrame([(1, 100, 3)], "zone_id int, bin int, n long")
+    got = {r["stage_c"]: r["storage_d"] for r in hydraulics.equilibrium(zones, hist, hydraulics.stage_catalogue(spark)).collect()}
+    assert len(got) == 281 and got[5] == 1.5 and got[10] == 3.0
