@@ -53,34 +53,67 @@ def weir_flow(upper: Column, lower: Column, crest: Column, width: Column) -> Col
     return F.when(head > 0, C.WEIR_COEFFICIENT * width * F.pow(head, F.lit(1.5)) * drowned).otherwise(0.0)
 
 
-def routing_step(zones: DataFrame, edges: DataFrame, source_ft: float, substeps: int = C.SUBSTEPS, dt_s: float = C.SUBSTEP_S) -> DataFrame:
-    """Move water between zones (zone_id, area, floor_ft, storage, is_source) over edges (a, b, crest_ft, width_ft).
+def curves(hist: DataFrame) -> DataFrame:
+    """The hypsometric curve of each zone, from ``zone_id``, ``elev_ft``, ``n``: an array of at most 241 bins from the lowest, with running cells, elevation sums and storage."""
+    w = Window.partitionBy("zone_id").orderBy("elev_ft").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = hist.where("n > 0").select("zone_id", F.col("elev_ft").cast("double").alias("elev"), F.sum(F.col("n").cast("double")).over(w).alias("cells"), F.sum(F.col("n") * F.col("elev_ft")).over(w).cast("double").alias("sum"))
+    bins = F.struct("elev", "cells", "sum", (F.col("cells") * F.col("elev") - F.col("sum")).alias("held"))
+    return run.groupBy("zone_id").agg(F.array_sort(F.collect_list(bins)).alias("curve"))
 
-    A zone is a flat basin. Each substep joins the edges to both ends' surfaces,
-    limits a flow to what would level the pair and a donor's flows to what it
-    holds, and sums them by zone; the source is then set back to its level. The
-    result adds ``surface_ft`` and ``moved`` (net change by edges, over all substeps).
+
+def _last_bin(keep) -> Column:
+    return F.try_element_at(F.filter("curve", keep), F.lit(-1))
+
+
+def _stored(surface: Column) -> Column:
+    b = _last_bin(lambda x: x["elev"] <= surface + 1e-9)
+    return F.coalesce(F.greatest(F.lit(0.0), b["cells"] * surface - b["sum"]), F.lit(0.0))
+
+
+def _wetted(surface: Column) -> Column:
+    return F.greatest(F.lit(1.0), F.coalesce(_last_bin(lambda x: x["elev"] <= surface + 1e-9)["cells"], F.lit(0.0)))
+
+
+def _level(storage: Column) -> Column:
+    """The surface that holds ``storage``: the curve is linear between bins; a dry zone has its lowest bin."""
+    b = _last_bin(lambda x: x["held"] <= storage)
+    return F.when(storage <= 1e-7, F.col("curve")[0]["elev"]).otherwise(F.least(F.lit(C.HIST_MAX_D / 10), b["elev"] + (storage - b["held"]) / b["cells"]))
+
+
+def routing_step(zones: DataFrame, edges: DataFrame, source_ft: float, substeps: int = C.SUBSTEPS, dt_s: float = C.SUBSTEP_S, hist: DataFrame | None = None) -> DataFrame:
+    """Move water between zones (zone_id, storage, is_source) over edges (a, b, crest_ft, width_ft).
+
+    ``hist`` (zone_id, elev_ft, n) gives each zone's curve; without it a zone is a flat basin of ``area`` and ``floor_ft``.
+    All flows of a substep are simultaneous. A donor is a source or holds over 0.01. A flow is limited to what would
+    level the pair, a donor's flows to what it holds (sources are exempt), and a receiver's to what lifts it to the
+    highest surface that feeds it; the source is then set back to its level. The result adds ``surface_ft`` and
+    ``moved`` (net change by edges, over all substeps).
     """
-    surface = lambda s: F.col("floor_ft") + s / F.col("area")
-    cur = zones.withColumns({"storage": F.when(F.col("is_source"), (source_ft - F.col("floor_ft")) * F.col("area")).otherwise(F.col("storage")), "moved": F.lit(0.0)})
+    shape = curves(zones.select("zone_id", F.col("floor_ft").alias("elev_ft"), F.col("area").alias("n")) if hist is None else hist)
+    set_back = lambda s: F.when(F.col("is_source"), _stored(F.lit(float(source_ft)))).otherwise(s)
+    surface = lambda s: F.when(F.col("is_source"), F.lit(float(source_ft))).otherwise(_level(s))
+    cur = zones.join(shape, "zone_id").withColumn("storage", set_back(F.col("storage").cast("double"))).withColumns({"moved": F.lit(0.0), "surface_ft": surface(F.col("storage"))})
     for _ in range(substeps):
         cur = runtime.save(cur, "routing")
-        level = cur.select("zone_id", "area", "storage", surface(F.col("storage")).alias("s"))
-        e = edges.join(level.toDF("a", "area_a", "held_a", "s_a"), "a").join(level.toDF("b", "area_b", "held_b", "s_b"), "b")
+        level = cur.select("zone_id", _wetted(F.col("surface_ft")).alias("area"), "surface_ft", (F.col("is_source") | (F.col("storage") > 0.01)).alias("wet"))
+        e = edges.join(level.toDF("a", "area_a", "s_a", "wet_a"), "a").join(level.toDF("b", "area_b", "s_b", "wet_b"), "b")
         down = F.col("s_a") >= F.col("s_b")
         pick = lambda x, y: F.when(down, F.col(x)).otherwise(F.col(y))
-        e = e.select(pick("a", "b").alias("src"), pick("b", "a").alias("dst"), F.greatest("s_a", "s_b").alias("hi"), F.least("s_a", "s_b").alias("lo"), pick("area_a", "area_b").alias("a_hi"), pick("area_b", "area_a").alias("a_lo"), pick("held_a", "held_b").alias("held"), "crest_ft", "width_ft")
-        level_out = (F.col("hi") - F.col("lo")) / (1 / F.col("a_hi") + 1 / F.col("a_lo"))
-        e = e.withColumn("q", F.least(weir_flow(F.col("hi"), F.col("lo"), F.col("crest_ft"), F.col("width_ft")) * dt_s, level_out)).where("q > 0")
-        out = e.groupBy("src").agg(F.sum("q").alias("asked"))
-        e = e.join(out, "src").withColumn("q", F.col("q") * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("held")) / F.col("asked")))
-        net = e.select(F.col("src").alias("zone_id"), (-F.col("q")).alias("d")).unionByName(e.select(F.col("dst").alias("zone_id"), F.col("q").alias("d"))).groupBy("zone_id").agg(F.sum("d").alias("d"))
+        e = e.select(pick("a", "b").alias("src"), pick("b", "a").alias("dst"), F.greatest("s_a", "s_b").alias("hi"), F.least("s_a", "s_b").alias("lo"), (1 / F.col("area_a") + 1 / F.col("area_b")).alias("give"), pick("wet_a", "wet_b").alias("wet"), "crest_ft", "width_ft").where("wet")
+        q = F.least(weir_flow(F.col("hi"), F.col("lo"), F.col("crest_ft"), F.col("width_ft")) * dt_s, (F.col("hi") - F.col("lo")) / F.col("give"))
+        e = runtime.save(e.withColumn("q", q).where("q > 0").select("src", "dst", "hi", "q"), "routing-flow")
+        out = e.groupBy(F.col("src").alias("zone_id")).agg(F.sum("q").alias("asked"))
+        into = e.groupBy(F.col("dst").alias("zone_id")).agg(F.sum("q").alias("offered"), F.max("hi").alias("top"))
+        room = F.greatest(F.lit(0.0), _stored(F.greatest("surface_ft", "top")) - F.col("storage"))
+        one = F.lit(1.0)
+        give = cur.join(out, "zone_id").select(F.col("zone_id").alias("src"), F.when(F.col("is_source"), one).otherwise(F.least(one, F.col("storage") / F.col("asked"))).alias("give"))
+        take = cur.join(into, "zone_id").select(F.col("zone_id").alias("dst"), F.when(F.col("is_source"), one).otherwise(F.least(one, room / F.col("offered"))).alias("take"))
+        e = e.join(give, "src").join(take, "dst").withColumn("q", F.col("q") * F.least("give", "take"))
+        net = e.select(F.explode(F.array(F.struct(F.col("src").alias("zone_id"), (-F.col("q")).alias("d")), F.struct(F.col("dst").alias("zone_id"), F.col("q").alias("d")))).alias("m")).groupBy("m.zone_id").agg(F.sum("m.d").alias("d"))
         change = F.coalesce("d", F.lit(0.0))
-        cur = cur.join(net, "zone_id", "left").withColumns({
-            "moved": F.col("moved") + change,
-            "storage": F.when(F.col("is_source"), (source_ft - F.col("floor_ft")) * F.col("area")).otherwise(F.col("storage") + change),
-        }).drop("d")
-    return cur.withColumn("surface_ft", surface(F.col("storage")))
+        cur = cur.join(net, "zone_id", "left").withColumns({"moved": F.col("moved") + change, "storage": set_back(F.greatest(F.lit(0.0), F.col("storage") + change))}).drop("d")
+        cur = cur.withColumn("surface_ft", surface(F.col("storage")))
+    return cur.drop("curve")
 
 
 def surface_from_storage(hist: DataFrame, stored: DataFrame) -> DataFrame:

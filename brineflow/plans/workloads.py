@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brineflow import runtime
 from brineflow.functions import levels as L
 from brineflow.operators import frequency, geometry, hydraulics, raster, series
 from brineflow.runtime import table
@@ -325,10 +326,11 @@ def smoothed_depth(spark, d):
 
 
 def routing_step(spark, d):
-    n = 40
-    zones = spark.range(n).select(F.col("id").cast("int").alias("zone_id"), F.lit(625.0).alias("area"), F.lit(0.0).alias("floor_ft"), F.lit(0.0).alias("storage"), (F.col("id") == 0).alias("is_source"))
-    links = spark.range(n - 1).select(F.col("id").cast("int").alias("a"), (F.col("id") + 1).cast("int").alias("b"), F.lit(0.0).alias("crest_ft"), F.lit(25.0).alias("width_ft"))
-    done = hydraulics.routing_step(zones, links, 4.0, substeps=3)
+    z = runtime.save(_zoned(spark, d), "zoned")
+    zones = z.groupBy(F.col("zone_label").alias("zone_id")).agg(F.bool_or("source").alias("is_source"), F.lit(0.0).alias("storage"))
+    hist = z.groupBy(F.col("zone_label").alias("zone_id"), (F.col("elev") / 10).alias("elev_ft")).agg(F.count("*").alias("n"))
+    links = raster.edges(z, "zone_label", "elev").select(F.col("zone_a").alias("a"), F.col("zone_b").alias("b"), (F.col("crest") / 10).alias("crest_ft"), F.col("width").cast("double").alias("width_ft"))
+    done = hydraulics.routing_step(zones, runtime.save(links, "zone-edges"), 4.0, hist=hist)
     return done.select("zone_id", L.centi(F.col("surface_ft")).alias("surface_c"))
 
 
