@@ -113,21 +113,35 @@ def peak_positions(x: np.ndarray, distance: int, prominence: float) -> np.ndarra
     keep = np.ones(len(peaks), bool)
     for i in np.argsort(x[peaks], kind="stable")[::-1]:
         if keep[i]:
-            near = np.abs(peaks - peaks[i]) < distance
-            near[i] = False
-            keep[near] = False
-    out = []
-    for p in peaks[keep]:
-        higher = np.flatnonzero(x > x[p])
-        lo = higher[higher < p].max(initial=-1) + 1
-        hi = higher[higher > p].min(initial=n)
-        if x[p] - max(x[lo : p + 1].min(), x[p:hi].min()) >= prominence:
-            out.append(p)
-    return np.asarray(out, np.int64)
+            # Peaks lie at least two rows apart: few are near.
+            lo, hi = np.searchsorted(peaks, [peaks[i] - distance + 1, peaks[i] + distance])
+            keep[lo:hi] = False
+            keep[i] = True
+    kept = peaks[keep]
+    base = np.maximum(_lowest_before_higher(x, kept), _lowest_before_higher(x[::-1], n - 1 - kept[::-1])[::-1])
+    return kept[x[kept] - base >= prominence].astype(np.int64)
+
+
+def _lowest_before_higher(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each position of ``at`` (ascending) the lowest value from it back to the last higher one, in one pass: a stack of falling heights, each with the lowest value since the one below it."""
+    out, want, k = np.empty(len(at)), at.tolist(), 0
+    tops: list[float] = []
+    lows: list[float] = []
+    for i, v in enumerate(x.tolist()):
+        low = v
+        while tops and tops[-1] <= v:
+            tops.pop()
+            low = min(low, lows.pop())
+        tops.append(v)
+        lows.append(low)
+        if k < len(want) and want[k] == i:
+            out[k] = low
+            k += 1
+    return out
 
 
 def peak_events(df: DataFrame, keys: list[str], gap_s: int = C.SESSION_GAP_S, min_rows: int = C.SESSION_MIN_ROWS, distance: int = C.PEAK_DISTANCE, prominence: float = C.PEAK_PROMINENCE_FT) -> DataFrame:
-    """Peaks of each session; the rule depends on order, so a session is one group (a run without gaps)."""
+    """Peaks of each session; the rule depends on order, so a session is one group (a run without gaps) and must fit in a task."""
     rows = with_sessions(df.select(*keys, "t", "v"), keys, gap_s)
     out = rows.schema
 

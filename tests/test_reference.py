@@ -418,3 +418,13 @@ def test_routing_takes_curves_and_caps_receivers(spark):
     flat = spark.createDataFrame([(z, 100.0 if z else 1.0, 0.0, 0.0, z > 0) for z in range(4)], "zone_id int, area double, floor_ft double, storage double, is_source boolean")
     star = spark.createDataFrame([(z, 0, 0.0, 25.0) for z in (1, 2, 3)], "a int, b int, crest_ft double, width_ft double")
     assert hydraulics.routing_step(flat, star, 4.0, substeps=1).where("zone_id = 0").first()["surface_ft"] <= 4.0 + 1e-9
+
+
+def test_peaks_of_a_long_session_in_one_pass(monkeypatch):
+    x = np.round(np.random.default_rng(9).normal(size=3000) * 4) / 4
+    for distance in (1, 2, 3, 6, 24):
+        assert series.peak_positions(x, distance, 0.5).tolist() == brute_peaks(x.tolist(), distance, 0.5)
+    scans = []
+    monkeypatch.setattr(np, "flatnonzero", lambda a, f=np.flatnonzero: scans.append(len(a)) or f(a))
+    series.peak_positions(x, 6, 0.5)
+    assert sum(scans) <= 2 * len(x)
