@@ -41,7 +41,7 @@ BATCH_ROWS = 8192
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _WORDS = re.compile(rf"[{_LETTERS}]+(?:(?:[.,!?;:]+\n?|\n)[{_LETTERS}]*)*")
 _PART = re.compile(rf"[{_LETTERS}]+|[.,!?;:]+\n?|\n")
-MANIFEST = "shard int, path string, n_docs bigint, n_ids bigint"
+MANIFEST = "shard int, path string, n_docs bigint, n_ids bigint, first_key bigint, last_key bigint"
 NULL_KEY = np.iinfo(np.int64).min
 
 
@@ -163,13 +163,15 @@ class Shard:
         self.file = fs.open_input_file(base + ".ids")
 
     def rows_of(self, keys: np.ndarray) -> np.ndarray:
-        """The row of each key; -1 where the fingerprint says that it isn't here."""
+        """The row of each key; -1 where the fingerprint or the stored key says that it isn't here."""
         keys = np.asarray(keys, np.int64)
         slots = self.hash.slots(keys.view(np.uint64))
         known = slots >= 0
         known[known] = self.a["marks"][slots[known]] == _fingerprint(keys[known])
         out = np.full(len(keys), -1, np.int64)
         out[known] = self.a["rows"][slots[known]]
+        found = np.flatnonzero(known)
+        out[found[self.a["keys"][out[found]] != keys[found]]] = -1
         return out
 
     def read(self, row: int) -> np.ndarray:
@@ -218,7 +220,9 @@ def write(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
         all_keys, all_counts = np.concatenate(keys).astype(np.int64), np.concatenate(counts)
         with fs.open_output_stream(name + ".idx") as f:
             f.write(_index(all_keys, all_counts, encoder.width))
-        yield pa.RecordBatch.from_pylist([{"shard": number, "path": f"{folder}/{name.rsplit('/', 1)[1]}", "n_docs": len(all_keys), "n_ids": int(all_counts.sum())}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        own = all_keys[all_keys != NULL_KEY]
+        ends = {"first_key": int(own[0]), "last_key": int(own[-1])} if len(own) else {"first_key": None, "last_key": None}
+        yield pa.RecordBatch.from_pylist([{"shard": number, "path": f"{folder}/{name.rsplit('/', 1)[1]}", "n_docs": len(all_keys), "n_ids": int(all_counts.sum()), **ends}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), *((c, pa.int64()) for c in ("n_docs", "n_ids", "first_key", "last_key"))]))
 
     manifest = runtime.save(ranged.mapInArrow(run, MANIFEST), "ids-manifest")
     # One row for each shard; the running sum over them is all that is needed for global offsets.
@@ -226,6 +230,11 @@ def write(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     return manifest.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("bigint"))
 
 
+def holders(manifest: DataFrame, keys: DataFrame) -> DataFrame:
+    """Each ``key`` with the shards whose range of keys holds it: one, or several where a repeated key spans them. The manifest has one row for each shard."""
+    return keys.join(F.broadcast(manifest.select("shard", "path", "first_key", "last_key")), F.col("key").between(F.col("first_key"), F.col("last_key"))).select("key", "shard", "path")
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """Every document of the shards, through the index: key, start, n_tokens and the ids' checksum."""
 

@@ -408,3 +408,16 @@ def test_queries_name_every_operator_once():
     names = list(llm_queries.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
     assert set(llm_queries.oracle_sql()) <= set(names)
+
+
+def test_keys_name_their_shard_and_are_compared(spark):
+    df = docs(spark, [f"text number {i}" for i in range(40)])
+    manifest = idstore.write(df, P.path("byte_bpe_50k.json"))
+    asked = spark.createDataFrame([(i,) for i in (0, 7, 39, 12345)], "key bigint")
+    found = idstore.holders(manifest, asked).collect()
+    assert sorted(r["key"] for r in found) == [0, 7, 39]
+    assert all(idstore.Shard(r["path"]).get(r["key"]) is not None for r in found)
+    s = idstore.Shard(found[0]["path"])
+    s.a = s.a | {"marks": np.full_like(s.a["marks"], idstore._fingerprint(np.asarray([12345]))[0])}
+    s.hash.slots = lambda keys: np.zeros(len(keys), np.int64)
+    assert s.get(12345) is None
