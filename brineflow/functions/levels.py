@@ -105,9 +105,26 @@ def display_date(d: Column) -> Column:
     return F.date_format(d, "MMMM d, yyyy")
 
 
+def civil_midnight(day: Column, zone: str) -> Column:
+    """The instant (epoch seconds) at which a civil day starts in ``zone``, whatever the session's zone."""
+    return F.unix_timestamp(F.make_timestamp(F.year(day), F.month(day), F.dayofmonth(day), F.lit(0), F.lit(0), F.lit(0), F.lit(zone)))
+
+
 def civil_day_bounds(day: Column, zone: str) -> tuple[Column, Column]:
     """UTC instants of a civil day's start and of the next one's."""
-    return F.to_utc_timestamp(day.cast("timestamp_ntz").cast("timestamp"), zone), F.to_utc_timestamp(F.date_add(day, 1).cast("timestamp_ntz").cast("timestamp"), zone)
+    return F.timestamp_seconds(civil_midnight(day, zone)), F.timestamp_seconds(civil_midnight(F.date_add(day, 1), zone))
+
+
+def civil_day(t: Column, zone: str) -> Column:
+    """The civil day of an instant (epoch seconds)."""
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=t)
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc).cast("date")
+
+
+def utc_stamp(t: Column) -> Column:
+    """``2024-01-31T05:00:00Z`` of an instant (epoch seconds), whatever the session's zone."""
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=t)
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def cm_to_ft(x: Column) -> Column:
@@ -118,6 +135,15 @@ def inches_per_decade_to_ft_per_year(x: Column) -> Column:
     return x / 12 / 10
 
 
+#: Activation colours by code (fixed values).
+PALETTE = {1: "#d62828", 2: "#f77f00", 3: "#fcbf49", 4: "#2a9d8f"}
+
+
+def colour(code: Column) -> Column:
+    """The colour of an activation code; null for any other."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in PALETTE.items() for x in kv)), code)
+
+
 def hex_rgb(s: Column) -> Column:
     body = F.regexp_replace(s, "^#", "")
     return F.array(*(F.conv(F.substring(body, k, 2), 16, 10).cast("int") for k in (1, 3, 5)))

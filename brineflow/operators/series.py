@@ -50,18 +50,21 @@ def interpolate(samples: DataFrame, at: DataFrame, max_gap_s: int = C.MAX_GAP_S,
     return near.select("series", "t", F.when(t0 == F.col("t"), v0).when((t1 - t0) <= max_gap_s, line).alias("v"))
 
 
-def arg_max(df: DataFrame, keys: list[str], value: str, *ties: Column | str) -> DataFrame:
-    """The row with the largest value of each key, the first by ``ties`` among equals."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(value), *ties)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def arg_max(df: DataFrame, keys: list[str], value: str, *ties: str) -> DataFrame:
+    """The row with the largest value of each key, the first by ``ties`` among equals; merged before the shuffle."""
+    order = F.struct(F.negative(value).alias("__v"), *(F.col(t).alias(f"__t{i}") for i, t in enumerate(ties)))
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("__row")).select(*keys, "__row.*")
 
 
 def nearest_fill(samples: DataFrame, existing: DataFrame, step_s: int = 3600) -> DataFrame:
     """For anchors that ``existing`` lacks, the nearest sample; the first by (t, ord) among equals. Half steps go to the even anchor."""
     anchor = (F.rint(F.col("t") / step_s) * step_s).cast("long")
-    cand = samples.withColumns({"anchor": anchor, "dist": F.abs(F.col("t") - anchor)}).join(existing.select("series", "anchor"), ["series", "anchor"], "left_anti")
-    w = Window.partitionBy("series", "anchor").orderBy("dist", "t", "ord")
-    return cand.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    near = samples.withColumns({"anchor": anchor, "dist": F.abs(F.col("t") - anchor)})
+    rest = [c for c in near.columns if c not in ("series", "anchor")]
+    # One row for each anchor is left before the join.
+    best = near.groupBy("series", "anchor").agg(F.min_by(F.struct(*rest), F.struct("dist", "t", "ord")).alias("__row")).select("series", "anchor", "__row.*")
+    return best.join(existing.select("series", "anchor"), ["series", "anchor"], "left_anti")
 
 
 def missing(expected: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from brineflow import runtime
 from brineflow.functions import levels as L
 from brineflow.operators import frequency, geometry, hydraulics, raster, series
+from brineflow.plans import oracles
 from brineflow.runtime import table
 
 #: Queries that SQL does not express; their tests are by brute force or invariants.
@@ -342,3 +343,7 @@ def scalar_formats(spark, d):
 
 def tumbling_hours(spark, d):
     return _events(spark, d).groupBy(F.expr("t div 3600").alias("hour")).agg(F.count("*").alias("n"), F.max(L.centi(F.col("v"))).alias("peak_c"))
+
+
+SQL = oracles.SQL
+QUERIES = {name: globals()[name] for name in [*SQL, *WITHOUT_SQL]}

@@ -88,6 +88,15 @@ def chunks(first: F.Column, last: F.Column, unit: str, every: int = 1) -> F.Colu
     return F.sequence(start, last, F.expr(f"interval {every} {unit}"))
 
 
+def padded_chunks(spans: DataFrame, first: str, last: str, days: int = 90, pad_s: int = 900) -> DataFrame:
+    """The rows of ``spans`` by chunks of ``days`` from ``first`` to ``last`` (dates, both included): ``nth`` and, in epoch seconds, ``from_t`` and ``to_t``, each end widened by ``pad_s``."""
+    starts = F.sequence(F.col(first), F.col(last), F.expr(f"interval {days} day"))
+    rows = spans.select("*", F.posexplode(starts).alias("nth", "__start"))
+    second = lambda d: F.date_diff(d, F.lit("1970-01-01").cast("date")).cast("long") * 86400
+    end = F.least(F.date_add("__start", days), F.date_add(last, 1))
+    return rows.withColumns({"from_t": second(F.col("__start")) - pad_s, "to_t": second(end) + pad_s}).drop("__start")
+
+
 def request_url(base: str, **params: F.Column | str) -> F.Column:
     """A request with its parameters encoded; ranges and stations in it are the predicate that the server applies."""
     as_col = lambda v: v if isinstance(v, F.Column) else F.lit(v)
