@@ -17,13 +17,38 @@ def segments(df: DataFrame, key: str, ring: str) -> DataFrame:
     return df.where(n >= 2).select(key, F.posexplode(sides).alias("side", "s")).select(key, "side", "s.*")
 
 
+def _ring_sums(ring):
+    """Twice the signed area of a ring and its first moments, by the shoelace sums, within the row."""
+    zero = F.struct(F.lit(0.0).alias("a2"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"))
+
+    def add(acc, i):
+        p, q = F.get(ring, i), F.get(ring, i + 1)
+        cross = p["x"] * q["y"] - q["x"] * p["y"]
+        return F.struct((acc["a2"] + cross).alias("a2"), (acc["sx"] + (p["x"] + q["x"]) * cross).alias("sx"), (acc["sy"] + (p["y"] + q["y"]) * cross).alias("sy"))
+
+    # A ring of fewer than two points has no side.
+    sides = F.when(F.size(ring) >= 2, F.sequence(F.lit(0), F.size(ring) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(sides, zero, add)
+
+
 def centroids(df: DataFrame, key: str, ring: str) -> DataFrame:
-    """Centroid and area by the shoelace sums; a ring without area gives null."""
-    s = segments(df, key, ring)
-    cross = F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")
-    sums = s.groupBy(key).agg(F.sum(cross).alias("a2"), F.sum((F.col("x0") + F.col("x1")) * cross).alias("sx"), F.sum((F.col("y0") + F.col("y1")) * cross).alias("sy"))
+    """Centroid and area of one ring; a ring without area gives null."""
+    return polygon_centroids(df.select(key, F.array(F.array(ring)).alias("__parts")), key, "__parts")
+
+
+def polygon_centroids(df: DataFrame, key: str, parts: str) -> DataFrame:
+    """Centroid and area of polygons of several parts, each an outer ring and the rings of its holes, whatever their turn; without area null."""
+
+    def of_part(rings):
+        """An outer ring counts with its own sign made positive, a hole with its sign made negative."""
+        signed = F.transform(rings, lambda r, i: F.struct(_ring_sums(r).alias("m"), F.when(i == 0, 1.0).otherwise(-1.0).alias("w")))
+        return F.transform(signed, lambda x: F.struct(*((x["w"] * F.signum(x["m"]["a2"]) * x["m"][c]).alias(c) for c in ("a2", "sx", "sy"))))
+
+    sums = F.flatten(F.transform(parts, of_part))
+    total = lambda c: F.aggregate(sums, F.lit(0.0), lambda s, x: s + x[c])
+    rows = df.select(key, total("a2").alias("a2"), total("sx").alias("sx"), total("sy").alias("sy"))
     ok = F.col("a2") != 0
-    return sums.select(key, F.when(ok, F.col("sx") / (3 * F.col("a2"))).alias("cx"), F.when(ok, F.col("sy") / (3 * F.col("a2"))).alias("cy"), (F.abs("a2") / 2).alias("area"))
+    return rows.select(key, F.when(ok, F.col("sx") / (3 * F.col("a2"))).alias("cx"), F.when(ok, F.col("sy") / (3 * F.col("a2"))).alias("cy"), (F.abs("a2") / 2).alias("area"))
 
 
 def to_grid(x: F.Column, y: F.Column, origin_x: float, origin_y: float, cell: float) -> tuple[F.Column, F.Column]:
@@ -31,35 +56,28 @@ def to_grid(x: F.Column, y: F.Column, origin_x: float, origin_y: float, cell: fl
     return F.floor((x - origin_x) / cell).cast("long"), F.floor((origin_y - y) / cell).cast("long")
 
 
-def touched(x0: float, y0: float, x1: float, y1: float) -> tuple[np.ndarray, np.ndarray]:
-    """All cells (row, column) that a segment in grid units passes through."""
-    cuts = [0.0, 1.0]
-    for a, b in ((x0, x1), (y0, y1)):
-        if a != b:
-            lines = np.arange(np.ceil(min(a, b)), np.floor(max(a, b)) + 1)
-            cuts.extend(((lines - a) / (b - a)).tolist())
-    t = np.unique(np.clip(cuts, 0.0, 1.0))
-    mid = np.append((t[1:] + t[:-1]) / 2, [0.0, 1.0])
-    cells = np.unique(np.column_stack([np.floor(y0 + mid * (y1 - y0)), np.floor(x0 + mid * (x1 - x0))]).astype(np.int64), axis=0)
-    return cells[:, 0], cells[:, 1]
-
-
 def rasterize_lines(sides: DataFrame) -> DataFrame:
-    """The distinct cells (y, x) that segments in grid units touch."""
+    """The distinct cells (y, x) that segments in grid units touch: their ends' cells, and that of the middle of each piece between two grid lines."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for s in part.itertuples(index=False):
-                y, x = touched(s.x0, s.y0, s.x1, s.y1)
-                yield pd.DataFrame({"y": y, "x": x})
+    def cuts(a: str, b: str):
+        lines = F.sequence(F.ceil(F.least(a, b)), F.floor(F.greatest(a, b)))
+        inside = (F.col(a) != F.col(b)) & (F.ceil(F.least(a, b)) <= F.floor(F.greatest(a, b)))
+        return F.when(inside, F.transform(lines, lambda k: (k - F.col(a)) / (F.col(b) - F.col(a)))).otherwise(F.array().cast("array<double>"))
 
-    return sides.select("x0", "y0", "x1", "y1").mapInPandas(run, "y bigint, x bigint").distinct()
+    ends = F.array(F.lit(0.0), F.lit(1.0))
+    t = F.array_sort(F.array_distinct(F.concat(ends, cuts("x0", "x1"), cuts("y0", "y1"))))
+    cut = sides.select("x0", "y0", "x1", "y1", t.alias("t"))
+    middle = F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: (F.get("t", i) + F.get("t", i + 1)) / 2)
+    at = cut.select("x0", "y0", "x1", "y1", F.explode(F.concat(middle, ends)).alias("t"))
+    place = lambda a, b: F.floor(F.col(a) + F.col("t") * (F.col(b) - F.col(a))).cast("long")
+    return at.select(place("y0", "y1").alias("y"), place("x0", "x1").alias("x")).distinct()
 
 
 def rasterize_fill(df: DataFrame, key: str, ring: str) -> DataFrame:
     """Cells whose centre is inside a ring in grid units: sides cross each row's centre line, and every other gap is inside."""
     s = segments(df, key, ring).where("y0 <> y1")
-    rows = s.select(key, "x0", "y0", "x1", "y1", F.explode(F.sequence(F.ceil(F.least("y0", "y1") - 0.5), F.ceil(F.greatest("y0", "y1") - 0.5) - 1)).alias("y")).where(F.col("y") + 0.5 < F.greatest("y0", "y1"))
+    s = s.withColumns({"lo": F.ceil(F.least("y0", "y1") - 0.5), "hi": F.ceil(F.greatest("y0", "y1") - 0.5) - 1}).where("lo <= hi")
+    rows = s.select(key, "x0", "y0", "x1", "y1", F.explode(F.sequence("lo", "hi")).alias("y"))
     at = F.col("x0") + (F.col("y") + 0.5 - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
     lines = rows.select(key, "y", at.alias("at")).groupBy(key, "y").agg(F.array_sort(F.collect_list("at")).alias("at"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("at") - 2, F.lit(2)), lambda i: F.struct(F.get("at", i).alias("a"), F.get("at", i + 1).alias("b")))
@@ -68,9 +86,29 @@ def rasterize_fill(df: DataFrame, key: str, ring: str) -> DataFrame:
 
 
 def simplify(df: DataFrame, key: str, ring: str, tolerance: float) -> DataFrame:
-    """Rings with fewer points, none farther than ``tolerance`` from the outline; at least four points stay."""
-
-    def thin(p: np.ndarray) -> np.ndarray:
+    """Rings with fewer points, none farther than ``tolerance`` from the outline; at least four points stay, and a ring whose sides do not cross gets none that do."""
+
+    def crosses(p: np.ndarray) -> bool:
+        """Whether two sides that are no neighbours have a point in common."""
+        a, b = p[:-1], p[1:]
+        turn = lambda o, q, r: np.sign((q[..., 0] - o[..., 0]) * (r[..., 1] - o[..., 1]) - (q[..., 1] - o[..., 1]) * (r[..., 0] - o[..., 0]))
+        n = len(a)
+        for i in range(n - 2):
+            c, d = a[i + 2 : n - (i == 0)], b[i + 2 : n - (i == 0)]
+            if np.any((turn(a[i], b[i], c) * turn(a[i], b[i], d) <= 0) & (turn(c, d, a[i]) * turn(c, d, b[i]) <= 0)):
+                return True
+        return False
+
+    def kept(p: np.ndarray) -> np.ndarray:
+        off = tolerance
+        while len(p) > 4:
+            q = thin(p, off)
+            if len(q) == len(p) or not crosses(q) or crosses(p):
+                return q
+            off /= 2
+        return p
+
+    def thin(p: np.ndarray, tolerance: float) -> np.ndarray:
         keep = np.zeros(len(p), bool)
         # A closed ring is split at the point farthest from its start.
         far = int(np.argmax(((p - p[0]) ** 2).sum(axis=1)))
@@ -91,7 +129,7 @@ def simplify(df: DataFrame, key: str, ring: str, tolerance: float) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rings = [thin(np.asarray([(q["x"], q["y"]) for q in r])) for r in part["ring"]]
+            rings = [kept(np.asarray([(q["x"], q["y"]) for q in r])) for r in part["ring"]]
             yield pd.DataFrame({key: part[key], "ring": [[{"x": float(a), "y": float(b)} for a, b in r] for r in rings]})
 
     kind = df.schema[key].dataType.simpleString()

@@ -46,6 +46,13 @@ def encoded_surface(storage: Column, surface_ft: Column) -> Column:
     return F.when(storage > 0.01, F.rint(surface_ft * 100).cast("int"))
 
 
+def sweep_metadata(states: DataFrame) -> DataFrame:
+    """One row on a sweep (phase, stage_c, zone_id, surface_c): its extent, and the most and the sum of wet zones over its stages and phases."""
+    each = states.groupBy("phase", "stage_c").agg(F.count("surface_c").alias("wet"))
+    extent = states.agg(F.count_distinct("stage_c").alias("stage_count"), F.count_distinct("phase").alias("phase_count"), F.count_distinct("zone_id").alias("zone_count"), F.min("stage_c").alias("lowest_c"), F.max("stage_c").alias("highest_c"))
+    return extent.crossJoin(each.agg(F.max("wet").alias("most_wet"), F.sum("wet").alias("all_wet")))
+
+
 def weir_flow(upper: Column, lower: Column, crest: Column, width: Column) -> Column:
     """Broad-crested weir with submergence; zero below the crest."""
     head, tail = F.greatest(F.lit(0.0), upper - crest), F.greatest(F.lit(0.0), lower - crest)

@@ -41,6 +41,11 @@ def strided(df: DataFrame, step: int = 5, offset: int = 2) -> DataFrame:
     return df.where((F.pmod("x", F.lit(step)) == offset) & (F.pmod("y", F.lit(step)) == offset))
 
 
+def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two rasters cell by cell; a cell that one of them lacks is left out."""
+    return a.join(b, ["y", "x"])
+
+
 def condition(elev: Column, mask: Column, floor: int | float) -> Column:
     """At least ``floor`` inside the mask; a masked cell without elevation is an error."""
     checked = F.when(mask & elev.isNull(), F.raise_error("a masked cell has no elevation")).otherwise(elev)

@@ -28,7 +28,7 @@ zn AS (SELECT a.y, a.x, b.y AS y2, b.x AS x2 FROM z a, {SIDES} JOIN z b ON b.y =
 r AS (SELECT y, x, y * 4294967296 + x AS l FROM z UNION SELECT zn.y2, zn.x2, r.l FROM r JOIN zn USING (y, x)),
 w AS (SELECT z.*, j.l AS label FROM z JOIN (SELECT y, x, min(l) AS l FROM r GROUP BY y, x) j USING (y, x))"""
 )
-POINTS = "p(scenario, year, v) AS (VALUES ('low', 2026, 0.0::DOUBLE), ('low', 2050, 1000), ('low', 2100, 3000), ('mid', 2030, 500), ('mid', 2100, 9000), ('high', 2026, 0), ('high', 2060, 9000), ('high', 2090, 20000))"
+POINTS = "p AS (SELECT 'r' || n_regionkey AS scenario, (2026 + n_nationkey * 3)::INT AS year, max(n_nationkey * n_nationkey * 13.5::DOUBLE + n_regionkey * 100) AS v FROM nation GROUP BY ALL)"
 CURVE = (
     POINTS
     + """, yr AS (SELECT scenario, unnest(range(2026, 2101))::INT AS year FROM (SELECT DISTINCT scenario FROM p)),
@@ -52,8 +52,6 @@ SQL = {
     "quarter_hour_interp": _w(Q, "SELECT t, level_c FROM q"),
     "daily_class": _w(Q, "SELECT (DATE '1970-01-01' + (t // 86400)::INT)::DATE AS day, max(level_c) AS peak_c, CASE WHEN max(level_c) / 100.0 >= 300 THEN 'major' WHEN max(level_c) / 100.0 >= 200 THEN 'moderate' WHEN max(level_c) / 100.0 >= 100 THEN 'minor' ELSE 'none' END AS class, count(level_c) AS n_valid, count(*) AS n_slots FROM q GROUP BY t // 86400"),
     "hourly_argmax": _w(E, "SELECT t // 3600 AS hour, event_id, v FROM e QUALIFY row_number() OVER (PARTITION BY t // 3600 ORDER BY v DESC, ts, event_id) = 1"),
-    "hour_anchor_nearest_fill": _w(E, ", h AS (SELECT *, round_even(t / 3600, 0)::BIGINT * 3600 AS anchor FROM e) SELECT anchor, event_id, abs(t - anchor) AS dist, v FROM h WHERE user_id % 10 = 0 AND anchor NOT IN (SELECT anchor FROM h WHERE user_id % 10 = 1) QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY abs(t - anchor), t, event_id) = 1"),
-    "missing_anchors": _w(E, ", x AS (SELECT unnest(generate_series(min(t) // 3600, max(t) // 3600)) AS hour FROM e) SELECT hour, date_trunc('month', DATE '1970-01-01' + (hour // 24)::INT)::DATE AS month FROM x WHERE hour NOT IN (SELECT t // 3600 FROM e WHERE user_id % 50 = 0)"),
     "phase_per_user": _w(E, ", c AS (SELECT event_id, user_id, t // 86400 AS day, ts, round_even(v * 100, 0)::INT AS c FROM e), d AS (SELECT event_id, c - lag(c) OVER w AS b, lead(c) OVER w - c AS a FROM c WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id)) SELECT event_id, CASE WHEN least(a, b) > 2.5 THEN 'filling' WHEN greatest(a, b) < -2.5 THEN 'draining' ELSE 'slack' END AS phase FROM d"),
     "rise_rate": _w(E, ", c AS (SELECT event_id, user_id, ts, round_even(v * 100, 0)::INT AS c FROM e) SELECT event_id, coalesce((c - lag(c) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 4.0::DOUBLE, 0.0) AS rise_c FROM c"),
     "gap_sessions": _w(E, ", s AS (SELECT user_id, t, coalesce((t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 21600)::INT, 0) AS new FROM e), n AS (SELECT user_id, t, (sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING))::BIGINT AS session FROM s) SELECT user_id, session, min(t) AS start_t, max(t) AS end_t, count(*) AS n_rows FROM n GROUP BY ALL HAVING count(*) >= 2"),
@@ -64,7 +62,6 @@ SQL = {
     "exceedance_cube": _w(CURVE + ", " + LEVELS, ", k AS (SELECT scenario, year, e.elev AS elev_c, e.elev - round_even(v, 0)::INT AS th FROM cv, (SELECT unnest(range(0, 57000, 1000))::INT AS elev) e), n AS (SELECT th, count(level) AS n FROM (SELECT DISTINCT th FROM k) LEFT JOIN lv ON level >= th GROUP BY th), a AS (SELECT k.*, least(70500, round_even(n * 70500.0::DOUBLE / (SELECT count(level) FROM lv), 0)::INT) AS annual_c FROM k JOIN n USING (th)) SELECT scenario, elev_c, sum(annual_c)::BIGINT AS all_years_c, max(annual_c) AS most_c FROM a GROUP BY ALL"),
     "crest_ranking": "SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%B %-d, %Y') AS display_date FROM orders WHERE o_totalprice >= 250000 ORDER BY o_totalprice DESC, o_orderdate, o_orderkey",
     "crest_top10": "SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%B %-d, %Y') AS display_date FROM orders WHERE o_totalprice >= 250000 ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 10",
-    "upsert_days": _w(E, ", d AS (SELECT t // 86400 AS day, user_id, round_even(v * 100, 0)::INT AS c FROM e), o AS (SELECT day, max(c) AS peak_c, count(*) AS n FROM d WHERE user_id % 2 = 0 GROUP BY day), w AS (SELECT day, max(c) AS peak_c, count(*) AS n FROM d WHERE user_id % 97 = 0 GROUP BY day) SELECT * FROM o WHERE day NOT IN (SELECT day FROM w) UNION ALL SELECT * FROM w"),
     "calibrate_day": _w(E, ", b AS (SELECT event_id, v, min(v) OVER (PARTITION BY t // 86400) AS lo, max(v) OVER (PARTITION BY t // 86400) AS hi FROM e) SELECT event_id, round_even((CASE WHEN hi > lo THEN lo + (v - lo) * (250.0::DOUBLE - lo) / (hi - lo) ELSE v END) * 100, 0)::INT AS level_c FROM b"),
     "compact_day_array": _w(Q, "SELECT t // 86400 AS day, string_agg(coalesce(level_c::VARCHAR, 'null'), ',' ORDER BY t) AS v, count(*)::BIGINT AS n_slots, count(level_c)::BIGINT AS n_valid FROM q GROUP BY t // 86400"),
     "compact_roundtrip": _w(Q, "SELECT t, level_c FROM q WHERE level_c IS NOT NULL"),
@@ -79,18 +76,14 @@ SQL = {
     "connection_stage": _r(CONN, "SELECT y, x, connection FROM m"),
     "zone_summary": _r(ZONED, ", hb AS (SELECT label, elev + 100 AS bin, count(*) AS n FROM w GROUP BY ALL), hs AS (SELECT label, string_agg(bin || ':' || n, ' ' ORDER BY bin) AS hist FROM hb GROUP BY label) SELECT label // 4294967296 AS y, label % 4294967296 AS x, max(connection) AS connection, count(*) AS cell_count, count(*) FILTER (source) AS source_cells, count(*) FILTER (hard) AS hard_cells, any_value(hist) AS hist FROM w JOIN hs USING (label) GROUP BY label"),
     "stage_wet_cells": _r(CONN, "SELECT st AS stage_c, count(*) FILTER (st > elev * 10 AND coalesce(connection * 10 <= st, false)) AS n_wet, count(*) FILTER (elev * 10 <= st AND NOT (st > elev * 10 AND coalesce(connection * 10 <= st, false))) AS n_low FROM m, (SELECT unnest(range(0, 260, 10))::INT AS st) GROUP BY st"),
-    "equilibrium_storage": _r(ZONED, ", zc AS (SELECT label, max(connection) AS c FROM w GROUP BY label), s AS (SELECT st, zc.label, coalesce(sum(CASE WHEN elev <= st // 10 THEN 1 ELSE 0 END), 0) AS wet, greatest(0, sum(CASE WHEN elev <= st // 10 THEN st // 10 - elev ELSE 0 END)) AS vol FROM zc, (SELECT unnest([0, 100, 200, 300]) AS st) JOIN w ON w.label = zc.label WHERE zc.c * 10 <= st GROUP BY ALL) SELECT st::INT AS stage_c, count(*) AS n_zones, sum(wet)::BIGINT AS wet_cells, sum(vol)::BIGINT AS storage_d FROM s GROUP BY st"),
-    "ring_nearest_valid": _w(GRID, ", pt AS (SELECT y * 64 + x AS pid, y AS py, x AS px FROM g WHERE (y * 64 + x) % 101 = 0) SELECT pid, greatest(abs(y - py), abs(x - px))::INT AS radius, ((y - py) * (y - py) + (x - px) * (x - px))::INT AS d2, y, x FROM pt JOIN g ON y BETWEEN py - 5 AND py + 5 AND x BETWEEN px - 5 AND px + 5 AND elev >= 20 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY greatest(abs(y - py), abs(x - px)), (y - py) * (y - py) + (x - px) * (x - px), y, x) = 1"),
-    "polygon_centroid": "WITH v(id, k, x, y) AS (VALUES ('square', 0, 0.0::DOUBLE, 0.0::DOUBLE), ('square', 1, 4, 0), ('square', 2, 4, 4), ('square', 3, 0, 4), ('square', 4, 0, 0), ('triangle', 0, 0, 0), ('triangle', 1, 3, 0), ('triangle', 2, 0, 6), ('triangle', 3, 0, 0)), s AS (SELECT a.id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, a.x * b.y - b.x * a.y AS c FROM v a JOIN v b ON a.id = b.id AND b.k = a.k + 1) SELECT id, round_even(sum((x0 + x1) * c) / (3 * sum(c)) * 1000, 0)::INT AS cx_m, round_even(sum((y0 + y1) * c) / (3 * sum(c)) * 1000, 0)::INT AS cy_m, round_even(abs(sum(c)) / 2 * 1000, 0)::INT AS area_m FROM s GROUP BY id",
     "render_source_filter": _r(GRID, f", k AS (SELECT * FROM g WHERE elev <= 2), nb AS (SELECT a.y, a.x, b.y AS y2, b.x AS x2 FROM k a, {SIDES} JOIN k b ON b.y = a.y + dy AND b.x = a.x + dx), r AS (SELECT y, x FROM k WHERE x < 3 UNION SELECT nb.y2, nb.x2 FROM r JOIN nb USING (y, x)) SELECT y, x FROM r SEMI JOIN nb USING (y, x)"),
     "green_next_to_blue": _w(GRID, f"SELECT DISTINCT a.y, a.x FROM g a, {SIDES} JOIN g b ON b.y = a.y + dy AND b.x = a.x + dx WHERE a.elev > 2 AND a.elev <= 6 AND b.elev <= 2"),
     "smoothed_depth": _w(GRID, ", k AS (SELECT y, x, elev::DOUBLE AS n, 1.0::DOUBLE AS d FROM g WHERE elev <= 10), o AS (SELECT d AS o, exp(-0.5::DOUBLE * (d / 2.0::DOUBLE) * (d / 2.0::DOUBLE)) AS w FROM (SELECT unnest(range(-8, 9)) AS d)), a AS (SELECT y + o AS y, x, sum(n * w) AS n, sum(d * w) AS d FROM k, o GROUP BY ALL), b AS (SELECT y, x + o AS x, sum(n * w) AS n, sum(d * w) AS d FROM a, o GROUP BY ALL) SELECT k.y, k.x, round_even(b.n / b.d * 100, 0)::INT AS smooth_c FROM k JOIN b ON k.y = b.y AND k.x = b.x"),
     "scalar_formats": "WITH o AS (SELECT o_orderkey, o_orderdate, o_orderstatus, (o_orderkey % 2700)::VARCHAR AS s FROM orders), f AS (SELECT *, CASE WHEN length(s) = 3 THEN '0' || s WHEN length(s) >= 4 THEN s[1:4] END AS h FROM o) SELECT o_orderkey, CASE WHEN regexp_full_match(h, '([01][0-9]|2[0-3])[0-5][0-9]') THEN h[1:2] || ':' || h[3:4] END AS time, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, nullif(o_orderstatus, '') AS status FROM f",
     "tumbling_hours": _w(E, "SELECT t // 3600 AS hour, count(*) AS n, max(round_even(v * 100, 0)::INT) AS peak_c FROM e GROUP BY 1"),
-    # The whole tables; the queries of the same names without ``_all`` read fixed subsets.
-    "hour_anchor_nearest_fill_all": _w("f AS (SELECT event_id, user_id, event_type, floor(epoch(ts))::BIGINT AS t, value AS v FROM events)", ", k AS (SELECT event_id, user_id, t, v, round_even(t / 3600, 0)::BIGINT * 3600 AS anchor, event_type IS NOT DISTINCT FROM 'signup' AS known FROM f) SELECT user_id, anchor, event_id, abs(t - anchor) AS dist, v FROM k WHERE NOT known AND NOT EXISTS (SELECT 1 FROM k x WHERE x.known AND x.user_id = k.user_id AND x.anchor = k.anchor) QUALIFY row_number() OVER (PARTITION BY user_id, anchor ORDER BY abs(t - anchor), t, event_id) = 1"),
-    "missing_anchors_all": _w(E, ", x AS (SELECT unnest(generate_series(min(t) // 3600, max(t) // 3600)) AS hour FROM e) SELECT hour, date_trunc('month', DATE '1970-01-01' + (hour // 24)::INT)::DATE AS month FROM x WHERE hour NOT IN (SELECT t // 3600 FROM e)"),
-    "upsert_days_all": _w("d AS (SELECT user_id, floor(epoch(ts))::BIGINT // 86400 AS day, round_even(value * 100, 0)::INT AS c, event_type IS NOT DISTINCT FROM 'purchase' AS anew FROM events)", ", o AS (SELECT user_id, day, max(c) AS peak_c, count(*) AS n FROM d WHERE NOT anew GROUP BY ALL), w AS (SELECT user_id, day, max(c) AS peak_c, count(*) AS n FROM d WHERE anew GROUP BY ALL) SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.user_id = o.user_id AND w.day = o.day) UNION ALL SELECT * FROM w"),
-    "equilibrium_storage_all": _r(ZONED, ", zc AS (SELECT label, max(connection) AS c FROM w GROUP BY label), hb AS (SELECT label, elev, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT st, zc.label, sum(CASE WHEN elev * 10 <= st THEN n ELSE 0 END) AS wet, sum(CASE WHEN elev * 10 <= st THEN n * (st - elev * 10) ELSE 0 END) AS vol FROM zc, (SELECT unnest(range(0, 1405, 5)) AS st) JOIN hb ON hb.label = zc.label WHERE zc.c * 10 <= st GROUP BY ALL) SELECT st::INT AS stage_c, count(*) AS n_zones, sum(wet)::BIGINT AS wet_cells, sum(vol)::BIGINT AS storage_c FROM s GROUP BY st"),
-    "ring_nearest_valid_all": _w(GRID, ", o AS (SELECT dy, dx FROM (SELECT unnest(range(-10, 11))::INT AS dy), (SELECT unnest(range(-10, 11))::INT AS dx)), near AS (SELECT g.y - dy AS py, g.x - dx AS px, g.y, g.x, greatest(abs(dy), abs(dx))::INT AS radius, (dy * dy + dx * dx)::INT AS d2 FROM g, o WHERE g.elev >= 20) SELECT p.y * 64 + p.x AS pid, radius, d2, near.y, near.x FROM near JOIN g p ON p.y = near.py AND p.x = near.px QUALIFY row_number() OVER (PARTITION BY p.y, p.x ORDER BY radius, d2, near.y, near.x) = 1"),
+    "hour_anchor_nearest_fill": _w("f AS (SELECT event_id, user_id, event_type, floor(epoch(ts))::BIGINT AS t, value AS v FROM events)", ", k AS (SELECT event_id, user_id, t, v, round_even(t / 3600, 0)::BIGINT * 3600 AS anchor, event_type IS NOT DISTINCT FROM 'signup' AS known FROM f) SELECT user_id, anchor, event_id, abs(t - anchor) AS dist, v FROM k WHERE NOT known AND NOT EXISTS (SELECT 1 FROM k x WHERE x.known AND x.user_id = k.user_id AND x.anchor = k.anchor) QUALIFY row_number() OVER (PARTITION BY user_id, anchor ORDER BY abs(t - anchor), t, event_id) = 1"),
+    "missing_anchors": _w(E, ", x AS (SELECT unnest(generate_series(min(t) // 3600, max(t) // 3600)) AS hour FROM e) SELECT hour, date_trunc('month', DATE '1970-01-01' + (hour // 24)::INT)::DATE AS month FROM x WHERE hour NOT IN (SELECT t // 3600 FROM e)"),
+    "upsert_days": _w("d AS (SELECT user_id, floor(epoch(ts))::BIGINT // 86400 AS day, round_even(value * 100, 0)::INT AS c, event_type IS NOT DISTINCT FROM 'purchase' AS anew FROM events)", ", o AS (SELECT user_id, day, max(c) AS peak_c, count(*) AS n FROM d WHERE NOT anew GROUP BY ALL), w AS (SELECT user_id, day, max(c) AS peak_c, count(*) AS n FROM d WHERE anew GROUP BY ALL) SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.user_id = o.user_id AND w.day = o.day) UNION ALL SELECT * FROM w"),
+    "equilibrium_storage": _r(ZONED, ", zc AS (SELECT label, max(connection) AS c FROM w GROUP BY label), hb AS (SELECT label, elev, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT st, zc.label, sum(CASE WHEN elev * 10 <= st THEN n ELSE 0 END) AS wet, sum(CASE WHEN elev * 10 <= st THEN n * (st - elev * 10) ELSE 0 END) AS vol FROM zc, (SELECT unnest(range(0, 1405, 5)) AS st) JOIN hb ON hb.label = zc.label WHERE zc.c * 10 <= st GROUP BY ALL) SELECT st::INT AS stage_c, count(*) AS n_zones, sum(wet)::BIGINT AS wet_cells, sum(vol)::BIGINT AS storage_c FROM s GROUP BY st"),
+    "ring_nearest_valid": _w(GRID, ", o AS (SELECT dy, dx FROM (SELECT unnest(range(-10, 11))::INT AS dy), (SELECT unnest(range(-10, 11))::INT AS dx)), near AS (SELECT g.y - dy AS py, g.x - dx AS px, g.y, g.x, greatest(abs(dy), abs(dx))::INT AS radius, (dy * dy + dx * dx)::INT AS d2 FROM g, o WHERE g.elev >= 20) SELECT p.y * 64 + p.x AS pid, radius, d2, near.y, near.x FROM near JOIN g p ON p.y = near.py AND p.x = near.px QUALIFY row_number() OVER (PARTITION BY p.y, p.x ORDER BY radius, d2, near.y, near.x) = 1"),
 }

@@ -31,16 +31,24 @@ def rise_curves(points: DataFrame, years: DataFrame, base_year: int = 2026) -> D
     return curve.select("scenario", "year", F.rint(F.col("delta") * 100).cast("int").alias("delta_c"))
 
 
+def nearest_step(model_c, step_c: int = C.STAGE_STEP_C):
+    """Index of the nearest elevation on a grid of even steps from zero, the lower on a tie."""
+    return F.ceil(F.lit(-0.5) + model_c / step_c).cast("int")
+
+
 def enriched(parcels: DataFrame, cells: DataFrame, events: DataFrame, origin_x: float, origin_y: float, cell_ft: float) -> DataFrame:
-    """Parcels (id, ring in grid coordinates) with the ground at their centroid's nearest cell, its distance, and past and expected floods.
+    """Parcels (``id`` and ``ring``, or ``parts`` with holes, in the grid's coordinates) with the ground at their centroid's nearest cell, its distance, and past and expected floods.
 
-    Parcels without ring, without area or without a cell near are left out; :func:`skipped` counts them.
+    Parcels without geometry, without area or without a cell near are left out; :func:`skipped` counts them.
     """
-    at = geometry.centroids(parcels.where(F.size("ring") >= 4), "id", "ring").where("cx is not null")
+    if "parts" in parcels.columns:
+        at = geometry.polygon_centroids(parcels.where("parts is not null"), "id", "parts").where("cx is not null")
+    else:
+        at = geometry.centroids(parcels.where(F.size("ring") >= 4), "id", "ring").where("cx is not null")
     px, py = geometry.to_grid(F.col("cx"), F.col("cy"), origin_x, origin_y, cell_ft)
     near = raster.ring_nearest(at.select("id", py.alias("py"), px.alias("px")), cells, "id")
     ground = near.join(cells.select("y", "x", "elev"), ["y", "x"]).select("id", "radius", F.col("elev").alias("elev_d"))
-    ground = ground.withColumn("model_c", F.least(F.lit(1400), F.greatest(F.lit(0), F.col("elev_d") * 10)))
+    ground = ground.withColumn("model_c", F.least(F.lit(C.HIST_MAX_D * 10), F.greatest(F.lit(0), F.col("elev_d") * 10))).withColumn("grid_at", nearest_step(F.col("model_c")))
     levels = events.select(F.rint(F.col("rebased") * 100).cast("int").alias("level"))
     total = levels.agg(F.count("*").alias("total"))
     counted = frequency.range_count(levels, ground, "level", "model_c").crossJoin(F.broadcast(total))

@@ -60,25 +60,6 @@ def hourly_argmax(spark, d):
     return series.arg_max(e, ["hour"], "v", "ts", "event_id").select("hour", "event_id", "v")
 
 
-def _hourly(spark, d):
-    e = _events(spark, d).select(F.lit("all").alias("series"), "t", "v", F.col("event_id").alias("ord"), "user_id")
-    anchor = (F.rint(F.col("t") / 3600) * 3600).cast("long")
-    return e.where("user_id % 10 = 0"), e.where("user_id % 10 = 1").select("series", anchor.alias("anchor")).distinct()
-
-
-def hour_anchor_nearest_fill(spark, d):
-    samples, existing = _hourly(spark, d)
-    return series.nearest_fill(samples, existing).select("anchor", F.col("ord").alias("event_id"), "dist", "v")
-
-
-def missing_anchors(spark, d):
-    e = _events(spark, d)
-    span = e.agg(F.expr("min(t) div 3600").alias("lo"), F.expr("max(t) div 3600").alias("hi"))
-    expected = span.select(F.explode(F.sequence("lo", "hi")).alias("hour"))
-    have = e.where("user_id % 50 = 0").select(F.expr("t div 3600").alias("hour")).distinct()
-    return series.missing(expected, have, ["hour"]).select("hour", F.trunc(_day("(hour * 3600)"), "month").alias("month"))
-
-
 def _feeds(spark, d):
     """Every event in one of two feeds of its gauge: ``signup`` rows are hours already on record, all others are samples."""
     e = _events(spark, d).select(F.col("user_id").alias("series"), "t", "v", F.col("event_id").alias("ord"), F.col("event_type").eqNullSafe("signup").alias("on_record"))
@@ -86,12 +67,12 @@ def _feeds(spark, d):
     return e.where("not on_record"), e.where("on_record").select("series", anchor.alias("anchor")).distinct()
 
 
-def hour_anchor_nearest_fill_all(spark, d):
+def hour_anchor_nearest_fill(spark, d):
     samples, existing = _feeds(spark, d)
     return series.nearest_fill(samples, existing).select(F.col("series").alias("user_id"), "anchor", F.col("ord").alias("event_id"), "dist", "v")
 
 
-def missing_anchors_all(spark, d):
+def missing_anchors(spark, d):
     hour = _events(spark, d).select(F.expr("t div 3600").alias("hour"))
     expected = hour.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("hour"))
     return series.missing(expected, hour.distinct(), ["hour"]).select("hour", F.trunc(_day("(hour * 3600)"), "month").alias("month"))
@@ -129,25 +110,31 @@ def exceedance_counts(spark, d):
     return frequency.range_count(_levels(spark, d), grid).select(F.col("threshold").alias("threshold_c"), "n_at_or_above")
 
 
-#: Scenario points (fixed values): year and rise in hundredths of the level's unit.
-POINTS = [("low", 2026, 0.0), ("low", 2050, 1000.0), ("low", 2100, 3000.0), ("mid", 2030, 500.0), ("mid", 2100, 9000.0), ("high", 2026, 0.0), ("high", 2060, 9000.0), ("high", 2090, 20000.0)]
+def _points(spark, d) -> DataFrame:
+    """A scenario for each region: its nations give a rise (hundredths of the level's unit) every few years from 2026 to 2098."""
+    k = F.col("n_nationkey")
+    rows = table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey")).alias("scenario"), (2026 + k * 3).cast("int").alias("year"), (k * k * 13.5 + F.col("n_regionkey") * 100).cast("double").alias("value"))
+    return rows.groupBy("scenario", "year").agg(F.max("value").alias("value"))
+
+
+def _years(spark) -> DataFrame:
+    return spark.range(2026, 2101).select(F.col("id").cast("int").alias("year"))
 
 
-def _curve(spark):
-    points = spark.createDataFrame(POINTS, "scenario string, year int, value double")
-    return frequency.year_curve(points, spark.range(2026, 2101).select(F.col("id").cast("int").alias("year")), ["scenario"])
+def _curve(spark, d) -> DataFrame:
+    return frequency.year_curve(_points(spark, d), _years(spark), ["scenario"])
 
 
 def year_interp(spark, d):
-    return _curve(spark).select("scenario", "year", F.rint("value").cast("int").alias("rise_c"))
+    return _curve(spark, d).select("scenario", "year", F.rint("value").cast("int").alias("rise_c"))
 
 
 def rise_from_base(spark, d):
-    return frequency.deltas_from(_curve(spark), ["scenario"], 2040).select("scenario", "year", F.rint("delta").cast("int").alias("delta_c"))
+    return frequency.deltas_from(_curve(spark, d), ["scenario"], 2040).select("scenario", "year", F.rint("delta").cast("int").alias("delta_c"))
 
 
 def exceedance_cube(spark, d):
-    curve = _curve(spark).select("scenario", "year", F.rint("value").cast("int").alias("delta_c"))
+    curve = _curve(spark, d).select("scenario", "year", F.rint("value").cast("int").alias("delta_c"))
     grid = spark.range(57).select((F.col("id") * 1000).cast("int").alias("elev_c"))
     levels = _levels(spark, d)
     total = levels.agg(F.count("level").alias("total"))
@@ -165,15 +152,7 @@ def crest_top10(spark, d):
     return crest_ranking(spark, d).limit(10)
 
 
-def _daily(spark, d, every: int):
-    return _events(spark, d).where(f"user_id % {every} = 0").groupBy(F.expr("t div 86400").alias("day")).agg(F.max(L.centi(F.col("v"))).alias("peak_c"), F.count("*").alias("n"))
-
-
 def upsert_days(spark, d):
-    return series.upsert(_daily(spark, d, 2), _daily(spark, d, 97), ["day"])
-
-
-def upsert_days_all(spark, d):
     """Each gauge's days by all events but purchases, replaced where purchases give the day anew."""
     e = _events(spark, d).select("user_id", F.expr("t div 86400").alias("day"), L.centi(F.col("v")).alias("c"), F.col("event_type").eqNullSafe("purchase").alias("anew"))
     days = lambda rows: rows.groupBy("user_id", "day").agg(F.max("c").alias("peak_c"), F.count("*").alias("n"))
@@ -282,35 +261,16 @@ def _equilibrium(spark, d, stages: DataFrame) -> DataFrame:
 
 
 def equilibrium_storage(spark, d):
-    return _equilibrium(spark, d, hydraulics.stage_catalogue(spark, 4, 100)).withColumn("storage_d", F.col("storage_d").cast("bigint"))
-
-
-def equilibrium_storage_all(spark, d):
     e = _equilibrium(spark, d, hydraulics.stage_catalogue(spark))
     return e.select("stage_c", "n_zones", "wet_cells", (F.col("storage_d") * 10).cast("bigint").alias("storage_c"))
 
 
 def ring_nearest_valid(spark, d):
-    g = _grid(spark, d)
-    points = g.where("(y * 64 + x) % 101 = 0").select(F.expr("y * 64 + x").alias("pid"), F.col("y").alias("py"), F.col("x").alias("px"))
-    return raster.ring_nearest(points, g.where("elev >= 20"), "pid", 5)
-
-
-def ring_nearest_valid_all(spark, d):
     g = _grid(spark, d)
     points = g.select(F.expr("y * 64 + x").alias("pid"), F.col("y").alias("py"), F.col("x").alias("px"))
     return raster.ring_nearest(points, g.where("elev >= 20"), "pid")
 
 
-#: Rings (fixed values), closed.
-RINGS = [("square", [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]), ("triangle", [(0.0, 0.0), (3.0, 0.0), (0.0, 6.0), (0.0, 0.0)])]
-
-
-def polygon_centroid(spark, d):
-    rings = spark.createDataFrame(RINGS, "id string, ring array<struct<x:double,y:double>>")
-    return geometry.centroids(rings, "id", "ring").select("id", F.rint(F.col("cx") * 1000).cast("int").alias("cx_m"), F.rint(F.col("cy") * 1000).cast("int").alias("cy_m"), F.rint(F.col("area") * 1000).cast("int").alias("area_m"))
-
-
 def render_source_filter(spark, d):
     g = _grid(spark, d).where("elev <= 2").withColumn("source", F.col("x") < 3)
     return raster.source_connected(g, "source").select("y", "x")
