@@ -11,14 +11,14 @@ from brineflow import config as C
 BLOCK = 4096
 
 
-def range_count(levels: DataFrame, thresholds: DataFrame, level: str = "level", threshold: str = "threshold", out: str = "n_at_or_above") -> DataFrame:
-    """For each integer threshold, how many levels are at least as high; no inequality join.
+def range_count(levels: DataFrame, thresholds: DataFrame, level: str = "level", threshold: str = "threshold", out: str = "n_at_or_above", count: str | None = None) -> DataFrame:
+    """For each integer threshold, how many levels are at least as high; no inequality join. ``count``: a column that says how many a row stands for.
 
     Equal levels are counted first. The counts then run down within blocks of
     levels, and over the blocks' totals, so no task sees all levels.
     """
     block = F.floor(F.col("x") / BLOCK)
-    have = levels.where(F.col(level).isNotNull()).groupBy(F.col(level).cast("long").alias("x")).agg(F.count("*").alias("c")).withColumn("ask", F.lit(False))
+    have = levels.where(F.col(level).isNotNull()).groupBy(F.col(level).cast("long").alias("x")).agg((F.sum(count) if count else F.count("*")).alias("c")).withColumn("ask", F.lit(False))
     ask = thresholds.select(F.col(threshold).cast("long").alias("x")).distinct().select("x", F.lit(0).cast("long").alias("c"), F.lit(True).alias("ask"))
     rows = have.unionByName(ask).withColumn("block", block)
     totals = rows.groupBy("block").agg(F.sum("c").alias("total"))

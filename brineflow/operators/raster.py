@@ -52,11 +52,37 @@ def condition(elev: Column, mask: Column, floor: int | float) -> Column:
     return F.when(mask, F.greatest(checked, F.lit(floor))).otherwise(elev)
 
 
-def dilate(cells: DataFrame, radius: int) -> DataFrame:
-    """Cells whose centre is within ``radius`` of a cell's centre."""
-    disc = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius))
-    spread = cells.select("y", "x", F.explode(disc).alias("o"))
-    return spread.select((F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
+def _haloed(df: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Each cell in its own tile (``ty``, ``tx``) and in those whose cells it may reach; a cell inside a tile is there once."""
+    spread = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / tile), F.floor((F.col(c) + radius) / tile)))
+    return df.withColumn("ty", spread("y")).withColumn("tx", spread("x"))
+
+
+def _windows(a: np.ndarray, radius: int, size: int):
+    """The array of a tile with its halo, shifted to each offset along the first axis."""
+    return (a[radius + d : radius + d + size] for d in range(-radius, radius + 1))
+
+
+def dilate(cells: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """Cells whose centre is within ``radius`` of a cell's centre; a tile with its halo at a time."""
+    size = tile + 2 * radius
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(key[0]) * tile, int(key[1]) * tile
+        wet = np.zeros((size, size), bool)
+        wet[g["y"].to_numpy(np.int64) - y0 + radius, g["x"].to_numpy(np.int64) - x0 + radius] = True
+        near = np.zeros((tile, tile), bool)
+        for dy in range(-radius, radius + 1):
+            reach = int((radius * radius - dy * dy) ** 0.5)
+            rows = wet[radius + dy : radius + dy + tile]
+            # Cells of the row set within the reach: a difference of running counts.
+            run = np.concatenate([np.zeros((tile, 1), np.int32), np.cumsum(rows, axis=1, dtype=np.int32)], axis=1)
+            lo = radius - reach
+            near |= run[:, lo + 2 * reach + 1 : lo + 2 * reach + 1 + tile] > run[:, lo : lo + tile]
+        y, x = np.nonzero(near)
+        return pd.DataFrame({"y": y + y0, "x": x + x0})
+
+    return _haloed(cells.select("y", "x"), radius, tile).groupBy("ty", "tx").applyInPandas(one, "y bigint, x bigint")
 
 
 def or_pool(df: DataFrame, flag: str, size: int = 5) -> DataFrame:
@@ -151,11 +177,14 @@ def qualified(cells: DataFrame, flag: str, min_cells: int = C.SOURCE_MIN_CELLS,
     return named.join(good, "label", "left_semi")
 
 
-def _tile_tree(elev: np.ndarray, a: np.ndarray, b: np.ndarray, terminal: np.ndarray, source: np.ndarray) -> list[tuple[int, int, int]]:
-    """Edges (cell, cell or -1 for the source, level) that keep every bottleneck between terminals."""
-    n = len(elev)
+def _bottlenecks(a: np.ndarray, b: np.ndarray, w: np.ndarray, terminal: np.ndarray, touched: np.ndarray, level: np.ndarray) -> list[tuple[int, int, int]]:
+    """Sides (node, node or -1 for the source, height) of a tree that keeps every bottleneck between terminals and the source.
+
+    ``touched``: nodes that reach the source over ``level``.
+    """
+    n = len(terminal)
     parent = list(range(n + 1))
-    rep = [i if terminal[i] else -2 for i in range(n)] + [-1]
+    rep = [i if t else -2 for i, t in enumerate(terminal.tolist())] + [-1]
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -163,28 +192,60 @@ def _tile_tree(elev: np.ndarray, a: np.ndarray, b: np.ndarray, terminal: np.ndar
             i = parent[i]
         return i
 
-    src = np.flatnonzero(source)
-    ea, eb = np.concatenate([a, src]), np.concatenate([b, np.full(len(src), n)])
-    w = np.concatenate([np.maximum(elev[a], elev[b]), elev[src]])
+    ea, eb, height = np.concatenate([a, touched]), np.concatenate([b, np.full(len(touched), n)]), np.concatenate([w, level])
+    order = np.argsort(height, kind="stable")
     out = []
-    for k in np.argsort(w, kind="stable").tolist():
-        i, j = find(int(ea[k])), find(int(eb[k]))
+    for i, j, h in zip(ea[order].tolist(), eb[order].tolist(), height[order].tolist(), strict=True):
+        i, j = find(i), find(j)
         if i == j:
             continue
         if rep[i] != -2 and rep[j] != -2:
-            out.append((rep[i], rep[j], int(w[k])))
+            out.append((rep[i], rep[j], int(h)))
         parent[i] = j
         # The source stays the name of its part: its stage is known.
         rep[j] = -1 if -1 in (rep[i], rep[j]) else rep[j] if rep[j] != -2 else rep[i]
     return out
 
 
+def _minimax(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """The least, over paths to a node with a known level, of the larger of that level and the path's highest side."""
+    order = np.argsort(np.concatenate([a, b]), kind="stable")
+    to, level = np.concatenate([b, a])[order].tolist(), np.concatenate([w, w])[order].tolist()
+    first = np.searchsorted(np.concatenate([a, b])[order], np.arange(n + 1)).tolist()
+    best = best.tolist()
+    heap = [(v, i) for i, v in enumerate(best) if v < np.inf]
+    heapq.heapify(heap)
+    while heap:
+        v, i = heapq.heappop(heap)
+        if v > best[i]:
+            continue
+        for k in range(first[i], first[i + 1]):
+            j, up = to[k], max(v, level[k])
+            if up < best[j]:
+                best[j] = up
+                heapq.heappush(heap, (up, j))
+    return np.asarray(best)
+
+
+def _nullable(best: np.ndarray):
+    none = np.isinf(best)
+    return pd.arrays.IntegerArray(np.where(none, 0, best).astype(np.int32), none)
+
+
+#: Tiles along an axis that the next level takes together.
+STEP = 8
+
+
+def _of_tile(c: str, tile: int) -> Column:
+    """The tile of a cell id, as one number."""
+    return F.floor(F.expr(f"{c} div {ROW}") / tile) * ROW + F.floor(F.expr(f"{c} % {ROW}") / tile)
+
+
 def connection_stage(cells: DataFrame, elev: str = "elev", source: str = "source", max_elev: int = C.MODEL_MAX_D, tile: int = TILE) -> DataFrame:
     """Add ``connection``: the least, over paths to a source, of the highest cell on the path; null if there is none.
 
-    Tiles are contracted to trees between their rim cells and the source; the
-    rim cells' stages are relaxed over the trees and the sides between tiles
-    until nothing changes; the tiles are then filled in from their rims.
+    Tiles are contracted to trees that keep every bottleneck between their rim cells and the source, then tiles of tiles,
+    until one is left: as many steps as the grid's width has digits. The stages are then filled in on the way back.
     """
     own = cells.where(F.col(elev).isNotNull() & (F.col(elev) <= max_elev)).select("y", "x", F.col(elev).cast("int").alias("e"), F.coalesce(F.col(source), F.lit(False)).alias("s"))
     own = runtime.save(own, "terrain")
@@ -196,45 +257,77 @@ def connection_stage(cells: DataFrame, elev: str = "elev", source: str = "source
     def contract(g: pd.DataFrame) -> pd.DataFrame:
         y, x, e, s = g["y"].to_numpy(np.int64), g["x"].to_numpy(np.int64), g["e"].to_numpy(np.int64), g["s"].to_numpy(bool)
         a, b = _pairs_in(y, x)
-        key = np.append(y * ROW + x, -1)
-        found = _tile_tree(e, a, b, rim(y, x), s)
+        return named(_bottlenecks(a, b, np.maximum(e[a], e[b]), rim(y, x), np.flatnonzero(s), e[s]), y * ROW + x)
+
+    def named(found: list[tuple[int, int, int]], key: np.ndarray) -> pd.DataFrame:
+        key = np.append(key, -1)
         return pd.DataFrame({"a": [int(key[i]) for i, _, _ in found], "b": [int(key[j]) for _, j, _ in found], "w": [w for _, _, w in found]}, columns=["a", "b", "w"]).astype({"a": "int64", "b": "int64", "w": "int32"})
 
+    def nodes_of(g: pd.DataFrame):
+        """Numbers of a group's nodes: ids, and for each side its ends (the source is no node) and height."""
+        a, b, w = g["a"].to_numpy(np.int64), g["b"].to_numpy(np.int64), g["w"].to_numpy(np.int64)
+        to_source = (a < 0) | (b < 0)
+        key = np.unique(np.concatenate([a, b]))
+        key = key[key >= 0]
+        at = lambda c: np.searchsorted(key, c)
+        return key, at(a[~to_source]), at(b[~to_source]), w[~to_source], at(np.maximum(a, b)[to_source]), w[to_source]
+
     trees = tiled.groupBy("ty", "tx").applyInPandas(contract, "a bigint, b bigint, w int")
     rims = own.where(F.pmod("y", F.lit(tile)).isin(0, tile - 1) | F.pmod("x", F.lit(tile)).isin(0, tile - 1)).select("y", "x", "e")
     across = neighbour_pairs(rims, ["e"]).where(f"floor(y_1 / {tile}) <> floor(y_2 / {tile}) or floor(x_1 / {tile}) <> floor(x_2 / {tile})")
     sides = across.select(cell_id("y_1", "x_1").alias("a"), cell_id("y_2", "x_2").alias("b"), F.greatest("e_1", "e_2").cast("int").alias("w"))
-    graph = trees.unionByName(sides)
-    graph = runtime.save(graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "rim-graph")
-    stage = runtime.save(graph.where("a = -1").groupBy("b").agg(F.min("w").alias("stage")).withColumnRenamed("b", "cell"), "rim-stage")
-    fresh = stage
-    while not fresh.isEmpty():
-        reached = fresh.join(graph.where("a <> -1 and b <> -1"), F.col("cell") == F.col("a")).groupBy("b").agg(F.min(F.greatest("stage", "w")).alias("new"))
-        merged = stage.join(reached, F.col("cell") == F.col("b"), "full").select(F.coalesce("cell", "b").alias("cell"), F.least("stage", "new").alias("stage"), (F.col("new").isNotNull() & (F.col("stage").isNull() | (F.col("new") < F.col("stage")))).alias("changed"))
-        merged = runtime.save(merged, "rim-stage")
-        stage, fresh = merged.select("cell", "stage"), merged.where("changed").select("cell", "stage")
+    graph = runtime.save(trees.unionByName(sides), "rim-graph")
+    extent = own.agg(*(f(c).alias(f"{n}_{c}") for c in ("y", "x") for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    if extent["lo_y"] is not None and min(extent["lo_y"], extent["lo_x"]) < 0:
+        raise ValueError("rows and columns count from zero")
+    levels, width = [], tile
+    while True:
+        width *= STEP
+        ends = {c: F.when(F.col(c) >= 0, _of_tile(c, width)) for c in ("a", "b")}
+        home = F.when(F.coalesce(ends["a"], ends["b"]) == F.coalesce(ends["b"], ends["a"]), F.coalesce(ends["a"], ends["b"]))
+        placed = graph.withColumn("home", home)
+        top = extent["lo_y"] is None or all(extent[f"lo_{c}"] // width == extent[f"hi_{c}"] // width for c in ("y", "x"))
+        levels.append(placed.where("home is not null"))
+        if top:
+            break
+        passed = placed.where("home is null").drop("home")
+        ends_up = passed.select(F.explode(F.array("a", "b")).alias("cell")).distinct()
+        marked = levels[-1].join(ends_up.select(F.col("cell").alias("a"), F.lit(True).alias("out_a")), "a", "left").join(ends_up.select(F.col("cell").alias("b"), F.lit(True).alias("out_b")), "b", "left")
+
+        def again(g: pd.DataFrame) -> pd.DataFrame:
+            key, a, b, w, touched, level = nodes_of(g)
+            out = np.concatenate([g.loc[g["out_a"].notna(), "a"], g.loc[g["out_b"].notna(), "b"]]).astype(np.int64)
+            return named(_bottlenecks(a, b, w, np.isin(key, out), touched, level), key)
+
+        up = marked.select("home", "a", "b", "w", "out_a", "out_b").groupBy("home").applyInPandas(again, "a bigint, b bigint, w int")
+        graph = runtime.save(up.unionByName(passed), "rim-graph")
+
+    def settle(g: pd.DataFrame) -> pd.DataFrame:
+        known = g.loc[g["stage"].notna() & g["w"].isna(), ["a", "stage"]]
+        key, a, b, w, touched, level = nodes_of(g.loc[g["w"].notna()])
+        best = np.full(len(key), np.inf)
+        np.minimum.at(best, touched, level.astype(np.float64))
+        there = known[known["a"].isin(key)]
+        np.minimum.at(best, np.searchsorted(key, there["a"].to_numpy(np.int64)), there["stage"].to_numpy(np.float64))
+        best = _minimax(len(key), a, b, w, best)
+        found = np.isfinite(best)
+        return pd.DataFrame({"cell": key[found], "stage": best[found].astype(np.int32)})
+
+    stage = None
+    for k in reversed(range(len(levels))):
+        width = tile * STEP ** (k + 1)
+        rows = levels[k].select("home", "a", "b", "w", F.lit(None).cast("int").alias("stage"))
+        if stage is not None:
+            rows = rows.unionByName(stage.select(_of_tile("cell", width).alias("home"), F.col("cell").alias("a"), F.col("cell").alias("b"), F.lit(None).cast("int").alias("w"), "stage"))
+        got = rows.groupBy("home").applyInPandas(settle, "cell bigint, stage int")
+        stage = runtime.save(got if stage is None else got.unionByName(stage).groupBy("cell").agg(F.min("stage").alias("stage")), "rim-stage")
 
     def fill(g: pd.DataFrame) -> pd.DataFrame:
         y, x, e, s = g["y"].to_numpy(np.int64), g["x"].to_numpy(np.int64), g["e"].to_numpy(np.int64), g["s"].to_numpy(bool)
         known = g["stage"].to_numpy(np.float64)
-        best = np.where(s, e, np.where(np.isnan(known), np.inf, known))
-        near: list[list[int]] = [[] for _ in range(len(g))]
-        for i, j in zip(*(p.tolist() for p in _pairs_in(y, x)), strict=True):
-            near[i].append(j)
-            near[j].append(i)
-        heap = [(v, i) for i, v in enumerate(best.tolist()) if v < np.inf]
-        heapq.heapify(heap)
-        while heap:
-            v, i = heapq.heappop(heap)
-            if v > best[i]:
-                continue
-            for j in near[i]:
-                up = max(v, e[j])
-                if up < best[j]:
-                    best[j] = up
-                    heapq.heappush(heap, (up, j))
-        none = np.isinf(best)
-        return pd.DataFrame({"y": y, "x": x, "connection": pd.arrays.IntegerArray(np.where(none, 0, best).astype(np.int32), none)})
+        a, b = _pairs_in(y, x)
+        best = _minimax(len(g), a, b, np.maximum(e[a], e[b]), np.where(s, e, np.where(np.isnan(known), np.inf, known)))
+        return pd.DataFrame({"y": y, "x": x, "connection": _nullable(best)})
 
     known = tiled.withColumn("cell", cell_id()).join(stage, "cell", "left").drop("cell")
     filled = known.groupBy("ty", "tx").applyInPandas(fill, "y bigint, x bigint, connection int")
@@ -281,20 +374,27 @@ def touching(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(halo, ["y", "x"], "left_semi")
 
 
-def masked_gaussian(cells: DataFrame, value: str, sigma: float = 2.0, truncate: float = 4.0) -> DataFrame:
-    """Smooth a value over its own cells only: the kernel's weights over missing cells are left out.
-
-    Both kernels are separable sums over offsets along one axis, so two joins do it.
-    """
+def masked_gaussian(cells: DataFrame, value: str, sigma: float = 2.0, truncate: float = 4.0, tile: int = TILE) -> DataFrame:
+    """Smooth a value over its own cells only: the kernel's weights over missing cells are left out; a tile with its halo at a time."""
     radius = int(truncate * sigma + 0.5)
     weights = [float(np.exp(-0.5 * (k / sigma) ** 2)) for k in range(-radius, radius + 1)]
-    kernel = F.array(*(F.struct(F.lit(k - radius).alias("d"), F.lit(w).alias("w")) for k, w in enumerate(weights)))
-    cur = cells.select("y", "x", F.col(value).cast("double").alias("num"), F.lit(1.0).alias("den"))
-    for axis in ("y", "x"):
-        other = "x" if axis == "y" else "y"
-        spread = cur.select(other, axis, "num", "den", F.explode(kernel).alias("k"))
-        cur = spread.groupBy(other, (F.col(axis) + F.col("k.d")).alias(axis)).agg(F.sum(F.col("num") * F.col("k.w")).alias("num"), F.sum(F.col("den") * F.col("k.w")).alias("den"))
-    return cells.join(cur, ["y", "x"]).withColumn("smooth", F.col("num") / F.col("den")).drop("num", "den")
+    size = tile + 2 * radius
+    names = cells.columns
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in cells.schema.fields)}, smooth double"
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        y, x = g["y"].to_numpy(np.int64) - int(key[0]) * tile, g["x"].to_numpy(np.int64) - int(key[1]) * tile
+        both = np.zeros((2, size, size))
+        both[0, y + radius, x + radius] = g[value].to_numpy(np.float64)
+        both[1, y + radius, x + radius] = 1.0
+        sums = []
+        for a in both:
+            down = sum(w * s for w, s in zip(weights, _windows(a, radius, tile), strict=True))
+            sums.append(sum(w * s for w, s in zip(weights, _windows(down.T, radius, tile), strict=True)).T)
+        own = (y >= 0) & (y < tile) & (x >= 0) & (x < tile)
+        return g.loc[own, names].assign(smooth=sums[0][y[own], x[own]] / sums[1][y[own], x[own]])
+
+    return _haloed(cells, radius, tile).groupBy("ty", "tx").applyInPandas(one, schema)
 
 
 def _ring_offsets(lo: int, hi: int):

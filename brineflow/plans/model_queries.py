@@ -31,6 +31,25 @@ def _zones(spark, d) -> tuple[DataFrame, DataFrame]:
     return z.groupBy(F.col("zone_label").alias("zone_id")).agg(F.max("connection").alias("connection"), F.count("*").alias("cells")), hist
 
 
+def _routed(spark, d) -> DataFrame:
+    z = runtime.save(W._zoned(spark, d), "zoned")
+    zones = z.groupBy(F.col("zone_label").alias("zone_id")).agg(F.bool_or("source").alias("is_source"), F.lit(0.0).alias("storage"))
+    hist = z.groupBy(F.col("zone_label").alias("zone_id"), (F.col("elev") / 10).alias("elev_ft")).agg(F.count("*").alias("n"))
+    links = raster.edges(z, "zone_label", "elev").select(F.col("zone_a").alias("a"), F.col("zone_b").alias("b"), (F.col("crest") / 10).alias("crest_ft"), F.col("width").cast("double").alias("width_ft"))
+    return hydraulics.routing_step(zones, runtime.save(links, "zone-edges"), 4.0, hist=hist)
+
+
+def routing_step(spark, d):
+    """Fifteen substeps over the zones and edges of the whole grid."""
+    return _routed(spark, d).select("zone_id", L.centi(F.col("surface_ft")).alias("surface_c"))
+
+
+def routing_balance(spark, d):
+    """What the edges moved sums to nothing; the storage that is left."""
+    r = _routed(spark, d)
+    return r.agg(F.count("*").alias("n_zones"), F.count_if(F.col("storage") > 0.01).alias("n_wet"), F.abs(F.rint(F.sum("moved") * 1000)).cast("bigint").alias("residual_m"), F.rint(F.sum("storage")).cast("bigint").alias("held"))
+
+
 def hypsometric_curves(spark, d):
     _, hist = _zones(spark, d)
     return hydraulics.prefix(hist).select(*_split("zone_id"), "bin", F.col("cum_n").cast("long").alias("cum_n"), F.col("cum_elev").cast("long").alias("cum_elev"))
@@ -248,7 +267,34 @@ sd AS (SELECT k, ax AS x0, ay AS y0, bx AS x1, by_ AS y1 FROM tr UNION ALL SELEC
 ce AS (SELECT k, y, x FROM tr, (SELECT unnest(range(0, 20)) AS y), (SELECT unnest(range(0, 100)) AS x))"""
 
 
+def _routing(substeps: int = 15, sea: float = 4.0) -> str:
+    """The routing step as a chain of tables, one set for each substep."""
+    ctes = [
+        ZONED + ", zs AS (SELECT label, bool_or(source) AS src FROM w GROUP BY label), zb AS (SELECT label, elev / 10.0::DOUBLE AS e, count(*)::DOUBLE AS n FROM w GROUP BY label, elev)",
+        "zk AS (SELECT label, e, sum(n) OVER k AS cells, sum(n * e) OVER k AS sm FROM zb WINDOW k AS (PARTITION BY label ORDER BY e)), zv AS (SELECT *, cells * e - sm AS held FROM zk), zl AS (SELECT label, min(e) AS e0 FROM zv GROUP BY label)",
+        f"zc AS (SELECT zs.label, src, CASE WHEN src THEN coalesce(greatest(0, cells * {sea} - sm), 0) END AS sea_held FROM (SELECT *, {sea}::DOUBLE + 1e-9::DOUBLE AS x FROM zs) zs ASOF LEFT JOIN zv ON zs.label = zv.label AND zs.x >= zv.e)",
+        f"zp AS (SELECT a.label AS la, b.label AS lb, greatest(a.elev, b.elev) / 10.0::DOUBLE AS crest FROM w a, (VALUES (0, 1), (1, 0)) o(dy, dx) JOIN w b ON b.y = a.y + dy AND b.x = a.x + dx WHERE a.label <> b.label), ze AS (SELECT least(la, lb) AS a, greatest(la, lb) AS b, crest, count(*)::DOUBLE AS width FROM zp GROUP BY ALL)",
+        f"st0 AS (SELECT label, src, sea_held, coalesce(sea_held, 0) AS storage, CASE WHEN src THEN {sea}::DOUBLE ELSE e0 END AS surface, 0.0::DOUBLE AS moved FROM zc JOIN zl USING (label))",
+    ]
+    for k in range(substeps):
+        ctes += [
+            f"lv{k} AS MATERIALIZED (SELECT t.label, t.src, t.storage, t.surface, t.src OR t.storage > 0.01 AS wet, greatest(1, coalesce(cells, 0)) AS area FROM (SELECT *, surface + 1e-9::DOUBLE AS x FROM st{k}) t ASOF LEFT JOIN zv ON t.label = zv.label AND t.x >= zv.e)",
+            f"ed{k} AS (SELECT CASE WHEN u.surface >= v.surface THEN a ELSE b END AS f, CASE WHEN u.surface >= v.surface THEN b ELSE a END AS g, greatest(u.surface, v.surface) AS hi, least(u.surface, v.surface) AS lo, 1 / u.area + 1 / v.area AS give, CASE WHEN u.surface >= v.surface THEN u.wet ELSE v.wet END AS wet, crest, width FROM ze JOIN lv{k} u ON u.label = a JOIN lv{k} v ON v.label = b)",
+            f"qe{k} AS MATERIALIZED (SELECT f, g, hi, least(CASE WHEN hi > crest THEN 3.1::DOUBLE * width * pow(hi - crest, 1.5::DOUBLE) * sqrt(greatest(0, 1 - pow(least(1, greatest(0, lo - crest) / (hi - crest)), 1.5::DOUBLE))) ELSE 0 END * 60, (hi - lo) / give) AS q FROM ed{k} WHERE wet)",
+            f"ou{k} AS (SELECT f AS label, sum(q) AS asked FROM qe{k} WHERE q > 0 GROUP BY f), it{k} AS (SELECT g AS label, sum(q) AS offered, max(hi) AS hi FROM qe{k} WHERE q > 0 GROUP BY g)",
+            f"gi{k} AS (SELECT label, CASE WHEN src THEN 1 ELSE least(1, storage / asked) END AS give FROM st{k} JOIN ou{k} USING (label))",
+            f"ta{k} AS (SELECT t.label, CASE WHEN src THEN 1 ELSE least(1, greatest(0, coalesce(greatest(0, cells * y - sm), 0) - storage) / offered) END AS take FROM (SELECT st{k}.*, offered, greatest(surface, it{k}.hi) AS y, greatest(surface, it{k}.hi) + 1e-9::DOUBLE AS x FROM st{k} JOIN it{k} USING (label)) t ASOF LEFT JOIN zv ON t.label = zv.label AND t.x >= zv.e)",
+            f"mv{k} AS (SELECT f, g, q * least(give, take) AS q FROM qe{k} JOIN gi{k} ON gi{k}.label = f JOIN ta{k} ON ta{k}.label = g WHERE q > 0)",
+            f"nt{k} AS (SELECT label, sum(d) AS d FROM (SELECT f AS label, -q AS d FROM mv{k} UNION ALL SELECT g, q FROM mv{k}) GROUP BY label)",
+            f"sn{k} AS (SELECT label, src, sea_held, coalesce(sea_held, greatest(0, storage + coalesce(d, 0))) AS storage, moved + coalesce(d, 0) AS moved FROM st{k} LEFT JOIN nt{k} USING (label))",
+            f"st{k + 1} AS MATERIALIZED (SELECT t.label, src, sea_held, storage, CASE WHEN src THEN {sea}::DOUBLE WHEN storage <= 1e-7 THEN e0 ELSE least(14.0::DOUBLE, e + (storage - held) / cells) END AS surface, moved FROM sn{k} t JOIN zl ON t.label = zl.label ASOF LEFT JOIN zv ON t.label = zv.label AND t.storage >= zv.held)",
+        ]
+    return ", ".join(ctes)
+
+
 SQL = {
+    "routing_step": _r(_routing(), "SELECT label AS zone_id, round_even(surface * 100, 0)::INT AS surface_c FROM st15"),
+    "routing_balance": _r(_routing(), "SELECT count(*) AS n_zones, count(*) FILTER (storage > 0.01) AS n_wet, abs(round_even(sum(moved) * 1000, 0))::BIGINT AS residual_m, round_even(sum(storage), 0)::BIGINT AS held FROM st15"),
     "hypsometric_curves": _r(PRE, "SELECT label // 4294967296 AS y, label % 4294967296 AS x, elev + 100 AS bin, cum_n::BIGINT AS cum_n, cum_elev::BIGINT AS cum_elev FROM cu"),
     "surface_from_storage": _r(PRE, ", a AS (SELECT label, unnest([0, cells * 3])::BIGINT AS st FROM zc), h AS (SELECT a.label, st, arg_max(elev, elev) AS e, arg_max(cum_n * elev - cum_elev, elev) AS held, arg_max(cum_n, elev) AS n FROM a JOIN cu ON a.label = cu.label AND cum_n * elev - cum_elev <= st GROUP BY ALL) SELECT label // 4294967296 AS y, label % 4294967296 AS x, st AS storage_d, round_even((e + (st - held)::DOUBLE / n::DOUBLE) * 1000, 0)::INT AS surface_m FROM h"),
     "state_sweep": _r(SWEEP, "SELECT phase, st::INT AS stage_c, count(s) AS n_wet, count(*) - count(s) AS n_dry, sum(s)::BIGINT AS sum_c FROM sw GROUP BY ALL"),

@@ -17,7 +17,7 @@ from brineflow.plans import oracles
 from brineflow.runtime import table
 
 #: Queries that SQL does not express; their tests are by brute force or invariants.
-WITHOUT_SQL = ("peak_events", "routing_step")
+WITHOUT_SQL = ("peak_events",)
 MINOR, MODERATE, MAJOR = 100.0, 200.0, 300.0
 
 
@@ -206,7 +206,7 @@ def raster_mask_condition(spark, d):
 
 
 def raster_dilate(spark, d):
-    return raster.dilate(_grid(spark, d).where("elev >= 30"), 3).select("y", "x")
+    return raster.dilate(_grid(spark, d).where("elev >= 30"), 3).select("y", F.col("x").cast("int").alias("x"))
 
 
 def raster_or_pool(spark, d):
@@ -245,11 +245,13 @@ def zone_summary(spark, d):
 
 
 def stage_wet_cells(spark, d):
-    stages = hydraulics.stage_catalogue(spark, 26, 10)
-    c = _connected(spark, d).select((F.col("elev") * 10).alias("elev_c"), (F.col("connection") * 10).alias("conn_c"))
-    rows = c.crossJoin(F.broadcast(stages))
-    wet = (F.col("stage_c") > F.col("elev_c")) & F.coalesce(F.col("conn_c") <= F.col("stage_c"), F.lit(False))
-    return rows.groupBy("stage_c").agg(F.count_if(wet).alias("n_wet"), F.count_if((F.col("elev_c") <= F.col("stage_c")) & ~wet).alias("n_low"))
+    """A cell is wet from the first stage that is above it and at its connection; both counts are ranks among the cells."""
+    stages = hydraulics.stage_catalogue(spark, 26, 10).withColumn("at", -F.col("stage_c"))
+    c = _connected(spark, d).select((F.col("elev") * -10).alias("low"), F.when(F.col("connection").isNotNull(), -F.greatest(F.col("elev") * 10 + 1, F.col("connection") * 10)).alias("wet"))
+    c = runtime.save(c.groupBy("low", "wet").count(), "levels")
+    low = frequency.range_count(c.select(F.col("low").alias("level"), "count"), stages, "level", "at", "n_all", "count")
+    both = frequency.range_count(c.select(F.col("wet").alias("level"), "count"), low, "level", "at", "n_wet", "count")
+    return both.select("stage_c", "n_wet", (F.col("n_all") - F.col("n_wet")).alias("n_low"))
 
 
 def _equilibrium(spark, d, stages: DataFrame) -> DataFrame:
@@ -286,15 +288,6 @@ def smoothed_depth(spark, d):
     return raster.masked_gaussian(g, "elev").select("y", "x", F.rint(F.col("smooth") * 100).cast("int").alias("smooth_c"))
 
 
-def routing_step(spark, d):
-    z = runtime.save(_zoned(spark, d), "zoned")
-    zones = z.groupBy(F.col("zone_label").alias("zone_id")).agg(F.bool_or("source").alias("is_source"), F.lit(0.0).alias("storage"))
-    hist = z.groupBy(F.col("zone_label").alias("zone_id"), (F.col("elev") / 10).alias("elev_ft")).agg(F.count("*").alias("n"))
-    links = raster.edges(z, "zone_label", "elev").select(F.col("zone_a").alias("a"), F.col("zone_b").alias("b"), (F.col("crest") / 10).alias("crest_ft"), F.col("width").cast("double").alias("width_ft"))
-    done = hydraulics.routing_step(zones, runtime.save(links, "zone-edges"), 4.0, hist=hist)
-    return done.select("zone_id", L.centi(F.col("surface_ft")).alias("surface_c"))
-
-
 def scalar_formats(spark, d):
     o = table(spark, d, "orders")
     hm = F.expr("cast(o_orderkey % 2700 as string)")

@@ -34,8 +34,13 @@ def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def gauge(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`gauge_points`, of the documents under ``path``."""
+    return gauge_points(documents(spark, path, GAUGE).withColumn("file", F.input_file_name()))
+
+
+def gauge_points(docs: DataFrame) -> DataFrame:
     """``t, v, ord``: three nested lists flattened, unparsable stamps and levels out of range dropped."""
-    rows = documents(spark, path, GAUGE).select(F.input_file_name().alias("file"), F.posexplode("value.timeSeries").alias("i", "s"))
+    rows = docs.select("file", F.posexplode("value.timeSeries").alias("i", "s"))
     rows = rows.select("file", "i", F.posexplode("s.values").alias("j", "b")).select("file", "i", "j", F.posexplode("b.value").alias("k", "p"))
     t = F.try_to_timestamp(F.regexp_replace("p.dateTime", "Z$", "+00:00"))
     out = rows.select(F.unix_timestamp(t).alias("t"), finite(F.col("p.value").try_cast("double")).alias("v"), F.struct("file", "i", "j", "k").alias("ord"))
@@ -43,8 +48,13 @@ def gauge(spark: SparkSession, path: str) -> DataFrame:
 
 
 def water_levels(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`water_level_points`, of the documents under ``path``."""
+    return water_level_points(documents(spark, path, WATER_LEVEL))
+
+
+def water_level_points(docs: DataFrame) -> DataFrame:
     """``t, v``: minute stamps in UTC; a document with an error message and no data gives no rows."""
-    rows = documents(spark, path, WATER_LEVEL).select(F.explode("data").alias("p"))
+    rows = docs.select(F.explode("data").alias("p"))
     t = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.expr("try_to_timestamp(p.t, 'yyyy-MM-dd HH:mm')").cast("timestamp_ntz"))
     return rows.select(t.alias("t"), parsed_level(F.col("p.v")).alias("v")).where("t is not null and v is not null")
 
@@ -53,7 +63,7 @@ def tab_records(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated records: ``#`` lines are comments, the first line names the columns, the second describes them."""
     rows = spark.read.option("sep", "\t").option("comment", "#").option("header", True).csv(path)
     first = rows.columns[0]
-    return rows.where(~F.col(first).rlike("^[0-9]+[sdn]$"))
+    return rows.where(~F.coalesce(F.col(first).rlike("^[0-9]+[sdn]$"), F.lit(False)))
 
 
 def exploded(spark: SparkSession, path: str, schema: str, field: str) -> DataFrame:
@@ -62,8 +72,13 @@ def exploded(spark: SparkSession, path: str, schema: str, field: str) -> DataFra
 
 
 def forecast_hours(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`forecast_points`, of the documents under ``path``."""
+    return forecast_points(documents(spark, path, FORECASTS))
+
+
+def forecast_points(docs: DataFrame) -> DataFrame:
     """``name, pos, mllw``: the first of the three level fields that is there."""
-    rows = documents(spark, path, FORECASTS).select(F.explode("forecasts").alias("name", "f")).select("name", F.posexplode("f.hours").alias("pos", "h"))
+    rows = docs.select(F.explode("forecasts").alias("name", "f")).select("name", F.posexplode("f.hours").alias("pos", "h"))
     return rows.select("name", "pos", F.coalesce("h.mllwStageFt", "h.twlMllwFt", "h.rawPetssValue").alias("mllw"))
 
 
@@ -104,33 +119,109 @@ def request_url(base: str, **params: F.Column | str) -> F.Column:
     return F.concat(F.lit(base + "?"), F.concat_ws("&", *pairs))
 
 
-def landed(spark: SparkSession, requests: DataFrame, fetch, attempts: int = 4) -> DataFrame:
-    """``url, body``: each request of column ``url`` fetched in its task by ``fetch(url) -> str``, again after a failure.
+NO_DATA = "No data was found"
+
+
+def _fetched(fetch, url: str, attempts: int, wait) -> str | None:
+    """The body, after as many attempts; null where the service says that it has no data for the request."""
+    import time
+
+    for k in range(attempts):
+        try:
+            body = fetch(url)
+            return None if NO_DATA in body[:2000] else body
+        except OSError as error:
+            if NO_DATA in str(error):
+                return None
+            if k + 1 == attempts:
+                raise
+            (wait or time.sleep)(min(12, 2**k))
+    return None
+
+
+def landed(spark: SparkSession, requests: DataFrame, fetch, attempts: int = 4, wait=None) -> DataFrame:
+    """``url, body``: each request of column ``url`` fetched in its task by ``fetch(url) -> str``, again after a failure; no row where there is no data.
 
     ``fetch`` is the only part that leaves the cluster; rows keep the input's partitions.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
+        for part in parts:
+            yield pd.DataFrame({"url": part["url"], "body": [_fetched(fetch, u, attempts, wait) for u in part["url"]]}).dropna()
+
+    return requests.select("url").mapInPandas(run, "url string, body string")
+
+
+def cached(spark: SparkSession, requests: DataFrame, fetch, folder: str, attempts: int = 4) -> DataFrame:
+    """As :func:`landed` for JSON bodies, through files in ``folder`` on any file system: a body that is there and parses is not fetched again, a corrupt one is.
+
+    A run that is cut short goes on where it ended, since each body is a file of its own, written aside and renamed.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+        import json
+        import uuid
+
+        from pyarrow import fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+
+        def body_of(url: str) -> str | None:
+            path = f"{base}/{hashlib.sha256(url.encode()).hexdigest()}.json"
+            if fs.get_file_info(path).type == pafs.FileType.File:
+                with fs.open_input_file(path) as f:
+                    text = f.read().decode("utf-8", "replace")
+                try:
+                    json.loads(text)
+                    return text
+                except ValueError:
+                    fs.delete_file(path)
+            text = _fetched(fetch, url, attempts, None)
+            if text is not None:
+                aside = f"{path}.{uuid.uuid4().hex[:8]}"
+                with fs.open_output_stream(aside) as f:
+                    f.write(text.encode())
+                fs.move(aside, path)
+            return text
+
+        for part in parts:
+            yield pd.DataFrame({"url": part["url"], "body": [body_of(u) for u in part["url"]]}).dropna()
+
+    return requests.select("url").mapInPandas(run, "url string, body string")
+
+
+def paged(spark: SparkSession, requests: DataFrame, fetch, page: int = 1000, attempts: int = 4) -> DataFrame:
+    """``url, feature``: the features of each request's pages in their own order, asked for by offset until a page is short.
+
+    ``url`` names the columns and the predicate that the server applies; a request's pages follow each other in one task.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
 
         for part in parts:
-            bodies = []
             for url in part["url"]:
-                for k in range(attempts):
-                    try:
-                        bodies.append(fetch(url))
+                offset = 0
+                while True:
+                    body = _fetched(fetch, f"{url}&resultOffset={offset}&resultRecordCount={page}", attempts, None)
+                    found = json.loads(body)["features"] if body else []
+                    yield pd.DataFrame({"url": url, "feature": [json.dumps(x) for x in found]}, dtype="object")
+                    offset += len(found)
+                    if len(found) < page:
                         break
-                    except OSError:
-                        if k + 1 == attempts:
-                            raise
-                        time.sleep(min(12, 2**k))
-            yield pd.DataFrame({"url": part["url"], "body": bodies})
 
-    return requests.select("url").mapInPandas(run, "url string, body string")
+    return requests.select("url").mapInPandas(run, "url string, feature string")
 
 
 def archived_members(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """``archive, name, content, sha256``: members of ZIP archives whose names end in ``suffix``, one archive to a row of work."""
+    """As :func:`members_of`, of the ZIP archives under ``path``."""
+    return members_of(spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("sha256")), suffix)
+
+
+def members_of(files: DataFrame, suffix: str) -> DataFrame:
+    """``archive, name, content, sha256``: members of ZIP archives (path, content, sha256) whose names end in ``suffix``, one archive to a row of work."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -143,5 +234,4 @@ def archived_members(spark: SparkSession, path: str, suffix: str) -> DataFrame:
                         if name.endswith(suffix):
                             yield pd.DataFrame({"archive": [archive], "name": [name], "content": [z.read(name)], "sha256": [digest]})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("sha256"))
-    return files.mapInPandas(run, "archive string, name string, content binary, sha256 string")
+    return files.select("path", "content", "sha256").mapInPandas(run, "archive string, name string, content binary, sha256 string")

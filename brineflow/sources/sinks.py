@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import struct
 
@@ -25,16 +26,59 @@ def day_document(days: DataFrame, header: dict) -> DataFrame:
     return days.agg(rows).select(F.to_json(F.struct(*fields, "days")).alias("value"))
 
 
+def day_documents(days: DataFrame, header: dict, key: str = "series") -> DataFrame:
+    """As :func:`day_document`, one document for each ``key``."""
+    fields = [F.lit(v).alias(k) for k, v in header.items()]
+    rows = F.array_sort(F.collect_list(F.struct("d", *(c for c in days.columns if c not in ("d", key))))).alias("days")
+    return days.groupBy(key).agg(rows).select(F.to_json(F.struct(*fields, key, "days")).alias("value"))
+
+
+def crest_document(crests: DataFrame, header: dict) -> DataFrame:
+    """One indented JSON document of the crests, the highest first, dates as text; a table of records is small."""
+    ranked = F.reverse(F.array_sort(F.collect_list(F.struct("height_ft", *(c for c in crests.columns if c != "height_ft"))))).alias("toptides")
+    return crests.agg(ranked).select(F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in header.items()), "toptides"), {"pretty": "true"}).alias("value"))
+
+
 def write_document(doc: DataFrame, path: str) -> None:
-    doc.coalesce(1).write.mode("overwrite").text(path)
+    doc.coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """``name, bytes, sha256`` of files (name, content)."""
+    return files.select("name", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def merge_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The entries of ``new``, and those of ``old`` that it does not name."""
+    return upsert(old, new, ["name"])
 
 
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> None:
-    """Replace whole rows by key. The merged table is written aside before the old one is overwritten."""
+    """Replace whole rows by key. The merged table is written aside and then takes the old one's place, which is kept until that is done."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    now, aside, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.next", f"{path.rstrip('/')}.old"))
+    fs = now.getFileSystem(conf)
+    if not fs.exists(now) and fs.exists(gone):
+        fs.rename(gone, now)  # a run that failed between the two renames
+    there = fs.exists(now)
+    merged = upsert(spark.read.parquet(path), new, keys) if there else new
+    merged.write.mode("overwrite").parquet(aside.toString())
+    if there:
+        fs.delete(gone, True)
+        fs.rename(now, gone)
+    fs.rename(aside, now)
+    fs.delete(gone, True)
+
+
+def upsert_days(spark: SparkSession, path: str, new: DataFrame, keys: list[str], day: str = "day") -> None:
+    """Replace rows by key in a table that is partitioned by ``day``; only the days that ``new`` has are read and written."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-    merged = runtime.save(upsert(spark.read.parquet(path), new, keys) if there else new, "upsert")
-    merged.write.mode("overwrite").parquet(path)
+    merged = new
+    if there:
+        old = spark.read.schema(new.schema).parquet(path).join(F.broadcast(new.select(day).distinct()), day, "left_semi")  # one row for each day of a batch
+        merged = runtime.save(upsert(old, new, keys), "upsert")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
 def write_zones(zones: DataFrame, path: str) -> None:
@@ -43,6 +87,11 @@ def write_zones(zones: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Edges (zone_a, zone_b, crest10, width_ft) as CSV."""
+    edges.select("zone_a", "zone_b", "crest10", "width_ft").write.mode("overwrite").option("header", True).csv(path)
+
+
 def dense_histogram(hist: F.Column, bins: int = 241) -> F.Column:
     """A map of filled bins as an array of all."""
     return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at(hist, i.cast("int")), F.lit(0)))
@@ -53,22 +102,46 @@ def features(df: DataFrame, geometry: str) -> DataFrame:
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*(c for c in df.columns if c != geometry)).alias("properties"), F.col(geometry).alias("geometry"))).alias("value"))
 
 
-def world_file(pixel_x: float, pixel_y: float, left: float, top: float) -> str:
-    """Six affine lines for the centre of the upper left pixel."""
-    return "".join(f"{v:.12f}\n" for v in (pixel_x, 0.0, 0.0, -pixel_y, left + pixel_x / 2, top - pixel_y / 2))
+def world_file(pixel_x: float, pixel_y: float, left: float, top: float, turn_x: float = 0.0, turn_y: float = 0.0) -> str:
+    """Six affine lines for the centre of the upper left pixel; ``turn_x`` and ``turn_y`` are the rotation terms."""
+    return "".join(f"{v:.12f}\n" for v in (pixel_x, turn_y, turn_x, -pixel_y, left + (pixel_x + turn_x) / 2, top + (turn_y - pixel_y) / 2))
+
+
+def state_rows(states: DataFrame, n_zones: int) -> DataFrame:
+    """``phase, stage, slots``: one row of the container for each phase and stage, two bytes for each zone after slot 0, which is no zone.
+
+    Made in tasks: a row is bounded by the number of zones.
+    """
+    filled = states.where("surface_c is not null").groupBy("phase", "stage").agg(F.collect_list(F.struct("zone_id", "surface_c")).alias("z"))
+
+    def run(parts):
+        for part in parts:
+            slots = []
+            for z in part["z"]:
+                row = np.full(n_zones + 1, DRY, "<i2")
+                row[np.asarray([x["zone_id"] for x in z], np.int64) + 1] = [x["surface_c"] for x in z]
+                slots.append(row.tobytes())
+            yield part[["phase", "stage"]].assign(slots=slots)
+
+    return filled.mapInPandas(run, "phase string, stage int, slots binary")
 
 
 def encode_states(states: DataFrame, n_zones: int, n_stages: int, meta: dict) -> bytes:
-    """Gzipped container of the surfaces (phase, stage index, zone_id, surface_c), in hundredths; slot 0 is no zone.
+    """Gzipped container of the surfaces (phase, stage index, zone_id, surface_c), in hundredths.
 
-    The matrices are bounded by the catalogue: stages times zones, two bytes each, for three phases.
+    The rows come packed from the tasks, one at a time; a container is stages times zones, two bytes each, for three phases.
     """
     names = ["filling", "slack", "draining"]
-    cube = np.full((3, n_stages, n_zones + 1), DRY, "<i2")
-    for phase, stage, zone, surface in states.where("surface_c is not null").select("phase", "stage", "zone_id", "surface_c").toLocalIterator():
-        cube[names.index(phase), stage, zone + 1] = surface
-    header = json.dumps(meta | {"phases": names, "stageCount": n_stages, "stride": n_zones + 1}, sort_keys=True, separators=(",", ":")).encode()
-    return gzip.compress(MAGIC + struct.pack("<I", len(header)) + header + cube.tobytes(), 9, mtime=0)
+    header = json.dumps(meta | {"phaseArrays": names, "stageCount": n_stages, "zoneStride": n_zones + 1}, sort_keys=True, separators=(",", ":")).encode()
+    empty = np.full(n_zones + 1, DRY, "<i2").tobytes()
+    rows = {(r["phase"], r["stage"]): bytes(r["slots"]) for r in state_rows(states, n_zones).toLocalIterator()}
+    out = io.BytesIO()
+    with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=9, mtime=0) as z:
+        z.write(MAGIC + struct.pack("<I", len(header)) + header)
+        for phase in names:
+            for stage in range(n_stages):
+                z.write(rows.pop((phase, stage), empty))
+    return out.getvalue()
 
 
 def decode_states(content: bytes) -> tuple[dict, np.ndarray]:
@@ -78,7 +151,7 @@ def decode_states(content: bytes) -> tuple[dict, np.ndarray]:
     (size,) = struct.unpack_from("<I", raw, len(MAGIC))
     at = len(MAGIC) + 4
     meta = json.loads(raw[at : at + size])
-    shape = (len(meta["phases"]), meta["stageCount"], meta["stride"])
+    shape = (len(meta["phaseArrays"]), meta["stageCount"], meta["zoneStride"])
     cube = np.frombuffer(raw, "<i2", offset=at + size)
     if cube.size != np.prod(shape):
         raise ValueError("the matrices do not fit the header")
@@ -86,7 +159,12 @@ def decode_states(content: bytes) -> tuple[dict, np.ndarray]:
 
 
 def read_states(spark: SparkSession, path: str) -> DataFrame:
-    """``phase, stage, zone_id, surface_c`` of the wet slots of state containers, unpacked in the tasks that read them."""
+    """As :func:`states_of`, of the container files under ``path``."""
+    return states_of(spark.read.format("binaryFile").load(path))
+
+
+def states_of(files: DataFrame) -> DataFrame:
+    """``phase, stage, zone_id, surface_c`` of the wet slots of state containers (content), unpacked in the tasks that read them."""
     import pandas as pd
 
     def run(parts):
@@ -96,6 +174,6 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
                 p, s, z = np.nonzero(cube != DRY)
                 ok = z > 0
                 p, s, z = p[ok], s[ok], z[ok]
-                yield pd.DataFrame({"phase": np.asarray(meta["phases"])[p], "stage": s.astype(np.int32), "zone_id": (z - 1).astype(np.int32), "surface_c": cube[p, s, z].astype(np.int32)})
+                yield pd.DataFrame({"phase": np.asarray(meta["phaseArrays"])[p], "stage": s.astype(np.int32), "zone_id": (z - 1).astype(np.int32), "surface_c": cube[p, s, z].astype(np.int32)})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "phase string, stage int, zone_id int, surface_c int")
+    return files.select("content").mapInPandas(run, "phase string, stage int, zone_id int, surface_c int")

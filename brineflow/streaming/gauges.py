@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brineflow.sources.sinks import upsert_table
+from brineflow.sources.sinks import upsert_days, upsert_table
 
 
 def hourly_peaks(stream: DataFrame, late: str = "3 days") -> DataFrame:
     return stream.withWatermark("ts", late).groupBy("series", F.window("ts", "1 hour")).agg(F.max("v").alias("peak"), F.count("*").alias("n")).select("series", F.col("window.start").alias("hour"), "peak", "n")
 
 
+def quarter_peaks(stream: DataFrame, late: str = "3 days") -> DataFrame:
+    """Peaks by quarter-hour windows that start at the quarters."""
+    return stream.withWatermark("ts", late).groupBy("series", F.window("ts", "15 minutes")).agg(F.max("v").alias("peak"), F.count("*").alias("n")).select("series", F.col("window.start").alias("quarter"), "peak", "n")
+
+
 def gap_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "3 days", min_rows: int = 12) -> DataFrame:
     """Sessions that end with a gap; a gap of exactly that length still joins."""
     s = stream.withWatermark("ts", late).groupBy("series", F.session_window("ts", gap)).agg(F.count("*").alias("n"), F.max("v").alias("peak"))
@@ -30,3 +35,12 @@ def replace_days(stream: DataFrame, path: str, keys: list[str], checkpoint: str)
         upsert_table(batch.sparkSession, path, batch, keys)
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(one)
+
+
+def replace_partitions(stream: DataFrame, path: str, keys: list[str], checkpoint: str, day: str = "day"):
+    """As :func:`replace_days` for a table that is partitioned by ``day``: a batch rewrites the days it has and no others."""
+
+    def one(batch: DataFrame, _: int) -> None:
+        upsert_days(batch.sparkSession, path, batch, keys, day)
+
+    return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(one)
