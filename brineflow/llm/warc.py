@@ -14,7 +14,8 @@ put together again.
 Defined results: a null page counts as an empty payload; a null page id is
 written as an empty one and read as null; payloads under ``MIN_REVISIT`` bytes
 are never revisits; rows that repeat the smallest page id of a payload are all
-responses; an empty table writes an empty archive. Columns other than the page
+responses; an empty table writes an empty archive; of a file whose chain breaks the
+records before the break are read, and :func:`broken_files` names it. Columns other than the page
 id, URL and html are not written.
 """
 
@@ -150,6 +151,15 @@ def rejoined(spark: SparkSession, path: str, broken: DataFrame) -> DataFrame:
     return texts.select("file", "at", F.sha2(payload, 256).alias("whole_digest"))
 
 
+def broken_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, size, reached``: the files whose chain ends before they do, so that records after ``reached`` were not read."""
+    cut = pieces(spark, path)
+    # The first piece of a file stands before its first magic line, which every other piece has in front.
+    size = cut.groupBy("file").agg((F.sum(F.octet_length("value") + len(MAGIC)) - len(MAGIC)).cast("long").alias("size"))
+    ends = verified(candidates(cut)).groupBy("file").agg(F.max("ends").alias("reached"))
+    return size.join(ends, "file", "left").withColumn("reached", F.coalesce("reached", F.lit(0).cast("long"))).where("reached < size")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record: page_id, url, record_type, payload_bytes, payload_digest, refers_to."""
     records = runtime.save(verified(candidates(pieces(spark, path))), "warc-records")
