@@ -3,10 +3,11 @@
 Sets of similar size share a scheme: the universe of shingles is hashed into
 one segment more than two linked sets of that size can differ in shingles, so
 two linked sets agree in one segment at least. A set is indexed under each
-segment's content (a sum of its shingles' hashes) and, for one segment of each
-scheme, under its contents less one shingle. A set whose smallest segment is
-likelier to match by chance than those deletions does not probe it and allows
-that one segment a difference of one instead: the pigeonhole count is the same.
+segment's content (a sum of its shingles' hashes) and, for the spare segments of
+each scheme, under their contents less one shingle. A set does not probe its
+smallest segments, and those of common shingles, which match by chance, and allows
+as many spare segments a difference of one instead: the pigeonhole count is the same.
+A scheme has so many spares that next to no set has more empty segments.
 Sets of one band are also indexed in the scheme of the next, since linked sets
 lie in neighbouring bands.
 
@@ -48,6 +49,9 @@ SKETCH, FOLDED = 32, 8
 WIDE_FROM = 64 * SKETCH // 2
 #: A shingle of one set is in another unrelated set of the band with this weight, for the allocation.
 CHANCE = 0.25
+#: Shingles in this share of the documents or more are common: their segments match more than by chance. One document in
+#: COMMON_SAMPLE is counted for that; there are no more of them than shingles in a document, on average, over the share.
+COMMON, COMMON_SAMPLE, COMMON_WEIGHT = 0.002, 32, 50.0
 #: What probing deletions costs besides chance matches.
 PROBE = 0.03
 
@@ -106,29 +110,72 @@ def scheme(band: int, percent: int) -> int:
     return most_apart(2 * ends[band], percent) + 1
 
 
-def signatures(u: np.ndarray, band: int, percent: int, probing: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures in a band's scheme: those that probe and those that are only found."""
+@lru_cache(maxsize=4096)
+def spares(band: int, percent: int) -> int:
+    """Segments of a band's scheme that are indexed with deletions: as many as segments that are empty in nearly every set of the band at most."""
     m = scheme(band, percent)
+    top = 1 << 12
+    while len(ends := band_ends(percent, top)) <= band:
+        top <<= 2
+    empty = m * float(np.exp(-0.9 * ends[band] / m))
+    return min(m // 2, max(1, int(np.ceil(empty + 4 * empty**0.5 + 1)) if empty > 0.05 else 1)) if m > 1 else 0
+
+
+Common = tuple[np.ndarray, np.ndarray]
+NONE_COMMON: Common = (np.zeros(0, np.uint64), np.zeros(0))
+
+
+def common_shingles(docs: DataFrame, k: int) -> Common:
+    """Hashes of the common shingles, sorted, and their shares. The choice of segments depends on them, not what is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(words_of(text), k).view(np.int64))], names=["h"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_SAMPLE)) == 0).select("text")
+    least = max(5.0, COMMON * some.count())
+    rows = some.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") >= least).toPandas().sort_values("h")
+    h = rows["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], rows["count"].to_numpy(np.float64)[order] * COMMON / least
+
+
+def signatures(u: np.ndarray, band: int, percent: int, probing: bool, common: Common = NONE_COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures in a band's scheme: those that probe and those that are only found.
+
+    A segment's chance to match is by its size, or, where all its shingles are common, by the share of the rarest.
+    """
+    m, k = scheme(band, percent), spares(band, percent)
     seg = (mix(u, 2 * band + 101) % np.uint64(m)).astype(np.int64)
     value = mix(u, 7)
     total = np.zeros(m, np.uint64)
     np.add.at(total, seg, value)
-    size = np.bincount(seg, minlength=m)
-    name = (np.uint64(band) << np.uint64(32)) + np.arange(m, dtype=np.uint64)
-    whole = mix(total ^ mix(name, 3), 5)
-    if m == 1:
-        return (whole, whole[:0]) if probing else (whole[:0], whole)
-    last = m - 1
-    less = mix((total[last] - value[seg == last]) ^ mix(name[last:], 3), 5)
+    name = mix((np.uint64(band) << np.uint64(32)) + np.arange(m, dtype=np.uint64), 3)
+    whole = mix(total ^ name, 5)
+    inside = seg >= m - k
+    owner = seg[inside]
+    less = mix((total[owner] - value[inside]) ^ name[owner], 5)
     if not probing:
         return whole[:0], np.concatenate([whole, less])
-    least = int(np.argmin(size[:last]))
-    n_last = int(size[last])
-    chance_less = (1 + n_last) * CHANCE ** (n_last - 1) if n_last else np.inf
-    if CHANCE ** int(size[least]) > chance_less + PROBE:
-        keep = np.arange(m) != least
-        return np.concatenate([whole[keep], less]), whole[least : least + 1]
-    return whole, less
+    size = np.bincount(seg, minlength=m)
+    chance = CHANCE ** size.astype(np.float64)
+    if len(common[0]) and len(u):
+        at = np.minimum(np.searchsorted(common[0], u), len(common[0]) - 1)
+        rarest = np.ones(m)
+        np.minimum.at(rarest, seg, np.where(common[0][at] == u, common[1][at], 0.0))
+        chance = np.maximum(chance, np.minimum(1.0, COMMON_WEIGHT * rarest) * (size > 0))
+    spare = size[m - k :]
+    # Segments that match most by chance against the spares whose deletions cost least, in pairs, as long as that is cheaper.
+    give = np.argsort(-chance[: m - k], kind="stable")[:k]
+    cost = np.where(spare > 0, (1 + spare) * np.maximum(CHANCE ** (spare - 1.0), chance[m - k :]) + PROBE, np.inf)
+    take = np.argsort(cost, kind="stable")[: len(give)]
+    pays = chance[give] > cost[take]
+    probes = np.ones(m, bool)
+    probes[give[pays]] = False
+    boosted = np.zeros(m, bool)
+    boosted[m - k + take[pays]] = True
+    return np.concatenate([whole[probes], less[boosted[owner]]]), np.concatenate([whole[~probes], less[~boosted[owner]]])
 
 
 def parity_sketch(u: np.ndarray) -> np.ndarray:
@@ -154,6 +201,8 @@ SETS = "doc_id bigint, n int, h1 bigint, h2 bigint, sketch array<bigint>, wide a
 
 
 def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))  # some 16 bytes for each common shingle
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
         names = ["doc_id", "n", "h1", "h2", "sketch", "wide", "probe", "found"]
@@ -176,7 +225,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     wide.append(wide_sketch(u))
                     if len(u):
                         b = band_of(len(u), percent)
-                        own, other = signatures(u, b, percent, True)
+                        own, other = signatures(u, b, percent, True, shared.value)
                         lifted = signatures(u, b + 1, percent, False)[1]
                         sketch.append(parity_sketch(u))
                         probe.append(own)
@@ -191,41 +240,68 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SETS)
 
 
-STARS = "sig bigint, hub bigint, node bigint, probes boolean, members bigint"
+#: One set in so many is counted to find the signatures that many share; those with more than HOT_SETS of them are split in SALTS parts.
+SAMPLE, HOT_SETS, SALTS = 64, 16, 64
+NONE = np.iinfo(np.int64).min
+STARS = "sig bigint, hub bigint, node bigint, probes boolean, salt int, open boolean"
+
+
+def hot_signatures(rows: DataFrame) -> DataFrame:
+    """Signatures that very many sets share: how the work is laid out, not what is found, depends on them.
+
+    As many as BROADCAST_NODES at most, since each stands for so many of the rows that are counted.
+    """
+    counted = runtime.save(rows.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("sig").count().where(F.col("count") > HOT_SETS), "hot-signatures")
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    return counted.where(F.col("count") > total // BROADCAST_NODES).select("sig")
 
 
 def stars(rows: DataFrame) -> DataFrame:
     """Under each signature that a set probes and another shares, each other set with one hub: the smallest that probes.
 
-    ``rows``: (sig, node, probes), streamed in order, so that the length of a run does not matter.
+    ``rows``: (sig, node, probes). The sets of a hot signature are dealt into parts; each part has a hub of its own, and
+    the hubs, with the sets of parts where none probes, form a star in turn. ``salt`` is over 0 for rows of such parts.
     """
-    ordered = rows.repartition("sig").sortWithinPartitions("sig", F.desc("probes"), "node")
+    hot = hot_signatures(rows)
+    if hot.isEmpty():
+        parted = rows.withColumn("salt", F.lit(0))
+    else:
+        part = F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(0)
+        parted = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left").select("sig", "node", "probes", part.alias("salt"))
+    made = runtime.save(_stars(parted), "stars")
+    first = made.where("not open").drop("open")
+    if hot.isEmpty():
+        return first
+    again = _stars(made.where("open").select("sig", "node", "probes", F.lit(0).alias("salt"))).where("not open").withColumn("salt", F.lit(SALTS + 1))
+    return first.unionByName(runtime.save(again.drop("open"), "stars"))
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """One star for each signature and salt, streamed in order, so that the length of a run does not matter.
+
+    Rows with a salt also give, as ``open`` rows, the hub of their part or, where none probes, themselves.
+    """
+    ordered = rows.repartition("sig", "salt").sortWithinPartitions("sig", "salt", F.desc("probes"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig0, hub0, seen0 = None, 0, 0  # of the run that the last batch ended in
+        sig0, salt0, hub0 = None, None, NONE  # of the run that the last batch ended in; NONE: no set in it probes
         for batch in batches:
-            sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sig, node, salt = (batch.column(k).to_numpy() for k in (0, 1, 3))
             probes = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
             if not len(sig):
                 continue
-            new = np.concatenate([[sig0 is None or sig[0] != sig0], sig[1:] != sig[:-1]])
+            new = np.concatenate([[sig0 is None or sig[0] != sig0 or salt[0] != salt0], (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])])
             head = np.flatnonzero(new)
-            run_of = np.cumsum(new) - 1
-            hubs = np.where(probes[head], node[head], -1)
-            valid = probes[head]
-            nth = np.arange(len(sig)) - (head[run_of] if len(head) else 0)
-            if len(head):
-                hub, ok = hubs[np.maximum(run_of, 0)], valid[np.maximum(run_of, 0)]
-            else:
-                hub, ok = np.zeros(len(sig), np.int64), np.zeros(len(sig), bool)
-            carried = run_of < 0
-            if carried.any():
-                hub[carried], ok[carried] = hub0 if hub0 is not None else 0, hub0 is not None
-                nth[carried] = seen0 + np.arange(int(carried.sum()))
-            keep = ok & (node != hub)
+            # The run that is carried on comes first.
+            hubs = np.concatenate([[hub0], np.where(probes[head], node[head], NONE)])
+            hub = hubs[np.cumsum(new)]
+            is_head = new & probes
+            open_ = (salt > 0) & (is_head | (hub == NONE))
+            keep = ((hub != NONE) & (node != hub)) | open_
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(hub[keep]), pa.array(node[keep]), pa.array(probes[keep]), pa.array(nth[keep].astype(np.int64))], names=["sig", "hub", "node", "probes", "members"])
-            sig0, seen0, hub0 = sig[-1], int(nth[-1]) + 1, int(hub[-1]) if ok[-1] else None
+                columns = [sig, np.where(open_, node, hub), node, probes, salt, open_]
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["sig", "hub", "node", "probes", "salt", "open"])
+            sig0, salt0, hub0 = sig[-1], salt[-1], int(hub[-1])
 
     return ordered.mapInArrow(run, STARS)
 
@@ -261,7 +337,7 @@ def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) whose sets are as similar as ``percent`` asks, on the words themselves."""
+    """The distinct pairs (a, b) whose sets are as similar as ``percent`` asks, on the words themselves; written."""
     pairs = runtime.save(pairs.select("a", "b").distinct(), "pairs")
     nodes = runtime.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
     small = nodes.count() <= BROADCAST_NODES
@@ -286,7 +362,10 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return two.mapInArrow(run, "a bigint, b bigint")
+    links = runtime.save(two.mapInArrow(run, "a bigint, b bigint"), "links")
+    for done in (pairs, nodes, texts):
+        runtime.drop(done)
+    return links
 
 
 def _labelled(rows: DataFrame, node: str, components: DataFrame, out: str) -> DataFrame:
@@ -302,7 +381,9 @@ def left_over(star: DataFrame, reps: DataFrame, components: DataFrame, percent:
     what meets is bounded from below in its difference, and only pairs within
     the bound come out.
     """
-    named = _labelled(star.select("sig", "node", "probes"), "node", components, "c")
+    # Hubs of parts have met their own part only.
+    hubs = star.where("salt > 0").select("sig", F.col("hub").alias("node"), F.lit(True).alias("probes")).distinct()
+    named = _labelled(star.select("sig", "node", "probes").unionByName(hubs), "node", components, "c")
     open_ = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("probes").alias("any")).where("lo <> hi and any").select("sig")
     rows = runtime.save(named.join(open_, "sig", "left_semi"), "open-signatures")
     sizes = rows.groupBy("sig", "c").count()
@@ -319,26 +400,38 @@ def left_over(star: DataFrame, reps: DataFrame, components: DataFrame, percent:
     return runtime.save(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "apart"), "left-over")
 
 
+def _by_set(rows: DataFrame, sets: DataFrame, key: list[str], n_rows: int) -> DataFrame:
+    """Rows with their set's columns, one row of ``sets`` (key, ``copies`` and others) for each key.
+
+    The sets of many rows are broadcast: no more than BROADCAST_NODES have more than their share of the rows.
+    """
+    many = F.col("copies") > max(256, n_rows // BROADCAST_NODES)
+    hot = F.broadcast(sets.where(many).drop("copies"))
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(sets.where(many).select(*key)), key, "left_anti").join(sets.where(~many).drop("copies"), key))
+
+
 def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row; equal rows give equal rows."""
     sets = runtime.save(shingle_sets(docs, k, percent), "sets")
     key = ["n", "h1", "h2"]
     facts = runtime.save(sets.select("doc_id", *key, "sketch", "wide"), "facts")
     whole = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    reps = runtime.save(facts.where(whole).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sketch", "wide"), "doc_id").alias("s")).select(*key, "rep", "s.*"), "distinct-sets")
-    copies = facts.where(whole).join(reps.select(*key, "rep"), key).where("doc_id <> rep").select("doc_id", *key).distinct()
+    n_rows = facts.count()
+    reps = runtime.save(facts.where(whole).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("sketch", "wide"), "doc_id").alias("s")).select(*key, "rep", "copies", "s.*"), "distinct-sets")
+    again = reps.where("copies > 1").select(*key, "rep", "copies")
+    copies = _by_set(facts.where(whole).select("doc_id", *key), again, key, n_rows).where("doc_id <> rep").select("doc_id", *key).distinct()
     copies = runtime.save(copies, "copies")
     # Only one set of equal ones goes on; its signatures stay where they are if the copies' names are few.
     few = copies.count() <= BROADCAST_NODES
     own = sets.where(whole).join(F.broadcast(copies) if few else copies, ["doc_id", *key], "left_anti")
     rows = own.select(F.explode("probe").alias("sig"), F.col("doc_id").alias("node"), F.lit(True).alias("probes")).unionByName(own.select(F.explode("found").alias("sig"), F.col("doc_id").alias("node"), F.lit(False).alias("probes")))
-    star = runtime.save(stars(rows), "stars")
+    star = stars(rows)
     runtime.drop(sets)
     hubs = star.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     links = verify(possible(hubs, reps, percent), docs, k, percent)
-    links = runtime.save(links, "links")
     components = runtime.save(connected_components(links), "components")
     todo, nth = left_over(star, reps, components, percent), 0
+    runtime.drop(star)
     while not todo.isEmpty():
         # The nearest few of each set and other component first: most of the rest then lies in one component.
         rank = F.row_number().over(Window.partitionBy("x", "cy").orderBy("apart", "y"))
@@ -350,10 +443,10 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         rest = ranked.where(F.col("rank") > 4**nth).select("x", "y", "apart")
         todo = runtime.save(rest.transform(_labelled, "x", components, "cx").transform(_labelled, "y", components, "cy").where("cx <> cy").select("x", "y", "apart"), "left-over")
         nth += 1
-    of_set = _labelled(reps.select(*key, "rep"), "rep", components, "component").select(*key, "component")
-    joined = facts.select("doc_id", *key).join(of_set, key, "left")
-    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    of_set = runtime.save(_labelled(reps.select(*key, "rep", "copies"), "rep", components, "component_id").drop("rep"), "set-components")
+    linked = _by_set(facts.where(whole).select("doc_id", *key), of_set, key, n_rows).select("doc_id", "n", "component_id")
+    alone = facts.where(~whole).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
