@@ -5,9 +5,9 @@ of one host (the ``source`` column) carry is boilerplate and is removed.
 A document that loses more than half of its characters that way is rejected.
 
 Defined results: a null text has no words and fails the length rule; a null
-host is a host of its own; copies of a text count as one document
-for the lines, and repeated rows each get the same verdict; a blank line is never
-boilerplate; extra columns are carried along by :func:`clean` and the columns
+host is a host of its own; documents are told apart by id and text (a null id is an
+id), so repeated rows count once for the lines and each get the same verdict; a blank
+line is never boilerplate; extra columns are carried along by :func:`clean` and the columns
 added replace those of the same name; an empty table gives no rows.
 """
 
@@ -71,24 +71,25 @@ def _key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k_id"), F.xxhash64("text").alias("k_hash")]
 
 
-def boilerplate(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """Hashes of each document's lines that more than ``max_docs`` different documents of its host carry.
+def boilerplate(docs: DataFrame, max_docs: int = MAX_DOCS, count_copies: bool = True) -> DataFrame:
+    """Hashes of each document's lines that more than ``max_docs`` distinct documents of its host carry.
 
-    Copies of a text are one document. A document names each of its lines once,
+    Without ``count_copies`` the documents of one text count as one. A document names each of its lines once,
     and what is counted merges within each task before it is shuffled. The lines
     above the limit are then joined back, where Spark splits what a common line
     makes too large.
     """
     own = F.array_distinct(F.array_compact(normal_lines(F.col("text"))))
     lines = docs.select(*_key(), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.explode(own).alias("h"))
-    above = lines.groupBy("host", "h").agg(F.count_distinct("k_hash").alias("n_docs")).where(F.col("n_docs") > max_docs).select("host", "h")
+    named = F.xxhash64("k_id", "k_hash") if count_copies else F.col("k_hash")
+    above = lines.groupBy("host", "h").agg(F.count_distinct(named).alias("n_docs")).where(F.col("n_docs") > max_docs).select("host", "h")
     return lines.join(above, ["host", "h"], "left_semi").groupBy("k_id", "k_hash").agg(F.collect_set("h").alias("bad_lines"))
 
 
-def clean(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+def clean(docs: DataFrame, max_docs: int = MAX_DOCS, count_copies: bool = True) -> DataFrame:
     """All rows with the counts, ``kept``, and ``clean_text``: the text without its boilerplate lines."""
     docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text", "bad_lines", "k_id", "k_hash")
-    lost = boilerplate(docs, max_docs)
+    lost = boilerplate(docs, max_docs, count_copies)
     line = F.split("text", "\n", -1)
     rows = base_features(docs).withColumns({c: k for c, k in zip(("k_id", "k_hash"), _key(), strict=True)})
     rows = rows.withColumn("__lines", F.arrays_zip(normal_lines(F.col("text")).alias("h"), F.transform(line, lambda x: F.length(x)).alias("n")))

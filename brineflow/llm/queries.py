@@ -31,7 +31,7 @@ l AS (SELECT rid, host, unnest(string_split(t, chr(10))) AS line FROM d),
 lw AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY rid),
 nl AS (SELECT rid, host, trim(lower(line), ' ') AS line, length(line) AS n FROM lw),
-above AS (SELECT host, line FROM (SELECT DISTINCT d.t, nl.host, nl.line FROM nl JOIN d USING (rid)) GROUP BY ALL HAVING count(*) > 20),
+above AS (SELECT host, line FROM (SELECT DISTINCT d.doc_id, d.t, nl.host, nl.line FROM nl JOIN d USING (rid)) GROUP BY ALL HAVING count(*) > 20),
 lost AS (SELECT rid, sum(n) AS n FROM nl SEMI JOIN above USING (host, line) GROUP BY rid),
 total AS (SELECT rid, sum(length(line)) AS n FROM l GROUP BY rid),
 f AS (SELECT d.rid, doc_id, len(ws)::BIGINT AS n_words,
@@ -83,5 +83,16 @@ FROM c GROUP BY conv_id
 """
 
 
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(g) AS h, g FROM (SELECT doc_id, array_to_string(ws[p:p + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) AS p FROM d WHERE len(ws) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 90 * (any_value(na.n) + any_value(nb.n) - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS low FROM d UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node WHERE r.low < e.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.low AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(low) AS low FROM r GROUP BY node) c ON c.node = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_masks": OP4_SQL, "op5_warc_chain": OP5_SQL, "op7_decontaminate": OP7_SQL, "op8_line_frequency_rules": OP8_SQL}
+    return {"op10_jaccard_components": OP10_SQL, "op4_chat_masks": OP4_SQL, "op5_warc_chain": OP5_SQL, "op7_decontaminate": OP7_SQL, "op8_line_frequency_rules": OP8_SQL}
