@@ -12,7 +12,7 @@ writes anew and only the files of the task that succeeded are named.
 
 Defined results: a null or empty text has the end id alone; a null key sorts
 first and is stored but not indexed; of rows that share a key all are stored,
-ordered by text, and keyed access gives the first; an empty table gives no
+ordered by a hash of the text, and keyed access gives the first; an empty table gives no
 shards and no rows. Other columns are not stored.
 """
 
@@ -67,6 +67,18 @@ class LibraryEncoder:
         self.parts: dict[str, bytes] = {}
         self.most = most
 
+    def bytes_of(self) -> list[bytes]:
+        """The bytes of each id: a vocabulary names a byte that is no visible Latin sign by one of the signs from 256 on, in order."""
+        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in set(visible)]
+        back = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
+        out = [b""] * len(self.n_bytes)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            out[i] = bytes(map(back.__getitem__, token))
+        for i, t in self.tokenizer.get_added_tokens_decoder().items():
+            out[i] = t.content.encode()
+        return out
+
     def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         for made in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.asarray(made.ids, self.width)
