@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from brineflow import runtime
 
-#: Bits of each axis.
-BITS = 5
+#: Bits of each axis: half octaves of any size that Spark can hold fit.
+BITS = 6
 ROW_OVERHEAD = 16
 
 
@@ -74,35 +74,57 @@ def with_hilbert(df: DataFrame, axes: list[str], out: str, bits: int = BITS) ->
     return cur.withColumn(out, index).drop("__turn", *x)
 
 
-def curve_order(docs: DataFrame) -> DataFrame:
-    """Write all rows in curve order to the shared folder; ``curve_row`` numbers them within each file run.
+ADDED = ("size", "text_crc32", "h_lang", "h_source", "h_size", "curve", "curve_row", "shard", "slot", "law", "grown_shard")
+KEY = ["curve", "doc_id", "text_crc32"]
+
+
+def with_curve(docs: DataFrame) -> DataFrame:
+    """The rows with ``size``, ``text_crc32``, their coordinates and their ``curve`` index."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.drop(*ADDED).withColumns({"size": (F.octet_length(body) + ROW_OVERHEAD).cast("long"), "text_crc32": F.crc32(body.cast("binary"))})
+    keyed = keyed.withColumns({"h_lang": text_coordinate(F.col("lang")), "h_source": text_coordinate(F.col("source")), "h_size": size_coordinate(F.col("size"))})
+    return with_hilbert(keyed, ["h_lang", "h_source", "h_size"], "curve")
+
+
+def curve_order(rows: DataFrame) -> DataFrame:
+    """Write rows in curve order to the shared folder; ``curve_row`` numbers them within each file run.
 
     A cell that holds a third of all rows is split by the rest of the sort key,
     since the ranges are cut on the whole key.
     """
-    clear = docs.drop("size", "text_crc32", "h_lang", "h_source", "h_size", "curve", "curve_row", "shard", "slot", "law", "grown_shard")
-    body = F.coalesce(F.col("text"), F.lit(""))
-    keyed = clear.withColumns({"size": (F.octet_length(body) + ROW_OVERHEAD).cast("long"), "text_crc32": F.crc32(body.cast("binary"))})
-    keyed = keyed.withColumns({"h_lang": text_coordinate(F.col("lang")), "h_source": text_coordinate(F.col("source")), "h_size": size_coordinate(F.col("size"))})
-    key = ["curve", "doc_id", "text_crc32"]
-    ordered = with_hilbert(keyed, ["h_lang", "h_source", "h_size"], "curve").repartitionByRange(*key).sortWithinPartitions(*key)
+    ordered = rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
     return runtime.save(ordered.withColumn("curve_row", F.monotonically_increasing_id()), "curve")
 
 
-def shard(docs: DataFrame, n_shards: int = 40) -> DataFrame:
-    """All rows in curve order with ``shard`` and gapless ``slot``; runs of equal length, give or take one."""
-    rows = curve_order(docs)
+def cut(rows: DataFrame, n_shards: int) -> DataFrame:
+    """Rows in curve order with ``shard`` and gapless ``slot``; runs of equal length, give or take one."""
     run = F.shiftright(F.col("curve_row"), 33)
     counts = rows.groupBy(run.alias("run")).agg(F.count("*").alias("in_run"))
     # One row for each written run: as many as the shuffle had partitions.
     whole = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = counts.select("run", (F.sum("in_run").over(whole) - F.col("in_run")).alias("before"), F.sum("in_run").over(Window.partitionBy()).alias("n_rows"))
     ranked = rows.withColumn("run", run).join(F.broadcast(starts), "run").withColumn("rank", F.col("before") + F.col("curve_row").bitwiseAND(F.lit((1 << 33) - 1)))
-    cut = ranked.withColumn("shard", F.expr(f"cast(rank * {n_shards} div n_rows as int)"))
+    placed = ranked.withColumn("shard", F.expr(f"cast(rank * {n_shards} div n_rows as int)"))
     first = F.expr(f"(cast(shard as bigint) * n_rows + {n_shards - 1}) div {n_shards}")
-    return cut.withColumns({"slot": F.col("rank") - first, "law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}).drop("run", "before", "n_rows", "rank")
+    return placed.withColumns({"slot": F.col("rank") - first, "law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}).drop("run", "before", "n_rows", "rank")
+
+
+def shard(docs: DataFrame, n_shards: int = 40) -> DataFrame:
+    """All rows, texts and other columns included, with their coordinates, ``shard`` and ``slot``."""
+    return cut(curve_order(with_curve(docs)), n_shards)
+
+
+def assign(docs: DataFrame, n_shards: int = 40) -> DataFrame:
+    """As :func:`shard` for the ids, sizes and checksums alone: the texts stay in the scan, so what is sorted is a few bytes a row."""
+    return cut(curve_order(with_curve(docs).select("doc_id", "size", "text_crc32", "curve")), n_shards)
+
+
+def write(docs: DataFrame, path: str, n_shards: int = 40, max_rows: int = 100_000) -> None:
+    """Write the shards as folders of Parquet files in curve order, so that a filter on language, source or size (``h_lang``, ``h_source``, ``h_size``) skips most files by their statistics."""
+    rows = shard(docs, n_shards)
+    rows.sortWithinPartitions("shard", "slot").write.option("maxRecordsPerFile", max_rows).partitionBy("shard").parquet(path)
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:
     docs = runtime.table(spark, sf_dir, "documents")
-    return shard(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return assign(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
