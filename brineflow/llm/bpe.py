@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from brineflow.llm.mph import PerfectHash
 
 #: Rows that one returned batch holds at most.
 BATCH_ROWS = 512
+#: Bytes of what a worker remembers of pieces seen before.
+MEMO_BYTES = 96 << 20
 
 
 class Vocabulary:
@@ -43,6 +46,8 @@ class Vocabulary:
         for s, t, i in zip(slots, tokens, ids, strict=True):
             self.tokens[s], self.ids[s] = t, i
         self.by_id = dict(zip(ids, tokens, strict=True))
+        #: Ranks of the pairs that merging asks for, most of which are no tokens.
+        self.ranks = dict(zip(tokens, ids, strict=True))
         self.key = xxhash.xxh3_64_hexdigest(b"\0".join(tokens) + pattern.encode())
 
     @classmethod
@@ -51,32 +56,35 @@ class Vocabulary:
             pairs = [line.split() for line in f if line.strip()]
         return cls([base64.b64decode(t) for t, _ in pairs], [int(i) for _, i in pairs], pattern)
 
-    def rank(self, token: bytes) -> int | None:
-        s = self.hash.slot(xxhash.xxh3_64_intdigest(token))
-        return self.ids[s] if s >= 0 and self.tokens[s] == token else None
+    def find(self, raw: list[bytes]) -> list[int | None]:
+        """The id of each that is a token, by its slot of the perfect hash."""
+        slots = self.hash.slots(np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))).tolist()
+        return [self.ids[s] if s >= 0 and self.tokens[s] == r else None for s, r in zip(slots, raw, strict=True)]
 
 
 class Codec:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.match = regex.compile(vocabulary.pattern).findall
-        self.rank = Memo(vocabulary.rank)
-        self.pre = Memo(self._pre_token)
-        self.first = Memo(self._piece, 20_000)
-        self.later = Memo(lambda piece: self._piece(" " + piece))
-
-    def _piece(self, piece: str) -> bytes:
-        return b"".join(map(self.pre.__getitem__, self.match(piece)))
-
-    def _pre_token(self, text: str) -> bytes:
-        raw = text.encode("utf-8", "surrogatepass")
-        whole = self.rank[raw]
-        return np.asarray([whole] if whole is not None else self.merge(raw), "<u4").tobytes()
-
-    def merge(self, raw: bytes) -> list[int]:
-        """Merge the bytes of a pre-token that is no token itself."""
+        self.pre = Memo(self._pre_tokens, MEMO_BYTES // 4)
+        self.first = Memo(self._pieces, MEMO_BYTES // 8)
+        self.later = Memo(lambda pieces: self._pieces([" " + p for p in pieces]), MEMO_BYTES // 2)
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces by their pre-tokens, each of which is looked up once."""
+        parts = list(map(self.match, pieces))
+        distinct = list(dict.fromkeys(t for p in parts for t in p))
+        known = dict(zip(distinct, self.pre(distinct), strict=True)).__getitem__
+        return [known(p[0]) if len(p) == 1 else b"".join(map(known, p)) for p in parts]
+
+    def _pre_tokens(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        return [i.to_bytes(4, "little") if i is not None else self.merge(r) for r, i in zip(raw, self.v.find(raw), strict=True)]
+
+    def merge(self, raw: bytes) -> bytes:
+        """The ids of a pre-token that is no token itself, its bytes merged."""
         n = len(raw)
-        rank = self.rank.__getitem__ if n < 64 else self.v.rank
+        rank = self.v.ranks.get
         end = list(range(1, n + 1))  # of the part that starts here; 0 once it is merged away
         back = list(range(-1, n - 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(raw[i : i + 2])) is not None]
@@ -97,11 +105,11 @@ class Codec:
         while i < n:
             ids.append(rank(raw[i : end[i]]))
             i = end[i]
-        return ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, column: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return encode_column(column, lambda ps: list(map(self.first.__getitem__, ps)), lambda ps: list(map(self.later.__getitem__, ps)))
+        return encode_column(column, self.first, self.later)
 
     def decode(self, column: pa.Array) -> list[bytes]:
         find = self.v.by_id.__getitem__
@@ -119,18 +127,21 @@ def codec_of(vocabulary: Vocabulary) -> Codec:
     return _CODECS[vocabulary.key]
 
 
-def _with_column(df: DataFrame, source: str, out: str, shared, method: str) -> DataFrame:
-    df = df.drop(out) if out != source else df
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])
+def _with_columns(df: DataFrame, source: str, made: dict) -> DataFrame:
+    """Add binary columns: ``made`` names each and gives its values from the codec, the source column and the columns made before."""
+    df = df.drop(*(c for c in made if c != source))
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.BinaryType()) for c in made)])
     at = df.columns.index(source)
+    steps = list(made.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        call = getattr(codec_of(shared.value), method)
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(start, BATCH_ROWS)
-                made = pa.array(call(part.column(at)), pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, out])
+                columns = [part.column(at)]
+                for step in steps:
+                    columns.append(pa.array(step(columns[-1]), pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns[1:]], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -142,12 +153,17 @@ def share(spark: SparkSession, path: str, pattern: str):
 
 def encode(docs: DataFrame, shared, text: str = "text", out: str = "token_ids") -> DataFrame:
     """Add the ids of each whole text as little-endian unsigned 32-bit integers."""
-    return _with_column(docs, text, out, shared, "encode")
+    return _with_columns(docs, text, {out: lambda c: codec_of(shared.value).encode(c)})
 
 
 def decode(rows: DataFrame, shared, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for."""
-    return _with_column(rows, ids, out, shared, "decode")
+    return _with_columns(rows, ids, {out: lambda c: codec_of(shared.value).decode(c)})
+
+
+def encode_and_decode(docs: DataFrame, shared, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """Both, one after the other in one worker: the ids, and the bytes that they stand for."""
+    return _with_columns(docs, text, {ids: lambda c: codec_of(shared.value).encode(c), out: lambda c: codec_of(shared.value).decode(c)})
 
 
 def default_vocabulary(spark: SparkSession):
@@ -159,8 +175,7 @@ def default_vocabulary(spark: SparkSession):
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = runtime.table(spark, sf_dir, "documents").select("doc_id", "text")
     shared = default_vocabulary(spark)
-    ids = encode(docs, shared).select("doc_id", "token_ids")
-    return decode(ids, shared).select(
+    return encode_and_decode(docs, shared).select(
         "doc_id",
         F.expr("cast(octet_length(token_ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),

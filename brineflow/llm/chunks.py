@@ -23,7 +23,7 @@ Find = Callable[[list[str]], list[bytes]]
 
 
 def encode_column(column: pa.Array, first: Find, later: Find) -> list[bytes]:
-    """The bytes of each text's pieces in a row. ``later`` gets each distinct piece of the column once.
+    """The bytes of each text's pieces in a row. ``first`` and ``later`` get distinct pieces.
 
     The pieces are cut, made distinct and put back in place by Arrow; texts
     with runs of blanks are cut one by one.
@@ -38,7 +38,8 @@ def encode_column(column: pa.Array, first: Find, later: Find) -> list[bytes]:
         flat = lists.values
         begin = np.zeros(len(flat), bool)
         begin[bounds[:-1]] = True
-        heads = first(flat.take(pa.array(bounds[:-1])).to_pylist())
+        start = flat.take(pa.array(bounds[:-1])).dictionary_encode()
+        heads = pa.array(first(start.dictionary.to_pylist()), pa.large_binary()).take(start.indices).to_pylist()
         coded = flat.filter(pa.array(~begin)).dictionary_encode()
         values = pa.array(later(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
         ends = np.frombuffer(values.buffers()[1], np.int64) if len(values) else np.zeros(1, np.int64)
@@ -48,27 +49,52 @@ def encode_column(column: pa.Array, first: Find, later: Find) -> list[bytes]:
             out[i] = head + data[a:b]
     for i in runs:
         pieces = _CUT.split(texts[i].as_py())
-        out[i] = first(pieces[:1])[0] + b"".join(later(pieces[1:]))
+        rest = list(dict.fromkeys(pieces[1:]))
+        known = dict(zip(rest, later(rest), strict=True))
+        out[i] = first(pieces[:1])[0] + b"".join(map(known.__getitem__, pieces[1:]))
     return out
 
 
-class Memo(dict):
-    """Values found by ``find`` when a key is first seen, in two generations.
+#: Bytes that an entry takes besides its key's and value's own.
+ENTRY_BYTES = 200
 
-    When the younger is full it becomes the older, and what is asked for again
-    comes back from there; ``most`` bounds each. Forgetting costs time only.
+
+class Memo:
+    """Values of keys seen before, in two generations; ``find`` makes those of a list of distinct new keys.
+
+    When the younger generation is full it becomes the older, and what is asked for
+    again comes back from there; ``most_bytes`` bounds the two together, whatever the
+    length of the keys. A pair that would fill a fourth of it is not kept. Forgetting
+    costs time only.
     """
 
-    def __init__(self, find, most: int = 300_000):
-        super().__init__()
-        self.find, self.most, self.older = find, most, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key, self)
-        if value is self:
-            value = self.find(key)
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+    def __init__(self, find, most_bytes: int):
+        self.find, self.most = find, most_bytes // 2
+        self.young: dict = {}
+        self.older: dict = {}
+        self.held = 0
+
+    def _keep(self, key, value) -> None:
+        size = len(key) + len(value) + ENTRY_BYTES
+        if 2 * size > self.most:
+            return
+        if self.held + size > self.most:
+            self.older, self.young, self.held = self.young, {}, 0
+        self.held += size
+        self.young[key] = value
+
+    def __call__(self, keys: list) -> list:
+        """The values of distinct keys."""
+        out = list(map(self.young.get, keys))
+        new = []
+        for i, value in enumerate(out):
+            if value is None:
+                if (old := self.older.get(keys[i])) is None:
+                    new.append(i)
+                else:
+                    out[i] = old
+                    self._keep(keys[i], old)
+        for i, value in zip(new, self.find([keys[i] for i in new]), strict=True):
+            out[i] = value
+            self._keep(keys[i], value)
+        return out
