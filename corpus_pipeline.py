@@ -2,6 +2,10 @@
 
 All stages but the last return the columns of ``documents``; the last returns
 the ids of the texts that are left, encoded.
+
+In every stage an empty table gives no rows, columns beyond those of
+``documents`` are carried along up to the last stage, even where they have names
+that an operator uses, and texts are taken whole at any length.
 """
 
 from __future__ import annotations
@@ -17,31 +21,46 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among them, predicts to be toxic go."""
+    """Documents that the classifier, fitted on the labelled ones among them, predicts to be toxic go.
+
+    Null and empty texts are scored as texts without words; repeated rows go or stay together; a null id is scored like any other.
+    """
     model = toxicity.train(docs, runtime.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays, that with the smallest id."""
+    """One document of each group of linked documents stays, that with the smallest id.
+
+    Null and empty texts have no links and stay; rows that repeat id and text become one; rows that share an id but are not
+    linked all stay; a null id is linked with nothing and stays.
+    """
     return jaccard.distinct_documents(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages go, and documents that are mostly such passages."""
+    """Benchmark passages go, and documents that are mostly such passages.
+
+    Null and empty texts have no passages and stay; each repeated row is treated alike.
+    """
     return decontaminate.remove(docs, runtime.table(spark, sf_dir, "benchmark")).withColumn("n_chars", _chars()).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts give way to the names of their kinds."""
+    """Personal data in the texts give way to the names of their kinds.
+
+    Null stays null and empty stays empty; rows are told apart by id and text, so repeated rows are masked alike.
+    """
     return pii.redact(docs).withColumn("n_chars", _chars()).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text, checked by decoding them: id, source, language, count, ids and digest of the decoded bytes."""
+    """The ids of each text, checked by decoding them: id, source, language, count, ids and digest of the decoded bytes.
+
+    Null and empty texts have no ids; each repeated row is encoded; columns other than those named are not returned.
+    """
     shared = bpe.default_vocabulary(spark)
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), shared).drop("text")
-    return bpe.decode(ids, shared).select(
+    return bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), shared).select(
         "doc_id",
         "lang",
         "source",
