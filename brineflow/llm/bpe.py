@@ -31,7 +31,7 @@ from brineflow.llm.mph import PerfectHash
 #: Rows that one returned batch holds at most.
 BATCH_ROWS = 512
 #: Bytes of what a worker remembers of pieces seen before.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 144 << 20
 
 
 class Vocabulary:
