@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brineflow.llm import bpe, chat, decontaminate, idstore, jaccard, pii, quality, sharding, toxicity, warc
+from brineflow.llm import bpe, chat, decontaminate, divergence, idstore, jaccard, mixing, pii, quality, sharding, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_line_frequency_rules": quality.op8_query,
         "op9_hilbert_shards": sharding.op9_query,
         "op10_jaccard_components": jaccard.op10_query,
+        "op11_curriculum_mix": mixing.op11_query,
+        "op12_residue_whitening": whitening.op12_query,
+        "op13_source_divergence": divergence.op13_query,
     }
 
 
@@ -94,5 +97,40 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(low) AS low FROM r GROU
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+  md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS digest FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM d GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][turn % 3 + 1] AS weight, 2 * source_size AS cap FROM s),
+l AS (SELECT *, cap / weight AS ratio, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY cap / weight, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (SELECT source, source_size, least(cap::DOUBLE, weight * (SELECT arg_min(level, (ratio, turn)) FROM l WHERE level <= ratio)) AS target FROM l),
+c AS (SELECT doc_id, size, source_size, target, round(target)::BIGINT AS goal, sum(size) OVER (PARTITION BY d.source ORDER BY digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS place
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, (greatest(0, least(size, goal - place)) + greatest(0, least(size, goal - source_size - place)))::BIGINT AS taken FROM c
+"""
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT c.lang, c.source, sum(c.n) AS total FROM c SEMI JOIN k USING (lang, term) GROUP BY ALL) USING (lang, source)),
+s AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+  1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.total + 5 * l.v) AS p,
+  1 + 1000000000::HUGEINT * (k.n + 5) // (l.total + 5 * l.v) AS q
+  FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM s x JOIN s y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+  ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM s WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_jaccard_components": OP10_SQL, "op4_chat_masks": OP4_SQL, "op5_warc_chain": OP5_SQL, "op7_decontaminate": OP7_SQL, "op8_line_frequency_rules": OP8_SQL}
+    return {"op10_jaccard_components": OP10_SQL, "op11_curriculum_mix": OP11_SQL, "op13_source_divergence": OP13_SQL, "op4_chat_masks": OP4_SQL, "op5_warc_chain": OP5_SQL, "op7_decontaminate": OP7_SQL, "op8_line_frequency_rules": OP8_SQL}
