@@ -8,10 +8,10 @@ kept terms; two sources are as far apart as the sum of |p - q| over all terms.
 The sum is split. Terms that many groups of the language hold are laid out as
 dense tiles, sources by terms, in blocks, and numpy adds the differences up.
 For rare terms nearly all shares are the group's base, that of count 0: the
-difference of the bases is taken for every rare term, a histogram of each
-group's own shares corrects it for the terms that only one of the two holds,
-and the short posting list of a term corrects the pairs within it. Both sums
-are of whole numbers, so they add up exactly.
+difference of the bases is taken for every term, a histogram of each group's
+own shares corrects it for the rare terms that only one of the two holds, and
+the short posting list of a term corrects the pairs within it. All sums are of
+whole numbers, so they add up exactly.
 
 Defined results: null text, language and source are empty strings; a group
 without terms has the base share for all; a language without kept terms has
@@ -146,25 +146,27 @@ def groups_of(docs: DataFrame, kept: DataFrame, light_groups: int = LIGHT_GROUPS
 
 
 def _dense(heads: pa.Table, rows: pa.Table) -> np.ndarray:
-    """Sums of |p - q| over the terms of the block for sources of tile a (rows) and b (columns); the base where a source lacks a term."""
+    """What the block's terms add to the difference of the bases, for sources of tile a (rows) and b (columns); a source that lacks a term has its base."""
     coded = rows.column("term").combine_chunks().dictionary_encode()
     terms, code = coded.dictionary, coded.indices.to_numpy()
     width = heads["width"][0].as_py()
+    bases = [np.asarray(heads[c][0].as_py(), np.int64) for c in ("bases_a", "bases_b")]
     idx, p, out = rows.column("idx").to_numpy(), rows.column("p").to_numpy(), []
-    for tile, bases in ((heads["tile_a"][0].as_py(), heads["bases_a"][0].as_py()), (heads["tile_b"][0].as_py(), heads["bases_b"][0].as_py())):
-        shares = np.repeat(np.asarray(bases, np.int64)[:, None], len(terms), 1)
+    for tile, base in zip((heads["tile_a"][0].as_py(), heads["tile_b"][0].as_py()), bases, strict=True):
+        shares = np.repeat(base[:, None], len(terms), 1)
         own = idx // width == tile
         shares[idx[own] % width, code[own]] = p[own]
         out.append(shares)
-    return np.stack([np.abs(out[1] - a).sum(1) for a in out[0]])
+    # Terms of the block that neither tile holds are left at the difference of the bases.
+    return np.stack([np.abs(out[1] - a).sum(1) for a in out[0]]) - len(terms) * np.abs(bases[0][:, None] - bases[1][None, :])
 
 
 def _one_sided(heads: pa.Table, rows: pa.Table) -> np.ndarray:
-    """The rare terms as if no two sources shared any: base differences, corrected for the terms that either holds."""
+    """The difference of the bases for all terms, corrected for the rare terms of either source as if the other lacked them."""
     tiles, width = (heads["tile_a"][0].as_py(), heads["tile_b"][0].as_py()), heads["width"][0].as_py()
     bases = [np.asarray(heads[c][0].as_py(), np.int64) for c in ("bases_a", "bases_b")]
     apart = np.abs(bases[0][:, None] - bases[1][None, :])
-    total = heads["light"][0].as_py() * apart
+    total = heads["v"][0].as_py() * apart
     idx, p, m = (rows.column(c).to_numpy() for c in ("idx", "p", "n_terms"))
     for side in (0, 1):
         other = bases[1 - side]
@@ -203,7 +205,7 @@ def pair_sums(kept: DataFrame, groups: DataFrame, light_groups: int = LIGHT_GROU
     # A tile's bases: ``tile_sources`` numbers at most. Block -1 holds the rare terms.
     tiles = groups.groupBy("lang", tile.alias("tile")).agg(F.array_sort(F.collect_list(F.struct("idx", "base"))).alias("bases"), F.max("light").alias("light"), F.max("v").alias("v"))
     tiles = tiles.withColumns({"bases": F.col("bases.base"), "blocks": F.ceil((F.col("v") - F.col("light")) / tile_terms).cast("int")})
-    a = tiles.select("lang", F.col("tile").alias("tile_a"), F.col("bases").alias("bases_a"), "light", "blocks")
+    a = tiles.select("lang", F.col("tile").alias("tile_a"), F.col("bases").alias("bases_a"), "v", "blocks")
     heads = a.join(tiles.select("lang", F.col("tile").alias("tile_b"), F.col("bases").alias("bases_b")), "lang").where("tile_a <= tile_b")
     heads = heads.withColumn("block", F.explode(F.sequence(F.lit(-1), F.col("blocks") - 1))).withColumn("width", F.lit(tile_sources))
     number = groups.groupBy("lang").agg((F.floor(F.max("idx") / tile_sources) + 1).cast("int").alias("n_tiles"), F.first(F.ceil((F.col("v") - F.col("light")) / tile_terms).cast("int")).alias("blocks"))
