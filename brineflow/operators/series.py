@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brineflow import config as C
 
+#: Seconds of a bucket of time: with a row a second at most, the rows that meet in a task.
+BUCKET_S = 86_400
+
 
 def dedupe(df: DataFrame, keys: list[str], order: list[str], value: str = "v") -> DataFrame:
     """The last value of each key by ``order``, which must be total; merged before the shuffle."""
@@ -80,81 +81,64 @@ def phase(value: str, partition: list[str], order: list[str], epsilon: float = C
 
 
 def rise_rate(value: str, partition: list[str], order: list[str], per: float = 4.0) -> Column:
+    """The step from the row before, by ``per``; for partitions of a bounded number of rows, such as a day's slots."""
     w = Window.partitionBy(*partition).orderBy(*order)
     return F.coalesce((F.col(value) - F.lag(value).over(w)) / per, F.lit(0.0))
 
 
-def with_sessions(df: DataFrame, keys: list[str], gap_s: int = C.SESSION_GAP_S, order: tuple[str, ...] = ("t",)) -> DataFrame:
-    """Number the runs of rows without a gap longer than ``gap_s``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    new = (F.col("t") - F.lag("t").over(w) > gap_s).cast("int")
-    return df.withColumn("__new", F.coalesce(new, F.lit(0))).withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+def beside(df: DataFrame, keys: list[str], order: list[str], columns: list[str], bucket: Column) -> DataFrame:
+    """Add ``before`` and ``after``: ``columns`` of the rows next to each in its series, null at its ends.
+
+    ``bucket`` rises with ``order`` and bounds the rows that meet in a task: a series is cut in buckets, and each
+    carries in the last row before and the first row after it from a table of one row for each bucket.
+    """
+    row, at = F.struct(*columns), F.struct(*order)
+    rows = df.withColumn("__bucket", bucket).withColumn("__cell", F.struct(*keys, "__bucket"))
+    ends = rows.groupBy("__cell").agg(F.min_by(row, at).alias("lo"), F.max_by(row, at).alias("hi"))
+    line = Window.partitionBy(*(f"__cell.{k}" for k in keys)).orderBy("__cell.__bucket")
+    ends = ends.select("__cell", F.lag("hi").over(line).alias("__left"), F.lead("lo").over(line).alias("__right"))
+    inside = Window.partitionBy("__cell").orderBy(*order)
+    own = rows.withColumns({"__lag": F.lag(row).over(inside), "__lead": F.lead(row).over(inside)}).join(ends, "__cell")
+    return own.withColumns({"before": F.coalesce("__lag", "__left"), "after": F.coalesce("__lead", "__right")}).drop("__cell", "__bucket", "__lag", "__lead", "__left", "__right")
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], counted: dict[str, Column], bucket: Column) -> DataFrame:
+    """Add columns that count, up to each row of its series, the rows for which a condition holds; by buckets as :func:`beside`."""
+    rows = df.withColumns({f"__{c}": F.coalesce(x.cast("long"), F.lit(0)) for c, x in counted.items()}).withColumn("__bucket", bucket).withColumn("__cell", F.struct(*keys, "__bucket"))
+    sums = rows.groupBy("__cell").agg(*(F.sum(f"__{c}").alias(f"__all_{c}") for c in counted))
+    line = Window.partitionBy(*(f"__cell.{k}" for k in keys)).orderBy("__cell.__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__cell", *(F.coalesce(F.sum(f"__all_{c}").over(line), F.lit(0)).alias(f"__first_{c}") for c in counted))
+    inside = Window.partitionBy("__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumns({f"__{c}": F.sum(f"__{c}").over(inside) for c in counted}).join(sums, "__cell")
+    return own.withColumns({c: F.col(f"__{c}") + F.col(f"__first_{c}") for c in counted}).drop("__cell", "__bucket", *(f"__{c}" for c in counted), *(f"__first_{c}" for c in counted))
+
 
+def _time_bucket(bucket_s: int) -> Column:
+    return F.floor(F.col("t") / bucket_s)
 
-def sessions(df: DataFrame, keys: list[str], gap_s: int = C.SESSION_GAP_S, min_rows: int = C.SESSION_MIN_ROWS) -> DataFrame:
-    rows = with_sessions(df, keys, gap_s)
+
+def rises(df: DataFrame, value: str, keys: list[str], order: list[str], out: str, per: float = 4.0, bucket_s: int = BUCKET_S) -> DataFrame:
+    """:func:`rise_rate` as a column of series of any length; ``order`` starts with what ``t`` rises with."""
+    rows = beside(df, keys, order, [value], _time_bucket(bucket_s))
+    return rows.withColumn(out, F.coalesce((F.col(value) - F.col(f"before.{value}")) / per, F.lit(0.0))).drop("before", "after")
+
+
+def with_sessions(df: DataFrame, keys: list[str], gap_s: int = C.SESSION_GAP_S, order: tuple[str, ...] = ("t",), bucket_s: int = BUCKET_S) -> DataFrame:
+    """Number the runs of rows without a gap longer than ``gap_s``, from 0."""
+    rows = beside(df, keys, list(order), ["t"], _time_bucket(bucket_s))
+    return running(rows, keys, list(order), {"session": F.col("t") - F.col("before.t") > gap_s}, _time_bucket(bucket_s)).drop("before", "after")
+
+
+def sessions(df: DataFrame, keys: list[str], gap_s: int = C.SESSION_GAP_S, min_rows: int = C.SESSION_MIN_ROWS, bucket_s: int = BUCKET_S) -> DataFrame:
+    """``session``, ``start_t``, ``end_t`` and ``n_rows``: a bucket's rows are merged to a row for each of its sessions, then joined up."""
+    rows = with_sessions(df, keys, gap_s, bucket_s=bucket_s)
     return rows.groupBy(*keys, "session").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("n_rows")).where(F.col("n_rows") >= min_rows)
 
 
-def local_maxima(df: DataFrame, value: str, partition: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*partition).orderBy(*order)
-    flags = df.withColumns({"__a": F.lag(value).over(w), "__b": F.lead(value).over(w)})
-    return flags.where((F.col(value) > F.col("__a")) & (F.col(value) > F.col("__b"))).drop("__a", "__b")
-
-
-def peak_positions(x: np.ndarray, distance: int, prominence: float) -> np.ndarray:
-    """Local maxima (the middle of a plateau), the highest first at least ``distance`` apart, of the prominence at least."""
-    n = len(x)
-    if n < 3:
-        return np.zeros(0, np.int64)
-    step = np.flatnonzero(np.diff(x) != 0)
-    if len(step) < 2:
-        return np.zeros(0, np.int64)
-    start, end = step[:-1] + 1, step[1:]
-    top = (x[start] > x[start - 1]) & (x[end] > x[end + 1])
-    peaks = (start[top] + end[top]) // 2
-    keep = np.ones(len(peaks), bool)
-    for i in np.argsort(x[peaks], kind="stable")[::-1]:
-        if keep[i]:
-            # Peaks lie at least two rows apart: few are near.
-            lo, hi = np.searchsorted(peaks, [peaks[i] - distance + 1, peaks[i] + distance])
-            keep[lo:hi] = False
-            keep[i] = True
-    kept = peaks[keep]
-    base = np.maximum(_lowest_before_higher(x, kept), _lowest_before_higher(x[::-1], n - 1 - kept[::-1])[::-1])
-    return kept[x[kept] - base >= prominence].astype(np.int64)
-
-
-def _lowest_before_higher(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each position of ``at`` (ascending) the lowest value from it back to the last higher one, in one pass: a stack of falling heights, each with the lowest value since the one below it."""
-    out, want, k = np.empty(len(at)), at.tolist(), 0
-    tops: list[float] = []
-    lows: list[float] = []
-    for i, v in enumerate(x.tolist()):
-        low = v
-        while tops and tops[-1] <= v:
-            tops.pop()
-            low = min(low, lows.pop())
-        tops.append(v)
-        lows.append(low)
-        if k < len(want) and want[k] == i:
-            out[k] = low
-            k += 1
-    return out
-
-
-def peak_events(df: DataFrame, keys: list[str], gap_s: int = C.SESSION_GAP_S, min_rows: int = C.SESSION_MIN_ROWS, distance: int = C.PEAK_DISTANCE, prominence: float = C.PEAK_PROMINENCE_FT) -> DataFrame:
-    """Peaks of each session; the rule depends on order, so a session is one group (a run without gaps) and must fit in a task."""
-    rows = with_sessions(df.select(*keys, "t", "v"), keys, gap_s)
-    out = rows.schema
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) < min_rows:
-            return g.iloc[:0]
-        g = g.sort_values("t", kind="stable")
-        return g.iloc[peak_positions(g["v"].to_numpy(np.float32).astype(np.float64), distance, prominence)]
-
-    return rows.groupBy(*keys, "session").applyInPandas(one, out)
+def local_maxima(df: DataFrame, value: str, keys: list[str], order: list[str], bucket_s: int = BUCKET_S) -> DataFrame:
+    """Rows above both the row before and the row after."""
+    rows = beside(df, keys, order, [value], _time_bucket(bucket_s))
+    return rows.where((F.col(value) > F.col(f"before.{value}")) & (F.col(value) > F.col(f"after.{value}"))).drop("before", "after")
 
 
 def rebase(v: Column, year: Column, trend_ft_per_year: Column | float, to_year: int = 2026) -> Column:

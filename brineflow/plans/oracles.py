@@ -36,6 +36,22 @@ lo AS (SELECT yr.*, p.year AS y0, p.v AS v0 FROM yr ASOF LEFT JOIN p ON yr.scena
 hi AS (SELECT yr.*, p.year AS y1, p.v AS v1 FROM yr ASOF LEFT JOIN p ON yr.scenario = p.scenario AND yr.year < p.year),
 cv AS (SELECT scenario, year, CASE WHEN y0 IS NULL THEN v1 WHEN year = y0 OR y1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * ((year - y0) / (y1 - y0)) END AS v FROM lo JOIN hi USING (scenario, year))"""
 )
+# The rounds of the distance rule: a candidate that is highest among the open ones near it stays, then its neighbours go.
+PEAKS = (
+    G
+    + """, f AS (SELECT t, v, v::FLOAT::DOUBLE AS x, row_number() OVER (ORDER BY t) AS r, coalesce((t - lag(t) OVER (ORDER BY t) > 10800)::INT, 1) AS new FROM g),
+s AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM (SELECT *, sum(new) OVER (ORDER BY r) AS session FROM f)),
+c AS (SELECT *, coalesce((x IS DISTINCT FROM lag(x) OVER (PARTITION BY session ORDER BY r))::INT, 1) AS step FROM s WHERE n >= 12),
+u AS (SELECT session, run, min(x) AS x, min(r) AS a, max(r) AS b FROM (SELECT *, sum(step) OVER (PARTITION BY session ORDER BY r) AS run FROM c) GROUP BY session, run),
+p AS (SELECT session, (a + b) // 2 AS r, x FROM u QUALIFY x > lag(x) OVER (PARTITION BY session ORDER BY run) AND x > lead(x) OVER (PARTITION BY session ORDER BY run)),
+rounds AS (SELECT 0 AS k, session, r, x, 0 AS state FROM p
+  UNION ALL SELECT k + 1, session, r, x, CASE WHEN state > 0 THEN state WHEN kept THEN 2 WHEN best = r THEN 1 ELSE 0 END FROM (
+    SELECT *, arg_max(CASE WHEN state = 0 THEN r END, (x, r)) FILTER (state = 0) OVER near AS best, bool_or(state = 1) OVER near AS kept, bool_or(state = 0) OVER () AS going
+    FROM rounds WINDOW near AS (PARTITION BY session ORDER BY r RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING)) WHERE going),
+kept AS (SELECT session, r, x FROM rounds WHERE state = 1 AND k = (SELECT max(k) FROM rounds)),
+ends AS (SELECT k.session, k.r, max(s.r) FILTER (s.r < k.r AND s.x > k.x) AS a, min(s.r) FILTER (s.r > k.r AND s.x > k.x) AS b FROM kept k JOIN s USING (session) GROUP BY ALL),
+base AS (SELECT e.session, e.r, greatest(min(s.x) FILTER (s.r <= e.r AND s.r > coalesce(e.a, 0)), min(s.x) FILTER (s.r >= e.r AND (e.b IS NULL OR s.r < e.b))) AS low FROM ends e JOIN s USING (session) GROUP BY e.session, e.r)"""
+)
 LEVELS = E + ", lv AS (SELECT round_even(v * 100, 0)::INT AS level FROM e)"
 
 
@@ -55,6 +71,7 @@ SQL = {
     "phase_per_user": _w(E, ", c AS (SELECT event_id, user_id, t // 86400 AS day, ts, round_even(v * 100, 0)::INT AS c FROM e), d AS (SELECT event_id, c - lag(c) OVER w AS b, lead(c) OVER w - c AS a FROM c WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id)) SELECT event_id, CASE WHEN least(a, b) > 2.5 THEN 'filling' WHEN greatest(a, b) < -2.5 THEN 'draining' ELSE 'slack' END AS phase FROM d"),
     "rise_rate": _w(E, ", c AS (SELECT event_id, user_id, ts, round_even(v * 100, 0)::INT AS c FROM e) SELECT event_id, coalesce((c - lag(c) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 4.0::DOUBLE, 0.0) AS rise_c FROM c"),
     "gap_sessions": _w(E, ", s AS (SELECT user_id, t, coalesce((t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 21600)::INT, 0) AS new FROM e), n AS (SELECT user_id, t, (sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING))::BIGINT AS session FROM s) SELECT user_id, session, min(t) AS start_t, max(t) AS end_t, count(*) AS n_rows FROM n GROUP BY ALL HAVING count(*) >= 2"),
+    "peak_events": _r(PEAKS, "SELECT s.t, s.v FROM kept JOIN base USING (session, r) JOIN s USING (session, r) WHERE kept.x - base.low >= 20"),
     "local_maxima": _w(E, "SELECT event_id, user_id, v FROM e QUALIFY v > lag(v) OVER (PARTITION BY user_id ORDER BY ts, event_id) AND v > lead(v) OVER (PARTITION BY user_id ORDER BY ts, event_id)"),
     "exceedance_counts": _w(LEVELS, "SELECT th AS threshold_c, count(level)::BIGINT AS n_at_or_above FROM (SELECT unnest(range(0, 56200, 200)) AS th) LEFT JOIN lv ON level >= th GROUP BY th"),
     "year_interp": _w(CURVE, "SELECT scenario, year, round_even(v, 0)::INT AS rise_c FROM cv"),

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from brineflow import config as C
 from brineflow.functions import levels as L
 from brineflow.operators import frequency, geometry, raster, series
+from brineflow.operators.peaks import peak_events
 
 
 def tide_events(samples: DataFrame, trend_ft_per_year: float, base_year: int = 2026) -> DataFrame:
     """High tides of each series: year, level in thousandths as single precision gives it, and the level rebased."""
-    peaks = series.peak_events(samples, ["series"])
+    peaks = peak_events(samples, ["series"])
     year = F.year(F.timestamp_seconds("t"))
     level = F.col("v").cast("float").cast("double")
     return peaks.select("series", "t", year.alias("year"), F.rint(level * 1000).cast("int").alias("level_m"), series.rebase(level, year, trend_ft_per_year, base_year).alias("rebased"))

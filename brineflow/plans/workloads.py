@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 from brineflow import runtime
 from brineflow.functions import levels as L
-from brineflow.operators import frequency, geometry, hydraulics, raster, series
+from brineflow.operators import frequency, geometry, hydraulics, peaks, raster, series
 from brineflow.plans import oracles
 from brineflow.runtime import table
 
-#: Queries that SQL does not express; their tests are by brute force or invariants.
-WITHOUT_SQL = ("peak_events",)
 MINOR, MODERATE, MAJOR = 100.0, 200.0, 300.0
 
 
@@ -85,7 +83,7 @@ def phase_per_user(spark, d):
 
 def rise_rate(spark, d):
     e = _events(spark, d).withColumn("c", L.centi(F.col("v")))
-    return e.select("event_id", series.rise_rate("c", ["user_id"], ["ts", "event_id"]).alias("rise_c"))
+    return series.rises(e, "c", ["user_id"], ["ts", "event_id"], "rise_c").select("event_id", "rise_c")
 
 
 def gap_sessions(spark, d):
@@ -98,7 +96,7 @@ def local_maxima(spark, d):
 
 def peak_events(spark, d):
     g = _gauge(spark, d)
-    return series.peak_events(g, ["series"], gap_s=1200, min_rows=12, distance=6, prominence=20.0).select("t", "v")
+    return peaks.peak_events(g, ["series"], gap_s=3 * 3600, min_rows=12, distance=6, prominence=20.0).select("t", "v")
 
 
 def _levels(spark, d):
@@ -299,4 +297,4 @@ def tumbling_hours(spark, d):
 
 
 SQL = oracles.SQL
-QUERIES = {name: globals()[name] for name in [*SQL, *WITHOUT_SQL]}
+QUERIES = {name: globals()[name] for name in SQL}

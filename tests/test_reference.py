@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from brineflow import config as C
 from brineflow.functions import levels as L
-from brineflow.operators import frequency, geometry, graph, hydraulics, raster, series
+from brineflow.operators import frequency, geometry, graph, hydraulics, peaks, raster, series
 from brineflow.plans import archive_queries, archives, model_queries, source_queries, workloads
 from brineflow.sources import readers, sinks
 from brineflow.streaming import gauges
@@ -153,12 +153,50 @@ def brute_peaks(x, distance, prominence):
     return out
 
 
-def test_peaks_equal_brute_force():
-    rng = np.random.default_rng(4)
-    for n in (0, 1, 2, 3, 10, 200):
-        for _ in range(20):
-            x = np.round(np.cumsum(rng.normal(size=n)) * 2) / 2
-            assert series.peak_positions(x, 5, 1.0).tolist() == brute_peaks(x.tolist(), 5, 1.0)
+@pytest.mark.parametrize(("bucket", "fan", "block"), [(50, 4, 40), (1000, 16, 1 << 16), (7, 3, 16)])
+def test_peaks_equal_brute_force_for_any_blocks(spark, bucket, fan, block):
+    rng, rows, want = np.random.default_rng(bucket), [], set()
+    for name, n in (("a", 600), ("c", 3), (None, 250), ("d", 40)):
+        x = np.round(np.cumsum(rng.normal(size=n)) * 2) / 2  # rich in plateaus
+        if name == "d":
+            x = np.repeat(np.arange(8.0) % 3, 5)
+        if name == "a":  # a rising chain, in which each candidate hangs on the next
+            x[100:400] = np.arange(300) / 4 + np.tile([0, 0.5], 150) * 3
+        t = np.cumsum(np.where(rng.random(n) < 0.01, 100, rng.integers(1, 10, n))).tolist()
+        cut = [0, *(i for i in range(1, n) if t[i] - t[i - 1] > 50), n]
+        for a, b in zip(cut, cut[1:], strict=False):
+            want |= {(name, t[a + p]) for p in brute_peaks(x[a:b].tolist(), 5, 1.0) if b - a >= 12}
+        rows += [(name, s, float(v)) for s, v in zip(t, x, strict=True)]
+    df = spark.createDataFrame(rows + [("c", 10**6, None)], "series string, t long, v double")
+    found = peaks.peak_events(df, ["series"], 50, 12, 5, 1.0, bucket, fan, block).collect()
+    assert len(found) == len(want) and {(r["series"], r["t"]) for r in found} == want
+    assert peaks.peak_events(df.limit(0), ["series"]).count() == 0
+
+
+def test_a_session_that_is_the_whole_series_meets_in_no_task(spark):
+    x = spark.range(20_000).select(F.lit("one").alias("series"), (F.col("id") * 60).alias("t"), (10 * F.sin(F.col("id") / 40) + F.rand(3)).alias("v"))
+    rows = peaks.numbered(x, ["series"], 1800, 40_000)
+    assert rows.groupBy("session").count().collect() == [(1, 20_000)]
+    plan = rows._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+    found = peaks.with_prominence(peaks.spaced(peaks.candidates(rows, ["series"], 12), ["series"], 24), rows, ["series"], 16)
+    levels = [r["v"] for r in x.orderBy("t").collect()]
+    x32 = np.asarray(levels, np.float32).astype(float).tolist()
+    assert sorted(r["rank"] for r in found.where("prominence >= 5").collect()) == brute_peaks(x32, 24, 5)
+    wide = series.sessions(x, ["series"], 59, 1, 7000).agg(F.count("*"), F.sum("n_rows")).first()
+    assert tuple(wide) == (20_000, 20_000)
+
+
+def test_rows_beside_cross_buckets(spark):
+    rows = [(k, t, t % 7, i) for i, (k, t) in enumerate((k, t) for k in ("a", None) for t in (0, 1, 2, 30, 31, 95, 95, 200))]
+    df = spark.createDataFrame(rows, "k string, t long, c long, i long")
+    got = series.beside(df, ["k"], ["t", "i"], ["c"], F.floor(F.col("t") / 10)).orderBy("i").collect()
+    for k in ("a", None):
+        own = [r for r in got if r["k"] == k]
+        assert [r["before"] and r["before"]["c"] for r in own] == [None, *(r["c"] for r in own[:-1])]
+        assert [r["after"] and r["after"]["c"] for r in own] == [*(r["c"] for r in own[1:]), None]
+    rise = series.rises(df, "c", ["k"], ["t", "i"], "rise", 2.0, 10).where("k = 'a'").orderBy("i").collect()
+    assert [r["rise"] for r in rise] == [0.0, *((b["c"] - a["c"]) / 2 for a, b in zip(rise, rise[1:], strict=False))]
 
 
 def test_exceedance_years_and_upsert(spark):
@@ -532,13 +570,3 @@ def test_routing_takes_curves_and_caps_receivers(spark):
     flat = spark.createDataFrame([(z, 100.0 if z else 1.0, 0.0, 0.0, z > 0) for z in range(4)], "zone_id int, area double, floor_ft double, storage double, is_source boolean")
     star = spark.createDataFrame([(z, 0, 0.0, 25.0) for z in (1, 2, 3)], "a int, b int, crest_ft double, width_ft double")
     assert hydraulics.routing_step(flat, star, 4.0, substeps=1).where("zone_id = 0").first()["surface_ft"] <= 4.0 + 1e-9
-
-
-def test_peaks_of_a_long_session_in_one_pass(monkeypatch):
-    x = np.round(np.random.default_rng(9).normal(size=3000) * 4) / 4
-    for distance in (1, 2, 3, 6, 24):
-        assert series.peak_positions(x, distance, 0.5).tolist() == brute_peaks(x.tolist(), distance, 0.5)
-    scans = []
-    monkeypatch.setattr(np, "flatnonzero", lambda a, f=np.flatnonzero: scans.append(len(a)) or f(a))
-    series.peak_positions(x, 6, 0.5)
-    assert sum(scans) <= 2 * len(x)
