@@ -35,8 +35,9 @@ def centi(x: Column) -> Column:
     return F.rint(x * 100).cast("int")
 
 
-def to_mllw(navd: Column) -> Column:
-    return navd - C.MLLW_OFFSET_FT
+def to_mllw_c(navd_c: Column) -> Column:
+    """Hundredths over the other datum, from those that are kept: no second rounding."""
+    return (navd_c - round(C.MLLW_OFFSET_FT * 100)).cast("int")
 
 
 def half_up_2(x: Column) -> Column:
@@ -135,13 +136,21 @@ def inches_per_decade_to_ft_per_year(x: Column) -> Column:
     return x / 12 / 10
 
 
-#: Activation colours by code (fixed values).
-PALETTE = {1: "#d62828", 2: "#f77f00", 3: "#fcbf49", 4: "#2a9d8f"}
+#: Colours of the stage codes 1 to 3, of the depth codes 1 to 11, and of green cells, whose codes follow; opacities of water and of green (fixed values).
+STAGE_COLOURS = ["#F4A742", "#E74C3C", "#7D3C98"]
+DEPTH_COLOURS = ["#7DF9FF", "#5DE7FF", "#38D3FF", "#1BB7F5", "#168CEB", "#156BE0", "#1853C6", "#173EA8", "#132F84", "#0B1E5B", "#050E33"]
+GREEN_COLOUR = "#63D471"
+WATER_ALPHA, GREEN_ALPHA = 225, 205
 
 
-def colour(code: Column) -> Column:
-    """The colour of an activation code; null for any other."""
-    return F.try_element_at(F.create_map(*(F.lit(x) for kv in PALETTE.items() for x in kv)), code)
+def colour(code: Column, colours: list[str] = STAGE_COLOURS) -> Column:
+    """The colour of a code from 1 on, green for the code after the last; null for any other."""
+    return F.get(F.array(*map(F.lit, [*colours, GREEN_COLOUR])), code - 1)
+
+
+def opacity(code: Column, colours: list[str] = STAGE_COLOURS) -> Column:
+    """0 (nothing drawn) for codes without a colour."""
+    return F.when(code.between(1, len(colours)), WATER_ALPHA).when(code == len(colours) + 1, GREEN_ALPHA).otherwise(0)
 
 
 def hex_rgb(s: Column) -> Column:

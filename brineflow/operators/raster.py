@@ -374,19 +374,36 @@ def touching(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(halo, ["y", "x"], "left_semi")
 
 
-def masked_gaussian(cells: DataFrame, value: str, sigma: float = 2.0, truncate: float = 4.0, tile: int = TILE) -> DataFrame:
-    """Smooth a value over its own cells only: the kernel's weights over missing cells are left out; a tile with its halo at a time."""
+def extent(grid: DataFrame) -> tuple[int, int, int, int] | None:
+    """First and last row, first and last column; None for an empty grid."""
+    found = grid.agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
+    return None if found[0] is None else tuple(found)
+
+
+def masked_gaussian(cells: DataFrame, value: str, grid: tuple[int, int, int, int] | None, sigma: float = 2.0, truncate: float = 4.0, tile: int = TILE) -> DataFrame:
+    """Smooth a value over its own cells only: the kernel's weights over missing cells are left out; a tile with its halo at a time.
+
+    ``grid``: the raster's :func:`extent`, at which its edge is repeated outwards; None: no edge.
+    """
     radius = int(truncate * sigma + 0.5)
     weights = [float(np.exp(-0.5 * (k / sigma) ** 2)) for k in range(-radius, radius + 1)]
     size = tile + 2 * radius
     names = cells.columns
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in cells.schema.fields)}, smooth double"
 
+    def repeated(a: np.ndarray, axis: int, first: int, lo: int, hi: int) -> np.ndarray:
+        """Lines of the tile beyond the grid's edge, as the edge has them."""
+        at = np.clip(np.clip(np.arange(first, first + size), lo, hi) - first, 0, size - 1)
+        return np.take(a, at, axis)
+
     def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        y, x = g["y"].to_numpy(np.int64) - int(key[0]) * tile, g["x"].to_numpy(np.int64) - int(key[1]) * tile
+        y0, x0 = int(key[0]) * tile, int(key[1]) * tile
+        y, x = g["y"].to_numpy(np.int64) - y0, g["x"].to_numpy(np.int64) - x0
         both = np.zeros((2, size, size))
         both[0, y + radius, x + radius] = g[value].to_numpy(np.float64)
         both[1, y + radius, x + radius] = 1.0
+        if grid is not None:
+            both = repeated(repeated(both, 1, y0 - radius, grid[0], grid[1]), 2, x0 - radius, grid[2], grid[3])
         sums = []
         for a in both:
             down = sum(w * s for w, s in zip(weights, _windows(a, radius, tile), strict=True))

@@ -166,7 +166,7 @@ CLASS = "CASE WHEN max(x) / 100.0::DOUBLE >= 5.25 THEN 'major' WHEN max(x) / 100
 TEXT = "string_agg(coalesce(x::VARCHAR, 'null'), ',' ORDER BY pos)"
 DAYS = FILLED + f", dy AS (SELECT series, d, u, max(x) AS p, {CLASS} AS c, count(*)::BIGINT AS n_slots, count(x)::BIGINT AS n_filled, {TEXT} AS v FROM q GROUP BY ALL HAVING max(x) IS NOT NULL)"
 HOURS = S + ", " + _civil("s", 3600) + """, hb AS (SELECT sl.series, sl.d, sl.pos, sl.t AS hour, s.t, s.v FROM s JOIN sl ON s.series = sl.series AND s.t // 3600 * 3600 = sl.t QUALIFY row_number() OVER (PARTITION BY s.series, sl.t ORDER BY s.v DESC, s.t) = 1),
-hr AS (SELECT *, round_even((v + 1e-9::DOUBLE) * 100, 0)::INT AS navd_c, round_even((v - (-2.75)::DOUBLE) * 100, 0)::INT AS mllw_c FROM hb)"""
+hr AS (SELECT *, round_even((v + 1e-9::DOUBLE) * 100, 0)::INT AS navd_c, round_even((v + 1e-9::DOUBLE) * 100, 0)::INT + 275 AS mllw_c FROM hb)"""
 HALF = "floor((value / 25 - 4 + (-2.75)::DOUBLE + 2.220446049250313e-16::DOUBLE) * 100 + 0.5::DOUBLE) / 100"
 REC = """r AS (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS ds, (round_even(o_totalprice / 600, 0) / 100)::DOUBLE AS h, (o_orderkey % 2700)::VARCHAR AS tm FROM orders),
 f AS (SELECT o_orderstatus, h AS height_ft, ds::DATE AS date, CASE WHEN length(tm) = 3 THEN '0' || tm WHEN length(tm) >= 4 THEN tm[1:4] END AS four FROM r WHERE h >= 3.25)"""

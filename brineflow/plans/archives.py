@@ -59,7 +59,7 @@ def hourly_rows(samples: DataFrame, slots: DataFrame) -> DataFrame:
     hours = slots.select("d", "pos", F.col("t").alias("hour"))
     seen = samples.withColumn("hour", F.floor(F.col("t") / 3600) * 3600).join(hours, "hour")
     best = series.arg_max(seen, ["series", "hour"], "v", "t")
-    best = best.withColumns({"navd_c": F.rint((F.col("v") + 1e-9) * 100).cast("int"), "mllw_c": L.centi(L.to_mllw(F.col("v")))})
+    best = best.withColumn("navd_c", F.rint((F.col("v") + 1e-9) * 100).cast("int")).withColumn("mllw_c", L.to_mllw_c(F.col("navd_c")))
     return best.withColumn("phase", series.phase("navd_c", ["series", "d"], ["hour"], C.PHASE_EPSILON_FT * 100))
 
 

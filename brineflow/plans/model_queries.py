@@ -88,7 +88,7 @@ def activation_codes(spark, d):
     g = W._connected(spark, d).where("connection is not null")
     code = L.activation_code(F.col("elev") / 5.0, F.col("connection") / 5.0)
     rows = g.select("y", "x", code.alias("code"))
-    return rows.select("y", "x", "code", L.colour(F.col("code")).alias("colour"), F.array_join(L.hex_rgb(L.colour(F.col("code"))), ",").alias("rgb"))
+    return rows.select("y", "x", "code", L.colour(F.col("code")).alias("colour"), F.array_join(L.hex_rgb(L.colour(F.col("code"))), ",").alias("rgb"), L.opacity(F.col("code")).alias("alpha"))
 
 
 def pixel_counts(spark, d):
@@ -300,7 +300,7 @@ SQL = {
     "state_sweep": _r(SWEEP, "SELECT phase, st::INT AS stage_c, count(s) AS n_wet, count(*) - count(s) AS n_dry, sum(s)::BIGINT AS sum_c FROM sw GROUP BY ALL"),
     "sweep_metadata": _r(SWEEP, ", ph AS (SELECT phase, st, count(s) AS wet FROM sw GROUP BY ALL) SELECT (SELECT count(DISTINCT st) FROM sw) AS stage_count, (SELECT count(DISTINCT phase) FROM sw) AS phase_count, (SELECT count(DISTINCT label) FROM sw) AS zone_count, (SELECT min(st)::INT FROM sw) AS lowest_c, (SELECT max(st)::INT FROM sw) AS highest_c, (SELECT max(wet) FROM ph) AS most_wet, (SELECT sum(wet)::BIGINT FROM ph) AS all_wet"),
     "sweep_phases_equal": _r(SWEEP, "SELECT st::INT AS stage_c, label AS zone_id FROM sw GROUP BY ALL HAVING count(DISTINCT s) > 1 OR (count(s) > 0 AND count(s) < count(*))"),
-    "activation_codes": _r(CONN, ", ac AS (SELECT y, x, greatest(elev / 5.0::DOUBLE, connection / 5.0::DOUBLE) AS hi FROM m WHERE connection IS NOT NULL), cc AS (SELECT y, x, CASE WHEN hi < 3.25 THEN 1 WHEN hi < 4.25 THEN 2 ELSE 3 END AS code FROM ac) SELECT y, x, code, CASE code WHEN 1 THEN '#d62828' WHEN 2 THEN '#f77f00' ELSE '#fcbf49' END AS colour, CASE code WHEN 1 THEN '214,40,40' WHEN 2 THEN '247,127,0' ELSE '252,191,73' END AS rgb FROM cc"),
+    "activation_codes": _r(CONN, ", ac AS (SELECT y, x, greatest(elev / 5.0::DOUBLE, connection / 5.0::DOUBLE) AS hi FROM m WHERE connection IS NOT NULL), cc AS (SELECT y, x, CASE WHEN hi < 3.25 THEN 1 WHEN hi < 4.25 THEN 2 ELSE 3 END AS code FROM ac) SELECT y, x, code, CASE code WHEN 1 THEN '#F4A742' WHEN 2 THEN '#E74C3C' ELSE '#7D3C98' END AS colour, CASE code WHEN 1 THEN '244,167,66' WHEN 2 THEN '231,76,60' ELSE '125,60,152' END AS rgb, 225 AS alpha FROM cc"),
     "pixel_counts": _w(GRID, "SELECT (y // 64)::INT AS block, count(*) FILTER ((y * 3 + x) % 5 < 2) AS n_hard, count(*) FILTER ((y * 3 + x) % 5 < 2 AND elev >= 0) AS n_high, count(*) AS n_cells FROM g GROUP BY 1"),
     "raster_quantize": "WITH g AS (SELECT vec_id AS y, (generate_subscripts(embedding, 1) - 1)::INT AS x, unnest(embedding)::DOUBLE * 200 AS v FROM embeddings) SELECT y, x, CASE WHEN x % 17 <> 0 THEN greatest(-300, least(300, (sign(v) * floor(abs(v) * 10 + 0.5::DOUBLE))::INT)) END AS elev_d FROM g WHERE x % 5 = 2 AND y % 5 = 2",
     "rasterized_lines": "WITH s AS (SELECT row_number() OVER () AS k, *, x0 + p_size / 4.0::DOUBLE - 5 AS x1, y0 + (p_partkey % 11) * 0.75::DOUBLE - 3 AS y1 FROM (SELECT p_partkey, p_size, (p_partkey % 50) + 0.25::DOUBLE AS x0, (p_partkey * 7 % 40) + 0.5::DOUBLE AS y0 FROM part)), c AS (SELECT k, 0.0::DOUBLE AS t FROM s UNION SELECT k, 1 FROM s UNION SELECT k, (n - x0) / (x1 - x0) FROM (SELECT *, unnest(generate_series(ceil(least(x0, x1))::BIGINT, floor(greatest(x0, x1))::BIGINT)) AS n FROM s) WHERE x0 <> x1 UNION SELECT k, (n - y0) / (y1 - y0) FROM (SELECT *, unnest(generate_series(ceil(least(y0, y1))::BIGINT, floor(greatest(y0, y1))::BIGINT)) AS n FROM s) WHERE y0 <> y1), m AS (SELECT k, t FROM c WHERE t IN (0, 1) UNION ALL SELECT k, (t + lead(t) OVER (PARTITION BY k ORDER BY t)) / 2 FROM c) SELECT DISTINCT floor(y0 + t * (y1 - y0))::BIGINT AS y, floor(x0 + t * (x1 - x0))::BIGINT AS x FROM m JOIN s USING (k) WHERE t IS NOT NULL",

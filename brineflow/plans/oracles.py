@@ -52,6 +52,17 @@ kept AS (SELECT session, r, x FROM rounds WHERE state = 1 AND k = (SELECT max(k)
 ends AS (SELECT k.session, k.r, max(s.r) FILTER (s.r < k.r AND s.x > k.x) AS a, min(s.r) FILTER (s.r > k.r AND s.x > k.x) AS b FROM kept k JOIN s USING (session) GROUP BY ALL),
 base AS (SELECT e.session, e.r, greatest(min(s.x) FILTER (s.r <= e.r AND s.r > coalesce(e.a, 0)), min(s.x) FILTER (s.r >= e.r AND (e.b IS NULL OR s.r < e.b))) AS low FROM ends e JOIN s USING (session) GROUP BY e.session, e.r)"""
 )
+# Cells of the display grid by their first stage s, and from which stage on (t) the source filter keeps them.
+DISPLAY = (
+    CONN
+    + f""", ps AS (SELECT y // 2 AS y, x // 2 AS x, bool_or(source) AS src FROM m GROUP BY ALL),
+q AS (SELECT m.y // 2 AS y, m.x // 2 AS x, elev * 10 AS ground, connection * 10 AS conn, src, CASE WHEN connection IS NOT NULL THEN greatest(0, floor(elev * 2) + 1, connection * 2)::INT END AS s
+  FROM m JOIN ps ON ps.y = m.y // 2 AND ps.x = m.x // 2 WHERE m.y % 2 = 1 AND m.x % 2 = 1),
+wn AS (SELECT a.y, a.x, b.y AS y2, b.x AS x2, b.s AS s2 FROM q a, {SIDES} JOIN q b ON b.y = a.y + dy AND b.x = a.x + dx WHERE a.s <= 280 AND b.s <= 280),
+rc AS (SELECT y, x, s FROM q WHERE src AND s <= 280 UNION SELECT wn.y2, wn.x2, greatest(rc.s, wn.s2) FROM rc JOIN wn USING (y, x)),
+t AS (SELECT q.*, CASE WHEN src THEN greatest(q.s, near.s) ELSE far.s END AS t FROM q
+  LEFT JOIN (SELECT y, x, min(s2) AS s FROM wn GROUP BY ALL) near USING (y, x) LEFT JOIN (SELECT y, x, min(s) AS s FROM rc GROUP BY ALL) far USING (y, x))"""
+)
 LEVELS = E + ", lv AS (SELECT round_even(v * 100, 0)::INT AS level FROM e)"
 
 
@@ -92,10 +103,40 @@ SQL = {
     "raster_components": _r(GRID, f", k AS (SELECT * FROM g WHERE elev <= -1), nb AS (SELECT a.y, a.x, b.y AS y2, b.x AS x2 FROM k a, {SIDES} JOIN k b ON b.y = a.y + dy AND b.x = a.x + dx), r AS (SELECT y, x, y * 4294967296 + x AS l FROM k UNION SELECT nb.y2, nb.x2, r.l FROM r JOIN nb USING (y, x) WHERE nb.y2 * 4294967296 + nb.x2 > r.l), m AS (SELECT y, x, min(l) AS l FROM r GROUP BY y, x) SELECT l // 4294967296 AS y, l % 4294967296 AS x, count(*) AS n_cells, min(elev) AS lowest FROM m JOIN k USING (y, x) GROUP BY l HAVING count(*) >= 3"),
     "connection_stage": _r(CONN, "SELECT y, x, connection FROM m"),
     "zone_summary": _r(ZONED, ", hb AS (SELECT label, elev + 100 AS bin, count(*) AS n FROM w GROUP BY ALL), hs AS (SELECT label, string_agg(bin || ':' || n, ' ' ORDER BY bin) AS hist FROM hb GROUP BY label) SELECT label // 4294967296 AS y, label % 4294967296 AS x, max(connection) AS connection, count(*) AS cell_count, count(*) FILTER (source) AS source_cells, count(*) FILTER (hard) AS hard_cells, any_value(hist) AS hist FROM w JOIN hs USING (label) GROUP BY label"),
-    "stage_wet_cells": _r(CONN, "SELECT st AS stage_c, count(*) FILTER (st > elev * 10 AND coalesce(connection * 10 <= st, false)) AS n_wet, count(*) FILTER (elev * 10 <= st AND NOT (st > elev * 10 AND coalesce(connection * 10 <= st, false))) AS n_low FROM m, (SELECT unnest(range(0, 260, 10))::INT AS st) GROUP BY st"),
+    "stage_wet_cells": _r(CONN, "SELECT st AS stage_c, count(*) FILTER (st > elev * 10 AND coalesce(connection * 10 <= st, false)) AS n_wet, count(*) FILTER (elev * 10 <= st AND NOT (st > elev * 10 AND coalesce(connection * 10 <= st, false))) AS n_low FROM m, (SELECT unnest(range(0, 1405, 5))::INT AS st) GROUP BY st"),
+    "render_stages": _r(
+        DISPLAY,
+        """SELECT k * 5 AS stage_c, count(*) FILTER (s <= k AND t <= k) AS n_wet, count(*) FILTER (ground <= k * 5 AND NOT coalesce(s <= k AND t <= k, false)) AS n_green,
+count(*) FILTER (s <= k AND NOT coalesce(t <= k, false)) AS n_removed FROM t, (SELECT unnest(range(281))::INT AS k) GROUP BY k""",
+    ),
+    "render_codes": _r(
+        DISPLAY,
+        """, kept AS (SELECT y, x, ground, conn, greatest(0, (150 - ground) / 100.0::DOUBLE) AS raw FROM t WHERE t <= 30 AND s <= 30),
+d AS (SELECT *, raw - least(1.25::DOUBLE, 0.75::DOUBLE * raw) AS depth FROM kept),
+o AS (SELECT d AS o, exp(-0.5::DOUBLE * (d / 2.0::DOUBLE) * (d / 2.0::DOUBLE)) AS w FROM (SELECT unnest(range(-8, 9)) AS d)),
+b AS (SELECT min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM q),
+ty AS (SELECT y, least(greatest(y + o, y0), y1) AS at, w FROM (SELECT DISTINCT y FROM d), o, b),
+tx AS (SELECT x, least(greatest(x + o, x0), x1) AS at, w FROM (SELECT DISTINCT x FROM d), o, b),
+v AS (SELECT ty.y, d.x, sum(depth * w) AS n, sum(w) AS m FROM ty JOIN d ON d.y = ty.at GROUP BY ALL),
+h AS (SELECT v.y, tx.x, sum(n * w) / sum(m * w) AS depth FROM tx JOIN v ON v.x = tx.at GROUP BY ALL),
+z AS (SELECT d.y, d.x, h.depth, greatest(ground, conn) AS act FROM d JOIN h USING (y, x))
+SELECT y, x, 1 + len(list_filter([0.1, 0.25, 0.5, 1, 1.5, 2, 2.5, 3, 4, 5], lambda e: round(depth, 9) >= e))::INT AS depth_code,
+  CASE WHEN act < 325 THEN 1 WHEN act < 425 THEN 2 ELSE 3 END AS stage_code, round_even(depth * 1000, 0)::INT AS depth_m FROM z
+UNION ALL SELECT y, x, 12, 4, NULL FROM q WHERE ground <= 150 AND (y, x) NOT IN (SELECT (y, x) FROM kept)""",
+    ),
     "render_source_filter": _r(GRID, f", k AS (SELECT * FROM g WHERE elev <= 2), nb AS (SELECT a.y, a.x, b.y AS y2, b.x AS x2 FROM k a, {SIDES} JOIN k b ON b.y = a.y + dy AND b.x = a.x + dx), r AS (SELECT y, x FROM k WHERE x < 3 UNION SELECT nb.y2, nb.x2 FROM r JOIN nb USING (y, x)) SELECT y, x FROM r SEMI JOIN nb USING (y, x)"),
     "green_next_to_blue": _w(GRID, f"SELECT DISTINCT a.y, a.x FROM g a, {SIDES} JOIN g b ON b.y = a.y + dy AND b.x = a.x + dx WHERE a.elev > 2 AND a.elev <= 6 AND b.elev <= 2"),
-    "smoothed_depth": _w(GRID, ", k AS (SELECT y, x, elev::DOUBLE AS n, 1.0::DOUBLE AS d FROM g WHERE elev <= 10), o AS (SELECT d AS o, exp(-0.5::DOUBLE * (d / 2.0::DOUBLE) * (d / 2.0::DOUBLE)) AS w FROM (SELECT unnest(range(-8, 9)) AS d)), a AS (SELECT y + o AS y, x, sum(n * w) AS n, sum(d * w) AS d FROM k, o GROUP BY ALL), b AS (SELECT y, x + o AS x, sum(n * w) AS n, sum(d * w) AS d FROM a, o GROUP BY ALL) SELECT k.y, k.x, round_even(b.n / b.d * 100, 0)::INT AS smooth_c FROM k JOIN b ON k.y = b.y AND k.x = b.x"),
+    "smoothed_depth": _w(
+        GRID,
+        """, k AS (SELECT y, x, elev::DOUBLE AS n FROM g WHERE elev <= 10),
+o AS (SELECT d AS o, exp(-0.5::DOUBLE * (d / 2.0::DOUBLE) * (d / 2.0::DOUBLE)) AS w FROM (SELECT unnest(range(-8, 9)) AS d)),
+b AS (SELECT min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM g),
+ty AS (SELECT y, least(greatest(y + o, y0), y1) AS at, w FROM (SELECT DISTINCT y FROM k), o, b),
+tx AS (SELECT x, least(greatest(x + o, x0), x1) AS at, w FROM (SELECT DISTINCT x FROM k), o, b),
+v AS (SELECT ty.y, k.x, sum(n * w) AS n, sum(w) AS d FROM ty JOIN k ON k.y = ty.at GROUP BY ALL),
+h AS (SELECT v.y, tx.x, sum(n * w) AS n, sum(d * w) AS d FROM tx JOIN v ON v.x = tx.at GROUP BY ALL)
+SELECT k.y, k.x, round_even(h.n / h.d * 100, 0)::INT AS smooth_c FROM k JOIN h USING (y, x)""",
+    ),
     "scalar_formats": "WITH o AS (SELECT o_orderkey, o_orderdate, o_orderstatus, (o_orderkey % 2700)::VARCHAR AS s FROM orders), f AS (SELECT *, CASE WHEN length(s) = 3 THEN '0' || s WHEN length(s) >= 4 THEN s[1:4] END AS h FROM o) SELECT o_orderkey, CASE WHEN regexp_full_match(h, '([01][0-9]|2[0-3])[0-5][0-9]') THEN h[1:2] || ':' || h[3:4] END AS time, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, nullif(o_orderstatus, '') AS status FROM f",
     "tumbling_hours": _w(E, "SELECT t // 3600 AS hour, count(*) AS n, max(round_even(v * 100, 0)::INT) AS peak_c FROM e GROUP BY 1"),
     "hour_anchor_nearest_fill": _w("f AS (SELECT event_id, user_id, event_type, floor(epoch(ts))::BIGINT AS t, value AS v FROM events)", ", k AS (SELECT event_id, user_id, t, v, round_even(t / 3600, 0)::BIGINT * 3600 AS anchor, event_type IS NOT DISTINCT FROM 'signup' AS known FROM f) SELECT user_id, anchor, event_id, abs(t - anchor) AS dist, v FROM k WHERE NOT known AND NOT EXISTS (SELECT 1 FROM k x WHERE x.known AND x.user_id = k.user_id AND x.anchor = k.anchor) QUALIFY row_number() OVER (PARTITION BY user_id, anchor ORDER BY abs(t - anchor), t, event_id) = 1"),

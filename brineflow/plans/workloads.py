@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from brineflow import runtime
 from brineflow.functions import levels as L
-from brineflow.operators import frequency, geometry, hydraulics, peaks, raster, series
+from brineflow.operators import frequency, geometry, hydraulics, peaks, raster, series, stages
 from brineflow.plans import oracles
 from brineflow.runtime import table
 
@@ -244,19 +244,39 @@ def zone_summary(spark, d):
 
 def stage_wet_cells(spark, d):
     """A cell is wet from the first stage that is above it and at its connection; both counts are ranks among the cells."""
-    stages = hydraulics.stage_catalogue(spark, 26, 10).withColumn("at", -F.col("stage_c"))
+    every = hydraulics.stage_catalogue(spark).withColumn("at", -F.col("stage_c"))
     c = _connected(spark, d).select((F.col("elev") * -10).alias("low"), F.when(F.col("connection").isNotNull(), -F.greatest(F.col("elev") * 10 + 1, F.col("connection") * 10)).alias("wet"))
     c = runtime.save(c.groupBy("low", "wet").count(), "levels")
-    low = frequency.range_count(c.select(F.col("low").alias("level"), "count"), stages, "level", "at", "n_all", "count")
+    low = frequency.range_count(c.select(F.col("low").alias("level"), "count"), every, "level", "at", "n_all", "count")
     both = frequency.range_count(c.select(F.col("wet").alias("level"), "count"), low, "level", "at", "n_wet", "count")
     return both.select("stage_c", "n_wet", (F.col("n_all") - F.col("n_wet")).alias("n_low"))
 
 
-def _equilibrium(spark, d, stages: DataFrame) -> DataFrame:
+def _display(spark, d) -> DataFrame:
+    """Every second row and column of the connected grid, with the sources pooled to it."""
+    c = runtime.save(_connected(spark, d), "connected")
+    half = lambda n: F.expr(f"{n} div 2")
+    cells = raster.strided(c, 2, 1).select(half("y").alias("y"), half("x").alias("x"), (F.col("elev") * 10).alias("ground_c"), (F.col("connection") * 10).alias("connection_c"))
+    pooled = raster.or_pool(c, "source", 2).select(F.col("by").alias("y"), F.col("bx").alias("x"), "source")
+    return cells.join(pooled, ["y", "x"])
+
+
+def render_stages(spark, d):
+    """Wet, green and removed cells of the display grid at every stage of the catalogue."""
+    return stages.render_counts(_display(spark, d)).select("stage_c", "n_wet", "n_green", "n_removed")
+
+
+def render_codes(spark, d):
+    """Depth and stage codes of the display grid at 1.50 ft, and the smoothed depth in thousandths."""
+    cells = runtime.save(_display(spark, d), "display")
+    return stages.render_codes(cells, 150, raster.extent(cells)).select("y", "x", "depth_code", "stage_code", F.rint(F.col("depth") * 1000).cast("int").alias("depth_m"))
+
+
+def _equilibrium(spark, d, every: DataFrame) -> DataFrame:
     z = _zoned(spark, d)
     hist = z.groupBy(F.col("zone_label").alias("zone_id"), (F.col("elev") + 100).alias("bin")).agg(F.count("*").alias("n"))
     zones = z.groupBy(F.col("zone_label").alias("zone_id")).agg(F.max("connection").alias("connection"))
-    e = hydraulics.equilibrium(zones, hist, stages)
+    e = hydraulics.equilibrium(zones, hist, every)
     return e.groupBy("stage_c").agg(F.count("*").alias("n_zones"), F.sum("wet_cells").alias("wet_cells"), F.sum("storage_d").alias("storage_d"))
 
 
@@ -282,8 +302,8 @@ def green_next_to_blue(spark, d):
 
 
 def smoothed_depth(spark, d):
-    g = _grid(spark, d).where("elev <= 10")
-    return raster.masked_gaussian(g, "elev").select("y", "x", F.rint(F.col("smooth") * 100).cast("int").alias("smooth_c"))
+    g = _grid(spark, d)
+    return raster.masked_gaussian(g.where("elev <= 10"), "elev", raster.extent(g)).select("y", "x", F.rint(F.col("smooth") * 100).cast("int").alias("smooth_c"))
 
 
 def scalar_formats(spark, d):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from brineflow import config as C
 from brineflow.functions import levels as L
-from brineflow.operators import frequency, geometry, graph, hydraulics, peaks, raster, series
+from brineflow.operators import frequency, geometry, graph, hydraulics, peaks, raster, series, stages
 from brineflow.plans import archive_queries, archives, model_queries, source_queries, workloads
 from brineflow.sources import readers, sinks
 from brineflow.streaming import gauges
@@ -80,6 +80,9 @@ def test_codes_keys_and_packing(spark):
     assert [one(spark, L.normalize_time(F.col("s")), s=s) for s in ("936", "09:36", "2460", "")] == ["09:36", "09:36", None, None]
     assert [one(spark, L.classify(F.col("x")), x=x) for x in (3.24, 3.25, 4.25, 5.25, float("nan"))] == ["none", "minor", "moderate", "major", "none"]
     assert one(spark, L.hex_rgb(F.col("s")), s="#0aFf10") == [10, 255, 16]
+    assert [one(spark, L.colour(F.col("c")), c=c) for c in (0, 1, 3, 4, 5)] == [None, "#F4A742", "#7D3C98", "#63D471", None]
+    assert [one(spark, L.colour(F.col("c"), L.DEPTH_COLOURS), c=c) for c in (1, 11, 12)] == ["#7DF9FF", "#050E33", "#63D471"]
+    assert [one(spark, L.opacity(F.col("c"), L.DEPTH_COLOURS), c=c) for c in (0, 1, 11, 12, 13)] == [0, 225, 225, 205, 0]
     assert one(spark, L.display_date(F.col("d")), d=date(2012, 10, 9)) == "October 9, 2012"
     assert hydraulics.stage_catalogue(spark).count() == 281
     assert [one(spark, L.connection_bin(F.col("c")), c=c) for c in (-500, -100, -81, -80, 139, 140, 900)] == [0, 0, 0, 1, 11, 12, 12]
@@ -433,9 +436,59 @@ def test_dilation_and_smoothing_across_tiles(spark):
     df = spark.createDataFrame(cells, "y long, x long, v double")
     near = {(y + a, x + b) for y, x, _ in cells for a in range(-3, 4) for b in range(-3, 4) if a * a + b * b <= 9}
     assert {(r["y"], r["x"]) for r in raster.dilate(df, 3, tile=7).collect()} == near
-    small, large = ({(r["y"], r["x"]): r["smooth"] for r in raster.masked_gaussian(df, "v", tile=t).collect()} for t in (6, 64))
-    assert small.keys() == large.keys() and len(small) == len(cells)
-    assert all(abs(small[k] - large[k]) < 1e-9 for k in small)
+    value = {(y, x): v for y, x, v in cells}
+    edge = (0, 22, 0, 18)
+    for grid in (edge, None):
+        small, large = ({(r["y"], r["x"]): r["smooth"] for r in raster.masked_gaussian(df, "v", grid, tile=t).collect()} for t in (6, 64))
+        assert small.keys() == large.keys() and len(small) == len(cells)
+        at = lambda k, lo, hi: min(max(k, lo), hi) if grid else k  # noqa: E731, B023
+        for (y, x), got in small.items():
+            near = [(math.exp(-(a * a + b * b) / 8), value.get((at(y + a, 0, 22), at(x + b, 0, 18)))) for a in range(-8, 9) for b in range(-8, 9)]
+            want = sum(w * v for w, v in near if v is not None) / sum(w for w, v in near if v is not None)
+            assert abs(got - want) < 1e-9 and abs(large[y, x] - want) < 1e-9
+
+
+def labelled(ground, connection, source, stage):
+    """Areas, kept areas, removed, wet and green cells of one stage, by flooding each area."""
+    wet = (stage > ground) & (connection <= stage)
+    seen, areas, kept, removed = np.zeros_like(wet), 0, 0, 0
+    for start in map(tuple, np.argwhere(wet)):
+        if seen[start]:
+            continue
+        seen[start], todo, area = True, [start], []
+        while todo:
+            y, x = todo.pop()
+            area.append((y, x))
+            for p in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                if 0 <= p[0] < wet.shape[0] and 0 <= p[1] < wet.shape[1] and wet[p] and not seen[p]:
+                    seen[p] = True
+                    todo.append(p)
+        good = len(area) >= 2 and any(source[p] for p in area)
+        areas, kept, removed = areas + 1, kept + good, removed + (0 if good else len(area))
+    n_wet = int(wet.sum()) - removed
+    return areas, kept, removed, n_wet, int((ground <= stage).sum()) - n_wet
+
+
+@pytest.mark.parametrize(("height", "width", "tile"), [(30, 41, 4), (70, 40, 3), (12, 12, 64)])
+def test_counts_of_all_stages_equal_labelling_each(spark, height, width, tile):
+    rng = np.random.default_rng(tile)
+    ground = rng.integers(-20, 60, (height, width))
+    connection = np.where(rng.random(ground.shape) < 0.1, 10**6, rng.integers(-5, 70, ground.shape))
+    source = rng.random(ground.shape) < 0.03
+    rows = [(y, x, int(ground[y, x]), None if connection[y, x] == 10**6 else int(connection[y, x]), bool(source[y, x])) for y in range(height) for x in range(width)]
+    df = spark.createDataFrame(rows, "y long, x long, ground_c int, connection_c int, source boolean")
+    got = stages.render_counts(df, 21, 5, tile).orderBy("stage_c").collect()
+    assert [tuple(r)[1:] for r in got] == [labelled(ground, connection, source, 5 * k) for k in range(21)]
+    codes = stages.render_codes(df, 40, raster.extent(df), tile).collect()
+    _, _, _, n_wet, n_green = labelled(ground, connection, source, 40)
+    assert sum(r["depth_code"] < 12 for r in codes) == n_wet and sum((r["depth_code"], r["stage_code"]) == (12, 4) for r in codes) == n_green
+    assert len({(r["y"], r["x"]) for r in codes}) == len(codes)
+
+
+def test_stage_counts_of_an_empty_grid(spark):
+    none = spark.createDataFrame([], "y long, x long, ground_c int, connection_c int, source boolean")
+    assert [tuple(r)[1:] for r in stages.render_counts(none, 2).collect()] == [(0,) * 5] * 2
+    assert stages.render_codes(none, 100, raster.extent(none)).count() == 0
 
 
 def test_streams_replace_days_and_end_sessions(spark, tmp_path):
@@ -466,6 +519,9 @@ def test_archive_plans(spark):
     assert rows[0]["v"][:3] == [300, 302, 305] and rows[0]["v"][-1] is None and rows[0]["p"] == 397 and rows[0]["c"] == "minor"
     hourly = archives.hourly_rows(samples, archives.civil_slots(days, "America/New_York", 3600)).orderBy("hour").collect()
     assert hourly[0]["navd_c"] == 309 and hourly[0]["mllw_c"] == 584 and hourly[0]["phase"] == "filling" and len(hourly) == 10
+    # 0.135 is kept as 0.14, and the other datum follows from what is kept.
+    low = spark.createDataFrame([("a", start, 0.135)], "series string, t long, v double")
+    assert archives.hourly_rows(low, archives.civil_slots(days, "America/New_York", 3600)).select("navd_c", "mllw_c").collect() == [(14, 289)]
     f = spark.createDataFrame([("mean", 0, 6.0), ("mean", 1, 7.0), ("mean", 2, 20.0)], "name string, pos int, mllw double")
     got = [(r["navd"], r["stage_key"], r["clamped"], r["phase"], r["rise"]) for r in archives.forecast_rows(f).orderBy("pos").collect()]
     assert got == [(3.25, "3.25", False, "filling", 0.0), (4.25, "4.25", False, "filling", 0.25), (17.25, "14.00", True, "filling", 3.25)]
