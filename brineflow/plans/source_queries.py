@@ -254,9 +254,10 @@ def _stream(spark, d) -> DataFrame:
 
 
 def _run(spark, d, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The stream's whole input through the keyed sink, and the table that it leaves."""
+    """The stream's whole input through the keyed sink, partitioned by the day of the last key, and the table that it leaves."""
     path = runtime.new_path(spark, "stream")
-    query = gauges.replace_days(rows, path, keys, runtime.new_path(spark, "stream-checkpoint")).trigger(availableNow=True).start()
+    rows = rows.withColumn("day", F.col(keys[-1]).cast("date"))
+    query = gauges.replace_partitions(rows, path, keys, runtime.new_path(spark, "stream-checkpoint")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(path)
 

@@ -122,7 +122,7 @@ def request_url(base: str, **params: F.Column | str) -> F.Column:
 NO_DATA = "No data was found"
 
 
-def _fetched(fetch, url: str, attempts: int, wait) -> str | None:
+def fetched(fetch, url: str, attempts: int, wait) -> str | None:
     """The body, after as many attempts; null where the service says that it has no data for the request."""
     import time
 
@@ -147,7 +147,7 @@ def landed(spark: SparkSession, requests: DataFrame, fetch, attempts: int = 4, w
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"url": part["url"], "body": [_fetched(fetch, u, attempts, wait) for u in part["url"]]}).dropna()
+            yield pd.DataFrame({"url": part["url"], "body": [fetched(fetch, u, attempts, wait) for u in part["url"]]}).dropna()
 
     return requests.select("url").mapInPandas(run, "url string, body string")
 
@@ -178,7 +178,7 @@ def cached(spark: SparkSession, requests: DataFrame, fetch, folder: str, attempt
                     return text
                 except ValueError:
                     fs.delete_file(path)
-            text = _fetched(fetch, url, attempts, None)
+            text = fetched(fetch, url, attempts, None)
             if text is not None:
                 aside = f"{path}.{uuid.uuid4().hex[:8]}"
                 with fs.open_output_stream(aside) as f:
@@ -205,7 +205,7 @@ def paged(spark: SparkSession, requests: DataFrame, fetch, page: int = 1000, att
             for url in part["url"]:
                 offset = 0
                 while True:
-                    body = _fetched(fetch, f"{url}&resultOffset={offset}&resultRecordCount={page}", attempts, None)
+                    body = fetched(fetch, f"{url}&resultOffset={offset}&resultRecordCount={page}", attempts, None)
                     found = json.loads(body)["features"] if body else []
                     yield pd.DataFrame({"url": url, "feature": [json.dumps(x) for x in found]}, dtype="object")
                     offset += len(found)

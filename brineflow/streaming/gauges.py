@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brineflow.sources.sinks import upsert_days, upsert_table
+from brineflow.sources.sinks import upsert_days
 
 
 def hourly_peaks(stream: DataFrame, late: str = "3 days") -> DataFrame:
@@ -28,19 +28,19 @@ def with_states(stream: DataFrame, states: DataFrame, key: str = "stage") -> Dat
     return stream.join(states, key, "left")
 
 
-def replace_days(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Every batch replaces its days in the table at ``path``; a batch that runs again gives the same table."""
+def replace_partitions(stream: DataFrame, path: str, keys: list[str], checkpoint: str, day: str = "day"):
+    """Every batch replaces its rows by key in a table that is partitioned by ``day``, rewriting the days it has and no others; a batch that runs again gives the same table."""
 
     def one(batch: DataFrame, _: int) -> None:
-        upsert_table(batch.sparkSession, path, batch, keys)
+        upsert_days(batch.sparkSession, path, batch, keys, day)
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(one)
 
 
-def replace_partitions(stream: DataFrame, path: str, keys: list[str], checkpoint: str, day: str = "day"):
-    """As :func:`replace_days` for a table that is partitioned by ``day``: a batch rewrites the days it has and no others."""
+def archive_days(stream: DataFrame, path: str, checkpoint: str, day: str = "day"):
+    """Whole days of a feed take the place of those in the table at ``path``; a batch that runs again, whole or cut short, leaves the same table."""
 
     def one(batch: DataFrame, _: int) -> None:
-        upsert_days(batch.sparkSession, path, batch, keys, day)
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
-    return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(one)
+    return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(one)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brineflow import config as C
 from brineflow.functions import levels as L
 from brineflow.operators import frequency, geometry, graph, hydraulics, peaks, raster, series, stages
-from brineflow.plans import archive_queries, archives, model_queries, source_queries, workloads
+from brineflow.plans import archive_queries, archives, feed_queries, model_queries, source_queries, workloads
 from brineflow.sources import readers, sinks
 from brineflow.streaming import gauges
 
@@ -33,7 +33,7 @@ def plain(v):
     return round(float(v), 6) if isinstance(v, float) else None if v is None else str(v)
 
 
-PLANS = [workloads, archive_queries, model_queries, source_queries]
+PLANS = [workloads, archive_queries, model_queries, source_queries, feed_queries]
 QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
 #: Queries over the same zones as others here, left to the driver's comparison for their time.
@@ -500,7 +500,7 @@ def test_streams_replace_days_and_end_sessions(spark, tmp_path):
     q.awaitTermination()
     assert [(r["n"], r["peak"]) for r in spark.sql("select * from sess").collect()] == [(15, 28.0)]
     out = str(tmp_path / "days")
-    gauges.replace_days(stream.select("series", F.to_date("ts").alias("d"), "v"), out, ["series", "d"], str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    gauges.replace_partitions(stream.select("series", F.to_date("ts").alias("day"), "v"), out, ["series", "day"], str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(out).count() == 16
 
 
