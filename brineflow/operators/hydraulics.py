@@ -20,21 +20,22 @@ def prefix(hist: DataFrame) -> DataFrame:
     return hist.select("zone_id", "bin", F.sum("n").over(w).alias("cum_n"), F.sum(F.col("n") * elev).over(w).alias("cum_elev"))
 
 
-def storage_at(hist: DataFrame, surfaces: DataFrame) -> DataFrame:
-    """Volume (tenths of a foot times cells) and wetted cells of a zone under a surface (tenths): all bins up to it.
+def equilibrium(zones: DataFrame, hist: DataFrame, stages: int = C.STAGES, step_c: int = C.STAGE_STEP_C) -> DataFrame:
+    """Each stage (``stage_c``) that a zone's connection reaches, as its surface: ``surface_d``, ``wet_cells`` and ``storage_d`` (tenths of a foot times cells).
 
-    ``surfaces``: zone_id, surface_d and any other columns. A zone has at most 241 bins.
+    Between two bins of a zone the running sums stand, so each bin gives the stages up to the next one; rows are zones
+    times stages, whatever the number of bins (241 at most).
     """
-    lower = (F.col("surface_d") - C.HIST_MIN_D) >= F.col("bin")
-    asked = surfaces.join(hist, "zone_id").groupBy(*surfaces.columns)
-    total = asked.agg(F.sum(F.when(lower, F.col("n")).otherwise(0)).alias("wet_cells"), F.sum(F.when(lower, F.col("n") * (F.col("surface_d") - F.col("bin") - C.HIST_MIN_D)).otherwise(0)).alias("storage_d"))
-    return total.withColumn("storage_d", F.greatest(F.lit(0), F.col("storage_d")))
-
-
-def equilibrium(zones: DataFrame, hist: DataFrame, stages: DataFrame) -> DataFrame:
-    """Zones that a stage reaches take it as their surface; the stages are a small table."""
-    reached = zones.select("zone_id", "connection").crossJoin(F.broadcast(stages)).where(F.col("connection") * 10 <= F.col("stage_c"))
-    return storage_at(hist, reached.select("zone_id", "stage_c", (F.col("stage_c") / 10).alias("surface_d")))
+    line = Window.partitionBy("zone_id").orderBy("bin")
+    # Before the lowest bin nothing is held.
+    below = zones.select("zone_id", F.lit(None).cast("long").alias("bin"), F.lit(0).cast("long").alias("cum_n"), F.lit(0).cast("long").alias("cum_elev"))
+    sums = prefix(hist).select("zone_id", F.col("bin").cast("long").alias("bin"), F.col("cum_n").cast("long").alias("cum_n"), F.col("cum_elev").cast("long").alias("cum_elev")).unionByName(below)
+    first = lambda d: F.ceil(10 * d / step_c)  # noqa: E731  of the stages at or above tenths
+    spans = sums.withColumns({"lo": F.greatest(F.lit(0), F.coalesce(first(F.col("bin") + C.HIST_MIN_D), F.lit(0))), "next": F.lead("bin").over(line)})
+    spans = spans.withColumn("hi", F.least(F.lit(stages), F.coalesce(first(F.col("next") + C.HIST_MIN_D), F.lit(stages))) - 1)
+    reached = spans.join(zones.select("zone_id", "connection"), "zone_id").withColumn("lo", F.greatest("lo", first(F.col("connection")))).where("lo <= hi")
+    rows = reached.withColumn("stage", F.explode(F.sequence("lo", "hi"))).withColumn("stage_c", (F.col("stage") * step_c).cast("int")).withColumn("surface_d", F.col("stage_c") / 10)
+    return rows.select("zone_id", "stage_c", "surface_d", F.col("cum_n").alias("wet_cells"), F.greatest(F.lit(0.0), F.col("cum_n") * F.col("surface_d") - F.col("cum_elev")).alias("storage_d"))
 
 
 def phases(states: DataFrame, spark) -> DataFrame:

@@ -65,7 +65,7 @@ def surface_from_storage(spark, d):
 
 def _sweep(spark, d) -> DataFrame:
     zones, hist = _zones(spark, d)
-    e = hydraulics.equilibrium(zones, hist, hydraulics.stage_catalogue(spark))
+    e = hydraulics.equilibrium(zones, hist)
     coded = e.select("stage_c", "zone_id", hydraulics.encoded_surface(F.col("storage_d") / 10, F.col("surface_d") / 10).alias("surface_c"))
     return hydraulics.phases(coded, spark)
 

@@ -15,7 +15,7 @@ from brineflow.plans import archives
 from brineflow.plans import workloads as W
 from brineflow.plans.oracles import ZONED, _r, _w
 from brineflow.runtime import table
-from brineflow.sources import readers, sinks
+from brineflow.sources import container, readers, sinks
 from brineflow.streaming import gauges
 
 
@@ -86,18 +86,15 @@ def edges_csv_scan(spark, d):
 
 
 def state_container_scan(spark, d):
-    """Surfaces of the largest zones by stage and phase through the packed container; zones are numbered in scan order."""
+    """Surfaces of all zones by stage and phase through the packed container; zones are numbered in scan order."""
     z = runtime.save(W._zoned(spark, d), "zoned")
-    big = z.groupBy("zone_label").agg(F.max("connection").alias("connection"), F.count("*").alias("n")).where("n >= 30")
-    ids = W.raster.numbered(z.join(big.select("zone_label"), "zone_label", "left_semi"))
-    n_zones = ids.count()
-    states = big.join(ids, "zone_label").join(hydraulics.stage_catalogue(spark), F.col("connection") * 10 <= F.col("stage_c"))
+    every = z.groupBy("zone_label").agg(F.max("connection").alias("connection"))
+    ids = runtime.save(W.raster.numbered(z), "zone-ids")
+    states = every.join(ids, "zone_label").join(hydraulics.stage_catalogue(spark), F.col("connection") * 10 <= F.col("stage_c"))
     surfaces = hydraulics.phases(states.select((F.col("stage_c") / 5).cast("int").alias("stage"), F.col("zone_id").cast("int").alias("zone_id"), F.col("stage_c").alias("surface_c")), spark)
-    blob = sinks.encode_states(surfaces, n_zones, 281, {"unit": "ft"})
     path = runtime.new_path(spark, "states")
-    spark.createDataFrame([(bytearray(blob),)], "content binary").write.parquet(path)
-    got = sinks.states_of(spark.read.parquet(path))
-    return got.groupBy("phase", "stage").agg(F.count("*").alias("n_wet"), F.sum("zone_id").cast("long").alias("sum_zone"), F.sum("surface_c").cast("long").alias("sum_c"))
+    container.write(surfaces, path, 281, ids.count(), {"unit": "ft"})
+    return container.read(spark, path).groupBy("phase", "stage").agg(F.count("*").alias("n_wet"), F.sum("zone_id").cast("long").alias("sum_zone"), F.sum("surface_c").cast("long").alias("sum_c"))
 
 
 def forecast_scan(spark, d):
@@ -297,7 +294,7 @@ SQL = {
     "peak_feed_scan": f"WITH {A.REC} SELECT round_even(height_ft * 100, 0)::INT AS height_c, date, CASE WHEN regexp_full_match(four, '([01][0-9]|2[0-3])[0-5][0-9]') THEN four[1:2] || ':' || four[3:4] END AS time_est FROM f",
     "zones_csv_scan": _w("g AS (SELECT vec_id AS y, (generate_subscripts(embedding, 1) - 1)::INT AS x, round_even(unnest(embedding)::DOUBLE * 100, 0)::INT AS elev FROM embeddings)", "SELECT ((y // 25) * 100 + x // 25)::INT AS zone_id, max(elev)::INT AS connection10, count(*) AS cell_count, count(*) FILTER (x = 0) AS source_cells, count(*) FILTER (elev >= 20) AS hard_cells, 241 AS n_bins, count(*) FILTER (elev BETWEEN -100 AND 140) AS total, (sum(elev + 100) FILTER (elev BETWEEN -100 AND 140))::BIGINT AS moment FROM g GROUP BY 1"),
     "edges_csv_scan": f"SELECT zone_a::INT AS zone_a, zone_b::INT AS zone_b, crest AS crest10, width AS width_ft, crest AS again10 FROM ({W.SQL['raster_edges']})",
-    "state_container_scan": _r(ZONED, ", zc AS (SELECT label, max(connection) AS c, min((y // 25) * 1000000 + x // 25) AS tile FROM w GROUP BY label HAVING count(*) >= 30), zi AS (SELECT *, row_number() OVER (ORDER BY tile, label) - 1 AS zone_id FROM zc) SELECT phase, (st // 5)::INT AS stage, count(*) AS n_wet, sum(zone_id)::BIGINT AS sum_zone, sum(st)::BIGINT AS sum_c FROM zi JOIN (SELECT unnest(range(0, 1405, 5)) AS st) ON c * 10 <= st, (VALUES ('filling'), ('slack'), ('draining')) p(phase) GROUP BY ALL"),
+    "state_container_scan": _r(ZONED, ", zc AS (SELECT label, max(connection) AS c, min((y // 25) * 1000000 + x // 25) AS tile FROM w GROUP BY label), zi AS (SELECT *, row_number() OVER (ORDER BY tile, label) - 1 AS zone_id FROM zc) SELECT phase, (st // 5)::INT AS stage, count(*) AS n_wet, sum(zone_id)::BIGINT AS sum_zone, sum(st)::BIGINT AS sum_c FROM zi JOIN (SELECT unnest(range(0, 1405, 5)) AS st) ON c * 10 <= st, (VALUES ('filling'), ('slack'), ('draining')) p(phase) GROUP BY ALL"),
     "forecast_scan": "SELECT 'u' || user_id AS name, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, round_even((round(value / 25, 3) + event_id % 3) * 1000, 0)::INT AS mllw_m FROM events",
     "projection_scan": "WITH p AS (SELECT 'r' || n_regionkey AS scenario, (2026 + n_nationkey * 3)::INT AS year, max(n_nationkey * n_nationkey * 13.5::DOUBLE + n_regionkey * 100) AS v FROM nation GROUP BY ALL), t AS (SELECT avg(r_regionkey) / 12 / 10 AS f FROM region) SELECT scenario, year, round_even((v + f * (2026 - year)) * 1000, 0)::BIGINT AS rebased_m FROM p, t",
     "zip_member_scan": "SELECT 'n' || s_nationkey || '.zip' AS archive, 's' || s_suppkey || '.txt' AS name, s_name AS body, sha256(s_name) AS member_sha256 FROM supplier",

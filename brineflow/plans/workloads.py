@@ -272,16 +272,16 @@ def render_codes(spark, d):
     return stages.render_codes(cells, 150, raster.extent(cells)).select("y", "x", "depth_code", "stage_code", F.rint(F.col("depth") * 1000).cast("int").alias("depth_m"))
 
 
-def _equilibrium(spark, d, every: DataFrame) -> DataFrame:
+def _equilibrium(spark, d) -> DataFrame:
     z = _zoned(spark, d)
     hist = z.groupBy(F.col("zone_label").alias("zone_id"), (F.col("elev") + 100).alias("bin")).agg(F.count("*").alias("n"))
     zones = z.groupBy(F.col("zone_label").alias("zone_id")).agg(F.max("connection").alias("connection"))
-    e = hydraulics.equilibrium(zones, hist, every)
+    e = hydraulics.equilibrium(zones, hist)
     return e.groupBy("stage_c").agg(F.count("*").alias("n_zones"), F.sum("wet_cells").alias("wet_cells"), F.sum("storage_d").alias("storage_d"))
 
 
 def equilibrium_storage(spark, d):
-    e = _equilibrium(spark, d, hydraulics.stage_catalogue(spark))
+    e = _equilibrium(spark, d)
     return e.select("stage_c", "n_zones", "wet_cells", (F.col("storage_d") * 10).cast("bigint").alias("storage_c"))
 
 

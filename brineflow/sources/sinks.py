@@ -1,23 +1,13 @@
-"""Documents and tables out: JSON documents, CSV, world files, and the packed state container."""
+"""Documents and tables out: JSON documents, CSV and world files."""
 
 from __future__ import annotations
 
-import gzip
-import io
-import json
-import struct
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brineflow import runtime
 from brineflow.operators.series import upsert
 
-#: The state container's first bytes (fixed value).
-MAGIC = b"NWHYD2\0\0"
-DRY = -32768
-
 
 def day_document(days: DataFrame, header: dict) -> DataFrame:
     """One JSON document: the header's fields and ``days`` in order; a day is a small record, a document a century of them."""
@@ -105,75 +95,3 @@ def features(df: DataFrame, geometry: str) -> DataFrame:
 def world_file(pixel_x: float, pixel_y: float, left: float, top: float, turn_x: float = 0.0, turn_y: float = 0.0) -> str:
     """Six affine lines for the centre of the upper left pixel; ``turn_x`` and ``turn_y`` are the rotation terms."""
     return "".join(f"{v:.12f}\n" for v in (pixel_x, turn_y, turn_x, -pixel_y, left + (pixel_x + turn_x) / 2, top + (turn_y - pixel_y) / 2))
-
-
-def state_rows(states: DataFrame, n_zones: int) -> DataFrame:
-    """``phase, stage, slots``: one row of the container for each phase and stage, two bytes for each zone after slot 0, which is no zone.
-
-    Made in tasks: a row is bounded by the number of zones.
-    """
-    filled = states.where("surface_c is not null").groupBy("phase", "stage").agg(F.collect_list(F.struct("zone_id", "surface_c")).alias("z"))
-
-    def run(parts):
-        for part in parts:
-            slots = []
-            for z in part["z"]:
-                row = np.full(n_zones + 1, DRY, "<i2")
-                row[np.asarray([x["zone_id"] for x in z], np.int64) + 1] = [x["surface_c"] for x in z]
-                slots.append(row.tobytes())
-            yield part[["phase", "stage"]].assign(slots=slots)
-
-    return filled.mapInPandas(run, "phase string, stage int, slots binary")
-
-
-def encode_states(states: DataFrame, n_zones: int, n_stages: int, meta: dict) -> bytes:
-    """Gzipped container of the surfaces (phase, stage index, zone_id, surface_c), in hundredths.
-
-    The rows come packed from the tasks, one at a time; a container is stages times zones, two bytes each, for three phases.
-    """
-    names = ["filling", "slack", "draining"]
-    header = json.dumps(meta | {"phaseArrays": names, "stageCount": n_stages, "zoneStride": n_zones + 1}, sort_keys=True, separators=(",", ":")).encode()
-    empty = np.full(n_zones + 1, DRY, "<i2").tobytes()
-    rows = {(r["phase"], r["stage"]): bytes(r["slots"]) for r in state_rows(states, n_zones).toLocalIterator()}
-    out = io.BytesIO()
-    with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=9, mtime=0) as z:
-        z.write(MAGIC + struct.pack("<I", len(header)) + header)
-        for phase in names:
-            for stage in range(n_stages):
-                z.write(rows.pop((phase, stage), empty))
-    return out.getvalue()
-
-
-def decode_states(content: bytes) -> tuple[dict, np.ndarray]:
-    raw = gzip.decompress(content)
-    if raw[: len(MAGIC)] != MAGIC:
-        raise ValueError("not a state container")
-    (size,) = struct.unpack_from("<I", raw, len(MAGIC))
-    at = len(MAGIC) + 4
-    meta = json.loads(raw[at : at + size])
-    shape = (len(meta["phaseArrays"]), meta["stageCount"], meta["zoneStride"])
-    cube = np.frombuffer(raw, "<i2", offset=at + size)
-    if cube.size != np.prod(shape):
-        raise ValueError("the matrices do not fit the header")
-    return meta, cube.reshape(shape)
-
-
-def read_states(spark: SparkSession, path: str) -> DataFrame:
-    """As :func:`states_of`, of the container files under ``path``."""
-    return states_of(spark.read.format("binaryFile").load(path))
-
-
-def states_of(files: DataFrame) -> DataFrame:
-    """``phase, stage, zone_id, surface_c`` of the wet slots of state containers (content), unpacked in the tasks that read them."""
-    import pandas as pd
-
-    def run(parts):
-        for part in parts:
-            for content in part["content"]:
-                meta, cube = decode_states(content)
-                p, s, z = np.nonzero(cube != DRY)
-                ok = z > 0
-                p, s, z = p[ok], s[ok], z[ok]
-                yield pd.DataFrame({"phase": np.asarray(meta["phaseArrays"])[p], "stage": s.astype(np.int32), "zone_id": (z - 1).astype(np.int32), "surface_c": cube[p, s, z].astype(np.int32)})
-
-    return files.select("content").mapInPandas(run, "phase string, stage int, zone_id int, surface_c int")

@@ -14,7 +14,7 @@ from brineflow import config as C
 from brineflow.functions import levels as L
 from brineflow.operators import frequency, geometry, graph, hydraulics, peaks, raster, series, stages
 from brineflow.plans import archive_queries, archives, feed_queries, model_queries, source_queries, workloads
-from brineflow.sources import readers, sinks
+from brineflow.sources import container, readers, sinks
 from brineflow.streaming import gauges
 
 SF = "/root/testdata/sf0.001"
@@ -327,11 +327,6 @@ def test_readers_and_sinks(spark, tmp_path):
     zones = spark.createDataFrame([(0, 5, 3, 1, 0, 0, -100, [1, 2])], "zone_id int, connection10 int, cell_count bigint, source_cells bigint, grate_cells bigint, hard_cells bigint, hist_min10 int, hist array<bigint>")
     sinks.write_zones(zones, str(tmp_path / "z"))
     assert readers.zones(spark, str(tmp_path / "z")).first()["hist"] == [1, 2]
-    states = spark.createDataFrame([("filling", 1, 0, 300), ("slack", 0, 2, -5), ("draining", 1, 1, None)], "phase string, stage int, zone_id int, surface_c int")
-    blob = sinks.encode_states(states, 3, 2, {"unit": "ft"})
-    (tmp_path / "s.bin").write_bytes(blob)
-    assert blob == gzip.compress(gzip.decompress(blob), 9, mtime=0)
-    assert {tuple(r) for r in sinks.read_states(spark, str(tmp_path / "s.bin")).collect()} == {("filling", 1, 0, 300), ("slack", 0, 2, -5)}
     days = spark.createDataFrame([(date(2020, 1, 2), [1, None]), (date(2020, 1, 1), [2, 3])], "d date, v array<int>")
     doc = json.loads(sinks.day_document(days, {"schema": "x"}).first()["value"])
     assert doc["schema"] == "x" and [d["d"] for d in doc["days"]] == ["2020-01-01", "2020-01-02"]
@@ -342,6 +337,49 @@ def test_readers_and_sinks(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {("a", 1), ("b", 3)}
 
 
+def plain_container(raw):
+    """Header and arrays of an unpacked container, by its offsets alone."""
+    assert raw[:8] == b"NWHYD2\0\0"
+    n = int.from_bytes(raw[8:12], "little")
+    header = json.loads(raw[12 : 12 + n])
+    cut = {p: raw[12 + n + a["offset"] : 12 + n + a["offset"] + a["length"]] for p, a in header["phaseArrays"].items()}
+    return header, {p: np.frombuffer(b, "<i2").reshape(header["stageCount"], header["zoneStride"]) for p, b in cut.items()}
+
+
+@pytest.mark.parametrize("block", [5, 16, 1 << 20])
+def test_container_is_made_in_blocks_and_read_back(spark, tmp_path, block):
+    rng = np.random.default_rng(block)
+    rows = {(p, int(s), int(z)): int(rng.integers(-500, 1500)) for p in container.PHASES for s in range(4) for z in range(7) if rng.random() < 0.4}
+    df = spark.createDataFrame([(*k, v) for k, v in rows.items()] + [("slack", 0, 6, None)], container.STATE)
+    path = f"file://{tmp_path}/states.bin"
+    container.write(df, path, 4, 7, {"schema": "x", "unit": "ft"}, block)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["states.bin"]
+    header, cubes = plain_container(gzip.decompress((tmp_path / "states.bin").read_bytes()))
+    assert header["phaseOrder"] == list(container.PHASES) and header["valueType"] == "int16-le" and header["schema"] == "x"
+    assert header["phaseArrays"] == {p: {"offset": 64 * k, "length": 64} for k, p in enumerate(container.PHASES)}
+    found = {(p, s, z - 1): int(c[s, z]) for p, c in cubes.items() for s, z in np.argwhere(c != -32768)}
+    assert found == rows
+    assert {tuple(r)[:3]: r["surface_c"] for r in container.read(spark, path).collect()} == rows
+
+
+def test_containers_of_other_makers_and_broken_ones(spark, tmp_path):
+    def packed(header, payload):
+        head = json.dumps(header).encode()
+        return gzip.compress(b"NWHYD2\0\0" + len(head).to_bytes(4, "little") + head + payload)
+
+    slack, filling = np.asarray([[9, 100, -32768], [9, -32768, 250]], "<i2"), np.asarray([[9, 1, 2], [9, 3, 4]], "<i2")
+    other = {"phaseOrder": ["filling", "slack"], "phaseArrays": {"filling": {"offset": 16, "length": 12}, "slack": {"offset": 0, "length": 12}}, "stageCount": 2, "zoneStride": 3, "valueType": "int16-le", "diagnostics": {}}
+    legacy = {"phaseArrays": {"slack": {"offset": 0, "length": 6}}, "stageCount": 2, "zoneStride": 3, "surfaceOffsetDecifeet": -100, "drySentinel": 255}
+    (tmp_path / "a.bin").write_bytes(packed(other, slack.tobytes() + b"gaps" + filling.tobytes()))
+    (tmp_path / "b.bin").write_bytes(packed(legacy, bytes([0, 110, 255, 0, 255, 95])))
+    got = {tuple(r) for r in container.read(spark, str(tmp_path / "a.bin")).collect()}
+    assert got == {("slack", 0, 0, 100), ("slack", 1, 1, 250), ("filling", 0, 0, 1), ("filling", 0, 1, 2), ("filling", 1, 0, 3), ("filling", 1, 1, 4)}
+    assert {tuple(r) for r in container.read(spark, str(tmp_path / "b.bin")).collect()} == {("slack", 0, 0, 100), ("slack", 1, 1, -50)}
+    for broken in (gzip.compress(b"other bytes and so on"), packed(other, slack.tobytes()), packed(other | {"stageCount": 3}, slack.tobytes() * 9)):
+        with pytest.raises(ValueError, match="container|fit"):
+            list(container.surfaces(broken))
+
+
 def test_fetching_retries_caches_and_pages(spark, tmp_path):
     log = str(tmp_path / "log")
 
@@ -574,7 +612,7 @@ def test_whole_upsert_rings_and_stages(spark, duck):
     assert sorted((r["pid"], r["radius"]) for r in raster.ring_nearest(points, cells, "pid").collect()) == [(r, r) for r in range(11)]
     zones = spark.createDataFrame([(1, 0)], "zone_id int, connection int")
     hist = spark.createDataFrame([(1, 100, 3)], "zone_id int, bin int, n long")
-    got = {r["stage_c"]: r["storage_d"] for r in hydraulics.equilibrium(zones, hist, hydraulics.stage_catalogue(spark)).collect()}
+    got = {r["stage_c"]: r["storage_d"] for r in hydraulics.equilibrium(zones, hist).collect()}
     assert len(got) == 281 and got[5] == 1.5 and got[10] == 3.0
 
 
