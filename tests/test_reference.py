@@ -507,6 +507,25 @@ def labelled(ground, connection, source, stage):
     return areas, kept, removed, n_wet, int((ground <= stage).sum()) - n_wet
 
 
+@pytest.mark.parametrize(("radius", "tile", "share"), [(10, None, 0.01), (10, 7, 0.05), (4, 5, 0.3), (100, None, 0.0002)])
+def test_ring_nearest_equals_brute_force(spark, radius, tile, share):
+    rng = np.random.default_rng(radius + (tile or 0))
+    span = 60 if radius < 100 else 500
+    cells = np.argwhere(rng.random((span, span)) < share)
+    points = rng.integers(-12, span + 12, (400, 2))
+    want = {}
+    for k, p in enumerate(points):
+        d = cells - p
+        ring, d2 = np.abs(d).max(1), (d * d).sum(1)
+        near = [(int(ring[i]), int(d2[i]), int(cells[i][0]), int(cells[i][1])) for i in np.flatnonzero(ring <= radius)]
+        if near:
+            want[k] = min(near)
+    df = spark.createDataFrame([(k, int(y), int(x)) for k, (y, x) in enumerate(points)], "pid long, py long, px long")
+    there = spark.createDataFrame([(int(y), int(x)) for y, x in cells], "y long, x long")
+    assert {r["pid"]: tuple(r)[1:] for r in raster.ring_nearest(df, there, "pid", radius, tile).collect()} == want and want
+    assert raster.ring_nearest(df, there.limit(0), "pid", radius, tile).count() == 0
+
+
 @pytest.mark.parametrize(("height", "width", "tile"), [(30, 41, 4), (70, 40, 3), (12, 12, 64)])
 def test_counts_of_all_stages_equal_labelling_each(spark, height, width, tile):
     rng = np.random.default_rng(tile)
