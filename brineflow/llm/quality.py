@@ -62,8 +62,8 @@ def base_features(docs: DataFrame) -> DataFrame:
 
 
 def normal_lines(text: Column) -> Column:
-    """Hash of every line, trimmed and in lower case; null where the line has no word."""
-    return F.transform(F.split(F.lower(text), "\n", -1), lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(F.trim(x))))
+    """For every line its characters ``n`` and the hash ``h`` of it trimmed and in lower case; null where the line has no word."""
+    return F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.struct(F.xxhash64(F.trim(F.lower(x))).alias("h"), F.length(x).alias("n"))))
 
 
 def _key() -> list[Column]:
@@ -72,37 +72,36 @@ def _key() -> list[Column]:
 
 
 def boilerplate(docs: DataFrame, max_docs: int = MAX_DOCS, count_copies: bool = True) -> DataFrame:
-    """Hashes of each document's lines that more than ``max_docs`` distinct documents of its host carry.
+    """``k_id, k_hash, lost_chars, bad_lines`` (their positions) of the documents with lines that more than ``max_docs`` distinct documents of their host carry.
 
     Without ``count_copies`` the documents of one text count as one. A document names each of its lines once,
-    and what is counted merges within each task before it is shuffled. The lines
+    with all its places, and what is counted merges within each task before it is shuffled. The lines
     above the limit are then joined back, where Spark splits what a common line
     makes too large.
     """
-    own = F.array_distinct(F.array_compact(normal_lines(F.col("text"))))
-    lines = docs.select(*_key(), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.explode(own).alias("h"))
+    rows = docs.select(*_key(), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.posexplode(normal_lines(F.col("text"))).alias("at", "line"))
+    lines = rows.where("line is not null").select("k_id", "k_hash", "host", "line.h", F.struct("at", "line.n").alias("place"))
     named = F.xxhash64("k_id", "k_hash") if count_copies else F.col("k_hash")
     above = lines.groupBy("host", "h").agg(F.count_distinct(named).alias("n_docs")).where(F.col("n_docs") > max_docs).select("host", "h")
-    return lines.join(above, ["host", "h"], "left_semi").groupBy("k_id", "k_hash").agg(F.collect_set("h").alias("bad_lines"))
+    # A document's own lines meet here; rows that repeat it name the same places.
+    lost = lines.join(above, ["host", "h"], "left_semi").groupBy("k_id", "k_hash").agg(F.collect_set("place").alias("places"))
+    return lost.select("k_id", "k_hash", F.aggregate("places", F.lit(0).cast("long"), lambda s, p: s + p["n"]).alias("lost_chars"), F.transform("places", lambda p: p["at"].cast("long")).alias("bad_lines"))
 
 
 def clean(docs: DataFrame, max_docs: int = MAX_DOCS, count_copies: bool = True) -> DataFrame:
     """All rows with the counts, ``kept``, and ``clean_text``: the text without its boilerplate lines."""
-    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text", "bad_lines", "k_id", "k_hash")
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text", "bad_lines", "lost_chars", "k_id", "k_hash")
     lost = boilerplate(docs, max_docs, count_copies)
-    line = F.split("text", "\n", -1)
     rows = base_features(docs).withColumns({c: k for c, k in zip(("k_id", "k_hash"), _key(), strict=True)})
-    rows = rows.withColumn("__lines", F.arrays_zip(normal_lines(F.col("text")).alias("h"), F.transform(line, lambda x: F.length(x)).alias("n")))
     joined = rows.join(lost, ["k_id", "k_hash"], "left")
-    bad = lambda h: F.coalesce(F.array_contains("bad_lines", h), F.lit(False))
-    lengths = lambda which: F.aggregate(which, F.lit(0), lambda s, x: s + x["n"])
-    depleted = 100 * lengths(F.filter("__lines", lambda x: bad(x["h"]))) > MAX_REMOVED_PERCENT * lengths(F.col("__lines"))
-    kept_lines = F.filter(line, lambda x, i: ~bad(F.get(F.col("__lines"), i)["h"]))
-    joined = joined.withColumns({
-        "kept": ~F.col("base_failed") & ~(F.col("bad_lines").isNotNull() & depleted),
-        "clean_text": F.when(F.col("bad_lines").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n")),
+    depleted = 100 * F.col("lost_chars") > MAX_REMOVED_PERCENT * F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    # The difference of two sets of numbers is made by hashing, in one pass over each.
+    good = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("__lines").cast("long") - 1), "bad_lines")
+    joined = joined.withColumn("__lines", F.split("text", "\n", -1)).withColumns({
+        "kept": ~F.col("base_failed") & ~F.coalesce(depleted, F.lit(False)),
+        "clean_text": F.when(F.col("bad_lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(good, lambda i: F.get("__lines", i.cast("int"))), "\n")),
     })
-    return joined.drop("k_id", "k_hash", "bad_lines", "__lines")
+    return joined.drop("k_id", "k_hash", "bad_lines", "lost_chars", "__lines")
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
