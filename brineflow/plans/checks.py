@@ -55,10 +55,6 @@ def unseeded(wet: DataFrame, source: str) -> DataFrame:
     return named.groupBy("label").agg(F.count("*").alias("n"), F.bool_or(source).alias("seeded")).where("not seeded or n < 2")
 
 
-def green_beside_blue(green: DataFrame, blue: DataFrame) -> DataFrame:
-    return raster.touching(green, blue)
-
-
 def summary(**found: DataFrame) -> DataFrame:
     """One row: the number of breaking rows of each assertion."""
     parts = [df.agg(F.count("*").alias(name)) for name, df in found.items()]

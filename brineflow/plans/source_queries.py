@@ -13,9 +13,9 @@ from brineflow.operators import hydraulics, series
 from brineflow.plans import archive_queries as A
 from brineflow.plans import archives
 from brineflow.plans import workloads as W
-from brineflow.plans.oracles import ZONED, _r, _w
+from brineflow.plans.oracles import GRID, ZONED, _r, _w
 from brineflow.runtime import table
-from brineflow.sources import container, readers, sinks
+from brineflow.sources import container, grids, readers, sinks
 from brineflow.streaming import gauges
 
 
@@ -97,6 +97,35 @@ def state_container_scan(spark, d):
     return container.read(spark, path).groupBy("phase", "stage").agg(F.count("*").alias("n_wet"), F.sum("zone_id").cast("long").alias("sum_zone"), F.sum("surface_c").cast("long").alias("sum_c"))
 
 
+def raw_grid_scan(spark, d):
+    """The grid through raw files of blocks of rows, written and read by tasks."""
+    g = W._grid(spark, d)
+    path = runtime.new_path(spark, "raw-grid")
+    size = g.agg(F.max("y") + 1, F.max("x") + 1).first()
+    grids.write(g.select("y", "x", F.col("elev").alias("v")), path, size[1], size[0], "int16", block_rows=64)
+    return grids.read(spark, path).select("y", "x", F.col("v").alias("elev"))
+
+
+def graph_manifest(spark, d):
+    """The manifest of the graph of zones, written as a document and read back."""
+    z = runtime.save(W._zoned(spark, d), "zoned")
+    size = z.agg(F.max("y") + 1, F.max("x") + 1).first()
+    doc = sinks.graph_manifest(z, "zone_label", "hard", size[1], size[0], (100.0, 1.0, 0.0, 200.0, 0.0, -1.0), "2024-01-01T00:00:00Z")
+    path = runtime.new_path(spark, "manifest")
+    sinks.write_document(doc, path)
+    entries = "width bigint, height bigint, zoneCount bigint, bulkheadPixelCount bigint, sourceStageNavd88Ft double, modelMaximumNavd88Ft double, geotransform array<double>, generatedUtc string"
+    return spark.read.schema(entries).json(path).select(
+        "width",
+        "height",
+        F.col("zoneCount").alias("n_zones"),
+        F.col("bulkheadPixelCount").alias("n_hard"),
+        F.col("sourceStageNavd88Ft").alias("source_ft"),
+        F.col("modelMaximumNavd88Ft").alias("model_max_ft"),
+        F.array_join(F.transform("geotransform", lambda x: x.cast("int").cast("string")), ",").alias("transform"),
+        F.col("generatedUtc").alias("stamp"),
+    )
+
+
 def forecast_scan(spark, d):
     """Forecast hours by user, where the level is in the first, second or third field."""
     e = table(spark, d, "events")
@@ -295,6 +324,12 @@ SQL = {
     "zones_csv_scan": _w("g AS (SELECT vec_id AS y, (generate_subscripts(embedding, 1) - 1)::INT AS x, round_even(unnest(embedding)::DOUBLE * 100, 0)::INT AS elev FROM embeddings)", "SELECT ((y // 25) * 100 + x // 25)::INT AS zone_id, max(elev)::INT AS connection10, count(*) AS cell_count, count(*) FILTER (x = 0) AS source_cells, count(*) FILTER (elev >= 20) AS hard_cells, 241 AS n_bins, count(*) FILTER (elev BETWEEN -100 AND 140) AS total, (sum(elev + 100) FILTER (elev BETWEEN -100 AND 140))::BIGINT AS moment FROM g GROUP BY 1"),
     "edges_csv_scan": f"SELECT zone_a::INT AS zone_a, zone_b::INT AS zone_b, crest AS crest10, width AS width_ft, crest AS again10 FROM ({W.SQL['raster_edges']})",
     "state_container_scan": _r(ZONED, ", zc AS (SELECT label, max(connection) AS c, min((y // 25) * 1000000 + x // 25) AS tile FROM w GROUP BY label), zi AS (SELECT *, row_number() OVER (ORDER BY tile, label) - 1 AS zone_id FROM zc) SELECT phase, (st // 5)::INT AS stage, count(*) AS n_wet, sum(zone_id)::BIGINT AS sum_zone, sum(st)::BIGINT AS sum_c FROM zi JOIN (SELECT unnest(range(0, 1405, 5)) AS st) ON c * 10 <= st, (VALUES ('filling'), ('slack'), ('draining')) p(phase) GROUP BY ALL"),
+    "raw_grid_scan": _w(GRID, "SELECT y, x, elev FROM g"),
+    "graph_manifest": _r(
+        ZONED,
+        """SELECT max(x) + 1 AS width, max(y) + 1 AS height, count(DISTINCT label) AS n_zones, count(*) FILTER (hard) AS n_hard,
+1.0::DOUBLE AS source_ft, 14.0::DOUBLE AS model_max_ft, '100,1,0,200,0,-1' AS transform, '2024-01-01T00:00:00Z' AS stamp FROM w""",
+    ),
     "forecast_scan": "SELECT 'u' || user_id AS name, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, round_even((round(value / 25, 3) + event_id % 3) * 1000, 0)::INT AS mllw_m FROM events",
     "projection_scan": "WITH p AS (SELECT 'r' || n_regionkey AS scenario, (2026 + n_nationkey * 3)::INT AS year, max(n_nationkey * n_nationkey * 13.5::DOUBLE + n_regionkey * 100) AS v FROM nation GROUP BY ALL), t AS (SELECT avg(r_regionkey) / 12 / 10 AS f FROM region) SELECT scenario, year, round_even((v + f * (2026 - year)) * 1000, 0)::BIGINT AS rebased_m FROM p, t",
     "zip_member_scan": "SELECT 'n' || s_nationkey || '.zip' AS archive, 's' || s_suppkey || '.txt' AS name, s_name AS body, sha256(s_name) AS member_sha256 FROM supplier",

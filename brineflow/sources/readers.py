@@ -66,11 +66,6 @@ def tab_records(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(~F.coalesce(F.col(first).rlike("^[0-9]+[sdn]$"), F.lit(False)))
 
 
-def exploded(spark: SparkSession, path: str, schema: str, field: str) -> DataFrame:
-    """The records of one nested list, as rows."""
-    return documents(spark, path, schema).select(F.explode(field).alias("r")).select("r.*")
-
-
 def forecast_hours(spark: SparkSession, path: str) -> DataFrame:
     """As :func:`forecast_points`, of the documents under ``path``."""
     return forecast_points(documents(spark, path, FORECASTS))
@@ -215,11 +210,6 @@ def paged(spark: SparkSession, requests: DataFrame, fetch, page: int = 1000, att
     return requests.select("url").mapInPandas(run, "url string, feature string")
 
 
-def archived_members(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """As :func:`members_of`, of the ZIP archives under ``path``."""
-    return members_of(spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("sha256")), suffix)
-
-
 def members_of(files: DataFrame, suffix: str) -> DataFrame:
     """``archive, name, content, sha256``: members of ZIP archives (path, content, sha256) whose names end in ``suffix``, one archive to a row of work."""
 
@@ -235,3 +225,11 @@ def members_of(files: DataFrame, suffix: str) -> DataFrame:
                             yield pd.DataFrame({"archive": [archive], "name": [name], "content": [z.read(name)], "sha256": [digest]})
 
     return files.select("path", "content", "sha256").mapInPandas(run, "archive string, name string, content binary, sha256 string")
+
+
+def only_member(files: DataFrame, suffix: str) -> DataFrame:
+    """As :func:`members_of` for archives that must hold exactly one such member; any other number is an error that names the archive."""
+    members = members_of(files, suffix)
+    counted = files.select(F.col("path").alias("archive")).join(members.groupBy("archive").count(), "archive", "left")
+    checked = counted.select("archive", F.when(F.coalesce("count", F.lit(0)) != 1, F.raise_error(F.concat(F.lit("not exactly one member in "), "archive"))).cast("string").alias("__error"))
+    return members.join(checked, "archive").where("__error is null").drop("__error")

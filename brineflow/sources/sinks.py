@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brineflow import config as C
 from brineflow import runtime
 from brineflow.operators.series import upsert
 
@@ -95,3 +96,28 @@ def features(df: DataFrame, geometry: str) -> DataFrame:
 def world_file(pixel_x: float, pixel_y: float, left: float, top: float, turn_x: float = 0.0, turn_y: float = 0.0) -> str:
     """Six affine lines for the centre of the upper left pixel; ``turn_x`` and ``turn_y`` are the rotation terms."""
     return "".join(f"{v:.12f}\n" for v in (pixel_x, turn_y, turn_x, -pixel_y, left + (pixel_x + turn_x) / 2, top + (turn_y - pixel_y) / 2))
+
+
+def graph_manifest(cells: DataFrame, zone: str, hard: str, width: int, height: int, transform: tuple[float, ...], stamp: str | None = None) -> DataFrame:
+    """One JSON document on a graph of zones: the grid's size and affine transform, the model's constants, and what the cells count.
+
+    ``stamp``: the run's time as the caller gives it, so that a run can be repeated to the byte.
+    """
+    entries = {
+        "schema": F.lit("hydraulic-graph-v4"),
+        "width": F.lit(width),
+        "height": F.lit(height),
+        "cellSizeFt": F.lit(1),
+        "sourceStageNavd88Ft": F.lit(C.SOURCE_MAX_D / 10),
+        "sourceMinComponentCells": F.lit(C.SOURCE_MIN_CELLS),
+        "bulkheadElevationNavd88Ft": F.lit(C.HARD_MIN_D / 10),
+        "bulkheadPixelCount": F.count_if(F.col(hard)),
+        "modelMaximumNavd88Ft": F.lit(C.MODEL_MAX_D / 10),
+        "controlVolumeSizeFt": F.lit(C.TILE),
+        "connectionBinFt": F.lit(2.0),
+        "zoneCount": F.count_distinct(zone),
+        "geotransform": F.array(*(F.lit(float(t)) for t in transform)),
+    }
+    if stamp is not None:
+        entries["generatedUtc"] = F.lit(stamp)
+    return cells.agg(*(e.alias(k) for k, e in entries.items())).select(F.to_json(F.struct(*entries)).alias("value"))
