@@ -122,15 +122,15 @@ def _records(spark, d) -> DataFrame:
 
 
 def parsed_crests(spark, d):
-    """Finished orders as crests: filled fields chosen, least height, times and dates for show."""
-    rows = archives.crest_rows(_records(spark, d).where("o_orderstatus = 'F'"))
+    """Orders as crests: filled fields chosen, least height, times and dates for show."""
+    rows = archives.crest_rows(_records(spark, d))
     return rows.select(F.rint(F.col("height_ft") * 100).cast("int").alias("height_c"), "date", "time_est", "display_date")
 
 
 def crest_overlay(spark, d):
     """Parsed crests and a manual list, without the excluded date's but for the calibrated ones."""
     records = _records(spark, d)
-    parsed = archives.crest_rows(records.where("o_orderstatus = 'F'"))
+    parsed = archives.crest_rows(records.where("not o_orderstatus <=> 'P'"))
     manual = archives.crest_rows(records.where("o_orderstatus = 'P'")).withColumns({"source_area": F.when(F.dayofmonth("date") % 2 == 0, "calibrated").otherwise("other"), "station_priority": F.dayofmonth("date").cast("int")})
     return archives.crest_table(parsed, manual, EXCLUDED).select(F.rint(F.col("height_ft") * 100).cast("int").alias("height_c"), "date", "source_area", "station_priority")
 
@@ -189,8 +189,8 @@ h AS (SELECT 'all' AS series, anchor AS t, round_even(v * 100, 0)::INT AS level,
     "clipped_day_range": f"WITH {DAYS} SELECT series, d, p FROM dy WHERE d >= DATE '2024-01-03' AND d < DATE '2024-01-20'",
     "forecast_hours": f"WITH n AS (SELECT event_id, user_id, ts, {HALF} AS navd FROM events), c AS (SELECT *, round_even(navd * 100, 0)::INT AS c, lag(navd) OVER w AS before, navd - lag(navd) OVER w AS rise FROM n WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT *, c - lag(c) OVER w AS b, lead(c) OVER w - c AS a FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, c AS navd_c, printf('%.2f', floor((least(14.0::DOUBLE, greatest(-2.0::DOUBLE, navd)) + 1e-9::DOUBLE) * 20) / 20) AS stage_key, navd < -2 OR navd > 14 AS clamped, CASE WHEN least(a, b) > 2.5 THEN 'filling' WHEN greatest(a, b) < -2.5 THEN 'draining' ELSE 'slack' END AS phase, round_even(coalesce(rise / 4.0::DOUBLE, 0) * 10000, 0)::INT AS rise_e4 FROM k",
     "missing_months": "WITH o AS (SELECT o_orderdate::DATE AS d, o_orderpriority AS p FROM orders), x AS (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS d FROM o) SELECT DISTINCT date_trunc('month', d)::DATE AS month FROM x WHERE d NOT IN (SELECT d FROM o WHERE p = '1-URGENT')",
-    "parsed_crests": f"WITH {REC} SELECT round_even(height_ft * 100, 0)::INT AS height_c, date, CASE WHEN regexp_full_match(four, '([01][0-9]|2[0-3])[0-5][0-9]') THEN four[1:2] || ':' || four[3:4] END AS time_est, strftime(date, '%B %-d, %Y') AS display_date FROM f WHERE o_orderstatus = 'F'",
-    "crest_overlay": f"WITH {REC}, m AS (SELECT height_ft, date, CASE WHEN o_orderstatus = 'P' THEN CASE WHEN day(date) % 2 = 0 THEN 'calibrated' ELSE 'other' END END AS source_area, CASE WHEN o_orderstatus = 'P' THEN day(date)::INT END AS station_priority FROM f WHERE o_orderstatus IN ('F', 'P')) SELECT round_even(height_ft * 100, 0)::INT AS height_c, date, source_area, station_priority FROM m WHERE date <> DATE '{EXCLUDED}' OR source_area = 'calibrated'",
+    "parsed_crests": f"WITH {REC} SELECT round_even(height_ft * 100, 0)::INT AS height_c, date, CASE WHEN regexp_full_match(four, '([01][0-9]|2[0-3])[0-5][0-9]') THEN four[1:2] || ':' || four[3:4] END AS time_est, strftime(date, '%B %-d, %Y') AS display_date FROM f",
+    "crest_overlay": f"WITH {REC}, m AS (SELECT height_ft, date, CASE WHEN o_orderstatus = 'P' THEN CASE WHEN day(date) % 2 = 0 THEN 'calibrated' ELSE 'other' END END AS source_area, CASE WHEN o_orderstatus = 'P' THEN day(date)::INT END AS station_priority FROM f) SELECT round_even(height_ft * 100, 0)::INT AS height_c, date, source_area, station_priority FROM m WHERE date <> DATE '{EXCLUDED}' OR source_area = 'calibrated'",
     "request_chunks": "WITH b AS (SELECT o_orderpriority, min(o_orderdate)::DATE AS lo, max(o_orderdate)::DATE AS hi FROM orders GROUP BY 1), c AS (SELECT o_orderpriority, hi, unnest(generate_series(lo, hi, INTERVAL 90 DAY))::DATE AS d FROM b), k AS (SELECT o_orderpriority, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY d) - 1)::INT AS nth, epoch(d)::BIGINT - 900 AS from_t, epoch(least(d + 90, hi + 1))::BIGINT + 900 AS to_t FROM c) SELECT *, 'https://feed.test/iv?site=' || replace(replace(o_orderpriority, '%', '%25'), ' ', '+') || '&startDT=' || replace(strftime(make_timestamp(from_t * 1000000), '%Y-%m-%dT%H:%M:%SZ'), ':', '%3A') || '&endDT=' || replace(strftime(make_timestamp(to_t * 1000000), '%Y-%m-%dT%H:%M:%SZ'), ':', '%3A') AS url FROM k",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -222,7 +222,7 @@ def validator_summary(spark, d):
 def exceedance_document(spark, d):
     """The cube as one JSON document for each scenario, written and read again."""
     curve = W._curve(spark, d).select("scenario", "year", F.rint("value").cast("int").alias("delta_c"))
-    grid = spark.range(0, 57, 8).select((F.col("id") * 1000).cast("int").alias("elev_c"))
+    grid = spark.range(281).select((F.col("id") * 200).cast("int").alias("elev_c"))
     levels = W._levels(spark, d)
     total = levels.agg(F.count("level").alias("total"))
     cube = frequency.exceedance_cube(levels, curve, grid, 1).drop("annual_c").crossJoin(F.broadcast(total))
@@ -318,6 +318,6 @@ SQL = {
     "mask_mismatch": _w(GRID, MASKS["mismatch"]),
     "unseeded_components": _r(GRID, f", k AS (SELECT * FROM g WHERE elev <= -1), nb AS (SELECT a.y, a.x, b.y AS y2, b.x AS x2 FROM k a, {SIDES} JOIN k b ON b.y = a.y + dy AND b.x = a.x + dx), r AS (SELECT y, x, y * 4294967296 + x AS l FROM k UNION SELECT nb.y2, nb.x2, r.l FROM r JOIN nb USING (y, x) WHERE nb.y2 * 4294967296 + nb.x2 > r.l), m AS (SELECT y, x, min(l) AS l FROM r GROUP BY y, x) SELECT l // 4294967296 AS y, l % 4294967296 AS x, count(*) AS n, bool_or(x < 3) AS seeded FROM m GROUP BY l HAVING NOT bool_or(m.x < 3) OR count(*) < 2"),
     "validator_summary": _w(_blk(), "SELECT " + ", ".join(f"(SELECT count(*) FROM ({q})) AS {name}" for name, q in MASKS.items())),
-    "exceedance_document": _w(CURVE + ", " + LEVELS, ", k AS (SELECT scenario, year, e.elev AS elev_c, e.elev - round_even(v, 0)::INT AS th FROM cv, (SELECT unnest(range(0, 57000, 8000))::INT AS elev) e), n AS (SELECT th, count(level) AS n FROM (SELECT DISTINCT th FROM k) LEFT JOIN lv ON level >= th GROUP BY th), a AS (SELECT k.*, least(70500, round_even(n * 70500.0::DOUBLE / (SELECT count(level) FROM lv), 0)::INT) AS annual_c FROM k JOIN n USING (th)) SELECT scenario, 705 AS tides_per_year, elev_c, count(*) AS n_years, max(annual_c) FILTER (year = 2035) AS tenth_c, sum(annual_c)::BIGINT AS all_years_c FROM a GROUP BY ALL"),
+    "exceedance_document": _w(CURVE + ", " + LEVELS, ", k AS (SELECT scenario, year, e.elev AS elev_c, e.elev - round_even(v, 0)::INT AS th FROM cv, (SELECT unnest(range(0, 56200, 200))::INT AS elev) e), n AS (SELECT th, count(level) AS n FROM (SELECT DISTINCT th FROM k) LEFT JOIN lv ON level >= th GROUP BY th), a AS (SELECT k.*, least(70500, round_even(n * 70500.0::DOUBLE / (SELECT count(level) FROM lv), 0)::INT) AS annual_c FROM k JOIN n USING (th)) SELECT scenario, 705 AS tides_per_year, elev_c, count(*) AS n_years, max(annual_c) FILTER (year = 2035) AS tenth_c, sum(annual_c)::BIGINT AS all_years_c FROM a GROUP BY ALL"),
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -87,7 +87,7 @@ SQL = {
     "exceedance_counts": _w(LEVELS, "SELECT th AS threshold_c, count(level)::BIGINT AS n_at_or_above FROM (SELECT unnest(range(0, 56200, 200)) AS th) LEFT JOIN lv ON level >= th GROUP BY th"),
     "year_interp": _w(CURVE, "SELECT scenario, year, round_even(v, 0)::INT AS rise_c FROM cv"),
     "rise_from_base": _w(CURVE, "SELECT a.scenario, a.year, round_even(a.v - b.v, 0)::INT AS delta_c FROM cv a JOIN cv b ON a.scenario = b.scenario AND b.year = 2040"),
-    "exceedance_cube": _w(CURVE + ", " + LEVELS, ", k AS (SELECT scenario, year, e.elev AS elev_c, e.elev - round_even(v, 0)::INT AS th FROM cv, (SELECT unnest(range(0, 57000, 1000))::INT AS elev) e), n AS (SELECT th, count(level) AS n FROM (SELECT DISTINCT th FROM k) LEFT JOIN lv ON level >= th GROUP BY th), a AS (SELECT k.*, least(70500, round_even(n * 70500.0::DOUBLE / (SELECT count(level) FROM lv), 0)::INT) AS annual_c FROM k JOIN n USING (th)) SELECT scenario, elev_c, sum(annual_c)::BIGINT AS all_years_c, max(annual_c) AS most_c FROM a GROUP BY ALL"),
+    "exceedance_cube": _w(CURVE + ", " + LEVELS, ", k AS (SELECT scenario, year, e.elev AS elev_c, e.elev - round_even(v, 0)::INT AS th FROM cv, (SELECT unnest(range(0, 56200, 200))::INT AS elev) e), n AS (SELECT th, count(level) AS n FROM (SELECT DISTINCT th FROM k) LEFT JOIN lv ON level >= th GROUP BY th), a AS (SELECT k.*, least(70500, round_even(n * 70500.0::DOUBLE / (SELECT count(level) FROM lv), 0)::INT) AS annual_c FROM k JOIN n USING (th)) SELECT scenario, elev_c, sum(annual_c)::BIGINT AS all_years_c, max(annual_c) AS most_c FROM a GROUP BY ALL"),
     "crest_ranking": "SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%B %-d, %Y') AS display_date FROM orders WHERE o_totalprice >= 250000 ORDER BY o_totalprice DESC, o_orderdate, o_orderkey",
     "crest_top10": "SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%B %-d, %Y') AS display_date FROM orders WHERE o_totalprice >= 250000 ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 10",
     "calibrate_day": _w(E, ", b AS (SELECT event_id, v, min(v) OVER (PARTITION BY t // 86400) AS lo, max(v) OVER (PARTITION BY t // 86400) AS hi FROM e) SELECT event_id, round_even((CASE WHEN hi > lo THEN lo + (v - lo) * (250.0::DOUBLE - lo) / (hi - lo) ELSE v END) * 100, 0)::INT AS level_c FROM b"),

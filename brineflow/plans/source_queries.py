@@ -191,7 +191,7 @@ def compact_document_sink(spark, d):
 
 def crest_document_sink(spark, d):
     """The dearest orders as a crest document, read back in its order."""
-    crests = archives.crest_rows(A._records(spark, d).where("o_orderstatus = 'F'"), 7.5).select("height_ft", F.col("date").cast("string").alias("date"), "display_date", "time_est")
+    crests = archives.crest_rows(A._records(spark, d), 7.5).select("height_ft", F.col("date").cast("string").alias("date"), "display_date", "time_est")
     path = runtime.new_path(spark, "crests")
     sinks.write_document(sinks.crest_document(crests, {"schema": "crests"}), path)
     rows = readers.documents(spark, path, readers.CRESTS).select("schema", F.posexplode("toptides").alias("nth", "r"))
@@ -335,7 +335,7 @@ SQL = {
     "zip_member_scan": "SELECT 'n' || s_nationkey || '.zip' AS archive, 's' || s_suppkey || '.txt' AS name, s_name AS body, sha256(s_name) AS member_sha256 FROM supplier",
     "feature_sink": "SELECT 'Feature' AS type, c_custkey, c_mktsegment, (c_custkey % 360 - 180)::DOUBLE AS lon, (c_nationkey * 3)::DOUBLE AS lat FROM customer",
     "compact_document_sink": f"WITH {A.DAYS} SELECT series, 'compact-days' AS schema, d, u, p, c, v FROM dy",
-    "crest_document_sink": f"WITH {A.REC} SELECT row_number() OVER (ORDER BY height_ft DESC) AS rank, round_even(height_ft * 100, 0)::INT AS height_c FROM f WHERE o_orderstatus = 'F' AND height_ft >= 7.5",
+    "crest_document_sink": f"WITH {A.REC} SELECT row_number() OVER (ORDER BY height_ft DESC) AS rank, round_even(height_ft * 100, 0)::INT AS height_c FROM f WHERE height_ft >= 7.5",
     "upserted_day_table": "WITH d AS (SELECT user_id, ts::DATE AS day, round_even(value * 100, 0)::INT AS c, event_type IS NOT DISTINCT FROM 'purchase' AS anew FROM events), o AS (SELECT user_id, day, max(c) AS peak_c, count(*) AS n FROM d WHERE NOT anew GROUP BY ALL), w AS (SELECT user_id, day, max(c) AS peak_c, count(*) AS n FROM d WHERE anew GROUP BY ALL) SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.user_id = o.user_id AND w.day = o.day) UNION ALL SELECT * FROM w",
     "asset_manifest": "SELECT 'p' || page_id AS name, strlen(CASE WHEN page_id % 2 = 0 THEN 'v2 ' ELSE '' END || coalesce(html, ''))::BIGINT AS bytes, sha256(CASE WHEN page_id % 2 = 0 THEN 'v2 ' ELSE '' END || coalesce(html, '')) AS sha256 FROM pages",
     "manifest_totals": "SELECT count(*) AS n_assets, sum(strlen(coalesce(html, '')) + CASE WHEN page_id % 2 = 0 THEN 3 ELSE 0 END)::BIGINT AS n_bytes FROM pages",

@@ -133,7 +133,7 @@ def rise_from_base(spark, d):
 
 def exceedance_cube(spark, d):
     curve = _curve(spark, d).select("scenario", "year", F.rint("value").cast("int").alias("delta_c"))
-    grid = spark.range(57).select((F.col("id") * 1000).cast("int").alias("elev_c"))
+    grid = spark.range(281).select((F.col("id") * 200).cast("int").alias("elev_c"))
     levels = _levels(spark, d)
     total = levels.agg(F.count("level").alias("total"))
     cube = frequency.exceedance_cube(levels, curve.crossJoin(F.broadcast(total)).drop("total"), grid, 1).drop("annual_c").crossJoin(F.broadcast(total))
