@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brineflow import runtime
 from brineflow.functions import levels as L
-from brineflow.operators import frequency, geometry, hydraulics, raster
+from brineflow.operators import frequency, geometry, hydraulics, projection, raster
 from brineflow.plans import checks, parcels
 from brineflow.plans import workloads as W
 from brineflow.plans.oracles import CONN, CURVE, GRID, LEVELS, SIDES, ZONED, _r, _w
@@ -143,6 +143,17 @@ def parcel_centroids(spark, d):
     return c.select("id", F.rint(F.col("cx") * 1000).cast("long").alias("cx_m"), F.rint(F.col("cy") * 1000).cast("long").alias("cy_m"), F.rint(F.col("area") * 1000).cast("long").alias("area_m"))
 
 
+def projected_points(spark, d):
+    """Customers as points along the coast: their place in the plane, in hundredths of a foot, and back in ten-millionths of a degree."""
+    k = F.col("c_custkey")
+    at = table(spark, d, "customer").select("c_custkey", (k % 1000 / 2500 - 74.9).alias("lon"), (k % 777 / 1000 + 38.8).alias("lat"))
+    x, y = projection.STATE_PLANE.forward(F.col("lon"), F.col("lat"))
+    back = projection.STATE_PLANE.inverse(F.col("x"), F.col("y"))
+    rows = at.select("c_custkey", x.alias("x"), y.alias("y")).select("*", back[0].alias("lon"), back[1].alias("lat"))
+    whole = lambda c, by: F.rint(F.col(c) * by).cast("long")
+    return rows.select("c_custkey", whole("x", 100).alias("x_c"), whole("y", 100).alias("y_c"), whole("lon", 10**7).alias("lon_e7"), whole("lat", 10**7).alias("lat_e7"))
+
+
 def _enriched(spark, d) -> DataFrame:
     cells = W._grid(spark, d).where("elev >= 10")
     events = table(spark, d, "events").select((F.col("value") / 40).alias("rebased"))
@@ -318,6 +329,21 @@ SQL = {
     "mask_mismatch": _w(GRID, MASKS["mismatch"]),
     "unseeded_components": _r(GRID, f", k AS (SELECT * FROM g WHERE elev <= -1), nb AS (SELECT a.y, a.x, b.y AS y2, b.x AS x2 FROM k a, {SIDES} JOIN k b ON b.y = a.y + dy AND b.x = a.x + dx), r AS (SELECT y, x, y * 4294967296 + x AS l FROM k UNION SELECT nb.y2, nb.x2, r.l FROM r JOIN nb USING (y, x) WHERE nb.y2 * 4294967296 + nb.x2 > r.l), m AS (SELECT y, x, min(l) AS l FROM r GROUP BY y, x) SELECT l // 4294967296 AS y, l % 4294967296 AS x, count(*) AS n, bool_or(x < 3) AS seeded FROM m GROUP BY l HAVING NOT bool_or(m.x < 3) OR count(*) < 2"),
     "validator_summary": _w(_blk(), "SELECT " + ", ".join(f"(SELECT count(*) FROM ({q})) AS {name}" for name, q in MASKS.items())),
+    "projected_points": """
+WITH c AS (SELECT 1 / (2 * 298.257222101::DOUBLE - 1) AS n, 3937 / 1200.0::DOUBLE AS ft),
+k AS (SELECT n, 2 * sqrt(n) / (1 + n) AS e, 0.9999::DOUBLE * 6378137 * ft / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS r,
+  n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 AS a2,
+  61 * n ** 3 / 240 - 103 * n ** 4 / 140 AS a3, 49561 * n ** 4 / 161280 AS a4 FROM c),
+p AS (SELECT c_custkey, (c_custkey % 1000) / 2500 - 74.9::DOUBLE AS lon, (c_custkey % 777) / 1000 + 38.8::DOUBLE AS lat FROM customer
+  UNION ALL SELECT NULL, -74.5::DOUBLE, 38 + 50 / 60.0::DOUBLE),
+q AS (SELECT *, sin(radians(lat)) AS s, radians(lon + 74.5::DOUBLE) AS d FROM p, k),
+t AS (SELECT *, sinh(atanh(s) - e * atanh(e * s)) AS t FROM q),
+u AS (SELECT *, atan2(t, cos(d)) AS xi, asinh(sin(d) / sqrt(t * t + cos(d) * cos(d))) AS eta FROM t),
+v AS (SELECT *, r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)) AS x,
+  r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)) AS y FROM u)
+SELECT c_custkey, round_even((492125 + x) * 100, 0)::BIGINT AS x_c, round_even((y - (SELECT y FROM v WHERE c_custkey IS NULL)) * 100, 0)::BIGINT AS y_c,
+  round_even(lon * 10000000, 0)::BIGINT AS lon_e7, round_even(lat * 10000000, 0)::BIGINT AS lat_e7 FROM v WHERE c_custkey IS NOT NULL
+""",
     "exceedance_document": _w(CURVE + ", " + LEVELS, ", k AS (SELECT scenario, year, e.elev AS elev_c, e.elev - round_even(v, 0)::INT AS th FROM cv, (SELECT unnest(range(0, 56200, 200))::INT AS elev) e), n AS (SELECT th, count(level) AS n FROM (SELECT DISTINCT th FROM k) LEFT JOIN lv ON level >= th GROUP BY th), a AS (SELECT k.*, least(70500, round_even(n * 70500.0::DOUBLE / (SELECT count(level) FROM lv), 0)::INT) AS annual_c FROM k JOIN n USING (th)) SELECT scenario, 705 AS tides_per_year, elev_c, count(*) AS n_years, max(annual_c) FILTER (year = 2035) AS tenth_c, sum(annual_c)::BIGINT AS all_years_c FROM a GROUP BY ALL"),
 }
 QUERIES = {name: globals()[name] for name in SQL}

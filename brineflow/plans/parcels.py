@@ -9,6 +9,7 @@ from brineflow import config as C
 from brineflow.functions import levels as L
 from brineflow.operators import frequency, geometry, raster, series
 from brineflow.operators.peaks import peak_events
+from brineflow.operators.projection import TransverseMercator
 
 
 def tide_events(samples: DataFrame, trend_ft_per_year: float, base_year: int = 2026) -> DataFrame:
@@ -37,8 +38,8 @@ def nearest_step(model_c, step_c: int = C.STAGE_STEP_C):
     return F.ceil(F.lit(-0.5) + model_c / step_c).cast("int")
 
 
-def enriched(parcels: DataFrame, cells: DataFrame, events: DataFrame, origin_x: float, origin_y: float, cell_ft: float) -> DataFrame:
-    """Parcels (``id`` and ``ring``, or ``parts`` with holes, in the grid's coordinates) with the ground at their centroid's nearest cell, its distance, and past and expected floods.
+def enriched(parcels: DataFrame, cells: DataFrame, events: DataFrame, origin_x: float, origin_y: float, cell_ft: float, projection: TransverseMercator | None = None) -> DataFrame:
+    """Parcels (``id`` and ``ring``, or ``parts`` with holes, in the grid's coordinates, or in degrees that ``projection`` takes there) with the ground at their centroid's nearest cell, its distance, and past and expected floods.
 
     Parcels without geometry, without area or without a cell near are left out; :func:`skipped` counts them.
     """
@@ -46,7 +47,8 @@ def enriched(parcels: DataFrame, cells: DataFrame, events: DataFrame, origin_x:
         at = geometry.polygon_centroids(parcels.where("parts is not null"), "id", "parts").where("cx is not null")
     else:
         at = geometry.centroids(parcels.where(F.size("ring") >= 4), "id", "ring").where("cx is not null")
-    px, py = geometry.to_grid(F.col("cx"), F.col("cy"), origin_x, origin_y, cell_ft)
+    x, y = (F.col("cx"), F.col("cy")) if projection is None else projection.forward(F.col("cx"), F.col("cy"))
+    px, py = geometry.to_grid(x, y, origin_x, origin_y, cell_ft)
     near = raster.ring_nearest(at.select("id", py.alias("py"), px.alias("px")), cells, "id")
     ground = near.join(cells.select("y", "x", "elev"), ["y", "x"]).select("id", "radius", F.col("elev").alias("elev_d"))
     ground = ground.withColumn("model_c", F.least(F.lit(C.HIST_MAX_D * 10), F.greatest(F.lit(0), F.col("elev_d") * 10))).withColumn("grid_at", nearest_step(F.col("model_c")))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from brineflow import config as C
 from brineflow.functions import levels as L
-from brineflow.operators import frequency, geometry, graph, hydraulics, peaks, raster, series, stages
-from brineflow.plans import archive_queries, archives, feed_queries, model_queries, source_queries, workloads
+from brineflow.operators import frequency, geometry, graph, hydraulics, peaks, projection, raster, series, stages
+from brineflow.plans import archive_queries, archives, feed_queries, model_queries, parcels, source_queries, workloads
 from brineflow.sources import container, readers, sinks
 from brineflow.streaming import gauges
 
@@ -683,3 +683,31 @@ def test_routing_takes_curves_and_caps_receivers(spark):
     flat = spark.createDataFrame([(z, 100.0 if z else 1.0, 0.0, 0.0, z > 0) for z in range(4)], "zone_id int, area double, floor_ft double, storage double, is_source boolean")
     star = spark.createDataFrame([(z, 0, 0.0, 25.0) for z in (1, 2, 3)], "a int, b int, crest_ft double, width_ft double")
     assert hydraulics.routing_step(flat, star, 4.0, substeps=1).where("zone_id = 0").first()["surface_ft"] <= 4.0 + 1e-9
+
+
+def test_projection_gives_published_points_and_comes_back(spark):
+    """The worked examples of the national grid of Great Britain (its survey's guide and the EPSG's guidance note 7-2)."""
+    airy = (6377563.396, 6377563.396 / (6377563.396 - 6356256.909))
+    grid = projection.TransverseMercator(-2.0, 49.0, 0.9996012717, 400_000.0, -100_000.0, airy)
+    dms = lambda d, m, s: d + m / 60 + s / 3600
+    points = [(dms(1, 43, 4.5177), dms(52, 39, 27.2531), 651409.903, 313177.270), (0.5, 50.5, 577274.99, 69740.50), (-2.0, 49.0, 400000.0, -100000.0)]
+    df = spark.createDataFrame(points, "lon double, lat double, want_x double, want_y double")
+    x, y = grid.forward(F.col("lon"), F.col("lat"))
+    rows = df.select("*", x.alias("x"), y.alias("y"))
+    lon, lat = grid.inverse(F.col("x"), F.col("y"))
+    got = rows.select("*", lon.alias("lon2"), lat.alias("lat2")).collect()
+    assert all(abs(r["x"] - r["want_x"]) < t and abs(r["y"] - r["want_y"]) < t for r, t in zip(got, (1e-3, 1e-2, 1e-6), strict=True))
+    assert all(abs(r["lon2"] - r["lon"]) < 1e-9 and abs(r["lat2"] - r["lat"]) < 1e-9 for r in got)
+    plane = projection.STATE_PLANE
+    wide = spark.range(400).select((F.col("id") % 20 / 4 - 77).alias("lon"), (F.floor(F.col("id") / 20) / 4 + 36.5).alias("lat"))
+    x, y = plane.forward(F.col("lon"), F.col("lat"))
+    lon, lat = plane.inverse(F.col("x"), F.col("y"))
+    far = wide.select("*", x.alias("x"), y.alias("y")).select((lon - F.col("lon")).alias("dlon"), (lat - F.col("lat")).alias("dlat")).agg(F.max(F.abs("dlon")), F.max(F.abs("dlat"))).first()
+    assert max(far) < 1e-9
+    # A parcel in degrees lands on the cell that its projected centroid is in.
+    ring = [(-74.8, 39.0), (-74.8, 39.001), (-74.799, 39.001), (-74.799, 39.0), (-74.8, 39.0)]
+    centre = spark.range(1).select(*(c.alias(n) for c, n in zip(plane.forward(F.lit(-74.7995), F.lit(39.0005)), "xy", strict=True))).first()
+    cells = spark.createDataFrame([(5, 7, 33), (50, 70, 44)], "y long, x long, elev int")
+    lots = spark.createDataFrame([(1, [{"x": a, "y": b} for a, b in ring])], "id int, ring array<struct<x:double,y:double>>")
+    placed = parcels.enriched(lots, cells, spark.createDataFrame([(3.0,)], "rebased double"), centre["x"] - 7.5, centre["y"] + 5.5, 1.0, plane).first()
+    assert (placed["radius"], placed["elev_d"]) == (0, 33)
