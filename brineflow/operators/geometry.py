@@ -17,14 +17,18 @@ def segments(df: DataFrame, key: str, ring: str) -> DataFrame:
     return df.where(n >= 2).select(key, F.posexplode(sides).alias("side", "s")).select(key, "side", "s.*")
 
 
-def _ring_sums(ring):
-    """Twice the signed area of a ring and its first moments, by the shoelace sums, within the row."""
+def _ring_sums(ring, origin):
+    """Twice the signed area of a ring and its first moments about ``origin``, by the shoelace sums, within the row.
+
+    About a point of the polygon, since far from zero the sums of a small ring would cancel.
+    """
     zero = F.struct(F.lit(0.0).alias("a2"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"))
 
     def add(acc, i):
         p, q = F.get(ring, i), F.get(ring, i + 1)
-        cross = p["x"] * q["y"] - q["x"] * p["y"]
-        return F.struct((acc["a2"] + cross).alias("a2"), (acc["sx"] + (p["x"] + q["x"]) * cross).alias("sx"), (acc["sy"] + (p["y"] + q["y"]) * cross).alias("sy"))
+        px, py, qx, qy = p["x"] - origin["x"], p["y"] - origin["y"], q["x"] - origin["x"], q["y"] - origin["y"]
+        cross = px * qy - qx * py
+        return F.struct((acc["a2"] + cross).alias("a2"), (acc["sx"] + (px + qx) * cross).alias("sx"), (acc["sy"] + (py + qy) * cross).alias("sy"))
 
     # A ring of fewer than two points has no side.
     sides = F.when(F.size(ring) >= 2, F.sequence(F.lit(0), F.size(ring) - 2)).otherwise(F.array().cast("array<int>"))
@@ -39,16 +43,18 @@ def centroids(df: DataFrame, key: str, ring: str) -> DataFrame:
 def polygon_centroids(df: DataFrame, key: str, parts: str) -> DataFrame:
     """Centroid and area of polygons of several parts, each an outer ring and the rings of its holes, whatever their turn; without area null."""
 
+    origin = F.get(F.get(F.get(parts, 0), 0), 0)
+
     def of_part(rings):
         """An outer ring counts with its own sign made positive, a hole with its sign made negative."""
-        signed = F.transform(rings, lambda r, i: F.struct(_ring_sums(r).alias("m"), F.when(i == 0, 1.0).otherwise(-1.0).alias("w")))
+        signed = F.transform(rings, lambda r, i: F.struct(_ring_sums(r, origin).alias("m"), F.when(i == 0, 1.0).otherwise(-1.0).alias("w")))
         return F.transform(signed, lambda x: F.struct(*((x["w"] * F.signum(x["m"]["a2"]) * x["m"][c]).alias(c) for c in ("a2", "sx", "sy"))))
 
     sums = F.flatten(F.transform(parts, of_part))
     total = lambda c: F.aggregate(sums, F.lit(0.0), lambda s, x: s + x[c])
-    rows = df.select(key, total("a2").alias("a2"), total("sx").alias("sx"), total("sy").alias("sy"))
+    rows = df.select(key, origin.alias("o"), total("a2").alias("a2"), total("sx").alias("sx"), total("sy").alias("sy"))
     ok = F.col("a2") != 0
-    return rows.select(key, F.when(ok, F.col("sx") / (3 * F.col("a2"))).alias("cx"), F.when(ok, F.col("sy") / (3 * F.col("a2"))).alias("cy"), (F.abs("a2") / 2).alias("area"))
+    return rows.select(key, F.when(ok, F.col("o.x") + F.col("sx") / (3 * F.col("a2"))).alias("cx"), F.when(ok, F.col("o.y") + F.col("sy") / (3 * F.col("a2"))).alias("cy"), (F.abs("a2") / 2).alias("area"))
 
 
 def to_grid(x: F.Column, y: F.Column, origin_x: float, origin_y: float, cell: float) -> tuple[F.Column, F.Column]:
