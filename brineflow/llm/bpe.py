@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brineflow import runtime
-from brineflow.llm.chunks import Memo, encode_column
+from brineflow.llm.chunks import KEPT, Memo, encode_column, forget
 from brineflow.llm.mph import PerfectHash
 
 #: Rows that one returned batch holds at most.
 BATCH_ROWS = 512
 #: Bytes of what a worker remembers of pieces seen before.
-MEMO_BYTES = 144 << 20
+MEMO_BYTES = 80 << 20
 
 
 class Vocabulary:
@@ -116,15 +116,12 @@ class Codec:
         return [b"".join(map(find, np.frombuffer(ids or b"", "<u4").tolist())) for ids in column.to_pylist()]
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec_of(vocabulary: Vocabulary) -> Codec:
     """One for each worker process and vocabulary, so that its memo outlives a task."""
-    if vocabulary.key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[vocabulary.key] = Codec(vocabulary)
-    return _CODECS[vocabulary.key]
+    if vocabulary.key not in KEPT:
+        forget()
+        KEPT[vocabulary.key] = Codec(vocabulary)
+    return KEPT[vocabulary.key]
 
 
 def _with_columns(df: DataFrame, source: str, made: dict) -> DataFrame:

@@ -7,6 +7,8 @@ every space before a non-blank, and the pieces between can be looked up whole.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Callable
 
@@ -55,6 +57,18 @@ def encode_column(column: pa.Array, first: Find, later: Find) -> list[bytes]:
     return out
 
 
+#: What a worker process keeps from one task to the next, by name.
+KEPT: dict[str, object] = {}
+
+
+def forget() -> None:
+    """Drop what this worker keeps and give freed memory back: workers are shared by all stages, and a task that needs room starts with this."""
+    KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Bytes that an entry takes besides its key's and value's own.
 ENTRY_BYTES = 200
 

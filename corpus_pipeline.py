@@ -16,15 +16,23 @@ from pyspark.sql import functions as F
 from brineflow import runtime
 from brineflow.llm import bpe, decontaminate, jaccard, pii, toxicity
 
+#: Rows and bytes of a batch that a task hands to Python at most: beside a task's heap, batches are what an executor holds.
+BATCH_ROWS, BATCH_BYTES = 2_000, "8m"
 #: Near duplicates: shingles of five words, Jaccard similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, predicts to be toxic go.
 
     Null and empty texts are scored as texts without words; repeated rows go or stay together; a null id is scored like any other.
     """
+    _small_batches(spark)
     model = toxicity.train(docs, runtime.table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
@@ -35,6 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and empty texts have no links and stay; rows that repeat id and text become one; rows that share an id but are not
     linked all stay; a null id is linked with nothing and stays.
     """
+    _small_batches(spark)
     return jaccard.distinct_documents(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
@@ -43,6 +52,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts have no passages and stay; each repeated row is treated alike.
     """
+    _small_batches(spark)
     return decontaminate.remove(docs, runtime.table(spark, sf_dir, "benchmark")).withColumn("n_chars", _chars()).select(*docs.columns)
 
 
@@ -59,6 +69,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no ids; each repeated row is encoded; columns other than those named are not returned.
     """
+    _small_batches(spark)
     shared = bpe.default_vocabulary(spark)
     return bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), shared).select(
         "doc_id",
