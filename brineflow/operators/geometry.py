@@ -43,16 +43,20 @@ def centroids(df: DataFrame, key: str, ring: str) -> DataFrame:
 def polygon_centroids(df: DataFrame, key: str, parts: str) -> DataFrame:
     """Centroid and area of polygons of several parts, each an outer ring and the rings of its holes, whatever their turn; without area null."""
 
-    origin = F.get(F.get(F.get(parts, 0), 0), 0)
+    bind = lambda value, body: F.get(F.transform(F.array(value), body), 0)  # noqa: E731  made once, however often ``body`` names it
 
-    def of_part(rings):
+    def of_part(rings, origin):
         """An outer ring counts with its own sign made positive, a hole with its sign made negative."""
         signed = F.transform(rings, lambda r, i: F.struct(_ring_sums(r, origin).alias("m"), F.when(i == 0, 1.0).otherwise(-1.0).alias("w")))
         return F.transform(signed, lambda x: F.struct(*((x["w"] * F.signum(x["m"]["a2"]) * x["m"][c]).alias(c) for c in ("a2", "sx", "sy"))))
 
-    sums = F.flatten(F.transform(parts, of_part))
-    total = lambda c: F.aggregate(sums, F.lit(0.0), lambda s, x: s + x[c])
-    rows = df.select(key, origin.alias("o"), total("a2").alias("a2"), total("sx").alias("sx"), total("sy").alias("sy"))
+    def of_polygon(b):
+        total = lambda sums, c: F.aggregate(sums, F.lit(0.0), lambda s, x: s + x[c]).alias(c)
+        sums = F.flatten(F.transform(b["p"], lambda rings: of_part(rings, b["o"])))
+        return bind(sums, lambda each: F.struct(*(total(each, c) for c in ("a2", "sx", "sy")), b["o"].alias("o")))
+
+    whole = F.struct(F.col(parts).alias("p"), F.get(F.get(F.get(parts, 0), 0), 0).alias("o"))
+    rows = df.select(key, bind(whole, of_polygon).alias("m")).select(key, "m.*")
     ok = F.col("a2") != 0
     return rows.select(key, F.when(ok, F.col("o.x") + F.col("sx") / (3 * F.col("a2"))).alias("cx"), F.when(ok, F.col("o.y") + F.col("sy") / (3 * F.col("a2"))).alias("cy"), (F.abs("a2") / 2).alias("area"))
 

@@ -467,4 +467,6 @@ def ring_nearest(points: DataFrame, cells: DataFrame, key: str, max_radius: int
     kind = points.schema[key].dataType.simpleString()
     tiled = points.select(key, "py", "px", F.floor(F.col("py") / tile).alias("ty"), F.floor(F.col("px") / tile).alias("tx"))
     near = _haloed(cells.select("y", "x"), max_radius, tile)
+    # Points in tiles that no cell reaches have none.
+    tiled = tiled.join(near.select("ty", "tx").distinct(), ["ty", "tx"], "left_semi")
     return tiled.groupBy("ty", "tx").cogroup(near.groupBy("ty", "tx")).applyInPandas(one, f"{key} {kind}, radius int, d2 int, y bigint, x bigint")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brineflow import config as C
+from brineflow import runtime
 from brineflow.functions import levels as L
 from brineflow.operators import frequency, geometry, raster, series
 from brineflow.operators.peaks import peak_events
@@ -47,6 +48,7 @@ def enriched(parcels: DataFrame, cells: DataFrame, events: DataFrame, origin_x:
         at = geometry.polygon_centroids(parcels.where("parts is not null"), "id", "parts").where("cx is not null")
     else:
         at = geometry.centroids(parcels.where(F.size("ring") >= 4), "id", "ring").where("cx is not null")
+    at = runtime.save(at, "parcel-centres")
     x, y = (F.col("cx"), F.col("cy")) if projection is None else projection.forward(F.col("cx"), F.col("cy"))
     px, py = geometry.to_grid(x, y, origin_x, origin_y, cell_ft)
     near = raster.ring_nearest(at.select("id", py.alias("py"), px.alias("px")), cells, "id")
