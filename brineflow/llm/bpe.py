@@ -30,8 +30,8 @@ from brineflow.llm.mph import PerfectHash
 
 #: Rows that one returned batch holds at most.
 BATCH_ROWS = 512
-#: Bytes of what a worker remembers of pieces seen before.
-MEMO_BYTES = 80 << 20
+#: Bytes of what a worker remembers of pieces seen before: beside other work, and where encoding has the executors to itself.
+MEMO_BYTES, WIDE_MEMO_BYTES = 80 << 20, 384 << 20
 
 
 class Vocabulary:
@@ -63,12 +63,12 @@ class Vocabulary:
 
 
 class Codec:
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, memo_bytes: int = MEMO_BYTES):
         self.v = vocabulary
         self.match = regex.compile(vocabulary.pattern).findall
-        self.pre = Memo(self._pre_tokens, MEMO_BYTES // 4)
-        self.first = Memo(self._pieces, MEMO_BYTES // 8)
-        self.later = Memo(lambda pieces: self._pieces([" " + p for p in pieces]), MEMO_BYTES // 2)
+        self.pre = Memo(self._pre_tokens, memo_bytes // 4)
+        self.first = Memo(self._pieces, memo_bytes // 8)
+        self.later = Memo(lambda pieces: self._pieces([" " + p for p in pieces]), memo_bytes // 2)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces by their pre-tokens, each of which is looked up once."""
@@ -116,12 +116,13 @@ class Codec:
         return [b"".join(map(find, np.frombuffer(ids or b"", "<u4").tolist())) for ids in column.to_pylist()]
 
 
-def codec_of(vocabulary: Vocabulary) -> Codec:
-    """One for each worker process and vocabulary, so that its memo outlives a task."""
-    if vocabulary.key not in KEPT:
+def codec_of(vocabulary: Vocabulary, memo_bytes: int = MEMO_BYTES) -> Codec:
+    """One for each worker process, vocabulary and bound, so that its memo outlives a task."""
+    name = f"{vocabulary.key} {memo_bytes}"
+    if name not in KEPT:
         forget()
-        KEPT[vocabulary.key] = Codec(vocabulary)
-    return KEPT[vocabulary.key]
+        KEPT[name] = Codec(vocabulary, memo_bytes)
+    return KEPT[name]
 
 
 def _with_columns(df: DataFrame, source: str, made: dict) -> DataFrame:
@@ -158,9 +159,9 @@ def decode(rows: DataFrame, shared, ids: str = "token_ids", out: str = "decoded"
     return _with_columns(rows, ids, {out: lambda c: codec_of(shared.value).decode(c)})
 
 
-def encode_and_decode(docs: DataFrame, shared, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+def encode_and_decode(docs: DataFrame, shared, text: str = "text", ids: str = "token_ids", out: str = "decoded", memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Both, one after the other in one worker: the ids, and the bytes that they stand for."""
-    return _with_columns(docs, text, {ids: lambda c: codec_of(shared.value).encode(c), out: lambda c: codec_of(shared.value).decode(c)})
+    return _with_columns(docs, text, {ids: lambda c: codec_of(shared.value, memo_bytes).encode(c), out: lambda c: codec_of(shared.value, memo_bytes).decode(c)})
 
 
 def default_vocabulary(spark: SparkSession):
@@ -172,7 +173,7 @@ def default_vocabulary(spark: SparkSession):
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = runtime.table(spark, sf_dir, "documents").select("doc_id", "text")
     shared = default_vocabulary(spark)
-    return encode_and_decode(docs, shared).select(
+    return encode_and_decode(docs, shared, memo_bytes=WIDE_MEMO_BYTES).select(
         "doc_id",
         F.expr("cast(octet_length(token_ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
