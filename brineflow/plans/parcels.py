@@ -54,6 +54,7 @@ def enriched(parcels: DataFrame, cells: DataFrame, events: DataFrame, origin_x:
     near = raster.ring_nearest(at.select("id", py.alias("py"), px.alias("px")), cells, "id")
     ground = near.join(cells.select("y", "x", "elev"), ["y", "x"]).select("id", "radius", F.col("elev").alias("elev_d"))
     ground = ground.withColumn("model_c", F.least(F.lit(C.HIST_MAX_D * 10), F.greatest(F.lit(0), F.col("elev_d") * 10))).withColumn("grid_at", nearest_step(F.col("model_c")))
+    ground = runtime.save(ground, "parcel-ground")
     levels = events.select(F.rint(F.col("rebased") * 100).cast("int").alias("level"))
     total = levels.agg(F.count("*").alias("total"))
     counted = frequency.range_count(levels, ground, "level", "model_c").crossJoin(F.broadcast(total))
