@@ -198,13 +198,18 @@ def paged(spark: SparkSession, requests: DataFrame, fetch, page: int = 1000, att
 
         for part in parts:
             for url in part["url"]:
-                offset = 0
+                offset, held = 0, []
                 while True:
                     body = fetched(fetch, f"{url}&resultOffset={offset}&resultRecordCount={page}", attempts, None)
                     found = json.loads(body)["features"] if body else []
-                    yield pd.DataFrame({"url": url, "feature": [json.dumps(x) for x in found]}, dtype="object")
+                    held += [json.dumps(x) for x in found]
                     offset += len(found)
-                    if len(found) < page:
+                    last = len(found) < page
+                    # Small pages are handed on together.
+                    if last or len(held) >= 2000:
+                        yield pd.DataFrame({"url": url, "feature": held}, dtype="object")
+                        held = []
+                    if last:
                         break
 
     return requests.select("url").mapInPandas(run, "url string, feature string")

@@ -711,3 +711,27 @@ def test_projection_gives_published_points_and_comes_back(spark):
     lots = spark.createDataFrame([(1, [{"x": a, "y": b} for a, b in ring])], "id int, ring array<struct<x:double,y:double>>")
     placed = parcels.enriched(lots, cells, spark.createDataFrame([(3.0,)], "rebased double"), centre["x"] - 7.5, centre["y"] + 5.5, 1.0, plane).first()
     assert (placed["radius"], placed["elev_d"]) == (0, 33)
+
+
+def test_a_page_reads_its_row_groups_only(spark, tmp_path, monkeypatch):
+    """Pages of the service come from the rows near them, not from the whole table, and requests are not all in one task."""
+    import pyarrow.dataset
+    import pyarrow.parquet as pq
+
+    n = 30_000
+    rows = spark.range(n).select(F.col("id").alias("c_custkey"), (F.col("id") % 2).alias("c_nationkey"), F.sha2(F.col("id").cast("string"), 512).alias("c_mktsegment"))
+    source_queries._service(rows, f"file://{tmp_path}/service")
+    read, whole = [], pq.ParquetFile.read_row_group
+    monkeypatch.setattr(pq.ParquetFile, "read_row_group", lambda *a, **k: read.append(whole(*a, **k)) or read[-1])
+    monkeypatch.setattr(pyarrow.dataset, "dataset", None)
+    fetch = source_queries._pages_of(f"file://{tmp_path}/service")
+    got, size = [], 700
+    while True:
+        page = json.loads(fetch(f"https://f/q?where=c_nationkey%3D1&outFields=c_custkey,c_mktsegment&resultOffset={len(got)}&resultRecordCount={size}"))["features"]
+        got += [x["attributes"]["c_custkey"] for x in page]
+        if len(page) < size:
+            break
+    assert got == list(range(1, n, 2))
+    assert len(read) > 4 and sum(len(t) for t in read) < n
+    assert json.loads(fetch("https://f/q?where=c_nationkey%3D7&outFields=c_custkey&resultOffset=0&resultRecordCount=5"))["features"] == []
+    assert source_queries.paged_feature_scan(spark, SF).rdd.getNumPartitions() == 25
