@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from brineflow import config as C
 from brineflow import runtime
 
+#: States (zones times stages) that one task makes.
+TASK_STATES = 2_000_000
+
 
 def stage_catalogue(spark, stages: int = C.STAGES, step_c: int = C.STAGE_STEP_C) -> DataFrame:
     return spark.range(stages).select((F.col("id") * step_c).cast("int").alias("stage_c"))
@@ -26,10 +29,13 @@ def equilibrium(zones: DataFrame, hist: DataFrame, stages: int = C.STAGES, step_
     Between two bins of a zone the running sums stand, so each bin gives the stages up to the next one; rows are zones
     times stages, whatever the number of bins (241 at most).
     """
+    zones = runtime.save(zones, "zone-connections")
     line = Window.partitionBy("zone_id").orderBy("bin")
     # Before the lowest bin nothing is held.
     below = zones.select("zone_id", F.lit(None).cast("long").alias("bin"), F.lit(0).cast("long").alias("cum_n"), F.lit(0).cast("long").alias("cum_elev"))
     sums = prefix(hist).select("zone_id", F.col("bin").cast("long").alias("bin"), F.col("cum_n").cast("long").alias("cum_n"), F.col("cum_elev").cast("long").alias("cum_elev")).unionByName(below)
+    # A zone's few bins become a row for each stage: dealt by what they become, since merged by their bytes they would meet in few tasks.
+    sums = sums.repartition(max(1, -(-zones.count() * stages // TASK_STATES)), "zone_id")
     first = lambda d: F.ceil(10 * d / step_c)  # noqa: E731  of the stages at or above tenths
     spans = sums.withColumns({"lo": F.greatest(F.lit(0), F.coalesce(first(F.col("bin") + C.HIST_MIN_D), F.lit(0))), "next": F.lead("bin").over(line)})
     spans = spans.withColumn("hi", F.least(F.lit(stages), F.coalesce(first(F.col("next") + C.HIST_MIN_D), F.lit(stages))) - 1)

@@ -40,7 +40,8 @@ def thin_walls(centre: DataFrame, mask: DataFrame, offsets: tuple[int, ...] = (0
 
 def unequal_phases(states: DataFrame) -> DataFrame:
     """Stages and zones whose surface is not the same in all phases."""
-    return states.groupBy("stage_c", "zone_id").agg(F.count_distinct("surface_c").alias("n"), F.count("surface_c").alias("filled"), F.count("*").alias("rows")).where("n > 1 or (filled > 0 and filled < rows)")
+    each = states.groupBy("stage_c", "zone_id").agg(F.min("surface_c").alias("lowest"), F.max("surface_c").alias("highest"), F.count("surface_c").alias("filled"), F.count("*").alias("rows"))
+    return each.where("lowest <> highest or (filled > 0 and filled < rows)")
 
 
 def mask_mismatch(depth: DataFrame, stage: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brineflow import config as C
 from brineflow.functions import levels as L
 from brineflow.operators import frequency, geometry, graph, hydraulics, peaks, projection, raster, series, stages
-from brineflow.plans import archive_queries, archives, feed_queries, model_queries, parcels, source_queries, workloads
+from brineflow.plans import archive_queries, archives, checks, feed_queries, model_queries, parcels, source_queries, workloads
 from brineflow.sources import container, readers, sinks
 from brineflow.streaming import gauges
 
@@ -735,3 +735,18 @@ def test_a_page_reads_its_row_groups_only(spark, tmp_path, monkeypatch):
     assert len(read) > 4 and sum(len(t) for t in read) < n
     assert json.loads(fetch("https://f/q?where=c_nationkey%3D7&outFields=c_custkey&resultOffset=0&resultRecordCount=5"))["features"] == []
     assert source_queries.paged_feature_scan(spark, SF).rdd.getNumPartitions() == 25
+
+
+def test_states_of_many_zones_are_no_single_task(spark):
+    """Zones of one bin are a few bytes each, but 281 states: they are dealt by their states."""
+    bins = spark.range(20_000).select(F.col("id").alias("zone_id"), F.lit(100).alias("bin"), F.lit(1).alias("n"))
+    zones = spark.range(20_000).select(F.col("id").alias("zone_id"), F.lit(0).alias("connection"))
+    per = hydraulics.equilibrium(zones, bins).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.count_distinct("zone_id").alias("zones")).collect()
+    assert sum(r["n"] for r in per) == 20_000 * C.STAGES and sum(r["zones"] for r in per) == 20_000
+    assert max(r["n"] for r in per) < 1.5 * hydraulics.TASK_STATES
+
+
+def test_unequal_phases_are_those_that_differ(spark):
+    rows = [(p, s, z, v) for (s, z), vs in {(0, 1): (5, 5, 5), (0, 2): (5, 6, 5), (5, 1): (None, None, None), (5, 2): (None, 5, 5)}.items() for p, v in zip(container.PHASES, vs, strict=True)]
+    got = checks.unequal_phases(spark.createDataFrame(rows, "phase string, stage_c int, zone_id int, surface_c int"))
+    assert {(r["stage_c"], r["zone_id"]) for r in got.collect()} == {(0, 2), (5, 2)}
