@@ -90,10 +90,13 @@ def state_container_scan(spark, d):
     z = runtime.save(W._zoned(spark, d), "zoned")
     every = z.groupBy("zone_label").agg(F.max("connection").alias("connection"))
     ids = runtime.save(W.raster.numbered(z), "zone-ids")
-    states = every.join(ids, "zone_label").join(hydraulics.stage_catalogue(spark), F.col("connection") * 10 <= F.col("stage_c"))
+    n_zones = ids.count()
+    # Dealt by the states that a zone becomes, neighbours together: their slots lie side by side.
+    zones = every.join(ids, "zone_label").repartitionByRange(max(1, -(-n_zones * 281 // hydraulics.TASK_STATES)), "zone_id")
+    states = zones.join(F.broadcast(hydraulics.stage_catalogue(spark)), F.col("connection") * 10 <= F.col("stage_c"))
     surfaces = hydraulics.phases(states.select((F.col("stage_c") / 5).cast("int").alias("stage"), F.col("zone_id").cast("int").alias("zone_id"), F.col("stage_c").alias("surface_c")), spark)
     path = runtime.new_path(spark, "states")
-    container.write(surfaces, path, 281, ids.count(), {"unit": "ft"})
+    container.write(surfaces, path, 281, n_zones, {"unit": "ft"})
     return container.read(spark, path).groupBy("phase", "stage").agg(F.count("*").alias("n_wet"), F.sum("zone_id").cast("long").alias("sum_zone"), F.sum("surface_c").cast("long").alias("sum_c"))
 
 

@@ -750,3 +750,17 @@ def test_unequal_phases_are_those_that_differ(spark):
     rows = [(p, s, z, v) for (s, z), vs in {(0, 1): (5, 5, 5), (0, 2): (5, 6, 5), (5, 1): (None, None, None), (5, 2): (None, 5, 5)}.items() for p, v in zip(container.PHASES, vs, strict=True)]
     got = checks.unequal_phases(spark.createDataFrame(rows, "phase string, stage_c int, zone_id int, surface_c int"))
     assert {(r["stage_c"], r["zone_id"]) for r in got.collect()} == {(0, 2), (5, 2)}
+
+
+def test_members_of_a_container_are_read_by_tasks_of_their_own(spark, tmp_path):
+    n = 3000
+    states = spark.range(n).select(F.explode(F.array(*map(F.lit, container.PHASES))).alias("phase"), (F.col("id") % 281).cast("int").alias("stage"), F.col("id").cast("int").alias("zone_id"), (F.col("id") % 1400).cast("int").alias("surface_c"))
+    path = f"file://{tmp_path}/states.bin"
+    container.write(states, path, 281, n, {})
+    got = container.read(spark, path)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, states.collect()))
+    assert got.groupBy(F.spark_partition_id()).count().count() > 1
+    whole = (tmp_path / "states.bin").read_bytes()
+    (tmp_path / "cut.bin").write_bytes(whole[:-50])
+    with pytest.raises(Exception, match="cut short"):
+        container.read(spark, f"file://{tmp_path}/cut.bin").collect()
