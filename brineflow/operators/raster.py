@@ -429,13 +429,14 @@ def ring_nearest(points: DataFrame, cells: DataFrame, key: str, max_radius: int
 
     A tile at a time with a halo of ``max_radius``. The ring of every cell comes from the steps to the next valid cell
     along its rows, and on that ring only the nearest cells of its four sides can be nearest, so a cell's work is
-    bounded by the radius, not by the cells within it, and each valid cell goes to 9/4 tiles on average at most.
+    bounded by the radius, not by the cells within it, and each valid cell goes to 9/4 tiles on average at most. A cell
+    is asked once, however many points it has, so that a tile's work is bounded by its size.
     """
     tile = tile or max(TILE, 4 * max_radius)
     size = tile + 2 * max_radius
 
     def one(at: tuple, asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({key: asked[key].iloc[:0], "radius": [], "d2": [], "y": [], "x": []})
+        empty = pd.DataFrame({"py": [], "px": [], "radius": [], "d2": [], "y": [], "x": []})
         if not len(asked) or not len(there):
             return empty
         y0, x0 = int(at[0]) * tile - max_radius, int(at[1]) * tile - max_radius
@@ -462,11 +463,11 @@ def ring_nearest(points: DataFrame, cells: DataFrame, key: str, max_radius: int
                 continue
             nearer = (d2 < best[0]) | ((d2 == best[0]) & ((dy < best[1]) | ((dy == best[1]) & (dx < best[2]))))
             best = tuple(np.where(nearer, a, b) for a, b in zip((d2, dy, dx), best, strict=True))
-        return pd.DataFrame({key: asked[key].to_numpy()[found], "radius": r, "d2": best[0], "y": y + best[1] + y0, "x": x + best[2] + x0})
+        return pd.DataFrame({"py": y + y0, "px": x + x0, "radius": r, "d2": best[0], "y": y + best[1] + y0, "x": x + best[2] + x0})
 
-    kind = points.schema[key].dataType.simpleString()
-    tiled = points.select(key, "py", "px", F.floor(F.col("py") / tile).alias("ty"), F.floor(F.col("px") / tile).alias("tx"))
+    tiled = points.select(F.col("py").cast("long").alias("py"), F.col("px").cast("long").alias("px")).distinct().select("py", "px", F.floor(F.col("py") / tile).alias("ty"), F.floor(F.col("px") / tile).alias("tx"))
     near = _haloed(cells.select("y", "x"), max_radius, tile)
     # Points in tiles that no cell reaches have none.
     tiled = tiled.join(near.select("ty", "tx").distinct(), ["ty", "tx"], "left_semi")
-    return tiled.groupBy("ty", "tx").cogroup(near.groupBy("ty", "tx")).applyInPandas(one, f"{key} {kind}, radius int, d2 int, y bigint, x bigint")
+    found = tiled.groupBy("ty", "tx").cogroup(near.groupBy("ty", "tx")).applyInPandas(one, "py bigint, px bigint, radius int, d2 int, y bigint, x bigint")
+    return points.select(key, "py", "px").join(found, ["py", "px"]).select(key, "radius", "d2", "y", "x")

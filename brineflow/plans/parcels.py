@@ -44,11 +44,14 @@ def enriched(parcels: DataFrame, cells: DataFrame, events: DataFrame, origin_x:
 
     Parcels without geometry, without area or without a cell near are left out; :func:`skipped` counts them.
     """
+    # One file of many parcels is few tasks.
+    spread = parcels.repartition("id")
     if "parts" in parcels.columns:
-        at = geometry.polygon_centroids(parcels.where("parts is not null"), "id", "parts").where("cx is not null")
+        at = geometry.polygon_centroids(spread.where("parts is not null"), "id", "parts")
     else:
-        at = geometry.centroids(parcels.where(F.size("ring") >= 4), "id", "ring").where("cx is not null")
-    at = runtime.save(at, "parcel-centres")
+        at = geometry.centroids(spread.where(F.size("ring") >= 4), "id", "ring")
+    # Asked of the saved table: as a filter here the centres would be made before the parcels are dealt, and once more after it.
+    at = runtime.save(at, "parcel-centres").where("cx is not null")
     x, y = (F.col("cx"), F.col("cy")) if projection is None else projection.forward(F.col("cx"), F.col("cy"))
     px, py = geometry.to_grid(x, y, origin_x, origin_y, cell_ft)
     near = raster.ring_nearest(at.select("id", py.alias("py"), px.alias("px")), cells, "id")

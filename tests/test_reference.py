@@ -764,3 +764,17 @@ def test_members_of_a_container_are_read_by_tasks_of_their_own(spark, tmp_path):
     (tmp_path / "cut.bin").write_bytes(whole[:-50])
     with pytest.raises(Exception, match="cut short"):
         container.read(spark, f"file://{tmp_path}/cut.bin").collect()
+
+
+def test_points_of_one_cell_are_asked_once(spark, monkeypatch):
+    """Very many points in few cells: the work of a tile goes by its cells."""
+    points = spark.range(60_000).select(F.col("id").alias("pid"), (F.col("id") % 3).alias("py"), (F.col("id") % 2).alias("px"))
+    cells = spark.createDataFrame([(1, 4), (5, 0)], "y long, x long")
+    asked = []
+    grouped = type(points.groupBy("py"))
+    seen = grouped.cogroup
+    monkeypatch.setattr(grouped, "cogroup", lambda a, b: asked.append(a._df.count()) or seen(a, b))
+    got = raster.ring_nearest(points, cells, "pid")
+    assert asked == [6]
+    nearest = lambda py, px: min((max(abs(y - py), abs(x - px)), (y - py) ** 2 + (x - px) ** 2, y, x) for y, x in ((1, 4), (5, 0)))
+    assert {r["pid"]: tuple(r)[1:] for r in got.collect()} == {i: nearest(i % 3, i % 2) for i in range(60_000)}
