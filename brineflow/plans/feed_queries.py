@@ -69,7 +69,7 @@ def stream_anchor_levels(spark, d):
     folder = runtime.new_path(spark, "samples")
     columns = ("series", F.timestamp_seconds("t").alias("ts"), "v")
     # Dealt by a digest, so that what a batch reads is in no order of time; the ends come in a later batch.
-    g.select(*columns).repartition(4, F.xxhash64("t")).write.parquet(f"{folder}/a")
+    g.select(*columns).repartition(F.xxhash64("t")).write.parquet(f"{folder}/a")
     ends.select(*columns).write.parquet(f"{folder}/b")
     path, store, checkpoint = runtime.new_path(spark, "anchors"), "spark.sql.streaming.stateStore.providerClass", runtime.new_path(spark, "anchors-checkpoint")
     before = spark.conf.get(store)

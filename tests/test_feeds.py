@@ -243,3 +243,57 @@ def test_state_holds_what_waits_and_one_sample(monkeypatch):
         assert all(k[0] * 1000 > mark for k in one.waiting.keys())
     got += [tuple(r) for f in one.handleExpiredTimer(("s",), Times(10**9), None) for r in f[["t", "v"]].itertuples(index=False)]
     assert got == want and not list(one.waiting.keys()) and one.last.get() == before
+
+
+def test_buckets_of_a_series_close_its_anchors_alone():
+    """Each bucket with the samples of the gap limit before it gives its own anchors; its state is packed, and goes when the watermark has passed it."""
+    import numpy as np
+    import pandas as pd
+
+    class Kept(dict):
+        puts = 0
+        exists = dict.__len__
+
+        def get(self):
+            return self[0]
+
+        def update(self, x):
+            self[0] = x
+
+        def updateValue(self, k, v):  # noqa: N802
+            Kept.puts += 1
+            self[k] = v
+
+        def removeKey(self, k):  # noqa: N802
+            self.pop(k)
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    class Handle(set):
+        getMapState = getValueState = lambda self, *_: Kept()  # noqa: E731, N815
+        listTimers = set.copy  # noqa: N815
+        deleteTimer, registerTimer = set.discard, set.add  # noqa: N815
+
+    class Times:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 10**9
+
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.choice(400_000, 3000, replace=False))
+    t = t[(t < 90_000) | (t > 99_000)]
+    v = rng.normal(size=len(t))
+    want, before = [], None
+    for at, level in zip(t.tolist(), v.tolist(), strict=True):
+        want += interpolation.closed(before, at, level, 900, 7200)
+        before = (at, level)
+    got, span = [], 50_000
+    for bucket in range(8):
+        one, handle = interpolation.Brackets(900, 7200, span), Handle()
+        one.init(handle)
+        own = rng.permutation(np.flatnonzero((t // span == bucket) | ((t + 7200) // span == bucket)))
+        list(one.handleInputRows(("s", bucket), iter([pd.DataFrame({"t": t[own], "v": v[own]})]), None))
+        got += [tuple(r) for f in one.handleExpiredTimer(("s", bucket), Times(), None) for r in f[["t", "v"]].itertuples(index=False)]
+        assert not one.waiting and not one.last and not handle
+    assert sorted(got) == want
+    assert Kept.puts < len(t) / 10
