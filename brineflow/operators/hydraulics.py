@@ -102,32 +102,51 @@ def routing_step(zones: DataFrame, edges: DataFrame, source_ft: float, substeps:
     level the pair, a donor's flows to what it holds (sources are exempt), and a receiver's to what lifts it to the
     highest surface that feeds it; the source is then set back to its level. The result adds ``surface_ft`` and
     ``moved`` (net change by edges, over all substeps).
+
+    What does not change, the curves and the edges from either end, is dealt by zone once and kept there (on disk where
+    memory is short; both are made again from tables in the shared folder). A substep takes and writes the zones that
+    hold water or have done so: the others are as they began. Donors' flows go to their receivers, which limit them,
+    then back to the donors, which do so in turn; the sums of both ends are shuffled last.
     """
     shape = curves(zones.select("zone_id", F.col("floor_ft").alias("elev_ft"), F.col("area").alias("n")) if hist is None else hist)
-    set_back = lambda s: F.when(F.col("is_source"), _stored(F.lit(float(source_ft)))).otherwise(s)
-    surface = lambda s: F.when(F.col("is_source"), F.lit(float(source_ft))).otherwise(_level(s))
-    cur = zones.join(shape, "zone_id").withColumn("storage", set_back(F.col("storage").cast("double"))).withColumns({"moved": F.lit(0.0), "surface_ft": surface(F.col("storage"))})
+    parts = int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sea, one = F.lit(float(source_ft)), F.lit(1.0)
+    set_back = lambda s: F.when(F.col("is_source"), _stored(sea)).otherwise(s)
+    surface = lambda s: F.when(F.col("is_source"), sea).otherwise(_level(s))
+    start = zones.join(shape, "zone_id").withColumn("storage", set_back(F.col("storage").cast("double"))).withColumns({"moved": F.lit(0.0), "surface_ft": surface(F.col("storage"))})
+    start = runtime.save(start.withColumn("wetted", _wetted(F.col("surface_ft"))), "routing-start")
+    state = ["storage", "moved", "surface_ft", "wetted"]
+    basins = start.select("zone_id", "is_source", "curve", *(F.col(c).alias(f"{c}_0") for c in state)).repartition(parts, "zone_id").sortWithinPartitions("zone_id").persist()
+    ends = lambda a, b: edges.select(F.col(a).alias("src"), F.col(b).alias("dst"), "crest_ft", "width_ft")
+    sides = ends("a", "b").unionByName(ends("b", "a")).repartition(parts, "src").sortWithinPartitions("src").persist()
+    before = runtime.save(start.where("is_source or storage <> 0").select("zone_id", "is_source", *state), "routing")
+    now = {c: F.coalesce(c, f"{c}_0") for c in state}
     for _ in range(substeps):
-        cur = runtime.save(cur, "routing")
-        level = cur.select("zone_id", _wetted(F.col("surface_ft")).alias("area"), "surface_ft", (F.col("is_source") | (F.col("storage") > 0.01)).alias("wet"))
-        e = edges.join(level.toDF("a", "area_a", "s_a", "wet_a"), "a").join(level.toDF("b", "area_b", "s_b", "wet_b"), "b")
-        down = F.col("s_a") >= F.col("s_b")
-        pick = lambda x, y: F.when(down, F.col(x)).otherwise(F.col(y))
-        e = e.select(pick("a", "b").alias("src"), pick("b", "a").alias("dst"), F.greatest("s_a", "s_b").alias("hi"), F.least("s_a", "s_b").alias("lo"), (1 / F.col("area_a") + 1 / F.col("area_b")).alias("give"), pick("wet_a", "wet_b").alias("wet"), "crest_ft", "width_ft").where("wet")
-        q = F.least(weir_flow(F.col("hi"), F.col("lo"), F.col("crest_ft"), F.col("width_ft")) * dt_s, (F.col("hi") - F.col("lo")) / F.col("give"))
-        e = runtime.save(e.withColumn("q", q).where("q > 0").select("src", "dst", "hi", "q"), "routing-flow")
-        out = e.groupBy(F.col("src").alias("zone_id")).agg(F.sum("q").alias("asked"))
-        into = e.groupBy(F.col("dst").alias("zone_id")).agg(F.sum("q").alias("offered"), F.max("hi").alias("top"))
-        room = F.greatest(F.lit(0.0), _stored(F.greatest("surface_ft", "top")) - F.col("storage"))
-        one = F.lit(1.0)
-        give = cur.join(out, "zone_id").select(F.col("zone_id").alias("src"), F.when(F.col("is_source"), one).otherwise(F.least(one, F.col("storage") / F.col("asked"))).alias("give"))
-        take = cur.join(into, "zone_id").select(F.col("zone_id").alias("dst"), F.when(F.col("is_source"), one).otherwise(F.least(one, room / F.col("offered"))).alias("take"))
-        e = e.join(give, "src").join(take, "dst").withColumn("q", F.col("q") * F.least("give", "take"))
+        live = before.repartition(parts, "zone_id").sortWithinPartitions("zone_id").persist()
+        donors = live.where("is_source or storage > 0.01").select(F.col("zone_id").alias("src"), F.col("is_source").alias("endless"), F.col("storage").alias("held"), F.col("surface_ft").alias("hi"), F.col("wetted").alias("from"))
+        over = donors.join(sides, "src").where(F.col("hi") > F.col("crest_ft"))
+        e = over.join(basins.withColumnRenamed("zone_id", "dst"), "dst").join(live.select(F.col("zone_id").alias("dst"), *state), "dst", "left").withColumns(now)
+        q = F.least(weir_flow(F.col("hi"), F.col("surface_ft"), F.col("crest_ft"), F.col("width_ft")) * dt_s, (F.col("hi") - F.col("surface_ft")) / (1 / F.col("from") + 1 / F.col("wetted")))
+        e = e.where(F.col("hi") > F.col("surface_ft")).withColumn("q", q).where("q > 0").withColumn("top", F.struct("hi", _stored(F.col("hi")).alias("full"))).drop("curve")
+        to, off = Window.partitionBy("dst"), Window.partitionBy("src")
+        room = F.greatest(F.lit(0.0), F.max("top").over(to)["full"] - F.col("storage"))
+        e = e.select("src", "dst", "endless", "held", "q", F.when(F.col("is_source"), one).otherwise(F.least(one, room / F.sum("q").over(to))).alias("take"))
+        give = F.when(F.col("endless"), one).otherwise(F.least(one, F.col("held") / F.sum("q").over(off)))
+        e = e.repartition(parts, "src").select("src", "dst", (F.col("q") * F.least(give, "take")).alias("q"))
         net = e.select(F.explode(F.array(F.struct(F.col("src").alias("zone_id"), (-F.col("q")).alias("d")), F.struct(F.col("dst").alias("zone_id"), F.col("q").alias("d")))).alias("m")).groupBy("m.zone_id").agg(F.sum("m.d").alias("d"))
         change = F.coalesce("d", F.lit(0.0))
-        cur = cur.join(net, "zone_id", "left").withColumns({"moved": F.col("moved") + change, "storage": set_back(F.greatest(F.lit(0.0), F.col("storage") + change))}).drop("d")
-        cur = cur.withColumn("surface_ft", surface(F.col("storage")))
-    return cur.drop("curve")
+        after = live.drop("is_source").join(net, "zone_id", "full").join(basins, "zone_id").withColumns(now)
+        after = after.withColumns({"was": F.col("storage"), "moved": F.col("moved") + change, "storage": set_back(F.greatest(F.lit(0.0), F.col("storage") + change))})
+        kept = F.col("was") == F.col("storage")
+        after = after.withColumn("surface_ft", F.when(kept, F.col("surface_ft")).otherwise(surface(F.col("storage"))))
+        after = after.withColumn("wetted", F.when(kept, F.col("wetted")).otherwise(_wetted(F.col("surface_ft"))))
+        done, before = before, runtime.save(after.select("zone_id", "is_source", *state), "routing")
+        live.unpersist()
+        runtime.drop(done)
+    basins.unpersist()
+    sides.unpersist()
+    ended = before.select("zone_id", *(F.col(c).alias(f"{c}_1") for c in state))
+    return start.drop("curve").join(ended, "zone_id", "left").withColumns({c: F.coalesce(f"{c}_1", c) for c in state}).drop("wetted", *(f"{c}_1" for c in state))
 
 
 def surface_from_storage(hist: DataFrame, stored: DataFrame) -> DataFrame:

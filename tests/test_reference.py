@@ -303,6 +303,23 @@ def test_routing_chain_conserves_and_front_is_slow(spark):
     assert rows[0]["surface_ft"] == 4.0 and all(a["surface_ft"] >= b["surface_ft"] - 1e-9 for a, b in zip(rows, rows[1:], strict=False))
 
 
+def test_routing_writes_reached_zones_without_their_curves(spark, monkeypatch):
+    written = []
+
+    def noted(df, label, real=hydraulics.runtime.save):
+        got = real(df, label)
+        written.append((label, df.columns, got.count()))
+        return got
+
+    monkeypatch.setattr(hydraulics.runtime, "save", noted)
+    zones = spark.range(300).select(F.col("id").cast("int").alias("zone_id"), F.lit(625.0).alias("area"), F.lit(0.0).alias("floor_ft"), F.lit(0.0).alias("storage"), (F.col("id") == 0).alias("is_source"))
+    links = spark.range(299).select(F.col("id").cast("int").alias("a"), (F.col("id") + 1).cast("int").alias("b"), F.lit(0.0).alias("crest_ft"), F.lit(25.0).alias("width_ft"))
+    rows = hydraulics.routing_step(zones, links, 4.0, substeps=2).collect()
+    assert len(rows) == 300 and set(rows[0].asDict()) == {"zone_id", "area", "floor_ft", "storage", "is_source", "moved", "surface_ft"}
+    steps = [(columns, n) for label, columns, n in written if label.startswith("routing") and label != "routing-start"]
+    assert len(steps) >= 2 and all("curve" not in columns and n <= 3 for columns, n in steps)
+
+
 def test_polygons_on_the_grid(spark):
     rings = spark.createDataFrame([("s", [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)])], "id string, ring array<struct<x:double,y:double>>")
     assert geometry.rasterize_fill(rings, "id", "ring").count() == 16
