@@ -138,9 +138,9 @@ def _tiles(df: DataFrame, tile: int) -> DataFrame:
 
 
 def local_labels(df: DataFrame, tile: int = TILE, same: list[str] | None = None) -> DataFrame:
-    """Label cells by the smallest cell id of their component within their tile (and equal ``same`` columns)."""
+    """Label cells by the smallest cell id of their component within their tile (and equal ``same`` columns); small tiles are labelled several at a time."""
     same = same or []
-    rows = _tiles(df, tile)
+    rows = _tiles(df, tile * max(1, TILE // tile))
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in df.schema.fields)}, label bigint"
 
     names = df.columns
@@ -148,6 +148,8 @@ def local_labels(df: DataFrame, tile: int = TILE, same: list[str] | None = None)
     def one(g: pd.DataFrame) -> pd.DataFrame:
         y, x = g["y"].to_numpy(np.int64), g["x"].to_numpy(np.int64)
         a, b = _pairs_in(y, x)
+        ok = (y[a] // tile == y[b] // tile) & (x[a] // tile == x[b] // tile)
+        a, b = a[ok], b[ok]
         for c in same:
             v = pd.factorize(g[c], use_na_sentinel=False)[0]
             ok = v[a] == v[b]

@@ -320,6 +320,14 @@ def test_routing_writes_reached_zones_without_their_curves(spark, monkeypatch):
     assert len(steps) >= 2 and all("curve" not in columns and n <= 3 for columns, n in steps)
 
 
+def test_small_tiles_are_labelled_several_at_a_time(spark):
+    cells = spark.range(100 * 100).select(F.expr("id div 100").alias("y"), F.expr("cast(id % 100 as int)").alias("x"), F.lit(1).alias("bin"), F.lit(True).alias("hard"))
+    got = raster.zones(cells, "bin", "hard")
+    assert {(r["y"], r["x"], r["zone_label"]) for r in got.collect()} == {(y, x, y // 25 * 25 * raster.ROW + x // 25 * 25) for y in range(100) for x in range(100)}
+    tiles = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "/ 25" not in tiles and f"/ {raster.TILE // 25 * 25}" in tiles
+
+
 def test_polygons_on_the_grid(spark):
     rings = spark.createDataFrame([("s", [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)])], "id string, ring array<struct<x:double,y:double>>")
     assert geometry.rasterize_fill(rings, "id", "ring").count() == 16
