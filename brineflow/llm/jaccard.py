@@ -389,11 +389,13 @@ def left_over(star: DataFrame, reps: DataFrame, components: DataFrame, percent:
     sizes = rows.groupBy("sig", "c").count()
     largest = sizes.groupBy("sig").agg(F.max_by("c", F.struct("count", "c")).alias("big"))
     folded = F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda i: reduce(lambda a, b: a.bitwiseXOR(b), [F.get("sketch", i + k) for k in range(0, SKETCH, FOLDED)]))
-    facts = reps.select(F.col("rep").alias("node"), "n", folded.alias("sketch"))
+    # Few bits tell most pairs apart, all bits those of sets of up to some thousands of shingles, their own sketches the few larger ones.
+    facts = reps.select(F.col("rep").alias("node"), "n", folded.alias("folded"), "sketch", F.expr(f"if(size(wide) > {2 * SKETCH}, wide, null)").alias("wide"))
     full = runtime.save(rows.join(facts, "node").join(largest, "sig"), "open-sets")
-    x = full.where("c <> big").select("sig", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("sketch").alias("sx"), F.col("probes").alias("px"))
-    y = full.select("sig", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("sketch").alias("sy"), F.col("probes").alias("py"))
-    within = f"({_apart('sx', 'sy', FOLDED)}) <= ((nx + ny) * {100 - percent}) div {100 + percent}"
+    x = full.where("c <> big").select("sig", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("folded").alias("fx"), F.col("sketch").alias("sx"), F.col("wide").alias("wx"), F.col("probes").alias("px"))
+    y = full.select("sig", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("folded").alias("fy"), F.col("sketch").alias("sy"), F.col("wide").alias("wy"), F.col("probes").alias("py"))
+    most = f"((nx + ny) * {100 - percent}) div {100 + percent}"
+    within = f"({_apart('fx', 'fy', FOLDED)}) <= {most} and ({_apart('sx', 'sy', SKETCH)}) <= {most} and (wx is null or wy is null or {_wide_apart('wx', 'wy')} <= {most})"
     near = f"cx <> cy and (px or py) and {_alike('nx', 'ny', percent)} and {within}"
     joined = x.alias("l").join(y.alias("r"), (F.col("l.sig") == F.col("r.sig")) & F.expr(near))
     pairs = possible(joined.select(F.col("x").alias("a"), F.col("y").alias("b")), reps, percent)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import pickle
 import random
 import re
 import uuid
@@ -496,6 +497,30 @@ def test_pipeline_stages_on_whole_tables(spark):
     assert before > 0.5 * spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def test_a_pickled_model_has_trained_rows_only():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=40)) + (" vile" if i % 3 == 0 else "") for i in range(300)]
+    model = toxicity.fit(texts, np.asarray([int(i % 3 == 0) for i in range(300)]), ["en" if i % 2 else "de" for i in range(300)])
+    packed = pickle.dumps(model)
+    again = pickle.loads(packed)
+    assert len(packed) < 1_000_000 and pickle.dumps(again) == packed
+    assert (again.scores([*texts[:40], None, "unseen"]) == model.scores([*texts[:40], None, "unseen"])).all()
+    assert all((getattr(again, name) == getattr(model, name)).all() for name in ("words", "heads", "language_odds"))
+
+
+@pytest.mark.parametrize("size", [2000, 9000])
+def test_long_unlike_sets_under_one_signature_give_no_pairs(spark, monkeypatch, size):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64)) for _ in range(6)]
+    reps = spark.createDataFrame([(i, len(u), jaccard.parity_sketch(u).tolist(), jaccard.wide_sketch(u).tolist()) for i, u in enumerate(sets)], "rep bigint, n int, sketch array<bigint>, wide array<bigint>")
+    star = spark.createDataFrame([(1, 0, i, True, 0) for i in range(1, 6)], "sig bigint, hub bigint, node bigint, probes boolean, salt int")
+    none = spark.createDataFrame([], "node bigint, component bigint")
+    came = []
+    monkeypatch.setattr(jaccard, "possible", lambda pairs, reps, percent, real=jaccard.possible: came.append(pairs.count()) or real(pairs, reps, percent))
+    assert jaccard.left_over(star, reps, none, 80).isEmpty() and came == [0]
+
+
 def test_queries_name_every_operator_once():
     names = list(llm_queries.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
