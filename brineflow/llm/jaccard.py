@@ -6,7 +6,9 @@ two linked sets agree in one segment at least. A set is indexed under each
 segment's content (a sum of its shingles' hashes) and, for the spare segments of
 each scheme, under their contents less one shingle. A set does not probe its
 smallest segments, and those of common shingles, which match by chance, and allows
-as many spare segments a difference of one instead: the pigeonhole count is the same.
+as many other spare segments a difference of one instead: the pigeonhole count is the
+same. An empty spare is given up like any other segment, so next to no set probes what
+a constant share of all sets have in common.
 A scheme has so many spares that next to no set has more empty segments.
 Sets of one band are also indexed in the scheme of the next, since linked sets
 lie in neighbouring bands.
@@ -166,15 +168,20 @@ def signatures(u: np.ndarray, band: int, percent: int, probing: bool, common: Co
         np.minimum.at(rarest, seg, np.where(common[0][at] == u, common[1][at], 0.0))
         chance = np.maximum(chance, np.minimum(1.0, COMMON_WEIGHT * rarest) * (size > 0))
     spare = size[m - k :]
-    # Segments that match most by chance against the spares whose deletions cost least, in pairs, as long as that is cheaper.
-    give = np.argsort(-chance[: m - k], kind="stable")[:k]
-    cost = np.where(spare > 0, (1 + spare) * np.maximum(CHANCE ** (spare - 1.0), chance[m - k :]) + PROBE, np.inf)
-    take = np.argsort(cost, kind="stable")[: len(give)]
-    pays = chance[give] > cost[take]
-    probes = np.ones(m, bool)
-    probes[give[pays]] = False
-    boosted = np.zeros(m, bool)
-    boosted[m - k + take[pays]] = True
+    # Segments that match most by chance, spares among them, against the other spares whose deletions cost least, in pairs,
+    # as long as that is cheaper.
+    order = np.argsort(-chance, kind="stable")[: 2 * k]
+    cost = np.full(m, np.inf)
+    cost[m - k :] = np.where(spare > 0, (1 + spare) * np.maximum(CHANCE ** (spare - 1.0), chance[m - k :]) + PROBE, np.inf)
+    probes, boosted = np.ones(m, bool), np.zeros(m, bool)
+    cheap = iter(m - k + np.argsort(cost[m - k :], kind="stable"))
+    for give in order:
+        if boosted[give]:
+            continue
+        take = next((t for t in cheap if probes[t] and t != give), None)
+        if take is None or chance[give] <= cost[take]:
+            break
+        probes[give], boosted[take] = False, True
     return np.concatenate([whole[probes], less[boosted[owner]]]), np.concatenate([whole[~probes], less[~boosted[owner]]])
 
 
@@ -374,12 +381,25 @@ def _labelled(rows: DataFrame, node: str, components: DataFrame, out: str) -> Da
     return rows.join(names, node, "left").withColumn(out, F.coalesce("__c", node)).drop("__c")
 
 
+def meeting(full: DataFrame) -> DataFrame:
+    """The pairs x, y of a signature of different components, x outside its largest, of which one probes it.
+
+    Sets that are only found meet those that probe and no others, so a signature that very many sets share by chance costs
+    as many pairs as it has sets for each of the few that probe it.
+    """
+    side = lambda rows, i: rows.select("sig", F.col("node").alias(i), *[F.col(c).alias(f"{name}{i}") for c, name in (("c", "c"), ("n", "n"), ("folded", "f"), ("sketch", "s"), ("wide", "w"))])
+    outside = full.where("c <> big")
+    joined = side(outside.where("probes"), "x").join(side(full, "y"), "sig").where("cx <> cy")
+    return joined.unionByName(side(outside.where("not probes"), "x").join(side(full.where("probes"), "y"), "sig").where("cx <> cy"))
+
+
 def left_over(star: DataFrame, reps: DataFrame, components: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y, apart) that share a signature one of them probes, lie in different components and may be linked.
 
-    Under each signature the sets outside its largest component meet all others;
-    what meets is bounded from below in its difference, and only pairs within
-    the bound come out.
+    Under each signature the sets outside its largest component meet all others
+    that probe it, or, if they probe it themselves, all others; what meets is
+    bounded from below in its difference, and only pairs within the bound come
+    out.
     """
     # Hubs of parts have met their own part only.
     hubs = star.where("salt > 0").select("sig", F.col("hub").alias("node"), F.lit(True).alias("probes")).distinct()
@@ -392,12 +412,9 @@ def left_over(star: DataFrame, reps: DataFrame, components: DataFrame, percent:
     # Few bits tell most pairs apart, all bits those of sets of up to some thousands of shingles, their own sketches the few larger ones.
     facts = reps.select(F.col("rep").alias("node"), "n", folded.alias("folded"), "sketch", F.expr(f"if(size(wide) > {2 * SKETCH}, wide, null)").alias("wide"))
     full = runtime.save(rows.join(facts, "node").join(largest, "sig"), "open-sets")
-    x = full.where("c <> big").select("sig", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("folded").alias("fx"), F.col("sketch").alias("sx"), F.col("wide").alias("wx"), F.col("probes").alias("px"))
-    y = full.select("sig", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("folded").alias("fy"), F.col("sketch").alias("sy"), F.col("wide").alias("wy"), F.col("probes").alias("py"))
     most = f"((nx + ny) * {100 - percent}) div {100 + percent}"
     within = f"({_apart('fx', 'fy', FOLDED)}) <= {most} and ({_apart('sx', 'sy', SKETCH)}) <= {most} and (wx is null or wy is null or {_wide_apart('wx', 'wy')} <= {most})"
-    near = f"cx <> cy and (px or py) and {_alike('nx', 'ny', percent)} and {within}"
-    joined = x.alias("l").join(y.alias("r"), (F.col("l.sig") == F.col("r.sig")) & F.expr(near))
+    joined = meeting(full).where(f"{_alike('nx', 'ny', percent)} and {within}")
     pairs = possible(joined.select(F.col("x").alias("a"), F.col("y").alias("b")), reps, percent)
     return runtime.save(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "apart"), "left-over")
 

@@ -521,6 +521,37 @@ def test_long_unlike_sets_under_one_signature_give_no_pairs(spark, monkeypatch,
     assert jaccard.left_over(star, reps, none, 80).isEmpty() and came == [0]
 
 
+def test_chance_signatures_have_few_probing_sets_and_links_still_meet():
+    rng = np.random.default_rng(8)
+    for n in (60, 200, 400, 2000):
+        band = jaccard.band_of(n, 80)
+        m = jaccard.scheme(band, 80)
+        name = jaccard.mix((np.uint64(band) << np.uint64(32)) + np.arange(m, dtype=np.uint64), 3)
+        empty = jaccard.mix(name, 5)
+        probing = 0
+        for _ in range(200):
+            u = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            own, _found = jaccard.signatures(u, band, 80, True)
+            probing += bool(np.isin(own, empty).any())
+            # As many differences as a link allows: some shingles less, or others in their place.
+            most = jaccard.most_apart(2 * n, 80)
+            for less, more in ((most // 2, most // 2), (jaccard.most_apart(2 * n, 80) * 9 // 10, 0)):
+                v = np.unique(np.concatenate([u[rng.permutation(n)[: n - less]], rng.integers(0, 1 << 63, more, dtype=np.uint64)]))
+                assert 100 * (n - less) >= 80 * (n + more)
+                lower = jaccard.band_of(len(v), 80)
+                theirs = np.concatenate(jaccard.signatures(v, lower, 80, True)) if lower == band else jaccard.signatures(v, band, 80, False)[1]
+                assert len(np.intersect1d(own, theirs))
+        assert probing <= 2
+
+
+def test_sets_that_are_only_found_meet_no_others_of_their_kind(spark):
+    rows = [(1, i, i, 5, [0], [0], None, i == 7, 99) for i in range(3000)]
+    full = spark.createDataFrame(rows, "sig bigint, node bigint, c bigint, n int, folded array<bigint>, sketch array<bigint>, wide array<bigint>, probes boolean, big bigint")
+    met = jaccard.meeting(full).select("x", "y").collect()
+    # The largest component, 99, is met by the probing set alone.
+    assert {frozenset(p) for p in met} == {frozenset((7, i)) for i in range(3000) if i != 7} and len(met) < 2 * 3000
+
+
 def test_queries_name_every_operator_once():
     names = list(llm_queries.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
