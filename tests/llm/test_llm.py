@@ -191,6 +191,43 @@ def test_toxicity_training_is_bounded_and_repeatable(spark):
     assert toxicity._fitting([{"doc_id": 1, "n": 6}, {"doc_id": 2, "n": 7}, {"doc_id": 3, "n": 4}], 10) == {1, 3}
 
 
+def test_toxicity_training_takes_every_labelled_row(spark):
+    rng = random.Random(12)
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    texts = [f"{word(i)} and the rest {'vile' if i % 4 == 0 else rng.choice(['kind', 'calm'])}" for i in range(12_000)]
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(12_000)], "doc_id bigint, toxic int")
+    model = toxicity.train(df, labels)
+    learnt = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(12_000))
+    bucket = toxicity.word_buckets([toxicity.letters_of(word(i)) for i in range(12_000)])[0]
+    blank = toxicity.Model._blank(model.seed)["words"]
+    seen = (model.words[bucket] != blank[bucket]).any(axis=1)
+    # All that are not held out but the fifth that sets the thresholds; words may share a bucket.
+    assert 0.79 * learnt <= seen.sum() <= 0.85 * learnt
+
+
+def test_toxicity_of_many_shards_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 20_000)
+    texts = [t + (" grumph" if i % 3 == 0 else "") for i, t in enumerate(invented(900, seed=9))]
+    df = docs(spark, texts).unionByName(docs(spark, [t + " other" for t in texts[:50]])).unionByName(docs(spark, ["", None]))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)] + [(3, 0), (5000, 1)], "doc_id bigint, toxic int")
+    models = [toxicity.train(d, labels) for d in (df.repartition(7), df.coalesce(1))]
+    assert all(np.array_equal(getattr(models[0], k), getattr(models[1], k)) for k in ("words", "heads", "out", "thresholds"))
+    assert all(np.array_equal(models[0].filters[w], models[1].filters[w]) for w in toxicity.WIDTHS) and models[0].bias == models[1].bias
+    rows = toxicity.score(docs(spark, texts), pickle.loads(pickle.dumps(models[0]))).collect()
+    assert np.mean([r["predicted"] == (r["doc_id"] % 3 == 0) for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]) > 0.95
+
+
+def test_filters_find_the_same_in_pieces(monkeypatch):
+    model, rng = toxicity.Model(seed=3), np.random.default_rng(5)
+    first = np.concatenate([[0], np.cumsum([0, 1, 2, 300, 7, 40])])
+    word, head = rng.integers(0, toxicity.BUCKETS, first[-1]), rng.integers(0, toxicity.BUCKETS, first[-1])
+    best, spot, _ = model.pooled(word, head, first, where=True)
+    monkeypatch.setattr(toxicity, "PIECE_WORDS", 11)
+    own, at = model.spotted(word, head, first)
+    assert np.allclose(own, best, atol=1e-6) and (at == spot).mean() > 0.99
+
+
 def test_without_toxic_keeps_whole_rows(spark):
     texts = invented(400, seed=9)
     df = docs(spark, [t + (" grumph" if i % 3 == 0 else "") for i, t in enumerate(texts)], score=1, predicted="clash")
